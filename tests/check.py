@@ -43,8 +43,8 @@ def compare(df, con, sql):
         return False, f"columns {got_cols} != {want_cols}"
     if got == want:
         return True, f"{len(got)} rows"
-    only_got = sorted(set(got) - set(want))[:2]
-    only_want = sorted(set(want) - set(got))[:2]
+    only_got = sorted(set(got) - set(want))[:1]
+    only_want = sorted(set(want) - set(got))[:1]
     return False, f"{len(got)} vs {len(want)} rows; cols {got_cols}\n  spark {only_got}\n  sql   {only_want}"
 
 
@@ -72,7 +72,7 @@ def main(argv):
             same, note = False, f"{type(e).__name__}: {str(e)[:600]}"
         if not same:
             bad.append(name)
-        print(f"{'ok  ' if same else 'FAIL'} {name} {time.time() - start:.1f}s {note[:1500]}", flush=True)
+        print(f"{'ok  ' if same else 'FAIL'} {name} {time.time() - start:.1f}s {note[:6000]}", flush=True)
     print("failed:", bad)
 
 

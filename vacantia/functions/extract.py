@@ -139,4 +139,4 @@ def with_requirements(postings: DataFrame, strict: bool = False) -> DataFrame:
         domain(F.col("title"), low).alias("domain"),
         degree_required(low).alias("degree_required"),
     )
-    return staged.withColumn("req", req).drop("_low", "_level", "_years")
+    return staged.withColumn("req", X.fenced(req)).drop("_low", "_level", "_years")

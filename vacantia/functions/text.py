@@ -52,6 +52,13 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def fenced(value: Column) -> Column:
+    """`value`, kept from being copied. Catalyst moves a filter below a projection by copying the
+    projected expression into it; for a long expression that means planning and computing it
+    again per use. A projection with a partition-dependent part stays where it is."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def _edged(pattern: str) -> str:
     return f"(?<!{_WORD})(?:{pattern})(?!{_WORD})"
 

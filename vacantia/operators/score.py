@@ -5,6 +5,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import extract, scoring as S
+from ..functions import text as X
+from ..schema import SCORE_COLUMNS
 from ..session import cut_lineage
 
 # Distinct profiles held as one literal; larger profile tables are scored slice by slice.
@@ -36,6 +38,7 @@ def with_active_profile(postings: DataFrame, profile: DataFrame) -> DataFrame:
 def with_scores(df: DataFrame) -> DataFrame:
     """Adds the ten score columns from `req` and `p`. Narrow: no shuffle, no Python."""
     req, p = F.col("req"), F.col("p")
+    kept = [c for c in df.columns if c not in SCORE_COLUMNS]
     df = df.withColumns({
         "matched_skills": S.matched_skills(req, p),
         "missing_skills": S.missing_skills(req, p),
@@ -68,15 +71,14 @@ def with_scores(df: DataFrame) -> DataFrame:
         F.lit(100.0), F.bround(F.col("_raw") - F.col("_penalty"), 1))))
     df = df.withColumn("priority", S.priority(
         F.col("ats_score"), F.col("fit_score"), F.col("hard_req_concerns"), F.col("_exp.concerns")))
-    df = df.withColumns({
-        "score_breakdown": S.breakdown(
-            {n: F.col(f"_parts.{n}") for n in parts}, F.col("_raw"), F.col("_penalty"),
-            F.col("hard_req_concerns"), F.col("ats_score"), F.col("fit_score"), F.col("priority")),
-        "required_experience": req["min_years"],
-        "seniority": req["seniority"],
-        "ai_analysis": F.lit(""),
-    })
-    return df.drop("_exp", "_gate", "_degree", "_parts", "_penalty", "_raw")
+    level = S.breakdown(
+        {n: F.col(f"_parts.{n}") for n in parts}, F.col("_raw"), F.col("_penalty"),
+        F.col("hard_req_concerns"), F.col("ats_score"), F.col("fit_score"), F.col("priority"))
+    score = F.struct(
+        "ats_score", "fit_score", "priority", "matched_skills", "missing_skills",
+        "hard_req_concerns", level.alias("score_breakdown"), F.lit("").alias("ai_analysis"),
+        req["min_years"].alias("required_experience"), req["seniority"].alias("seniority"))
+    return df.select(*kept, X.fenced(score).alias("_score")).select(*kept, "_score.*")
 
 
 def score_postings(postings: DataFrame, profile: DataFrame) -> DataFrame:

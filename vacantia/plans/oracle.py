@@ -134,9 +134,9 @@ def flag(test):
     return f"CASE WHEN {test} THEN 1 ELSE 0 END"
 
 
-def pattern_of(names):
-    return (r'(?s)<(span|div|h1|h3|h4|li)[^>]*\bclass="(?:[^"]*\s)?(?:' + "|".join(names)
-            + r')(?:\s[^"]*)?"[^>]*>(.*?)</(?:span|div|h1|h3|h4|li)>')
+def pattern_of(names, tags="span|div|h1|h3|h4|li"):
+    return (rf'(?s)<({tags})[^>]*\bclass="(?:[^"]*\s)?(?:' + "|".join(names)
+            + rf')(?:\s[^"]*)?"[^>]*>(.*?)</(?:{tags})>')
 
 
 def unescape(c):
@@ -145,8 +145,8 @@ def unescape(c):
     return c
 
 
-def element(html, names):
-    return f"nullif(regexp_extract({html}, {lit(pattern_of(names))}, 2), '')"
+def element(html, names, *tags):
+    return f"nullif(regexp_extract({html}, {lit(pattern_of(names, *tags))}, 2), '')"
 
 
 def field(html, names):
@@ -376,7 +376,7 @@ CTES = {
       ON y.search_id = z.search_id""",
     "detail_text": f"""SELECT *, {field('html', BOARD.location)} AS page_place,
       array_to_string(list_filter(list_transform(string_split_regex({unescape(
-        "regexp_replace(regexp_replace(" + element('html', BOARD.description)
+        "regexp_replace(regexp_replace(" + element('html', BOARD.description, 'div')
         + ", '(<br[^>]*>|</p>|</li>)', '\\1' || chr(10), 'g'), '<[^>]*>', '', 'g')")},
         '[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'),
         lambda s: {trim('s')}), lambda s: s <> ''), chr(10) || chr(10)) AS description

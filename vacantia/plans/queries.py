@@ -241,9 +241,12 @@ def feed_location(t):
 
 @query
 def feed_combined(t):
-    return _feed_ids(feed.filtered(
-        _scored(t), max_exp=6, min_ats=40, work_mode="remote", status="new", keyword="engineer",
-        location="india"), "ats_score", "fit_score", "priority")
+    # Filters on stored columns come before scoring, filters on scores after it.
+    rows = feed.filtered(t.postings(), max_exp=None, work_mode="remote", status="new",
+                         keyword="engineer", location="india")
+    scored = score.score_postings(rows, _profile(t))
+    return _feed_ids(feed.filtered(scored, max_exp=6, min_ats=40), "ats_score", "fit_score",
+                     "priority")
 
 
 @query

@@ -4,12 +4,14 @@ Sinks are folders of the shared file system, one sub-folder per micro-batch, wri
 batch that runs again after a failure replaces its own output.
 """
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import dedup, upsert
 from ..session import cut_lineage, new_folder
-from ..sources.adapter import INCOMING, STATUS_EVENTS, Tables
+from ..sources.adapter import INCOMING, STATUS_EVENTS, Tables, dialect
 
 
 class PostingLog:
@@ -99,12 +101,15 @@ def first_seen_stream(sightings: DataFrame, folder: str, checkpoint: str,
 
 
 def _stream(t: Tables, name: str) -> DataFrame:
-    return t.spark.readStream.schema(t.raw(name).schema).parquet(f"{t.sf_dir}/{name}.parquet")
+    """The table as a file stream; a table of a single file is picked out of its folder."""
+    reader = t.spark.readStream.schema(t.raw(name).schema)
+    path = f"{t.sf_dir}/{name}.parquet"
+    if os.path.isfile(path):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(t.sf_dir)
+    return reader.parquet(path)
 
 
 def _incoming_stream(t: Tables) -> DataFrame:
-    from ..sources.adapter import dialect
-
     return t.spark.sql(dialect(INCOMING, "spark"), documents=_stream(t, "documents"))
 
 
