@@ -87,8 +87,7 @@ def seniority(title: Column, level: Column, strict: bool = False) -> Column:
 
 
 def inferred_years(level: Column) -> Column:
-    table = F.create_map(*[F.lit(v) for kv in vocab.YEARS_BY_SENIORITY.items() for v in kv])
-    return F.try_element_at(table, level)
+    return F.try_element_at(X.literal_map(vocab.YEARS_BY_SENIORITY, "double"), level)
 
 
 def term_count(lowered: Column, terms) -> Column:

@@ -4,7 +4,6 @@ Patterns fit known markup only; class names are parameters of a `Template`, so a
 another template. `BOARD` holds the markup the engine knows.
 """
 
-import json
 from dataclasses import dataclass
 from html.entities import html5
 
@@ -62,7 +61,7 @@ def inner(html: Column, names) -> Column:
 
 
 def _decoded(c: Column) -> Column:
-    named = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
+    named = X.literal_map(_NAMED, "string")
     names = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&([A-Za-z][A-Za-z0-9]*);"), 1))
     out = F.aggregate(names, c, lambda acc, n: F.coalesce(F.replace(
         acc, F.concat(F.lit("&"), n, F.lit(";")), F.try_element_at(named, n)), acc))

@@ -17,13 +17,17 @@ def skill_match(job_skill: Column, resume_skill: Column) -> Column:
         inside & (F.length(job_skill) > 2) & (F.length(resume_skill) > 2))
 
 
-def prepared_profile() -> Column:
+def has_items(name: str) -> Column:
+    return F.size(name) > 0
+
+
+def prepared_profile(has_education: Column | None = None,
+                     has_certifications: Column | None = None) -> Column:
     """Struct of what the scorer needs from a profile row. The comparison of the skill dictionary
     with the profile happens here, once per profile, so scoring a posting is set arithmetic on
     its few skills."""
     owned = F.array_distinct(F.transform("skills", lambda s: F.lower(X.strip(s))))
-    terms = F.array(*[F.lit(t) for t in vocab.SKILL_TERMS])
-    hits = F.filter(terms, lambda t: F.exists(owned, lambda s: skill_match(F.lower(t), s)))
+    hits = F.filter(X.literal_list(vocab.SKILL_TERMS), lambda t: F.exists(owned, lambda s: skill_match(F.lower(t), s)))
     cloud_low = F.transform("cloud_platforms", lambda c: F.lower(c))
     return F.struct(
         F.col("years_experience").alias("years"),
@@ -31,8 +35,10 @@ def prepared_profile() -> Column:
         hits.alias("skill_hits"),
         F.slice("skills", 1, 6).alias("first_skills"),
         cloud_low.alias("clouds"),
-        (F.size("education") > 0).alias("has_education"),
-        (F.size("certifications") > 0).alias("has_certifications"),
+        (has_items("education") if has_education is None else has_education)
+        .alias("has_education"),
+        (has_items("certifications") if has_certifications is None else has_certifications)
+        .alias("has_certifications"),
     )
 
 

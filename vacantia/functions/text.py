@@ -1,5 +1,6 @@
 """Text columns: trimming, whole-token tests, key normalisers, the location rule."""
 
+import json
 import re
 
 from pyspark.sql import Column, functions as F
@@ -34,6 +35,16 @@ def present(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def literal_list(items) -> Column:
+    """Array constant, folded at planning."""
+    return F.from_json(F.lit(json.dumps(list(items))), "array<string>")
+
+
+def literal_map(table: dict, value_type: str) -> Column:
+    """Map constant with text keys, folded at planning."""
+    return F.from_json(F.lit(json.dumps(table)), f"map<string,{value_type}>")
+
+
 def contains_any(c: Column, parts) -> Column:
     """Any part is a substring. A part that holds another part can be left out."""
     needed = [p for p in parts if not any(o != p and o in p for o in parts)]
@@ -95,13 +106,11 @@ def tokens_found(lowered: Column, terms) -> Column:
     only a dictionary with shadowed terms needs a test per term."""
     if shadowed(terms) or not all(t[0].isalnum() for t in terms):
         return F.array_compact(F.array(*[F.when(has_token(lowered, t), F.lit(t)) for t in terms]))
-    entries = F.array(*[F.struct(F.lit(t.lower()).alias("low"), F.lit(t).alias("term"))
-                        for t in terms])
     none = F.array().cast("array<string>")
 
     def in_order(found):
-        hits = F.filter(entries, lambda e: F.array_contains(found, e["low"]))
-        return F.when(F.size(found) == 0, none).otherwise(F.transform(hits, lambda e: e["term"]))
+        hits = F.filter(literal_list(terms), lambda t: F.array_contains(found, F.lower(t)))
+        return F.when(F.size(found) == 0, none).otherwise(hits)
 
     return let(F.regexp_extract_all(lowered, F.lit(_token_scan(terms)), 1), in_order)
 

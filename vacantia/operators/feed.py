@@ -72,8 +72,8 @@ def filtered(postings: DataFrame, **filters) -> DataFrame:
 
 
 def priority_rank(priority: Column) -> Column:
-    table = F.create_map(*[F.lit(v) for kv in vocab.PRIORITY_ORDER.items() for v in kv])
-    return F.coalesce(F.try_element_at(table, priority), F.lit(4))
+    return F.coalesce(F.try_element_at(X.literal_map(vocab.PRIORITY_ORDER, "int"), priority),
+                      F.lit(4))
 
 
 def sort_order(sort_by: str) -> list[Column]:

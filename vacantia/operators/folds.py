@@ -7,8 +7,7 @@ from ..functions import text as X
 
 
 def status_rank(status: Column) -> Column:
-    table = F.create_map(*[F.lit(v) for kv in vocab.STATUS_RANK.items() for v in kv])
-    return F.coalesce(F.try_element_at(table, status), F.lit(1))
+    return F.coalesce(F.try_element_at(X.literal_map(vocab.STATUS_RANK, "int"), status), F.lit(1))
 
 
 def known_status(status: Column) -> Column:

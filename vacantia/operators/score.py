@@ -1,6 +1,7 @@
 """Scoring postings against one active profile or many."""
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -13,26 +14,21 @@ from ..session import cut_lineage
 SLICE = 256
 
 
-def _literal_profiles(prepared: DataFrame) -> tuple[Column, int]:
-    """Array literal of the prepared profiles. The caller bounds the rows to SLICE."""
-    rows = [r.asDict(recursive=True) for r in prepared.collect()]
-    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{prepared_type(prepared)}>>"), len(rows)
-
-
-def prepared_type(prepared: DataFrame) -> str:
-    fields = S.PROFILE_FIELDS.replace(", ", ",")
-    fields = ",".join(f.replace(" ", ":", 1) for f in fields.split(","))
-    return ("profile_key:string," if "profile_key" in prepared.columns else "") + fields
+def _literal(rows: list, keyed: bool) -> Column:
+    """Array literal of collected prepared profiles; callers bound them to SLICE or so."""
+    fields = ("profile_key string, " if keyed else "") + S.PROFILE_FIELDS
+    typed = ",".join(f.strip().replace(" ", ":", 1) for f in fields.split(","))
+    return F.from_json(F.lit(json.dumps([r.asDict(recursive=True) for r in rows])),
+                       f"array<struct<{typed}>>")
 
 
 def with_active_profile(postings: DataFrame, profile: DataFrame) -> DataFrame:
     """Adds column `p`, the active profile, as a literal: the profile table has one row for the
     whole job, so its fields fold into the plan and no join is needed."""
-    prepared = profile.limit(1).select(S.prepared_profile().alias("p")).select("p.*")
-    literal, n = _literal_profiles(prepared)
-    if n != 1:
+    rows = profile.limit(1).select(S.prepared_profile().alias("p")).select("p.*").collect()
+    if not rows:
         raise ValueError("an active profile is needed; see operators.profiles.active_profile")
-    return postings.withColumn("p", F.get(literal, F.lit(0)))
+    return postings.withColumn("p", F.get(_literal(rows, keyed=False), F.lit(0)))
 
 
 def with_scores(df: DataFrame) -> DataFrame:
@@ -96,35 +92,42 @@ def score_for_profiles(postings: DataFrame, profiles: DataFrame) -> DataFrame:
     literal stays bounded and every profile is scored.
     """
     prepared = distinct_profiles(profiles)
-    n = prepared.count()
     analysed = extract.with_requirements(postings)
-    if n > SLICE:
-        analysed, prepared = cut_lineage(analysed), cut_lineage(prepared)
-    # The profile table is a driver-side dimension; slices are read by hash range of their key.
-    slices = max(1, -(-2 * n // SLICE)) if n > SLICE else 1
-    out = None
-    for i in range(slices):
-        part = prepared if slices == 1 else prepared.where(
-            F.pmod(F.xxhash64("profile_key"), F.lit(slices)) == i)
-        literal, size = _literal_profiles(part)
-        if size == 0:
-            continue
-        scored = with_scores(analysed.withColumn("p", F.explode(literal)))
-        scored = scored.withColumn("profile_key", F.col("p.profile_key")).drop("p")
-        out = scored if out is None else out.unionByName(scored)
-    if out is None:
+    rows = prepared.limit(SLICE + 1).collect()
+    if not rows:
         raise ValueError("no profiles given")
-    return out
+    if len(rows) <= SLICE:
+        return _scored_for(analysed, rows)
+    # More than one slice: texts are mined once into a table, profiles are read by hash range.
+    analysed, prepared = cut_lineage(analysed), cut_lineage(prepared)
+    slices = -(-2 * prepared.count() // SLICE)
+    parts = (prepared.where(F.pmod(F.xxhash64("profile_key"), F.lit(slices)) == i).collect()
+             for i in range(slices))
+    return reduce(DataFrame.unionByName, [_scored_for(analysed, part) for part in parts if part])
+
+
+def _scored_for(analysed: DataFrame, profiles: list) -> DataFrame:
+    scored = with_scores(analysed.withColumn("p", F.explode(_literal(profiles, keyed=True))))
+    return scored.withColumn("profile_key", F.col("p.profile_key")).drop("p")
+
+
+def _scorer_view() -> Column:
+    """What the scorer sees of a profile, as it was entered."""
+    return F.struct("years_experience", F.lower("location").alias("location"), "skills",
+                    "cloud_platforms", S.has_items("education").alias("has_education"),
+                    S.has_items("certifications").alias("has_certifications"))
 
 
 def profile_key() -> Column:
-    """Key of what the scorer sees of a profile."""
-    return F.sha2(F.to_json(S.prepared_profile()), 256)
+    return F.sha2(F.to_json(_scorer_view()), 256)
 
 
 def distinct_profiles(profiles: DataFrame) -> DataFrame:
-    return (profiles.select(profile_key().alias("profile_key"), S.prepared_profile().alias("p"))
-            .groupBy("profile_key").agg(F.first("p").alias("p"))
+    """Prepared profiles by key. Equal profiles meet before they are prepared."""
+    return (profiles.select(profile_key().alias("profile_key"), _scorer_view().alias("v"))
+            .groupBy("profile_key").agg(F.first("v").alias("v")).select("profile_key", "v.*")
+            .select("profile_key", S.prepared_profile(
+                F.col("has_education"), F.col("has_certifications")).alias("p"))
             .select("profile_key", "p.*"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import vocab
 from ..functions import text as X
 from ..schema import POSTING, SCORE_COLUMNS
+from ..session import cut_lineage
 from . import folds
 from .dedup import first_similar, row_key
 from .shuffle import salted_left_join, with_position
@@ -207,8 +208,9 @@ def apply_updates(stored: DataFrame, folded: DataFrame) -> DataFrame:
 
 
 def upsert(batch: DataFrame, stored: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """The stored postings after the batch."""
-    resolved = resolve(batch, stored, fuzzy)
+    """The stored postings after the batch. The resolved batch, small next to the stored table,
+    feeds both the updates and the inserts, so it is written once."""
+    resolved = cut_lineage(resolve(batch, stored, fuzzy))
     fresh = inserts(resolved, stored)
     return apply_updates(stored, updates(resolved)).unionByName(fresh, allowMissingColumns=True)
 

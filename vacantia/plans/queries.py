@@ -16,6 +16,7 @@ from ..functions import text as X
 from ..functions.similarity import title_similarity as similarity
 from ..operators import dedup, feed, pages, profiles, replies, score, stats, upsert
 from ..schema import COMPONENTS, PROFILE
+from ..session import cut_lineage
 from ..sources import tables
 from ..sources.adapter import Tables
 from ..streaming import jobs
@@ -64,7 +65,8 @@ def _scored(t: Tables) -> DataFrame:
 
 
 def _stored(t: Tables) -> DataFrame:
-    return dedup.dedup_exact(t.postings())
+    """Stands for the stored table a batch merges into, so it is written once."""
+    return cut_lineage(dedup.dedup_exact(t.postings()))
 
 
 def _candidates(t: Tables) -> DataFrame:

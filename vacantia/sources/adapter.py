@@ -251,6 +251,18 @@ def dialect(sql: str, engine: str) -> str:
     return out
 
 
+# Tables whose rows are long texts, with their unique key.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """A scan that yields fewer tasks than the session has cores is spread over them by its unique
+    key, because mining its texts costs far more than moving them. A table of many files or row
+    groups keeps its scan tasks and is not shuffled."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
+
+
 class Tables:
     """The given tables and the views over them, as lazy DataFrames."""
 
@@ -258,7 +270,8 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(table, TEXT_TABLES[name]) if name in TEXT_TABLES else table
 
     def view(self, sql: str, **inputs: DataFrame) -> DataFrame:
         given = {n: self.raw(n) for n in TABLES if "{" + n + "}" in sql}
