@@ -159,6 +159,28 @@ def test_upsert_equals_row_by_row(spark):
     assert {r.id: r.asDict() for r in after} == state
 
 
+def test_fuzzy_upsert_groups_the_batch(spark):
+    rnd = random.Random(9)
+    titles = list(dict.fromkeys(random_titles(rnd, 60)))
+    stored_titles, new_titles = titles[:15], titles[15:]
+    stored = spark.createDataFrame(
+        [(i, f"p{i}", "acme", t, f"acme:{t}") for i, t in enumerate(stored_titles, 1)],
+        "id long, posting_id string, company string, title string, dedup_key string")
+    batch = [(i, f"n{i}", "acme", t) for i, t in enumerate(new_titles + new_titles[:5])]
+    want, leaders = {}, []
+    for seq, posting, _, title in batch:
+        hit = next((i for i, t in enumerate(stored_titles, 1) if similar(t, title)), None)
+        lead = None if hit else next((t for t in leaders if t == title), None) or next(
+            (t for t in leaders if similar(t, title)), None)
+        if not hit and lead is None:
+            leaders.append(title)
+        want[seq] = (hit, None if hit else f"k:acme:{lead or title}", not hit and lead is None)
+    df = spark.createDataFrame(batch, "seq long, posting_id string, company string, title string")
+    df = df.withColumns({c: F.lit("") for c in ("posted_at", "description", "location")})
+    got = {r.seq: (r.target_id, r.new_group, r.is_new) for r in upsert.resolve(df, stored).collect()}
+    assert got == want
+
+
 def test_positions(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"))
     rows = with_position(df, [F.desc("v")]).collect()

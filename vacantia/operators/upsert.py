@@ -12,7 +12,7 @@ from ..functions import text as X
 from ..schema import POSTING, SCORE_COLUMNS
 from ..session import cut_lineage
 from . import folds
-from .dedup import first_similar, row_key
+from .dedup import assign_leaders, first_similar, row_key
 from .shuffle import salted_left_join, with_position
 
 # Columns where the last non-empty value wins.
@@ -83,28 +83,47 @@ def match_by_title(matched: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def resolve(batch: DataFrame, stored: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """Batch rows with `target_id` (null: a new posting) and `is_new`."""
+    """Batch rows with `target_id`, the stored posting they belong to, or else `new_group`, the
+    new posting they belong to; `is_new` marks the row that starts it."""
     out = match_by_key(match_by_id(prepared(batch), stored), stored)
     steps = ["by_id", "by_key"]
     if fuzzy:
         out = match_by_title(out, stored)
         steps.append("by_title")
-    return out.withColumn("target_id", F.coalesce(*steps)).withColumn(
-        "is_new", F.col("target_id").isNull()).drop(*steps)
-
-
-def _new_group(fresh: DataFrame) -> DataFrame:
-    """Adds `_group` to rows that start postings: the key, else the posting id. Rows that repeat a
-    posting id under another key stay with the first key of that id."""
-    seq = F.col("seq")
-    split_ids = (fresh.where(F.col("dedup_key") != "").groupBy("posting_id").agg(
+    rows = out.withColumn("target_id", F.coalesce(*steps)).drop(*steps)
+    grouped = _with_new_group(cut_lineage(rows) if fuzzy else rows, fuzzy)
+    starts = grouped.where(F.col("target_id").isNull()).groupBy("new_group").agg(
+        F.min("seq").alias("seq")).select("seq", F.lit(True).alias("is_new"))
+    return grouped.join(starts, "seq", "left").withColumn(
+        "is_new", F.coalesce("is_new", F.lit(False)))
+
+
+def _with_new_group(rows: DataFrame, fuzzy: bool) -> DataFrame:
+    """Adds `new_group` to rows that no stored posting takes: their key, else their posting id.
+    Rows that repeat a posting id under another key stay with the first key of that id. With
+    `fuzzy`, a key joins the first one before it in the batch with a similar title."""
+    seq, fresh = F.col("seq"), rows.where(F.col("target_id").isNull())
+    moved = (fresh.where(F.col("dedup_key") != "").groupBy("posting_id").agg(
         F.min(F.struct(seq, F.col("dedup_key").alias("key"))).alias("_first"),
         F.min("dedup_key").alias("_low"), F.max("dedup_key").alias("_high"))
-        .where(F.col("_low") != F.col("_high")).select("posting_id", F.col("_first.key").alias("_key")))
-    keyed = salted_left_join(fresh, split_ids, "posting_id", "seq")
-    key = F.coalesce("_key", "dedup_key")
-    return keyed.withColumn("_group", F.when(key != "", F.concat(F.lit("k:"), key)).otherwise(
-        F.concat(F.lit("p:"), F.col("posting_id")))).drop("_key")
+        .where(F.col("_low") != F.col("_high"))
+        .select("posting_id", F.col("_first.key").alias("_moved")))
+    keyed = salted_left_join(rows, moved, "posting_id", "seq").withColumn(
+        "_key", F.coalesce("_moved", "dedup_key")).drop("_moved")
+    leader = F.col("_key")
+    if fuzzy:
+        keys = keyed.where(F.col("target_id").isNull() & (F.col("_key") != "")).groupBy("_key").agg(
+            F.min("seq").cast("bigint").alias("ord"))
+        leaders = assign_leaders(keys.select(
+            X.key_company(F.col("_key")).alias("company"), X.key_title(F.col("_key")).alias("title"),
+            "ord")).select(F.concat_ws(":", "company", "title").alias("_key"),
+                           F.concat_ws(":", "company", "leader").alias("_leader"))
+        keyed = salted_left_join(keyed, leaders, "_key", "seq")
+        leader = F.coalesce("_leader", "_key")
+    group = F.when(leader != "", F.concat(F.lit("k:"), leader)).otherwise(
+        F.concat(F.lit("p:"), F.col("posting_id")))
+    return keyed.withColumn("new_group", F.when(F.col("target_id").isNull(), group)).drop(
+        "_key", "_leader")
 
 
 def _folded(rows: DataFrame, by: str) -> DataFrame:
@@ -148,12 +167,12 @@ def _filled(name: str, fallback: Column) -> Column:
 
 def updates(resolved: DataFrame) -> DataFrame:
     """One folded row per stored posting the batch touches."""
-    return _folded(resolved.where(~F.col("is_new")), "target_id")
+    return _folded(resolved.where(F.col("target_id").isNotNull()), "target_id")
 
 
 def inserts(resolved: DataFrame, stored: DataFrame) -> DataFrame:
     """New postings with their defaults. Ids go on from the highest stored id, in batch order."""
-    folded = _folded(_new_group(resolved.where("is_new")), "_group")
+    folded = _folded(resolved.where(F.col("target_id").isNull()), "new_group")
     highest = F.coalesce(stored.agg(F.max("id")).scalar(), F.lit(0))
     placed = with_position(folded, [F.col("_row.seq")], "_position")
 

@@ -327,7 +327,9 @@ CTES = {
     "batch": f"""SELECT * EXCLUDE (is_reposted), {REPOST} AS is_reposted,
       {key(f"coalesce(company, {lit(vocab.UNKNOWN_COMPANY)})", f"coalesce(title, {lit(vocab.UNKNOWN_TITLE)})")} AS dedup_key
       FROM incoming""",
-    "resolved": """SELECT b.*, s.id AS by_id, CASE WHEN s.id IS NULL THEN k.id END AS by_key,
+    "resolved": """SELECT *, CAST(target_id IS NULL AND seq = min(seq) OVER (PARTITION BY target_id IS NULL, g) AS INT)
+      AS is_new FROM matched""",
+    "matched": """SELECT b.*, CASE WHEN b.dedup_key <> '' THEN 'k:' || b.dedup_key ELSE 'p:' || b.posting_id END AS g, s.id AS by_id, CASE WHEN s.id IS NULL THEN k.id END AS by_key,
       coalesce(s.id, k.id) AS target_id
       FROM batch b LEFT JOIN stored s ON b.posting_id = s.posting_id
       LEFT JOIN (SELECT dedup_key, min(id) AS id FROM stored WHERE dedup_key <> '' GROUP BY dedup_key) k
@@ -336,8 +338,7 @@ CTES = {
       {', '.join(f'{last(c)} AS new_{c}' for c in TEXTS)},
       first(description ORDER BY length(description) DESC, seq) AS new_description,
       max(is_reposted) AS new_reposted FROM resolved WHERE target_id IS NOT NULL GROUP BY target_id""",
-    "fresh_groups": f"""SELECT CASE WHEN dedup_key <> '' THEN 'k:' || dedup_key ELSE 'p:' || posting_id END AS g,
-      min(seq) AS first_seq, {fold("list(location ORDER BY seq)")} AS location,
+    "fresh_groups": f"""SELECT g, min(seq) AS first_seq, {fold("list(location ORDER BY seq)")} AS location,
       {', '.join(f"coalesce({last(c)}, first(coalesce({c}, '') ORDER BY seq)) AS {c}" for c in TEXTS)},
       first(description ORDER BY length(description) DESC, seq) AS description,
       max(is_reposted) AS is_reposted, first(posting_id ORDER BY seq) AS posting_id
@@ -476,7 +477,7 @@ def request_sql():
             f"AS request FROM postings WHERE length(description) > {MIN_DESCRIPTION}")
 
 
-RESOLVED_COLUMNS = "seq, dedup_key, is_reposted, target_id, CAST(target_id IS NULL AS INT) AS is_new"
+RESOLVED_COLUMNS = "seq, dedup_key, is_reposted, target_id, is_new"
 MERGED = ("id, posting_id, title, company, location, url, posted_at, employment_type, "
           "experience_level, work_mode, salary, description, is_reposted, status, dedup_key")
 LATEST_STATUS = """SELECT id, lower(status) AS status, event_id FROM status_events
@@ -528,7 +529,7 @@ ORACLES = {
       CASE WHEN priority <> 'LOW' THEN lo ELSE 9.0 END AS required_experience,
       CASE WHEN priority <> 'LOW' THEN seniority ELSE 'old' END AS seniority FROM scored""",
     "ingest_run_log": """SELECT keywords, 'India' AS location, count(*) AS jobs_found,
-      count(*) FILTER (WHERE target_id IS NULL) AS new_jobs FROM resolved GROUP BY keywords""",
+      count(*) FILTER (WHERE is_new = 1) AS new_jobs FROM resolved GROUP BY keywords""",
     "feed_exp_cap_strict": f"SELECT id, title, required_experience FROM scored WHERE {strict_cap(3.0)}",
     "feed_exp_cap_loose": "SELECT id, title, required_experience FROM scored WHERE lo IS NULL OR lo <= 5.0",
     "feed_no_cap": "SELECT id, title, required_experience FROM scored",
@@ -643,7 +644,7 @@ ORACLES = {
       FROM scored""",
     "priority_counts": "SELECT priority, count(*) AS postings FROM scored GROUP BY priority",
     "top5_high": "SELECT id, title, ats_score, fit_score FROM scored WHERE priority = 'HIGH' ORDER BY id LIMIT 5",
-    "ingest_role_rollup": """SELECT keywords, count(*) AS found, count(*) FILTER (WHERE target_id IS NULL) AS new,
+    "ingest_role_rollup": """SELECT keywords, count(*) AS found, count(*) FILTER (WHERE is_new = 1) AS new,
       CAST(sum(is_reposted) AS BIGINT) AS reposted FROM resolved GROUP BY ROLLUP (keywords)""",
     "cards_first_seen": "SELECT search_id, posting_id, page, pos, title FROM seen",
     "page_yield": "SELECT search_id, page, new_cards, CAST(kept AS INT) AS kept FROM page_flags",
@@ -691,7 +692,7 @@ ORACLES = {
     "stream_status_latest": LATEST_STATUS,
     "stream_first_seen": "SELECT DISTINCT id FROM status_events",
     "stream_run_log": """SELECT keywords, count(*) AS jobs_found,
-      count(*) FILTER (WHERE target_id IS NULL) AS new_jobs FROM resolved GROUP BY keywords""",
+      count(*) FILTER (WHERE is_new = 1) AS new_jobs FROM resolved GROUP BY keywords""",
 }
 
 
