@@ -119,7 +119,7 @@ def report(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """initial_count, cleaned_count, duplicates_removed of a merge."""
     merged = groups.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("removed"))
     total = rows.agg(F.count("*").alias("initial_count"))
-    return total.join(merged, F.lit(True)).select(
+    return total.withColumn("removed", merged.scalar()).select(
         "initial_count", (F.col("initial_count") - F.col("removed")).alias("cleaned_count"),
         F.col("removed").cast("bigint").alias("duplicates_removed"))
 

@@ -9,6 +9,7 @@ from ..functions import extract, scoring as S
 from ..functions import text as X
 from ..schema import SCORE_COLUMNS
 from ..session import cut_lineage
+from .shuffle import salted_join
 
 # Distinct profiles held as one literal; larger profile tables are scored slice by slice.
 SLICE = 256
@@ -137,4 +138,10 @@ def top_per_candidate(scored: DataFrame, candidates: DataFrame, k: int) -> DataF
     order = [F.col("priority_rank"), F.desc("ats_score"), F.desc("fit_score"), F.col("id")]
     rank = F.row_number().over(Window.partitionBy("profile_key").orderBy(*order))
     best = scored.withColumn("rank", rank).where(F.col("rank") <= k)
-    return candidates.withColumn("profile_key", profile_key()).join(best, "profile_key")
+    return for_candidates(best, candidates)
+
+
+def for_candidates(by_profile: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Candidates with the rows of their profile. Many may share one profile, so they are spread."""
+    keyed = candidates.withColumn("profile_key", profile_key())
+    return salted_join(keyed, by_profile, "profile_key", "candidate_id", "inner")

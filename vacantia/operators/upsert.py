@@ -13,7 +13,7 @@ from ..schema import POSTING, SCORE_COLUMNS
 from ..session import cut_lineage
 from . import folds
 from .dedup import assign_leaders, first_similar, row_key
-from .shuffle import salted_left_join, with_position
+from .shuffle import salted_join, with_position
 
 # Columns where the last non-empty value wins.
 TEXT_COLUMNS = ["title", "company", "url", "posted_at", "employment_type", "experience_level",
@@ -42,14 +42,20 @@ def prepared(batch: DataFrame) -> DataFrame:
 
 
 def match_by_id(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """Adds `by_id`: the stored posting with the same posting id."""
-    ids = stored.select("posting_id", F.col("id").alias("by_id"))
-    return salted_left_join(batch, ids, "posting_id", "seq")
+    """Adds `by_id`: the stored posting with the same posting id. The batch's distinct ids pick
+    the stored rows first; the few that remain are looked up by the batch rows."""
+    wanted = batch.select("posting_id").distinct()
+    ids = stored.select("posting_id", F.col("id").alias("by_id")).join(wanted, "posting_id",
+                                                                       "left_semi")
+    return salted_join(batch, ids, "posting_id", "seq")
 
 
-def _lowest_by_key(stored: DataFrame) -> DataFrame:
-    return (stored.select(row_key(stored).alias("dedup_key"), "id").where("dedup_key <> ''")
-            .groupBy("dedup_key").agg(F.min("id").alias("by_key")))
+def _stored_keys(stored: DataFrame) -> DataFrame:
+    return stored.select(row_key(stored).alias("dedup_key"), "id").where("dedup_key <> ''")
+
+
+def _lowest_by_key(keys: DataFrame) -> DataFrame:
+    return keys.groupBy("dedup_key").agg(F.min("id").alias("by_key"))
 
 
 def _open_keys(matched: DataFrame) -> DataFrame:
@@ -58,27 +64,27 @@ def _open_keys(matched: DataFrame) -> DataFrame:
 
 
 def match_by_key(matched: DataFrame, stored: DataFrame) -> DataFrame:
-    """Adds `by_key`: the lowest stored id with the same key. The batch's distinct keys meet the
-    stored keys first; batch rows then look their key up."""
-    found = _open_keys(matched).join(_lowest_by_key(stored), "dedup_key")
-    return salted_left_join(matched, found, "dedup_key", "seq").withColumn(
+    """Adds `by_key`: the lowest stored id with the same key. The batch's distinct keys pick the
+    stored rows first, so the stored table is not shuffled when they are few."""
+    hits = salted_join(_stored_keys(stored), _open_keys(matched), "dedup_key", "id", "left_semi")
+    return salted_join(matched, _lowest_by_key(hits), "dedup_key", "seq").withColumn(
         "by_key", F.when(F.col("by_id").isNull(), F.col("by_key")))
 
 
 def match_by_title(matched: DataFrame, stored: DataFrame) -> DataFrame:
-    """Adds `by_title`: the lowest stored id of the same company with a similar title. Only keys
-    that are not stored take part."""
-    known = _lowest_by_key(stored)
-    open_keys = _open_keys(matched).join(known, "dedup_key", "left_anti")
-
+    """Adds `by_title`: the lowest stored id of the same company with a similar title. Only batch
+    keys that are not stored, and stored keys of their companies, take part."""
     def split(df, *more):
         return df.select(X.key_company(F.col("dedup_key")).alias("company"),
                          X.key_title(F.col("dedup_key")).alias("title"), *more)
 
-    found = first_similar(split(open_keys), split(known, F.col("by_key").alias("id"))).select(
+    open_keys = split(_open_keys(matched.where(F.col("by_key").isNull())))
+    near = salted_join(split(_stored_keys(stored), "id"), open_keys.select("company").distinct(),
+                       "company", "id", "left_semi")
+    found = first_similar(open_keys, near).select(
         F.concat_ws(":", "company", "title").alias("dedup_key"), F.col("id").alias("by_title"))
     open_row = F.col("by_id").isNull() & F.col("by_key").isNull()
-    return salted_left_join(matched, found, "dedup_key", "seq").withColumn(
+    return salted_join(matched, found, "dedup_key", "seq").withColumn(
         "by_title", F.when(open_row, F.col("by_title")))
 
 
@@ -108,7 +114,7 @@ def _with_new_group(rows: DataFrame, fuzzy: bool) -> DataFrame:
         F.min("dedup_key").alias("_low"), F.max("dedup_key").alias("_high"))
         .where(F.col("_low") != F.col("_high"))
         .select("posting_id", F.col("_first.key").alias("_moved")))
-    keyed = salted_left_join(rows, moved, "posting_id", "seq").withColumn(
+    keyed = salted_join(rows, moved, "posting_id", "seq").withColumn(
         "_key", F.coalesce("_moved", "dedup_key")).drop("_moved")
     leader = F.col("_key")
     if fuzzy:
@@ -118,7 +124,7 @@ def _with_new_group(rows: DataFrame, fuzzy: bool) -> DataFrame:
             X.key_company(F.col("_key")).alias("company"), X.key_title(F.col("_key")).alias("title"),
             "ord")).select(F.concat_ws(":", "company", "title").alias("_key"),
                            F.concat_ws(":", "company", "leader").alias("_leader"))
-        keyed = salted_left_join(keyed, leaders, "_key", "seq")
+        keyed = salted_join(keyed, leaders, "_key", "seq")
         leader = F.coalesce("_leader", "_key")
     group = F.when(leader != "", F.concat(F.lit("k:"), leader)).otherwise(
         F.concat(F.lit("p:"), F.col("posting_id")))

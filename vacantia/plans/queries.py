@@ -433,7 +433,7 @@ def score_many_candidates(t):
         F.count_if(F.col("priority") == "MEDIUM").alias("n_medium"),
         F.count_if(F.col("priority") == "LOW").alias("n_low"),
         F.max("ats_score").alias("best_ats"), F.max("fit_score").alias("best_fit"))
-    return people.withColumn("profile_key", score.profile_key()).join(tally, "profile_key").select(
+    return score.for_candidates(tally, people).select(
         "candidate_id", "n_high", "n_medium", "n_low", "best_ats", "best_fit")
 
 
