@@ -132,13 +132,11 @@ def normalize_title(c: Column) -> Column:
     return F.coalesce(out, F.lit(""))
 
 
-def join_key(company_norm: Column, title_norm: Column) -> Column:
-    return F.when((company_norm == "") | (title_norm == ""), F.lit("")).otherwise(
-        F.concat_ws(":", company_norm, title_norm))
-
-
 def dedup_key(company: Column, title: Column) -> Column:
-    return join_key(normalize_company(company), normalize_title(title))
+    """company:title, '' when either is empty."""
+    both = F.array(normalize_company(company), normalize_title(title))
+    return let(both, lambda parts: F.when(F.array_contains(parts, ""), F.lit("")).otherwise(
+        F.array_join(parts, ":")))
 
 
 def key_company(key: Column) -> Column:

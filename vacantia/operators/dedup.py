@@ -26,7 +26,7 @@ def row_key(rows: DataFrame) -> Column:
 
 
 def with_key(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("dedup_key", row_key(rows))
+    return rows.withColumn("dedup_key", X.fenced(row_key(rows)))
 
 
 def _partials(keyed: DataFrame) -> DataFrame:

@@ -21,11 +21,6 @@ def strongest_status(order: Column, status: Column) -> Column:
                     known.alias("status"))
 
 
-def longest_text(order: Column, text: Column) -> Column:
-    """Orderable struct: the largest names the row with the longest text, the earliest on a tie."""
-    return F.struct(F.length(F.coalesce(text, F.lit(""))).alias("length"), (-order).alias("back"))
-
-
 def city_entry(order: Column, location: Column) -> Column:
     """Orderable struct of a non-empty location, else null."""
     return F.when(~X.either_empty(location), F.struct(
@@ -49,14 +44,3 @@ def fold_locations(seed: Column, entries: Column) -> Column:
                 .otherwise(F.concat(acc, F.lit(" / "), e["city"])))
 
     return F.aggregate(entries, F.coalesce(seed, F.lit("")), step)
-
-
-def last_filled(order: Column, value: Column) -> Column:
-    """Aggregate: the last non-empty value."""
-    return F.max(F.when(~X.either_empty(value), F.struct(order.alias("seq"), value.alias("value"))))[
-        "value"]
-
-
-def last_given(order: Column, value: Column) -> Column:
-    """Aggregate: the last non-null value of any type (structs and arrays included)."""
-    return F.max_by(value, F.when(value.isNotNull(), order))

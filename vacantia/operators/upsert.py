@@ -36,7 +36,7 @@ def prepared(batch: DataFrame) -> DataFrame:
     given = F.col("is_reposted") if "is_reposted" in batch.columns else F.lit(None).cast("int")
     return batch.withColumns({
         "posting_id": F.coalesce("posting_id", F.lit("")),
-        "dedup_key": X.dedup_key(company, title),
+        "dedup_key": X.fenced(X.dedup_key(company, title)),
         "is_reposted": X.repost_flag(given, F.col("posted_at"), F.col("description")),
     })
 
@@ -51,7 +51,8 @@ def match_by_id(batch: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def _stored_keys(stored: DataFrame) -> DataFrame:
-    return stored.select(row_key(stored).alias("dedup_key"), "id").where("dedup_key <> ''")
+    return stored.select(X.fenced(row_key(stored)).alias("dedup_key"), "id").where(
+        "dedup_key <> ''")
 
 
 def _lowest_by_key(keys: DataFrame) -> DataFrame:

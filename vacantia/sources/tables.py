@@ -16,8 +16,12 @@ JSON_COLUMNS = {
 ADDED_COLUMNS = {"required_experience": None, "seniority": "", "is_reposted": 0, "dedup_key": ""}
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(POSTING).parquet(path)
+def read_snapshot(spark: SparkSession, path: str, tab: str | None = None) -> DataFrame:
+    """The stored postings, or one feed tab of them, which reads only that tab's files."""
+    table = spark.read.schema(POSTING).parquet(path)
+    if tab is not None:
+        table = table.where(F.col("tab") == tab.lower())
+    return table.drop("tab")
 
 
 def write_snapshot(postings: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
