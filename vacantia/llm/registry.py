@@ -1,11 +1,12 @@
 """Queries of this subpackage and the SQL that checks them."""
 
-from . import language_id, quality_rules
+from . import jaccard_join, language_id, quality_rules
 
 
 def llm_queries():
     return {
         "op4_language_id": language_id.op4_language_id,
+        "op7_jaccard_join": jaccard_join.op7_jaccard_join,
         "op8_quality_rules": quality_rules.op8_quality_rules,
     }
 
