@@ -1,15 +1,16 @@
 """Queries of this subpackage and the SQL that checks them."""
 
-from . import jaccard_join, language_id, quality_rules
+from . import jaccard_join, language_id, quality_rules, url_filter
 
 
 def llm_queries():
     return {
         "op4_language_id": language_id.op4_language_id,
+        "op5_url_filter": url_filter.op5_url_filter,
         "op7_jaccard_join": jaccard_join.op7_jaccard_join,
         "op8_quality_rules": quality_rules.op8_quality_rules,
     }
 
 
 def llm_oracles():
-    return {}
+    return {"op5_url_filter": url_filter.OP5_SQL}
