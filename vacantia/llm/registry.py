@@ -1,12 +1,13 @@
 """Queries of this subpackage and the SQL that checks them."""
 
-from . import jaccard_join, language_id, quality_rules, url_filter
+from . import jaccard_join, language_id, packing, quality_rules, url_filter
 
 
 def llm_queries():
     return {
         "op4_language_id": language_id.op4_language_id,
         "op5_url_filter": url_filter.op5_url_filter,
+        "op6_packing": packing.op6_packing,
         "op7_jaccard_join": jaccard_join.op7_jaccard_join,
         "op8_quality_rules": quality_rules.op8_quality_rules,
     }
