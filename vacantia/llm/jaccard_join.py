@@ -34,7 +34,8 @@ from ..session import cut_lineage
 from .graph import components, forest
 from .words import Texts, hashes, mix, packed, texts_of, windows, with_added, without_text, words_of
 
-BITS = 1024        # of a set's bitmap
+BITS = 1024        # of a bitmap; a set of more than FULL shingles has 4, 16 or 64 times as many
+FULL = 1200
 TABLE = 1 << 16    # hashed counts that order the tokens
 CELL = 1024        # most sets on a side of a tree task
 FAMILY = 512       # most sets, and
@@ -42,7 +43,7 @@ SHINGLES = 1 << 20  # about most shingles, on a side of a counting task
 FAN = 8            # children of a node
 BROADCAST_IDS = 1_000_000  # ids of 8 bytes that may be broadcast
 
-_WORDS = BITS // 64
+_STEPS = [FULL, 4 * FULL, 16 * FULL]  # sizes above which a bitmap is four times as wide
 
 
 @dataclass(frozen=True)
@@ -103,12 +104,25 @@ def _token_counts(docs: DataFrame, bound: Bound) -> np.ndarray:
     return total
 
 
-def bitmaps(owner: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
-    bit = (mix(shingle) >> np.uint64(20)).astype(np.int64) % BITS
-    cells = np.unique(owner * BITS + bit)
-    out = np.zeros(n * _WORDS, np.uint64)
-    np.bitwise_or.at(out, cells // 64, np.uint64(1) << (cells % 64).astype(np.uint64))
-    return out.reshape(n, _WORDS)
+def width(n: np.ndarray) -> np.ndarray:
+    """Class of a set's bitmap, which has BITS * 4 ** class bits."""
+    return np.searchsorted(_STEPS, n, side="left")
+
+
+def bitmaps(owner: np.ndarray, shingle: np.ndarray, n: np.ndarray) -> pa.Array:
+    """One bitmap per set, `n` shingles each."""
+    words = (BITS // 64) << (2 * width(n))
+    start = np.concatenate([[0], np.cumsum(words)])
+    bit = (mix(shingle) >> np.uint64(20)).astype(np.int64) & (words[owner] * 64 - 1)
+    out = np.zeros(start[-1], np.uint64)
+    np.bitwise_or.at(out, start[owner] + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return pa.Array.from_buffers(pa.binary(), len(n), [
+        None, pa.py_buffer((start * 8).astype(np.int32)), pa.py_buffer(out)])
+
+
+def folded(bits: np.ndarray) -> np.ndarray:
+    """Bitmaps of the next narrower class: a bit keeps its place modulo the new width."""
+    return np.bitwise_or.reduce(bits.reshape(len(bits), 4, -1), axis=1)
 
 
 def _lists(owner: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
@@ -116,13 +130,6 @@ def _lists(owner: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType) ->
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    width = rows.shape[1] * rows.itemsize
-    ends = np.arange(len(rows) + 1, dtype=np.int32) * width
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(
-        np.ascontiguousarray(rows))])
-
-
 def _prints(owner: np.ndarray, shingle: np.ndarray, n: int) -> list[np.ndarray]:
     """Two independent 64-bit sums over each set: equal for equal sets."""
     ends = np.searchsorted(owner, np.arange(n + 1))
@@ -149,7 +156,7 @@ def profiles(docs: DataFrame, bound: Bound = Bound()) -> DataFrame:
                 columns, names = without_text(batch, texts)
                 yield pa.RecordBatch.from_arrays(
                     columns + [pa.array(n, pa.int64()), pa.array(p1), pa.array(p2),
-                               _binary(bitmaps(owner, shingle, len(texts))),
+                               bitmaps(owner, shingle, n),
                                _lists(owner[first], shingle[order][first].view(np.int64), len(texts),
                                       pa.int64())],
                     names=names + ["n", "p1", "p2", "bitmap", "prefix"])
@@ -223,15 +230,15 @@ def _may_link(bound: Bound, one, i, other, j) -> np.ndarray:
     return fits & bound.enough(most, low[i] + low2[j])
 
 
-def tree_forest(bound: Bound, rank: np.ndarray, left: Tree, right: Tree | None = None,
-                at_once: int = 4096) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Spanning pairs (positions in `rank`) of all pairs that may link: of the sets of one tree, or
-    between two. Both trees are descended together, pair by pair of nodes. `rank` numbers the sets
-    of left, then of right."""
+def tree_forest(bound: Bound, rank: np.ndarray, label: np.ndarray, left: Tree,
+                right: Tree | None = None, at_once: int = 4096):
+    """Spanning pairs of all pairs that may link: of the sets of one tree, or between two. Both trees
+    are descended together, pair by pair of nodes. `rank` numbers the sets of left, then of right;
+    `label` says which numbers are joined already, and is returned with what is joined now."""
     same = right is None
     right = left if same else right
     shift = 0 if same else len(left.order)
-    label, out = np.arange(len(rank)), []
+    out = []
     top, top2 = len(left.levels) - 1, len(right.levels) - 1
     work = [(top, top2, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while work:
@@ -247,7 +254,7 @@ def tree_forest(bound: Bound, rank: np.ndarray, left: Tree, right: Tree | None =
         if a == b == 0:
             keep = i != j if same else slice(None)
             u, v = rank[left.order[i[keep]]], rank[shift + right.order[j[keep]]]
-            spanning, label = forest(len(rank), u, v, label)
+            spanning, label = forest(len(label), u, v, label)
             out.append((u[spanning], v[spanning]))
             continue
         step, step2 = (a > 0 and (a >= b)), (b > 0 and (b >= a))
@@ -258,7 +265,7 @@ def tree_forest(bound: Bound, rank: np.ndarray, left: Tree, right: Tree | None =
         if same and a - step == b - step2:
             i, j = i[i <= j], j[i <= j]
         work.append((a - step, b - step2, i, j))
-    return out
+    return out, label
 
 
 def _children(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -267,6 +274,35 @@ def _children(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return below[below < n], np.repeat(j, FAN)[below < n]
 
 
+def _of_group(bound: Bound, rank, n, maps, block, x, y) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Spanning pairs of one task: trees of each width class, and of neighbouring classes (sets that
+    may link differ too little in size to be further apart)."""
+    classes = width(n)
+    label = np.arange(len(rank))
+    sides = [block == x] if x == y else [block == x, block == y]
+
+    def of(side: np.ndarray, c: int, fold: bool) -> tuple[np.ndarray, np.ndarray] | None:
+        at = np.flatnonzero(side & (classes == c))
+        if not len(at):
+            return None
+        bits = np.frombuffer(b"".join(maps[at]), np.uint64).reshape(len(at), -1)
+        return at, folded(bits) if fold else bits
+
+    for c in np.unique(classes):
+        pairs = [((sides[0], c, False), None if x == y else (sides[1], c, False))]
+        pairs.append(((sides[0], c, False), (sides[-1], c + 1, True)))
+        if x != y:
+            pairs.append(((sides[1], c, False), (sides[0], c + 1, True)))
+        for left, right in pairs:
+            one, other = of(*left), of(*right) if right else None
+            if one is None or (right and other is None):
+                continue
+            at = np.concatenate([one[0], other[0]]) if right else one[0]
+            trees = [Tree(bits, n[own]) for own, bits in ([one, other] if right else [one])]
+            found, label = tree_forest(bound, rank[at], label, *trees)
+            yield from found
+
+
 def _tree_edges(bound: Bound):
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, size = [], [], 0
@@ -275,18 +311,10 @@ def _tree_edges(bound: Bound):
                 continue
             group = group.combine_chunks()
             ids, n = group["id"].to_numpy(), group["n"].to_numpy()
-            bits = np.frombuffer(b"".join(group["bitmap"].to_pylist()), np.uint64).reshape(-1, _WORDS)
             block, x, y = group["block"].to_numpy(), group["x"][0].as_py(), group["y"][0].as_py()
-            if x == y:
-                sides = [np.arange(len(ids))]
-            else:
-                sides = [np.flatnonzero(block == x), np.flatnonzero(block == y)]
-                if not all(map(len, sides)):
-                    continue
-            own = ids[np.concatenate(sides)]
-            known, rank = np.unique(own, return_inverse=True)
-            trees = [Tree(bits[s], n[s]) for s in sides]
-            for u, v in tree_forest(bound, rank, *trees):
+            known, rank = np.unique(ids, return_inverse=True)
+            maps = np.array(group["bitmap"].to_pylist(), object)
+            for u, v in _of_group(bound, rank, n, maps, block, x, y):
                 a.append(known[u])
                 b.append(known[v])
                 size += len(u)
