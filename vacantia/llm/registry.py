@@ -1,7 +1,7 @@
 """Queries of this subpackage and the SQL that checks them."""
 
-from . import (jaccard_join, language_id, lm_scoring, packing, personal_data, quality_rules,
-               url_filter)
+from . import (jaccard_join, language_id, lm_scoring, near_vectors, packing, personal_data,
+               quality_rules, url_filter)
 
 
 def llm_queries():
@@ -13,6 +13,7 @@ def llm_queries():
         "op6_packing": packing.op6_packing,
         "op7_jaccard_join": jaccard_join.op7_jaccard_join,
         "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op9_near_vectors": near_vectors.op9_near_vectors,
     }
 
 
