@@ -36,7 +36,7 @@ from .words import Texts, hashes, mix, packed, texts_of, windows, with_added, wi
 
 BITS = 1024        # of a bitmap; a set of more than FULL shingles has 4, 16 or 64 times as many
 FULL = 1200
-TABLE = 1 << 16    # hashed counts that order the tokens
+TABLE = 1 << 18    # hashed counts that order the tokens
 CELL = 1024        # most sets on a side of a tree task
 FAMILY = 512       # most sets, and
 SHINGLES = 1 << 20  # about most shingles, on a side of a counting task
@@ -83,7 +83,7 @@ def shingle_sets(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bucket(shingle: np.ndarray) -> np.ndarray:
-    return (shingle >> np.uint64(48)).astype(np.int64) % TABLE
+    return (shingle >> np.uint64(40)).astype(np.int64) % TABLE
 
 
 def _token_counts(docs: DataFrame, bound: Bound) -> np.ndarray:
