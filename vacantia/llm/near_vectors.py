@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import cut_lineage
 from .graph import components, forest
 
-SHARD = 1000          # classes per centroid, about
+SHARD = 250           # classes per centroid, about
 CENTROIDS = 4096      # most centroids: bounds the broadcast (and blocks take what is more)
 OVERLAP = 3
 BLOCK = 1500          # most classes, about, on a side of a task
