@@ -1,4 +1,4 @@
-"""Merging against a row-by-row restatement on random rows."""
+"""Merging: hand-worked tables, and properties that every merge must have."""
 
 import random
 from difflib import SequenceMatcher
@@ -10,22 +10,6 @@ from vacantia.operators import dedup, upsert
 from vacantia.operators.shuffle import with_position
 from vacantia.schema import POSTING
 
-RANK = {"applied": 5, "rejected": 4, "saved": 3, "ignored": 2}
-PLACES = ["Pune, India", "pune", "Oslo", "", None, "York", "New York, US", "Oslo, NO", " Bergen ,x"]
-
-
-def first_city(loc):
-    parts = [p.strip() for p in loc.split(",") if p.strip()]
-    return parts[0] if parts else loc
-
-
-def joined_places(a, b):
-    if not a or not b:
-        return a or b or ""
-    c = first_city(b)
-    known = c.lower() in a.lower() or a.strip().lower() == b.strip().lower()
-    return a if known else f"{a} / {c}"
-
 
 def similar(a, b):
     return SequenceMatcher(None, a, b).ratio() >= 0.88
@@ -69,94 +53,134 @@ def test_first_similar(spark, chunk):
     assert {tuple(r) for r in got.collect()} == want
 
 
-def random_rows(rnd, n):
-    titles = random_titles(rnd, 12)
-    return [dict(id=i, company=rnd.choice(["Acme Ltd", "ACME", "Bolt", ""]), title=rnd.choice(titles),
-                 location=rnd.choice(PLACES), is_reposted=rnd.choice([0, 0, 1, None]),
-                 status=rnd.choice([*RANK, "new", None, "odd"]),
-                 description="d" * rnd.randint(0, 5) if rnd.random() < 0.9 else None)
-            for i in range(1, n + 1)]
-
-
 ROW = ("id long, company string, title string, location string, is_reposted int, status string, "
        "description string")
 
+# id, company, title, location, is_reposted, status, description
+CRAWLED = [
+    (1, "Blue Fjord Ltd", "Tide Analyst", "Bergen, Norway", 0, "saved", "short"),
+    (2, "BLUE FJORD", "tide analyst", "Tromso, Norway", None, "applied", "a longer text"),
+    (3, "Blue Fjord", "Tide Analyst", "bergen", 1, "ignored", "same length"),
+    (4, "", "Tide Analyst", "Oslo", 0, None, "no company, so never merged"),
+    (5, "", "Tide Analyst", "Oslo", 0, None, "no company, so never merged"),
+    (6, "Blue Fjord", "Tide Analysts", "Oslo", 0, "new", "almost the same title"),
+    (7, "Red Delta", "Tide Analyst", None, 0, None, None),
+    (8, "Red Delta", "Tide Analyst", "Lima", 0, "odd", ""),
+]
+MERGED_EXACT = {
+    1: ("Bergen, Norway / Tromso", 1, "applied", "a longer text"),
+    4: ("Oslo", 0, None, "no company, so never merged"),
+    5: ("Oslo", 0, None, "no company, so never merged"),
+    6: ("Oslo", 0, "new", "almost the same title"),
+    7: ("Lima", 0, "new", ""),
+}
+MERGED_FUZZY = {**MERGED_EXACT, 1: ("Bergen, Norway / Tromso / Oslo", 1, "applied",
+                                    "almost the same title")}
+del MERGED_FUZZY[6]
+
+
+@pytest.mark.parametrize("fuzzy, want", [(False, MERGED_EXACT), (True, MERGED_FUZZY)])
+def test_dedup(spark, fuzzy, want):
+    df = spark.createDataFrame(CRAWLED, ROW)
+    clean = dedup.dedup_fuzzy(df) if fuzzy else dedup.dedup_exact(df)
+    got = {r.id: (r.location, r.is_reposted, r.status, r.description) for r in clean.collect()}
+    assert got == want
 
-def one_by_one(rows, fuzzy):
-    leaders, out = {}, {}
-    for r in rows:
-        company = r["company"].lower().replace(" ltd", "")
-        key = (company, r["title"])
-        if not company:
-            out[r["id"]] = dict(r)
-            continue
-        hit = key if key in leaders else None
-        if hit is None and fuzzy:
-            hit = next((k for k in leaders if k[0] == company and similar(k[1], r["title"])), None)
-        if hit is None:
-            leaders[key] = out[r["id"]] = dict(r)
-            continue
-        kept = leaders[hit]
-        kept["location"] = joined_places(kept["location"], r["location"])
-        kept["is_reposted"] = int(bool(kept["is_reposted"] or r["is_reposted"]))
-        old, new = kept["status"] or "new", r["status"] or "new"
-        kept["status"] = new if RANK.get(new, 1) > RANK.get(old, 1) else old
-        old, new = kept["description"] or "", r["description"] or ""
-        kept["description"] = new if len(new) > len(old) else old
-    return out
-
-
-@pytest.mark.parametrize("fuzzy", [False, True])
-def test_dedup(spark, fuzzy):
-    for seed in range(3):
-        rows = random_rows(random.Random(seed), 120)
-        df = spark.createDataFrame(rows, ROW)
-        clean = dedup.dedup_fuzzy(df) if fuzzy else dedup.dedup_exact(df)
-        got = {r.id: r.asDict() for r in clean.drop("dedup_key").collect()}
-        assert got == one_by_one(rows, fuzzy)
-        if not fuzzy:
-            again = dedup.report(clean, dedup.exact_groups(clean)).first()
-            assert again.duplicates_removed == 0
-
-
-def test_upsert_equals_row_by_row(spark):
-    rnd = random.Random(5)
-    fields = ["posting_id", "company", "title", "location", "url", "description"]
-    stored_rows = [(i, f"p{i}", "acme", t, rnd.choice(PLACES[:4]), f"u{i}", "d" * i, 0, "saved",
-                    f"acme:{t}") for i, t in enumerate(dict.fromkeys(random_titles(rnd, 20)), 1)]
-    stored = spark.createDataFrame(
-        stored_rows, "id long, posting_id string, company string, title string, location string, "
-        "url string, description string, is_reposted int, status string, dedup_key string")
-    state = {r[0]: dict(id=r[0], posting_id=r[1], company=r[2], title=r[3], location=r[4], url=r[5],
-                        description=r[6]) for r in stored_rows}
-    by_posting = {r[1]: (r[2], r[3]) for r in stored_rows}
-    batch = []
-    for seq, title in enumerate(random_titles(rnd, 80)):
-        posting = rnd.choice([f"p{rnd.randint(1, 30)}", f"n{seq}"])
-        company, title = by_posting.setdefault(posting, (rnd.choice(["acme", "bolt"]), title))
-        batch.append((seq, posting, company, title, rnd.choice(PLACES), rnd.choice(["", f"v{seq}"]),
-                      "e" * rnd.randint(0, 30)))
-    target = {}
-    for seq, posting, company, title, place, url, text in batch:
-        rows = list(state.values())
-        hit = next((r for r in rows if r["posting_id"] == posting), None)
-        hit = hit or next((r for r in rows if (r["company"], r["title"]) == (company, title)), None)
-        if hit is None:
-            hit = dict(id=len(state) + 1, posting_id=posting, company=company, title=title,
-                       location=place or "", url=url, description=text)
-            state[hit["id"]] = hit
-        else:
-            hit["location"] = joined_places(hit["location"], place)
-            hit["url"] = url or hit["url"]
-            hit["description"] = text if len(text) > len(hit["description"]) else hit["description"]
-        target[seq] = hit["id"]
-    df = spark.createDataFrame(batch, "seq long, " + ", ".join(f"{f} string" for f in fields))
-    df = df.withColumns({c: F.lit("") for c in ("posted_at", "employment_type", "experience_level",
-                                                "work_mode", "salary")})
-    stored = stored.withColumns({c: F.lit("") for c in ("posted_at", "employment_type", "salary",
-                                                        "experience_level", "work_mode")})
-    after = upsert.upsert(df, stored, fuzzy=False).select("id", *fields).collect()
-    assert {r.id: r.asDict() for r in after} == state
+
+def test_dedup_properties(spark):
+    """Merging again changes nothing; a merge keeps each key once, with its least id; every text
+    that survives is the longest of its key."""
+    rnd = random.Random(3)
+    titles = random_titles(rnd, 15)
+    rows = [(i, rnd.choice(["Cobalt", "Umber", ""]), rnd.choice(titles), rnd.choice(["Lima", "Oslo"]),
+             0, "new", "d" * rnd.randint(0, 9)) for i in range(150)]
+    df = spark.createDataFrame(rows, ROW)
+    clean = dedup.dedup_exact(df).cache()
+    again = dedup.dedup_exact(clean)
+    assert sorted(again.collect()) == sorted(clean.collect())
+    keyed = dedup.with_key(df).where("dedup_key <> ''").groupBy("dedup_key").agg(
+        F.min("id").alias("id"), F.max(F.length("description")).alias("n"))
+    got = clean.where("dedup_key <> ''").select("dedup_key", "id", F.length("description"))
+    assert sorted(got.collect()) == sorted(keyed.select("dedup_key", "id", "n").collect())
+    assert clean.where("dedup_key = ''").count() == sum(r[1] == "" for r in rows)
+
+
+TEXTS = ("posting_id", "company", "title", "location", "url", "description")
+BLANK = ("posted_at", "employment_type", "experience_level", "work_mode", "salary")
+
+
+def crawl(spark, rows):
+    """Batch rows (seq, *TEXTS)."""
+    df = spark.createDataFrame(rows, "seq long, " + ", ".join(f"{f} string" for f in TEXTS))
+    return df.withColumns({c: F.lit("") for c in BLANK})
+
+
+def table(spark, rows):
+    """Stored postings (id, *TEXTS, dedup_key)."""
+    df = spark.createDataFrame(
+        rows, "id long, " + ", ".join(f"{f} string" for f in TEXTS) + ", dedup_key string")
+    return df.withColumns({c: F.lit("") for c in BLANK} | {
+        "is_reposted": F.lit(0), "status": F.lit("new")})
+
+
+def shown(df):
+    return sorted(df.select("id", *TEXTS, "dedup_key").collect())
+
+
+# Stored: one posting of each of two companies.
+HELD = [(1, "p1", "Acme", "Aaaa", "Lima", "u1", "text one", "acme:aaaa"),
+        (2, "p2", "Bolt", "Bbbb", "Oslo", "u2", "t", "bolt:bbbb")]
+
+
+@pytest.mark.parametrize("rows, want", [
+    # By id: the later link wins, an empty one does not; the longer text wins; a city is added.
+    ([(0, "p1", "Acme", "Aaaa", "Pune, India", "v", "x"), (1, "p1", "Acme", "Aaaa", "lima", "", "")],
+     [(1, "p1", "Acme", "Aaaa", "Lima / Pune", "v", "text one", "acme:aaaa"), HELD[1]]),
+    # By key under another id; the posting keeps its own id.
+    ([(0, "q9", "BOLT", "bbbb", "", "w", "a longer text")],
+     [HELD[0], (2, "p2", "BOLT", "bbbb", "Oslo", "w", "a longer text", "bolt:bbbb")]),
+    # New ones are numbered in order of the batch, rows of one key together.
+    ([(5, "n5", "Cobo", "Cccc", "Rome", "c", "1"), (3, "n3", "Dodo", "Dddd", "", "d", "2"),
+      (6, "n6", "Cobo", "Cccc", "Bonn", "e", "333")],
+     [*HELD, (3, "n3", "Dodo", "Dddd", "", "d", "2", "dodo:dddd"),
+      (4, "n5", "Cobo", "Cccc", "Rome / Bonn", "e", "333", "cobo:cccc")]),
+    # A stored key moves; the next row finds the posting under its new key.
+    ([(0, "p1", "Acme", "Zzzz", "", "", ""), (1, "n1", "Acme", "Zzzz", "", "z", "")],
+     [(1, "p1", "Acme", "Zzzz", "Lima", "z", "text one", "acme:zzzz"), HELD[1]]),
+    # A stored key moves away; what has the old key is a new posting.
+    ([(0, "p1", "Acme", "Zzzz", "", "", ""), (1, "n1", "Acme", "Aaaa", "", "y", "")],
+     [(1, "p1", "Acme", "Zzzz", "Lima", "u1", "text one", "acme:zzzz"), HELD[1],
+      (3, "n1", "Acme", "Aaaa", "", "y", "", "acme:aaaa")]),
+    # Before the move the old key still finds it; it moves on to a company that is stored, too.
+    ([(0, "n0", "Acme", "Aaaa", "", "k", ""), (1, "p1", "Bolt", "Bbbb", "", "", ""),
+      (2, "n2", "Bolt", "Bbbb", "", "m", ""), (3, "p2", "Bolt", "Eeee", "", "", ""),
+      (4, "n4", "Bolt", "Eeee", "", "o", "")],
+     [(1, "p1", "Bolt", "Bbbb", "Lima", "m", "text one", "bolt:bbbb"),
+      (2, "p2", "Bolt", "Eeee", "Oslo", "o", "t", "bolt:eeee")]),
+    # A posting that the batch itself starts moves.
+    ([(0, "n0", "Cobo", "Cccc", "", "a", ""), (1, "n0", "Cobo", "Ffff", "", "b", ""),
+      (2, "n2", "Cobo", "Cccc", "", "c", ""), (3, "n3", "Cobo", "Ffff", "", "d", "")],
+     [*HELD, (3, "n0", "Cobo", "Ffff", "", "d", "", "cobo:ffff"),
+      (4, "n2", "Cobo", "Cccc", "", "c", "", "cobo:cccc")]),
+])
+def test_upsert(spark, rows, want):
+    stored = table(spark, HELD)
+    got = upsert.upsert(crawl(spark, rows), stored, fuzzy=False)
+    assert shown(got) == sorted(want)
+
+
+def test_upsert_does_not_depend_on_batches(spark):
+    rnd = random.Random(8)
+    titles = ["Aaaa", "Bbbb", "Cccc", "Dddd"]
+    rows = [(i, f"p{rnd.randint(1, 14)}", rnd.choice(["Acme", "Bolt"]), rnd.choice(titles),
+             rnd.choice(["", "Rome", "Bonn"]), f"v{i}", "e" * rnd.randint(0, 12)) for i in range(32)]
+    whole = shown(upsert.upsert(crawl(spark, rows), table(spark, HELD), fuzzy=False))
+    stored = table(spark, HELD)
+    for start in (0, 10, 20):
+        part = upsert.upsert(crawl(spark, [r for r in rows if start <= r[0] < start + 10 + 2 * (start == 20)]),
+                             stored, fuzzy=False)
+        stored = table(spark, [tuple(r) for r in shown(part)])
+    assert shown(stored) == whole
 
 
 def test_fuzzy_upsert_groups_the_batch(spark):

@@ -16,6 +16,9 @@ _REPOSTED = r"(?i)(?<![\p{L}\p{N}_])repost(ed)?(?![\p{L}\p{N}_])"
 _LINE_ENDS = r"[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 _NAMED = {name[:-1]: value for name, value in html5.items()
           if name.endswith(";") and name != "amp;"}
+# Names that count without a semicolon, too; longer ones first.
+_BARE = sorted((name for name in html5 if not name.endswith(";") and name != "amp"),
+               key=lambda name: (-len(name), name))
 
 
 @dataclass(frozen=True)
@@ -44,7 +47,9 @@ BOARD = Template()
 
 
 def _class_attr(names) -> str:
-    return r'class="(?:[^"]*\s)?(?:' + "|".join(names) + r')(?:\s[^"]*)?"'
+    any_name = "(?:" + "|".join(names) + ")"
+    return (rf'class=(?:"(?:[^"]*\s)?{any_name}(?:\s[^"]*)?"'
+            rf"|'(?:[^']*\s)?{any_name}(?:\s[^']*)?')")
 
 
 def _element(names) -> str:
@@ -52,24 +57,65 @@ def _element(names) -> str:
     return rf"(?s)<(\w+)[^>]*\b{_class_attr(names)}[^>]*>(.*?)</\1>"
 
 
+def _held(rest: Column) -> Column:
+    """What the element at the start of `rest` holds: tags of its name are counted up and down, and
+    it ends where the count returns to zero (or with the text)."""
+    tag = F.concat(F.lit("(?i)</?"), F.regexp_extract(rest, r"^<(\w+)", 1), F.lit(r"(?=[\s/>])[^>]*>"))
+
+    def cut(tags: Column, texts: Column) -> Column:
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(0).alias("end"))
+
+        def step(acc, one):
+            change = F.when(one.startswith("</"), -1).when(one.endswith("/>"), 0).otherwise(1)
+            depth, n = acc["depth"] + change, acc["n"] + 1
+            return F.struct(depth.alias("depth"), n.alias("n"), F.when(
+                (acc["end"] == 0) & (depth <= 0), n).otherwise(acc["end"]).alias("end"))
+
+        end = F.aggregate(tags, start, step)["end"]
+        last = F.when(end == 0, F.size(tags) + 1).otherwise(end)
+        return X.let(last, lambda n: F.when(n > 1, F.array_join(F.transform(
+            F.sequence(F.lit(1), n - 1), lambda k: F.concat(F.get(texts, k), F.when(
+                k < n - 1, F.get(tags, k)).otherwise(""))), "")).otherwise(""))
+
+    return X.let(F.struct(F.regexp_extract_all(rest, tag, F.lit(0)).alias("tags"),
+                          F.split(rest, tag, -1).alias("texts")),
+                 lambda found: cut(found["tags"], found["texts"]))
+
+
 def inner(html: Column, names) -> Column:
-    """Inner markup of the first element with one of the classes; null when there is none. The
-    page is searched once; what the element holds is then read from its own piece."""
-    pattern = _element(names)
-    return X.let(F.regexp_extract(html, pattern, 0), lambda piece: F.when(
-        piece != "", F.regexp_extract(piece, pattern, 2)))
+    """Inner markup of the first element with one of the classes; null when there is none."""
+    pattern = rf"(?s)<\w+[^>]*\b{_class_attr(names)}[^>]*>.*"
+    return X.let(F.regexp_extract(html, pattern, 0), lambda rest: F.when(rest != "", _held(rest)))
+
+
+def _character(reference: Column) -> Column:
+    """`&#65`, `&#x41;` -> A; numbers that are no character -> U+FFFD."""
+    digits = F.regexp_extract(reference, "^&#[xX]?([0-9A-Fa-f]+)", 1)
+    code = F.when(reference.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits)
+    number = F.when(F.length(digits) <= 9, code.cast("bigint"))
+    valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("\ufffd")
 
 
 def _decoded(c: Column) -> Column:
     named = X.literal_map(_NAMED, "string")
+
+    def longest_first(found: Column) -> Column:
+        by_length = F.sort_array(F.transform(F.array_distinct(found), lambda n: F.struct(
+            (-F.length(n)).alias("short"), n.alias("name"))))
+        return F.transform(by_length, lambda x: x["name"])
+
     names = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&([A-Za-z][A-Za-z0-9]*);"), 1))
     out = F.aggregate(names, c, lambda acc, n: F.coalesce(F.replace(
         acc, F.concat(F.lit("&"), n, F.lit(";")), F.try_element_at(named, n)), acc))
-    codes = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#([0-9]{1,7});"), 1))
-    out = F.aggregate(codes, out, lambda acc, n: F.replace(
-        acc, F.concat(F.lit("&#"), n, F.lit(";")),
-        F.decode(F.unhex(F.lpad(F.hex(n.cast("bigint")), 8, "0")), "UTF-32")))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    codes = longest_first(F.regexp_extract_all(
+        c, F.lit(r"&#(?:[xX][0-9A-Fa-f]+|[0-9]+);?"), 0))
+    out = F.aggregate(codes, out, lambda acc, n: F.replace(acc, n, _character(n)))
+    bare = longest_first(F.regexp_extract_all(
+        c, F.lit("&(" + "|".join(_BARE) + ")(?![A-Za-z0-9]*;)"), 1))
+    out = F.aggregate(bare, out, lambda acc, n: F.replace(
+        acc, F.concat(F.lit("&"), n), F.try_element_at(named, n)))
+    return F.regexp_replace(out, "&amp;?", "&")
 
 
 def unescape(c: Column) -> Column:

@@ -10,7 +10,8 @@ from .. import vocab
 from ..functions import text as X
 from .shuffle import with_position
 
-# Pages up to this depth come from a top-n; deeper ones from positions in the sorted table.
+# Pages up to this depth come from a top-n; deeper ones from positions of the narrow sort keys. Both
+# give the same rows in the same order.
 TOP_N = 10_000
 
 
@@ -22,11 +23,15 @@ def experience_cap(cap: float) -> Column:
     numeric = F.col("required_experience").isNull() | (F.col("required_experience") <= cap)
     if cap > vocab.STRICT_CAP_YEARS:
         return numeric
+    return numeric & _plain_words()
+
+
+def _plain_words() -> Column:
     title, level = F.lower("title"), F.lower("experience_level")
     plain_title = reduce(and_, [~title.contains(k) for k in vocab.STRICT_TITLE_BLOCK])
     plain_level = reduce(and_, [level.isNull() | ~level.contains(k)
                                 for k in vocab.STRICT_LEVEL_BLOCK])
-    return numeric & plain_title & plain_level
+    return plain_title & plain_level
 
 
 def in_tab(status: str) -> Column:
@@ -67,6 +72,21 @@ def conditions(min_ats=None, min_fit=None, max_exp=3.0, priority=None, work_mode
     return out
 
 
+SCORE_FILTERS = ("min_ats", "min_fit", "priority")
+
+
+def before_scoring(postings: DataFrame, **filters) -> DataFrame:
+    """Rows that the filters on stored columns leave: apply it before scoring, which then works on
+    those rows alone. A strict or loose cap tests the mined years, so only its title and level
+    words apply here."""
+    cap = filters.get("max_exp", 3.0)
+    own = {k: v for k, v in filters.items() if k not in (*SCORE_FILTERS, "max_exp")}
+    rows = reduce(DataFrame.where, conditions(max_exp=None, **own), postings)
+    if cap is not None and 0 < cap <= vocab.STRICT_CAP_YEARS:
+        rows = rows.where(_plain_words())
+    return rows
+
+
 def filtered(postings: DataFrame, **filters) -> DataFrame:
     return reduce(DataFrame.where, conditions(**filters), postings)
 
@@ -95,8 +115,14 @@ def page(postings: DataFrame, sort_by: str = "priority_desc", limit: int = 100,
     order = sort_order(sort_by)
     if offset + limit <= TOP_N:
         return postings.orderBy(*order).offset(offset).limit(limit)
-    placed = with_position(postings, order, "_position")
-    return placed.where(F.col("_position").between(offset + 1, offset + limit)).drop("_position")
+    keys = postings.select("id", "priority", "ats_score", "fit_score", "scraped_at") \
+        if "scraped_at" in postings.columns else postings.select("id", "priority", "ats_score",
+                                                                 "fit_score")
+    place = F.col("_position")
+    wanted = with_position(keys, order, "_position").where(
+        place.between(offset + 1, offset + limit)).select("id", "_position")
+    return (postings.join(F.broadcast(wanted), "id").orderBy("_position")  # `limit` rows at most
+            .select(*postings.columns))
 
 
 def feed(postings: DataFrame, sort_by: str = "priority_desc", limit: int = 100, offset: int = 0,

@@ -654,6 +654,8 @@ ORACLES = {
     "url_canonical": "SELECT page, pos, url FROM kept_cards",
     "html_repost": "SELECT page_id, is_reposted FROM details",
     "html_to_text": "SELECT page_id, description FROM details",
+    "html_nested": """SELECT page_id, 'one' || chr(10) || chr(10) || split_part(url, '/', 3)
+      || 'deepIt''s ' || chr(65533) || chr(65533) || ' < A' AS description FROM pages""",
     "html_criteria": "SELECT page_id, experience_level, employment_type FROM details",
     "salary_extract": "SELECT page_id, salary FROM details",
     "resume_skills": f"SELECT resume_id, {CV_SKILLS} AS skills FROM cv_all",
@@ -688,6 +690,22 @@ ORACLES = {
       CASE WHEN a.tips <> '' THEN '**Action Tip:** ' || a.tips END) ELSE '' END AS ai_analysis
       FROM postings p LEFT JOIN answer_parts a ON p.id = a.id""",
     "prompt_build": request_sql(),
+    "upsert_merge_drift": """SELECT doc_id + 1 AS id, 'ext_' || doc_id AS posting_id,
+      CASE WHEN doc_id % 3 = 0 THEN 'Site Reliability Lead' ELSE 'Cloud Engineer' END AS title,
+      'Drift ' || doc_id AS company, CASE WHEN doc_id % 3 = 1 THEN 'u' ELSE 'v1' END AS url,
+      CASE WHEN doc_id % 3 = 1 THEN source ELSE source || ' and more' END AS description,
+      'saved' AS status FROM documents
+      UNION ALL
+      SELECT (SELECT max(doc_id) + 1 FROM documents) + row_number() OVER (ORDER BY seq) AS id,
+        posting_id, title, company, url, description, 'new' AS status FROM (
+        SELECT doc_id * 3 + 2 AS seq, 'old_' || doc_id AS posting_id, 'Cloud Engineer' AS title,
+          'Drift ' || doc_id AS company, 'v2' AS url, '' AS description FROM documents WHERE doc_id % 3 = 0
+        UNION ALL SELECT doc_id * 3, 'fresh_' || doc_id, 'Data Engineer', 'Newer ' || doc_id, 'v1',
+          source || ' and more' FROM documents WHERE doc_id % 3 = 1
+        UNION ALL SELECT doc_id * 3 + 2, 'late_' || doc_id, 'Cloud Engineer', 'Newer ' || doc_id, 'v2', ''
+          FROM documents WHERE doc_id % 3 = 1)""",
+    "feed_unknown_sort": f"""SELECT row_number() OVER (ORDER BY {ORDERS['priority_desc']}) AS rank, id, priority
+      FROM scored ORDER BY rank LIMIT 25""",
     "stream_upsert": MERGE_SQL,
     "stream_status_latest": LATEST_STATUS,
     "stream_first_seen": "SELECT DISTINCT id FROM status_events",

@@ -101,7 +101,8 @@ def scan_projected(t):
 
 @query
 def lookup_by_id(t):
-    return tables.by_id(t.json_postings(), 42).select(
+    # The view's id is the stored doc_id + 1.
+    return tables.by_id(t.json_postings("d.doc_id = 41"), 42).select(
         "id", "title", "company", joined("matched_skills").alias("matched"),
         joined("missing_skills").alias("missing"))
 
@@ -224,11 +225,9 @@ def feed_exp_level(t):
 
 @query
 def feed_status_tab(t):
-    new = feed.filtered(t.postings(), max_exp=None, status="NEW").withColumn("tab", F.lit("new"))
-    saved = feed.filtered(t.postings(), max_exp=None, status="Saved").withColumn(
-        "tab", F.lit("saved"))
-    every = feed.filtered(t.postings(), max_exp=None, status="all").withColumn("tab", F.lit("all"))
-    return new.unionByName(saved).unionByName(every).select("tab", "id", "status")
+    tabs = F.array_compact(F.array(
+        *[F.when(feed.in_tab(tab), F.lit(tab)) for tab in ("new", "saved")], F.lit("all")))
+    return t.postings().select(F.explode(tabs).alias("tab"), "id", "status")
 
 
 @query
@@ -253,7 +252,8 @@ def feed_combined(t):
 
 @query
 def feed_total(t):
-    return feed.total(_scored(t), max_exp=3.0, status="new")
+    rows = feed.before_scoring(t.postings(), max_exp=3.0, status="new")
+    return feed.total(score.score_postings(rows, _profile(t)), max_exp=3.0)
 
 
 @query
@@ -262,9 +262,16 @@ def feed_page(t):
         "id", "priority", "ats_score", "fit_score")
 
 
+@query
+def feed_unknown_sort(t):
+    rows = feed.feed(_scored(t), max_exp=None, sort_by="no such order", limit=25)
+    return feed.ranked(rows, "no such order", 0).select("rank", "id", "priority")
+
+
 @query
 def feed_page_count(t):
-    return feed.page_count(_scored(t), 25, max_exp=3.0)
+    rows = feed.before_scoring(t.postings(), max_exp=3.0)
+    return feed.page_count(score.score_postings(rows, _profile(t)), 25, max_exp=3.0)
 
 
 @query
@@ -338,12 +345,7 @@ def search_roles_topn(t):
 @query
 def roles_union_all(t):
     roles = feed.roles_to_search(["DevOps Engineer", "Cloud Engineer", "Engineer"], None)
-    out = None
-    for role in roles:
-        found = feed.search(t.postings(), role, posted_within="", max_pages=4).select(
-            F.lit(role).alias("role"), "id")
-        out = found if out is None else out.unionByName(found)
-    return out
+    return feed.search_roles(t.postings(), roles, max_pages=4).select("role", "id")
 
 
 # Scores -------------------------------------------------------------------------------------
@@ -633,6 +635,13 @@ def upsert_merge_exact(t):
     return upsert.upsert(t.incoming(), _stored(t), fuzzy=False).select(*MERGED)
 
 
+@query
+def upsert_merge_drift(t):
+    stored = cut_lineage(t.drift_stored())
+    return upsert.upsert(t.drift_batch(), stored, fuzzy=False).select(
+        "id", "posting_id", "title", "company", "url", "description", "status")
+
+
 @query
 def apply_status(t):
     latest = profiles.latest(t.status_events(), "id", ["ts", "event_id"])
@@ -710,6 +719,12 @@ def html_to_text(t):
         F.col("html"), H.BOARD.description)).alias("description"))
 
 
+@query
+def html_nested(t):
+    return t.nested_pages().select("page_id", H.readable(H.inner(
+        F.col("html"), H.BOARD.description)).alias("description"))
+
+
 @query
 def html_criteria(t):
     return t.detail_pages().select(

@@ -96,6 +96,40 @@ SELECT d.doc_id AS seq,
 FROM {{documents}} d
 """
 
+# Stored postings with a company each, and a batch of three rows per company in which postings move
+# to another key before rows that use the old or the new one.
+DRIFT_STORED = """
+SELECT d.doc_id + 1 AS id, 'ext_' || CAST(d.doc_id AS STRING) AS posting_id,
+  'Cloud Engineer' AS title, 'Drift ' || CAST(d.doc_id AS STRING) AS company, 'Pune' AS location,
+  'u' AS url, '' AS posted_at, '' AS employment_type, '' AS experience_level, '' AS work_mode,
+  '' AS salary, d.source AS description, 0 AS is_reposted, 'saved' AS status,
+  CAST(NULL AS STRING) AS dedup_key
+FROM {documents} d
+"""
+DRIFT_BATCH = """
+SELECT d.doc_id * 3 + k.step AS seq,
+  CASE d.doc_id % 3 * 3 + k.step WHEN 1 THEN 'new_' WHEN 2 THEN 'old_' WHEN 3 THEN 'fresh_'
+    WHEN 4 THEN 'fresh_' WHEN 5 THEN 'late_' WHEN 7 THEN 'x_' ELSE 'ext_' END
+    || CAST(d.doc_id AS STRING) AS posting_id,
+  CASE d.doc_id % 3 * 3 + k.step WHEN 0 THEN 'Site Reliability Lead'
+    WHEN 1 THEN 'Site Reliability Lead' WHEN 4 THEN 'Data Engineer' ELSE 'Cloud Engineer' END AS title,
+  CASE WHEN d.doc_id % 3 = 1 THEN 'Newer ' ELSE 'Drift ' END || CAST(d.doc_id AS STRING) AS company,
+  'Pune' AS location,
+  CASE WHEN d.doc_id % 3 = 2 AND k.step = 2 THEN '' ELSE 'v' || CAST(k.step AS STRING) END AS url,
+  '' AS posted_at, '' AS employment_type, '' AS experience_level, '' AS work_mode, '' AS salary,
+  CASE k.step WHEN 1 THEN d.source || ' and more' ELSE '' END AS description,
+  CAST(NULL AS INT) AS is_reposted
+FROM {documents} d CROSS JOIN (SELECT 0 AS step UNION ALL SELECT 1 UNION ALL SELECT 2) k
+"""
+
+# A description with elements inside elements, both quotes, and references of every kind.
+NESTED_PAGES = """
+SELECT g.page_id, '<p>before</p><div class=''x show-more-less-html__markup''><p>one</p><div>'
+  || split_part(g.url, '/', 3) || '<div>deep</div></div><p>It&#x27;s &#55296;&#9999999; &lt &#65;</p>'
+  || '</div><p>after</p>' AS html
+FROM {pages} g
+"""
+
 CANDIDATES = f"""
 SELECT c.c_custkey + 1 AS candidate_id,
   c.c_name AS candidate_name,
@@ -283,6 +317,15 @@ class Tables:
     def incoming(self) -> DataFrame:
         return self.view(INCOMING)
 
+    def drift_stored(self) -> DataFrame:
+        return self.view(DRIFT_STORED)
+
+    def drift_batch(self) -> DataFrame:
+        return self.view(DRIFT_BATCH)
+
+    def nested_pages(self) -> DataFrame:
+        return self.view(NESTED_PAGES)
+
     def candidate_forms(self) -> DataFrame:
         return self.view(CANDIDATES)
 
@@ -292,8 +335,9 @@ class Tables:
     def status_events(self) -> DataFrame:
         return self.view(STATUS_EVENTS)
 
-    def json_postings(self) -> DataFrame:
-        return self.view(JSON_POSTINGS)
+    def json_postings(self, only: str | None = None) -> DataFrame:
+        """`only`: a condition on the stored columns (d.doc_id, ...), which reaches the scan."""
+        return self.view(JSON_POSTINGS + (f"WHERE {only}" if only else ""))
 
     def profile_saves(self) -> DataFrame:
         return self.view(PROFILE_SAVES)

@@ -4,14 +4,12 @@ Sinks are folders of the shared file system, one sub-folder per micro-batch, wri
 batch that runs again after a failure replaces its own output.
 """
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import dedup, upsert
 from ..session import cut_lineage, new_folder
-from ..sources.adapter import INCOMING, STATUS_EVENTS, Tables, dialect
+from ..sources.adapter import STATUS_EVENTS, Tables
 
 
 class PostingLog:
@@ -85,32 +83,57 @@ def current_status(spark: SparkSession, folder: str) -> DataFrame:
         "id", "last.ts", "last.event_id", "last.status")
 
 
-def first_seen(sightings: DataFrame, delay: str = "7 days") -> DataFrame:
-    """First sighting of each posting id; repeats within the watermark delay are dropped. The
-    delay bounds the state, where a batch search remembers every id."""
-    return sightings.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id"])
+def first_seen_stream(sightings: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """First sighting of each posting id, however late a repeat comes: a micro-batch keeps the ids
+    that no earlier batch has written (folder `batch=<n>`, so a batch that runs again replaces its
+    own rows)."""
+    def step(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
+        rest = [c for c in batch.columns if c not in ("id", "ts")]
+        first = batch.groupBy("id").agg(F.min(F.struct("ts", *rest)).alias("row")).select("id", "row.*")
+        seen = batch.sparkSession.read.schema("id long, batch int").parquet(folder).where(
+            F.col("batch") < batch_id).select("id")
+        (first.join(seen, "id", "left_anti").write.mode("overwrite")
+         .parquet(f"{folder}/batch={batch_id}"))
+
+    ids = sightings.sparkSession.createDataFrame([], sightings.schema)
+    ids.write.mode("ignore").parquet(f"{folder}/batch=-1")
+    return (sightings.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
 
 
-def first_seen_stream(sightings: DataFrame, folder: str, checkpoint: str,
-                      delay: str = "7 days") -> StreamingQuery:
-    return (first_seen(sightings, delay).writeStream.format("parquet").option("path", folder)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+# The jobs over the given tables, run until the available input is used up -----------------------
 
 
-# The jobs over the given tables, run until the available input is used up -----------------------
+def _is_file(spark: SparkSession, path: str) -> bool:
+    """Asked of the store that the path names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.getFileStatus(path).isFile()
 
 
 def _stream(t: Tables, name: str) -> DataFrame:
     """The table as a file stream; a table of a single file is picked out of its folder."""
     reader = t.spark.readStream.schema(t.raw(name).schema)
     path = f"{t.sf_dir}/{name}.parquet"
-    if os.path.isfile(path):
+    if _is_file(t.spark, path):
         return reader.option("pathGlobFilter", f"{name}.parquet").parquet(t.sf_dir)
     return reader.parquet(path)
 
 
-def _incoming_stream(t: Tables) -> DataFrame:
-    return t.spark.sql(dialect(INCOMING, "spark"), documents=_stream(t, "documents"))
+LANDINGS = 3  # files that the incoming crawl arrives in, one per micro-batch
+
+
+def _incoming_stream(t: Tables, folder: str) -> DataFrame:
+    """The incoming crawl as it lands: a file after the other, in order of `seq`."""
+    rows = t.incoming()
+    last = rows.agg(F.max("seq")).first()[0] or 0
+    part = F.floor(F.col("seq") * LANDINGS / (last + 1))
+    for i in range(LANDINGS):
+        rows.where(part == i).coalesce(1).write.mode("append").parquet(folder)
+    return (t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+            .parquet(folder))
 
 
 def _event_stream(t: Tables) -> DataFrame:
@@ -121,7 +144,7 @@ def _event_stream(t: Tables) -> DataFrame:
 def _upsert_once(t: Tables) -> tuple[PostingLog, str]:
     home = new_folder(t.spark, "upsert")
     log = PostingLog(t.spark, f"{home}/postings").start(dedup.dedup_exact(t.postings()))
-    upsert_stream(_incoming_stream(t), log, f"{home}/offsets", fuzzy=False,
+    upsert_stream(_incoming_stream(t, f"{home}/landed"), log, f"{home}/offsets", fuzzy=False,
                   run_log=f"{home}/runs").awaitTermination()
     return log, f"{home}/runs"
 
@@ -131,7 +154,10 @@ def run_upsert_once(t: Tables) -> DataFrame:
 
 
 def run_log_once(t: Tables) -> DataFrame:
-    return t.spark.read.parquet(_upsert_once(t)[1])
+    """Found and new rows per search over all micro-batches."""
+    runs = t.spark.read.parquet(_upsert_once(t)[1])
+    return runs.groupBy("keywords").agg(F.sum("jobs_found").alias("jobs_found"),
+                                        F.sum("new_jobs").alias("new_jobs"))
 
 
 def run_status_once(t: Tables) -> DataFrame:
@@ -142,6 +168,5 @@ def run_status_once(t: Tables) -> DataFrame:
 
 def run_first_seen_once(t: Tables) -> DataFrame:
     home = new_folder(t.spark, "seen")
-    first_seen_stream(_event_stream(t), f"{home}/seen", f"{home}/offsets",
-                      "3650 days").awaitTermination()
+    first_seen_stream(_event_stream(t), f"{home}/seen", f"{home}/offsets").awaitTermination()
     return t.spark.read.parquet(f"{home}/seen")
