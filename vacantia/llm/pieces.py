@@ -18,17 +18,18 @@ their names. A text holding the blank sign (U+2581) decodes with a blank in its
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from .words import packed, texts_of, with_added, without_text
 
-CACHE = 300_000   # words that a Python worker remembers
+CACHE = 200_000   # words that a Python worker remembers
 KEPT_WORD = 64    # characters of the longest word that is remembered
-CHUNK = 8 << 20   # bytes of text whose new words are matched together
+CHUNK = 4 << 20   # bytes of text whose new words are matched together
 BLANK = "▁"
 
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
@@ -95,11 +96,12 @@ class Pieces:
             while (low < high).any():
                 mid = np.minimum((low + high) // 2, len(order) - 1)
                 at, state = order[mid], np.zeros(len(mid), int)
+                equal = np.flatnonzero(low < high)
                 for k in range(self.longest):
-                    here = (state == 0) & (k < self.length)
-                    if not here.any():
+                    equal = equal[(state[equal] == 0) & (k < self.length[equal])]
+                    if not len(equal):
                         break
-                    state[here] = np.sign(padded[at[here] + k] - self.codes[here, k])
+                    state[equal] = np.sign(padded[at[equal] + k] - self.codes[equal, k])
                 before = (state < 0) | ((state == 0) & upper)
                 open_ = low < high
                 low = np.where(open_ & before, mid + 1, low)
@@ -236,11 +238,30 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
     return rows.mapInArrow(decode, with_added(rows, "text string"))
 
 
+def round_trips(docs: DataFrame, *keep: str, path: str | None = None) -> DataFrame:
+    """_row (a struct of the `keep` columns), n_tokens, ids_crc32 (of the ids as little-endian
+    32-bit values) and round_trip: whether decoding gives the text back, blank signs as blanks."""
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pieces(path)
+        for batch in batches:
+            for held, strings in _batches(texts_of(batch.column("_text")), CHUNK):
+                found = model.encode(strings)
+                same = [model.decode(np.frombuffer(ids, "<u4")) == text.replace(BLANK, " ")
+                        for ids, text in zip(found, strings)]
+                whole = batch.slice(held[0].first, len(strings))
+                kept = [n for n in batch.schema.names if n != "_text"]
+                yield pa.RecordBatch.from_arrays(
+                    [whole.column(n) for n in kept]
+                    + [pa.array([len(ids) // 4 for ids in found], pa.int64()),
+                       pa.array([zlib.crc32(ids) for ids in found], pa.int64()), pa.array(same)],
+                    names=kept + ["n_tokens", "ids_crc32", "round_trip"])
+
+    rows = packed(docs, *keep)
+    return rows.mapInArrow(check, with_added(
+        rows, "n_tokens long, ids_crc32 long, round_trip boolean"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and whether decoding them gives the text back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = decoded(encoded(docs.withColumn("_whole", F.coalesce("text", F.lit(""))), "doc_id", "_whole"))
-    same = F.col("text") == F.translate("_row._whole", BLANK, " ")
-    return rows.select("_row.doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                       F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"),
-                       same.alias("round_trip"))
+    return round_trips(docs, "doc_id").select("_row.doc_id", "n_tokens", "ids_crc32", "round_trip")
