@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20  # bytes handled at once; a longer text is a chunk of its own
+CHUNK = 1 << 20  # bytes handled at once; a longer text is a chunk of its own
 
 _ALL = np.arange(256)
 SPACE = (_ALL == 32) | ((_ALL >= 9) & (_ALL <= 13))
