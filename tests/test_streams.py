@@ -36,13 +36,15 @@ def test_upsert_stream(spark):
         "id long, posting_id string, title string, company string, location string, url string, "
         "description string, is_reposted int, status string, dedup_key string")
     home = new_folder(spark, "test")
-    log = jobs.PostingLog(spark, f"{home}/log").start(stored)
+    log = jobs.PostingLog(spark, f"{home}/log", fold_every=2).start(stored)
     jobs.upsert_stream(staged(spark, df, 3), log, f"{home}/offsets", fuzzy=False,
                        run_log=f"{home}/runs").awaitTermination()
     want = upsert.upsert(df, stored, fuzzy=False).select(*COLUMNS)
     assert sorted(log.current().select(*COLUMNS).collect()) == sorted(want.collect())
     runs = spark.read.parquet(f"{home}/runs").orderBy("batch").collect()
     assert [(r.jobs_found, r.new_jobs) for r in runs] == [(10, 6), (10, 0), (10, 0)]
+    folded = spark.read.parquet(f"{home}/log/bases").select("upto").distinct().collect()
+    assert sorted(r.upto for r in folded) == [-1, 1]
     compacted = log.compact(f"{home}/compact").current().select(*COLUMNS)
     assert sorted(compacted.collect()) == sorted(want.collect())
 

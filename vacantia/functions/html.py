@@ -27,7 +27,8 @@ class Template:
 
     site: str = "https://jobs.example.com"
     card: str = "base-card"
-    card_link: str = "base-card__full-link"
+    card_links: tuple = ("base-card__full-link",)
+    results: str | None = None  # list whose items are the cards, where a page has it
     card_title: tuple = ("base-search-card__title", "job-search-card__title")
     card_company: tuple = ("base-search-card__subtitle", "job-search-card__company-name")
     card_location: tuple = ("job-search-card__location",)
@@ -44,6 +45,11 @@ class Template:
 
 
 BOARD = Template()
+# The same board as a browser shows it (fixed values of that board).
+RENDERED = Template(
+    card_links=("base-card__full-link", "job-search-card__title-link"),
+    results="jobs-search__results-list",
+    description=("show-more-less-html__markup", "description__text", "jobs-description__content"))
 
 
 def _class_attr(names) -> str:
@@ -209,7 +215,7 @@ def canonical_url(href: Column, job_id: Column, template: Template = BOARD) -> C
 
 def link(card: Column, template: Template = BOARD) -> Column:
     """href of the card's first posting link; null when it has none."""
-    pattern = (rf'(?s)<a\b(?=[^>]*(?:{_class_attr([template.card_link])}|href="[^"]*/jobs/view/))'
+    pattern = (rf'(?s)<a\b(?=[^>]*(?:{_class_attr(template.card_links)}|href="[^"]*/jobs/view/))'
                r"[^>]*>")
     return X.let(F.regexp_extract(card, pattern, 0), lambda tag: F.when(
         tag != "", F.regexp_extract(tag, r'href="([^"]*)"', 1)))
@@ -217,6 +223,10 @@ def link(card: Column, template: Template = BOARD) -> Column:
 
 def card_pieces(html: Column, template: Template = BOARD) -> Column:
     """A list page cut before every card's opening tag."""
-    start = rf'(?=<div\b[^>]*(?:data-entity-urn="|{_class_attr([template.card])}))'
-    return F.filter(F.split(html, start),
-                    lambda p: p.rlike(rf'^<div\b[^>]*(?:data-entity-urn="|{_class_attr([template.card])})'))
+    start = rf'<div\b[^>]*(?:data-entity-urn="|{_class_attr([template.card])})'
+    cards = F.filter(F.split(html, f"(?={start})"), lambda p: p.rlike(f"^{start}"))
+    if template.results is None:
+        return cards
+    return X.let(inner(html, [template.results]), lambda listed: F.when(
+        listed.isNotNull(), F.filter(F.split(listed, r"(?=<li\b)"), lambda p: p.rlike(r"^<li\b")))
+        .otherwise(cards))

@@ -654,6 +654,10 @@ ORACLES = {
     "url_canonical": "SELECT page, pos, url FROM kept_cards",
     "html_repost": "SELECT page_id, is_reposted FROM details",
     "html_to_text": "SELECT page_id, description FROM details",
+    "html_cards_rendered": """SELECT CAST(floor(doc_id / 25) AS BIGINT) AS page, CAST(doc_id AS VARCHAR) AS posting_id,
+      'Role ' || doc_id || ' & more' AS title, 'Acme' || source AS company,
+      CASE WHEN doc_id % 5 = 0 THEN 'India' ELSE 'Lima' END AS location,
+      'https://jobs.example.com/jobs/view/' || doc_id AS url FROM documents""",
     "html_nested": """SELECT page_id, 'one' || chr(10) || chr(10) || split_part(url, '/', 3)
       || 'deepIt''s ' || chr(65533) || chr(65533) || ' < A' AS description FROM pages""",
     "html_criteria": "SELECT page_id, experience_level, employment_type FROM details",

@@ -143,6 +143,12 @@ def html_cards(t):
     return _cards(t)
 
 
+@query
+def html_cards_rendered(t):
+    return pages.cards(t.rendered_pages(), template=H.RENDERED).select(
+        "page", "posting_id", "title", "company", "location", "url")
+
+
 @query
 def html_detail(t):
     return pages.details(t.detail_pages()).select(

@@ -44,10 +44,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def removed_at_exit(spark: SparkSession, folder: str) -> None:
+    """The folder, which exists, goes when the driver ends; until then results may read it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes the rows once to the shared folder and goes on from there: losing executors loses no
     work, the plan starts anew with known sizes, and later readers scan only their columns. (A
     reliable checkpoint would compute its last stage twice.)"""
     folder = new_folder(df.sparkSession, "rows")
     df.write.parquet(folder)
+    removed_at_exit(df.sparkSession, folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -130,6 +130,18 @@ SELECT g.page_id, '<p>before</p><div class=''x show-more-less-html__markup''><p>
 FROM {pages} g
 """
 
+# Cards of the board as a browser shows it: list items, with links of another class.
+RENDERED_ITEMS = """
+SELECT d.doc_id, CAST(floor(d.doc_id / 25) AS BIGINT) AS page,
+  '<li><a class=''job-search-card__title-link'' href="https://jobs.example.com/jobs/view/'
+  || CAST(d.doc_id AS STRING) || '?t=1"><b class="job-search-card__title"> Role '
+  || CAST(d.doc_id AS STRING) || ' &amp; more</b></a><i class="x job-search-card__company-name">'
+  || '<u>Acme </u> ' || d.source || '</i>' || CASE WHEN d.doc_id % 5 = 0 THEN '' ELSE
+     '<span class="job-search-card__location">Lima</span>' END
+  || '<ul><li-note>1 day ago</li-note></ul></li>' AS card
+FROM {documents} d
+"""
+
 CANDIDATES = f"""
 SELECT c.c_custkey + 1 AS candidate_id,
   c.c_name AS candidate_name,
@@ -351,11 +363,18 @@ class Tables:
     def list_pages(self) -> DataFrame:
         """(search_id, page, html). A page holds 25 cards, so its group is bounded."""
         cards = self.view(CARD_HTML.replace("{cards}", CARDS.replace("{postings}", POSTINGS)))
-        cards.createOrReplaceTempView("vacantia_card_html")
         return self.spark.sql("""
             SELECT search_id, page, concat('<ul>', array_join(transform(
               sort_array(collect_list(struct(doc_id, card))), c -> c.card), ''), '</ul>') AS html
-            FROM vacantia_card_html GROUP BY search_id, page""")
+            FROM {cards} GROUP BY search_id, page""", cards=cards)
+
+    def rendered_pages(self) -> DataFrame:
+        """(search_id, page, html) as a browser shows it; a page holds 25 cards."""
+        return self.spark.sql("""
+            SELECT CAST(0 AS BIGINT) AS search_id, page, concat('<main><ul class="jobs-search__results-list">',
+              array_join(transform(sort_array(collect_list(struct(doc_id, card))), c -> c.card), ''),
+              '</ul></main>') AS html
+            FROM {items} GROUP BY page""", items=self.view(RENDERED_ITEMS))
 
     def detail_pages(self) -> DataFrame:
         return self.view(DETAIL_PAGES)

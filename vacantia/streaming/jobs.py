@@ -4,7 +4,7 @@ Sinks are folders of the shared file system, one sub-folder per micro-batch, wri
 batch that runs again after a failure replaces its own output.
 """
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import dedup, upsert
@@ -12,29 +12,45 @@ from ..session import cut_lineage, new_folder
 from ..sources.adapter import STATUS_EVENTS, Tables
 
 
+FOLD_EVERY = 16  # micro-batches after which the log is folded into a new base
+
+
 class PostingLog:
-    """Postings as a base plus the rows each micro-batch changed.
+    """Postings as bases plus the rows each micro-batch changed.
 
-    A batch writes only postings it adds or touches (folder `batch=<n>`); the current table is the
-    newest row per id. `compact` folds the log into a new base.
+    A batch writes only postings it adds or touches (`changes/batch=<n>`). The current table is the
+    newest row per id of the last base (`bases/upto=<n>`) and of the changes after it, so what a
+    batch reads of the log stays bounded by FOLD_EVERY batches. Folders are written whole: a batch
+    that runs again replaces its own.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, fold_every: int = FOLD_EVERY):
+        self.spark, self.folder, self.fold_every = spark, folder, fold_every
 
     def start(self, base: DataFrame) -> "PostingLog":
-        base.write.mode("errorifexists").parquet(f"{self.folder}/batch=-1")
+        base.write.mode("errorifexists").parquet(f"{self.folder}/bases/upto=-1")
+        self.spark.createDataFrame([], base.schema).write.parquet(f"{self.folder}/changes/batch=-1")
         return self
 
     def current(self, before: int | None = None) -> DataFrame:
-        rows = self.spark.read.parquet(self.folder)
+        bases = self.spark.read.parquet(f"{self.folder}/bases")
+        usable = bases if before is None else bases.where(F.col("upto") < before)
+        last = usable.agg(F.max("upto")).first()[0]
+        base = self.spark.read.parquet(f"{self.folder}/bases/upto={-1 if last is None else last}")
+        schema = T.StructType([*base.schema.fields, T.StructField("batch", T.IntegerType())])
+        changes = self.spark.read.schema(schema).parquet(
+            f"{self.folder}/changes").where(F.col("batch") > (-1 if last is None else last))
         if before is not None:
-            rows = rows.where(F.col("batch") < before)
-        newest = rows.groupBy("id").agg(F.max("batch").alias("batch"))
-        return rows.join(newest, ["id", "batch"], "left_semi").drop("batch")
+            changes = changes.where(F.col("batch") < before)
+        newest = changes.groupBy("id").agg(F.max("batch").alias("batch"))
+        kept = base.join(newest, "id", "left_anti")
+        return kept.unionByName(changes.join(newest, ["id", "batch"], "left_semi").drop("batch"))
 
     def write(self, batch_id: int, changed: DataFrame) -> None:
-        changed.write.mode("overwrite").parquet(f"{self.folder}/batch={batch_id}")
+        changed.write.mode("overwrite").parquet(f"{self.folder}/changes/batch={batch_id}")
+        if (batch_id + 1) % self.fold_every == 0:
+            self.current(batch_id + 1).write.mode("overwrite").parquet(
+                f"{self.folder}/bases/upto={batch_id}")
 
     def compact(self, folder: str) -> "PostingLog":
         return PostingLog(self.spark, folder).start(self.current())
