@@ -452,3 +452,30 @@ def kept_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     named = docs.where("doc_id IS NOT NULL").join(leaders, "doc_id", "left_semi")
     once = named.dropDuplicates(["doc_id"])
     return once.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+
+
+# All links by counting common shingles, then the closure: for the small tables of the check only.
+OP7_SQL = """
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
+    lambda w: w <> '') AS ws
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1),
+      lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS shingles
+  FROM split),
+rows_of AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets),
+links AS (
+  SELECT a.doc_id AS i, b.doc_id AS j
+  FROM rows_of a JOIN rows_of b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+    AND 100 * b.n >= 90 * a.n AND 100 * a.n >= 90 * b.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 190 * count(*) >= 90 * (a.n + b.n)),
+steps AS (SELECT i, j FROM links UNION SELECT j, i FROM links),
+reach AS (
+  SELECT doc_id AS i, doc_id AS j FROM documents
+  UNION SELECT r.i, s.j FROM reach r JOIN steps s ON r.j = s.i)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, c.component_id
+FROM sets s JOIN (SELECT i, min(j) AS component_id FROM reach GROUP BY i) c ON c.i = s.doc_id
+"""

@@ -345,3 +345,24 @@ def linked(vectors: DataFrame, bound: float = 0.98) -> DataFrame:
 
 def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+# All pairs of a label, then the closure: for the small tables of the check only.
+OP9_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS i, b.vec_id AS j FROM usable a JOIN usable b
+    ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (
+  SELECT vec_id AS i, vec_id AS j FROM embeddings
+  UNION SELECT r.i, l.j FROM reach r JOIN links l ON r.j = l.i),
+parts AS (SELECT i, min(j) AS component_id FROM reach GROUP BY i),
+counts AS (SELECT i, count(*) AS n FROM links GROUP BY i)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, p.component_id, p.component_id = e.vec_id AS kept
+FROM embeddings e JOIN parts p ON p.i = e.vec_id LEFT JOIN counts c ON c.i = e.vec_id
+"""

@@ -20,4 +20,5 @@ def llm_queries():
 
 
 def llm_oracles():
-    return {"op5_url_filter": url_filter.OP5_SQL}
+    return {"op5_url_filter": url_filter.OP5_SQL, "op7_jaccard_join": jaccard_join.OP7_SQL,
+            "op9_near_vectors": near_vectors.OP9_SQL}
