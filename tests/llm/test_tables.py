@@ -1,6 +1,7 @@
 """Operators that compare or count over whole tables, against brute force."""
 
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -283,6 +284,61 @@ def test_gibbs_finds_the_posterior():
     assert abs(np.mean(seen) - want) < 0.05
 
 
+def _long_chain(c, d, p, others, sweeps, seed):
+    """Table counts after each sweep in which every single customer is seated again once."""
+    rnd, strength = random.Random(seed), lm_scoring.STRENGTH
+    at, size, free, tables, out = [0] * c, [c], [], 1, []
+    for _ in range(sweeps):
+        for i in range(c):
+            k = at[i]
+            size[k] -= 1
+            if not size[k]:
+                free.append(k)
+                tables -= 1
+            new = (strength + d * (others + tables)) * p
+            if rnd.random() * (new + c - 1 - d * tables) < new:
+                k = free.pop() if free else len(size)
+                if k == len(size):
+                    size.append(0)
+                tables += 1
+            else:
+                while True:  # a table in proportion to size - d, by the table of another customer
+                    j = int(rnd.random() * c)
+                    k = at[j]
+                    if j != i and rnd.random() * size[k] < size[k] - d:
+                        break
+            size[k] += 1
+            at[i] = k
+        out.append(tables)
+    return out
+
+
+def test_large_cell_against_a_long_chain():
+    """A cell of 100,000 customers: its table count settles where a chain over single customers does."""
+    c, d, p, others = 100_000, 0.5, 0.3, 500
+    want = np.mean(_long_chain(c, d, p, others, 40, 3)[20:])
+    rng, seats = np.random.default_rng(6), lm_scoring.Seating(
+        np.arange(100), np.full(100, c), d, others)
+    seen = []
+    for sweep in range(30):
+        seats.gibbs(np.full(100, p), rng)
+        if sweep >= 15:
+            seen.append(seats.t.mean())
+    assert abs(np.mean(seen) / want - 1) < 0.1, (np.mean(seen), want)
+
+
+@pytest.mark.parametrize("d", [0.1, 0.5, 0.9])
+@pytest.mark.parametrize("mean", [0.5, 20, 400])
+def test_table_counts_of_large_cells(d, mean):
+    """The asymptotic law at 512 customers against the exact one."""
+    weight = lm_scoring._stirling(d, 512)[512, 1:] + np.arange(1, 513) * np.log(mean * d)
+    weight = np.exp(weight - weight.max()) / np.exp(weight - weight.max()).sum()
+    want = (weight * np.arange(1, 513)).sum()
+    got = lm_scoring._draw_large(np.full(20_000, 512), np.full(20_000, np.log(mean)), d,
+                                 np.random.default_rng(2))
+    assert abs(got.mean() / want - 1) < 0.02
+
+
 def test_lm_odd(spark, odd, none):
     rows = lm_scoring.scored(odd, lm_scoring.Model(odd.where(lm_scoring.learnable())), "doc_id").collect()
     assert len(rows) == len(ODD) + 2 and all(math.isfinite(r.score) for r in rows)
