@@ -197,6 +197,25 @@ def test_near_vectors(spark):
     assert near_vectors.linked(table.limit(0)).count() == 0
 
 
+def test_recall_of_sparse_links(spark):
+    """Half of 50 isolated pairs among 3,000 vectors are missed, while a dense family is found."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(3000, 24))
+    v[50:100] = v[:50] * 2 + rng.normal(size=(50, 24)) * 1e-3
+    v[100:104] = v[104] + rng.normal(size=(4, 24)) * 1e-3
+    rows = spark.createDataFrame([("s", [float(y) for y in x], i, 500 if 100 <= i < 105 else 1)
+                                  for i, x in enumerate(v)],
+                                 "space string, vec array<double>, id long, copies long")
+    links = [(i + k, -1, 1) for i in range(25) for k in (0, 50)]
+    links += [(i, -1, 2000) for i in range(100, 105)]
+    got = near_vectors.recall(rows, spark.createDataFrame(links, "a long, b long, links long"), 0.98)
+    assert got.linked >= near_vectors.LINKED and got.asked <= 3000
+    assert 0.35 < got.recall < 0.7
+    none = near_vectors.recall(rows.where("id >= 105"), spark.createDataFrame(
+        [], "a long, b long, links long"), 0.98)
+    assert none == (1.0, 0, 2895)
+
+
 def test_vector_blocks(spark, monkeypatch):
     """Shards that are cut into blocks find the same links."""
     rng = np.random.default_rng(1)

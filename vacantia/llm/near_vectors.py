@@ -8,8 +8,9 @@ that a class gets in several shards are united. A query then walks greedily from
 to its neighbourhood and from there expands along edges through all that is within range. Every
 link is verified in double precision. Blocks of one shard meet pairwise in a grid of tasks, and a
 pair is counted only in the first shard that both are in, so that no pairs are sent anywhere: a task
-returns counts and a spanning forest. Recall is audited against brute force for a bounded sample of
-classes; if it is too low the overlap is doubled.
+returns counts and a spanning forest. Recall is audited against brute force, per class and in growing
+batches, until LINKED classes with true links were seen or all were asked (so a table with hardly any
+link is compared as a whole); if it is too low the overlap is doubled.
 
 Defined cases: a vector that is null, zero, or has null or non-finite components links with
 nothing, nor does one without label or id; vectors of different lengths are never compared;
@@ -19,7 +20,9 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,8 @@ DEGREE, NEAREST = 16, 8
 ALPHA = 1.2
 BEAM = 16
 SLACK = 0.01          # nodes this much below the bound are expanded too
-AUDIT = 256           # classes whose recall is measured
+AUDIT, MOST = 256, 4096  # classes of the first batch of the audit, and of any
+LINKED = 64           # classes with true links that the audit wants to see
 RECALL = 0.95
 
 
@@ -286,12 +290,14 @@ def search(rows: DataFrame, bound: float, overlap: int = OVERLAP) -> DataFrame:
             .mapInArrow(_links(bound), "a long, b long, links long"))
 
 
-def recall(rows: DataFrame, found: DataFrame, bound: float) -> float:
-    """Share of the true links (weighted by copies) of at most AUDIT classes that were found."""
-    sample = rows.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(AUDIT)
-    table = sample.select("space", "id", "vec").toArrow()
-    if not table.num_rows:
-        return 1.0
+class Audit(NamedTuple):
+    recall: float  # mean over the classes with true links; 1 without any
+    linked: int    # classes with true links that were seen
+    asked: int
+
+
+def _asked(rows: DataFrame, table: pa.Table, found: DataFrame, bound: float) -> list[float]:
+    """Of each class of table (space, id, vec) that has true links, the share that was found."""
     asked: dict[str, tuple] = {}
     spaces = np.array(table["space"].to_pylist(), object)
     for space in set(spaces):
@@ -303,19 +309,47 @@ def recall(rows: DataFrame, found: DataFrame, bound: float) -> float:
         for batch in batches:
             spaces = np.array(batch.column("space").to_pylist(), object)
             for space in set(spaces) & shared.value.keys():
-                own = pa.array(np.flatnonzero(spaces == space))
                 ids, vec = shared.value[space]
-                hit = vec @ _matrix(batch.column("vec").take(own)).T >= bound
-                hit &= ids[:, None] != batch.column("id").take(own).to_numpy()[None, :]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array(hit @ batch.column("copies").take(own).to_numpy())],
-                    names=["a", "links"])
+                every = np.flatnonzero(spaces == space)
+                for s in range(0, len(every), 1000):
+                    own = pa.array(every[s:s + 1000])
+                    hit = vec @ _matrix(batch.column("vec").take(own)).T >= bound
+                    hit &= ids[:, None] != batch.column("id").take(own).to_numpy()[None, :]
+                    links = hit @ batch.column("copies").take(own).to_numpy()
+                    some = links > 0
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[some]), pa.array(links[some])], names=["a", "links"])
 
     exact = rows.select("space", "id", "copies", "vec").mapInArrow(count, "a long, links long")
-    got = found.where("b = -1").join(F.broadcast(sample.select(F.col("id").alias("a"))), "a",
-                                     "left_semi")
-    true, seen = (x.agg(F.coalesce(F.sum("links"), F.lit(0))).first()[0] for x in (exact, got))
-    return 1.0 if not true else seen / true
+    true = {r.a: r.n for r in exact.groupBy("a").agg(F.sum("links").alias("n")).collect()}
+    if not true:
+        return []
+    ids = rows.sparkSession.createDataFrame([(a,) for a in true], "a long")
+    got = found.where("b = -1").join(F.broadcast(ids), "a", "left_semi")
+    seen = {r.a: r.n for r in got.groupBy("a").agg(F.sum("links").alias("n")).collect()}
+    return [min(1.0, seen.get(a, 0) / n) for a, n in true.items()]
+
+
+def recall(rows: DataFrame, found: DataFrame, bound: float) -> Audit:
+    """Mean share of the true links of a class that were found."""
+    keyed = rows.withColumn("_key", F.xxhash64("id", F.lit(1)))
+    shares: list[float] = []
+    asked, batch, after = 0, AUDIT, F.lit(True)
+    while len(shares) < LINKED:
+        table = keyed.where(after).orderBy("_key", "id").limit(batch).select(
+            "_key", "space", "id", "vec").toArrow()
+        if not table.num_rows:
+            break
+        shares += _asked(rows, table, found, bound)
+        asked += table.num_rows
+        if table.num_rows < batch:
+            break
+        key, last = table["_key"][-1].as_py(), table["id"][-1].as_py()
+        after = (F.col("_key") > key) | ((F.col("_key") == key) & (F.col("id") > last))
+        batch = min(2 * batch, MOST)
+    out = Audit(float(np.mean(shares)) if shares else 1.0, len(shares), asked)
+    logging.getLogger(__name__).info("recall %.4f of %d linked classes, %d asked", *out)
+    return out
 
 
 def linked(vectors: DataFrame, bound: float = 0.98) -> DataFrame:
@@ -323,7 +357,7 @@ def linked(vectors: DataFrame, bound: float = 0.98) -> DataFrame:
     rows = cut_lineage(classes(vectors))
     overlap = OVERLAP
     found = cut_lineage(search(rows, bound, overlap))
-    while recall(rows, found, bound) < RECALL and overlap < CENTROIDS:
+    while recall(rows, found, bound).recall < RECALL and overlap < CENTROIDS:
         overlap *= 2
         found = cut_lineage(search(rows, bound, overlap))
     counts = found.where("b = -1").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("more"))
