@@ -1,6 +1,6 @@
 """Queries of this subpackage and the SQL that checks them."""
 
-from . import (jaccard_join, language_id, lm_scoring, near_vectors, packing, personal_data,
+from . import (alignment, jaccard_join, language_id, lm_scoring, near_vectors, packing, personal_data,
                pieces, quality_classifier, quality_rules, url_filter)
 
 
@@ -8,6 +8,7 @@ def llm_queries():
     return {
         "op1_quality_classifier": quality_classifier.op1_quality_classifier,
         "op10_lm_scoring": lm_scoring.op10_lm_scoring,
+        "op13_alignment": alignment.op13_alignment,
         "op2_sentencepiece": pieces.op2_sentencepiece,
         "op3_personal_data": personal_data.op3_personal_data,
         "op4_language_id": language_id.op4_language_id,
