@@ -1,13 +1,15 @@
 """Queries of this subpackage and the SQL that checks them."""
 
-from . import (alignment, jaccard_join, language_id, lm_scoring, near_vectors, packing, personal_data,
-               pieces, quality_classifier, quality_rules, url_filter)
+from . import (alignment, html_extraction, jaccard_join, language_id, lm_scoring, near_vectors, packing,
+               personal_data, pieces, quality_classifier, quality_rules, spelling_variants, url_filter)
 
 
 def llm_queries():
     return {
         "op1_quality_classifier": quality_classifier.op1_quality_classifier,
         "op10_lm_scoring": lm_scoring.op10_lm_scoring,
+        "op11_html_extraction": html_extraction.op11_html_extraction,
+        "op12_spelling_variants": spelling_variants.op12_spelling_variants,
         "op13_alignment": alignment.op13_alignment,
         "op2_sentencepiece": pieces.op2_sentencepiece,
         "op3_personal_data": personal_data.op3_personal_data,
@@ -21,5 +23,6 @@ def llm_queries():
 
 
 def llm_oracles():
-    return {"op5_url_filter": url_filter.OP5_SQL, "op7_jaccard_join": jaccard_join.OP7_SQL,
+    return {"op11_html_extraction": html_extraction.OP11_SQL,
+            "op12_spelling_variants": spelling_variants.OP12_SQL, "op5_url_filter": url_filter.OP5_SQL, "op7_jaccard_join": jaccard_join.OP7_SQL,
             "op9_near_vectors": near_vectors.OP9_SQL}
