@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 SAMPLE_PAGES = 300    # most pages (by least hash) that training pages are made of
-LAYOUTS = 3           # training pages made of each
+TRAINED_ON = 1200     # training pages: each of the sample as it is, and in several layouts
 STEPS = 150           # of gradient ascent
 BATCH = 1 << 20       # characters of html passed through the model at once
 
@@ -55,13 +55,14 @@ KINDS = ["html", "body", "article", "main", "section", "div", "p", "h1", "h2", "
          "button", "dialog", "details", "summary", "address", "menu", "center", "head", "hgroup"]
 _KIND = {k: i for i, k in enumerate(KINDS)}
 # Groups of names for the potentials of edges.
-_EDGE = {**dict.fromkeys(["html", "body", "div", "section", "main", "article", "center", "table", "tbody",
-                          "tr", "td"], 0),
+_EDGE = {**dict.fromkeys(["html", "body", "div", "section", "center", "table", "tbody", "tr",
+                          "td"], 0),
          **dict.fromkeys(["p", "blockquote", "pre", "figure", "figcaption"], 1),
          **dict.fromkeys(["h1", "h2", "h3", "h4", "h5", "h6", "hgroup"], 2),
          **dict.fromkeys(["ul", "ol", "li", "dl", "dt", "dd", "menu"], 3),
-         **dict.fromkeys(["nav", "header", "footer", "aside", "form", "fieldset", "dialog"], 4)}
-GROUPS = 6  # five above and the rest
+         **dict.fromkeys(["nav", "header", "footer", "aside", "form", "fieldset", "dialog"], 4),
+         **dict.fromkeys(["article", "main"], 5)}
+GROUPS = 7  # six above and the rest
 
 WORDS = ["ad ads advert adverts advertisement sponsor sponsored promo promotion banner doubleclick",
          "nav navbar navigation menu breadcrumb breadcrumbs tabs pager pagination toc",
@@ -72,10 +73,13 @@ WORDS = ["ad ads advert adverts advertisement sponsor sponsored promo promotion
          "form search login signup subscribe newsletter register contact", "share social follow like",
          "article content post entry story main text body page column", "hidden invisible sr-only off"]
 _WORD = {w: i for i, group in enumerate(WORDS) for w in group.split()}
+# Names whose elements say something about all that is in them.
+AROUND = ["article", "main", "nav", "header", "footer", "aside", "form", "dialog"]
+_AROUND = {k: i for i, k in enumerate(AROUND, len(WORDS))}
 
 HASHED = 512
-N_KIND, N_WORD, N_SHAPE = len(KINDS) + 1, len(WORDS), 48
-OFFSETS = np.cumsum([0, N_KIND, N_WORD, N_WORD, HASHED, N_SHAPE])
+N_KIND, N_WORD, N_ABOVE, N_SHAPE = len(KINDS) + 1, len(WORDS), len(WORDS) + len(AROUND), 48
+OFFSETS = np.cumsum([0, N_KIND, N_WORD, N_ABOVE, HASHED, N_SHAPE, N_KIND])
 FEATURES = int(OFFSETS[-1])
 
 _SPLIT = re.compile(r"[^a-z]+")
@@ -275,7 +279,8 @@ def forest(pages: list[Page]) -> Forest:
     depth = np.concatenate([np.array(p.depth) for p in pages])
     own, marks, linked = np.zeros(total), np.zeros(total), np.zeros(total)
     node, feature = [], []
-    group = np.full(total, GROUPS - 1)
+    group, names = np.full(total, GROUPS - 1), np.full(total, N_KIND - 1)
+    mine = np.zeros((total, N_ABOVE), bool)
     for p, f in zip(pages, first):
         linked[f:f + len(p.parent)] = p.linked
         for n, text in p.pieces:
@@ -283,9 +288,10 @@ def forest(pages: list[Page]) -> Forest:
                 own[f + n] += len(text)
                 marks[f + n] += text.count(". ") + text.count(", ") + text.endswith((".", ". "))
         for n, (name, attributes) in enumerate(zip(p.name, p.attributes)):
-            node.append(f + n)
-            feature.append(OFFSETS[0] + _KIND.get(name, len(KINDS)))
+            names[f + n] = _KIND.get(name, N_KIND - 1)
             group[f + n] = _EDGE.get(name, GROUPS - 1)
+            if name in _AROUND:
+                mine[f + n, _AROUND[name]] = True
             if attributes:
                 words, hidden = _names(attributes)
                 known = {_WORD[w] for w in words if w in _WORD}
@@ -295,10 +301,9 @@ def forest(pages: list[Page]) -> Forest:
                 added = [OFFSETS[1] + k for k in known] + [OFFSETS[3] + h for h in hashed]
                 node += [f + n] * len(added)
                 feature += added
-    node, feature = np.array(node), np.array(feature)
-    # Known words of the ancestors, one level after the other.
-    above = np.zeros((total, N_WORD), bool)
-    mine = np.zeros((total, N_WORD), bool)
+    node, feature = np.array(node, np.int64), np.array(feature, np.int64)
+    # Known words and names of the ancestors, one level after the other.
+    above = np.zeros((total, N_ABOVE), bool)
     named = (feature >= OFFSETS[1]) & (feature < OFFSETS[2])
     mine[node[named], feature[named] - OFFSETS[1]] = True
     levels = _levels(depth)
@@ -319,8 +324,10 @@ def forest(pages: list[Page]) -> Forest:
               32 + _bin(share, [0.02, 0.1, 0.4, 0.7]), 40 + _bin(place, [0.1, 0.3, 0.7, 0.9])]
     every = np.arange(total)
     nodes_above, words_above = np.nonzero(above)
-    node = np.concatenate([node, nodes_above, *[every] * len(shapes)])
-    feature = np.concatenate([feature, OFFSETS[2] + words_above, *[OFFSETS[4] + s for s in shapes]])
+    outer = np.where(parent >= 0, names[np.maximum(parent, 0)], N_KIND - 1)
+    node = np.concatenate([node, nodes_above, *[every] * (len(shapes) + 2)])
+    feature = np.concatenate([feature, OFFSETS[2] + words_above, OFFSETS[0] + names, OFFSETS[5] + outer,
+                              *[OFFSETS[4] + s for s in shapes]])
     kind = np.where(parent >= 0, group[np.maximum(parent, 0)] * GROUPS + group, 0)
     return Forest(parent, depth, kind, node, feature, first)
 
@@ -494,7 +501,9 @@ def relabelled(page: str, pick: random.Random) -> str | None:
         return named(["div", "ul"], ["share", "social", "share-buttons", "follow"], links(pick.randint(2, 5)))
 
     body = parts["article"]
-    if pick.random() < 0.15:  # a short text
+    if pick.random() < 0.2:  # without its heading
+        body = re.sub(r"<h1>.*?</h1>", "", body, count=1, flags=re.S)
+    if pick.random() < 0.2:  # a short text
         body = re.split(r"</p>", body)[0] + "</p>"
     if pick.random() < 0.3:
         body += pick.choice([f"<blockquote><p>{sentence(5, 40)}.</p></blockquote>",
@@ -529,7 +538,7 @@ def relabelled(page: str, pick: random.Random) -> str | None:
     inner = "".join(before) + main + "".join(after)
     if pick.random() < 0.3:
         inner = named(["div"], ["", "page", "container", "wrapper"], inner)
-    if pick.random() < 0.12:  # a fragment
+    if pick.random() < 0.2:  # a fragment
         return pick.choice([main, inner, f"<body>{main}"])
     return f"<html><head><title>{sentence(1, 6)}</title></head><body>{inner}</body></html>"
 
@@ -553,11 +562,12 @@ def _without_marks(page: Page) -> Page:
     return page
 
 
-def trained(pages: DataFrame, sample: int = SAMPLE_PAGES, layouts: int = LAYOUTS) -> Model:
+def trained(pages: DataFrame, sample: int = SAMPLE_PAGES, trained_on: int = TRAINED_ON) -> Model:
     """The model, from at most `sample` pages (least hash of page_id and html first)."""
     rows = (pages.where("html IS NOT NULL").select("html", F.xxhash64("page_id", "html").alias("h"))
             .orderBy("h").limit(sample).collect())
     pick, made = random.Random(7), []
+    layouts = trained_on // max(1, len(rows)) - 1
     for row in rows:
         # The parts of one page are bounded, so that training is: a few dozen blocks say enough.
         text = row.html if len(row.html) < 20_000 else row.html[:20_000]

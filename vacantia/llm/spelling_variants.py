@@ -383,8 +383,8 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The checksum is worked out byte by byte; near words share what is left when one letter goes.
 OP12_SQL = """
 WITH tbl AS (
-  SELECT list_transform(range(256), i -> list_reduce(list_prepend(i, range(8)),
-    (c, k) -> CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
 runs AS (
   SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
 lower_runs AS (
@@ -393,9 +393,9 @@ lower_runs AS (
   FROM runs GROUP BY ALL),
 summed AS (
   SELECT run, times, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(
-    string_split(doc || ':' || run, ''), c -> CASE WHEN ord(c) < 128 THEN [ord(c)]
+    string_split(doc || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)]
       ELSE [192 + (ord(c) >> 6), 128 + ord(c) % 64] END))),
-    (s, b) -> xor(s >> 8, t[CAST(xor(s % 256, b) AS BIGINT) + 1])), 4294967295) AS h
+    lambda s, b: xor(s >> 8, t[CAST(xor(s % 256, b) AS BIGINT) + 1])), 4294967295) AS h
   FROM lower_runs, tbl),
 kept AS (
   SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT))
@@ -423,9 +423,9 @@ formed AS (
   FROM words w LEFT JOIN near USING (word) LEFT JOIN best USING (word)),
 chain AS (
   WITH RECURSIVE steps AS (
-    SELECT word, word AS at, 0 AS depth FROM formed
-    UNION ALL SELECT s.word, f.form, depth + 1 FROM steps s JOIN formed f ON f.word = s.at
+    SELECT word, word AS here, 0 AS depth FROM formed
+    UNION ALL SELECT s.word, f.form, depth + 1 FROM steps s JOIN formed f ON f.word = s.here
     WHERE f.form IS NOT NULL)
-  SELECT word, max_by(at, depth) AS root FROM steps GROUP BY word)
+  SELECT word, max_by(here, depth) AS root FROM steps GROUP BY word)
 SELECT word, form, root, n, n_near, form_n FROM formed JOIN chain USING (word)
 """
