@@ -35,7 +35,7 @@ from .packing import vocabulary
 from .words import CHUNK, mix, packed, texts_of
 
 TOP = 1 << 20         # id pairs that are broadcast, 13 bytes each
-REMEMBERED = 1 << 18  # windows a task remembers (some 300 bytes each); beyond, it starts anew
+REMEMBERED = 1 << 17  # windows a task remembers (some 300 bytes each); beyond, it starts anew
 LONG_WINDOW = 128     # tokens; longer windows are aligned without being remembered
 SIDE = 1 << 16        # ids of the second vocabulary are below this, so a pair is one 32-bit code
 
@@ -67,8 +67,6 @@ def byte_level(rank_path: str | None = None, json_path: str | None = None) -> Vo
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
     fast = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                              special_tokens={})
-    full = Tokenizer.from_file(json_path or vocabulary("byte_bpe_50k.json"))
-    full.encode_special_tokens = True
     tokens = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         tokens[rank] = token
@@ -77,6 +75,8 @@ def byte_level(rank_path: str | None = None, json_path: str | None = None) -> Vo
         try:
             return np.array(fast.encode_to_numpy(" " + text, disallowed_special=()), np.int64)
         except ValueError:
+            full = Tokenizer.from_file(json_path or vocabulary("byte_bpe_50k.json"))
+            full.encode_special_tokens = True
             return np.array(full.encode(" " + text, add_special_tokens=False).ids, np.int64)
 
     return Vocabulary(tokens, encode)
@@ -120,7 +120,10 @@ class Windows:
     """Aligned windows by their ids. Entry k has the text of its groups, their number, and its links
     at links[first[k]:first[k + 1]]."""
 
-    def __init__(self):
+    def __init__(self, a: Vocabulary, b: Vocabulary):
+        # Ids as they stand in a text: first of a window, first of a group, any other.
+        self.shown_a = np.array([[f"{mark}{i}" for i in range(len(a.tokens))] for mark in ("", ";", ",")], object)
+        self.shown_b = np.array([[f"{mark}{i}" for i in range(len(b.tokens))] for mark in ("|", ",")], object)
         self.clear()
 
     def clear(self) -> None:
@@ -133,31 +136,29 @@ class Windows:
     def __len__(self) -> int:
         return len(self.texts)
 
-    def align(self, a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> int:
-        """Adds a window of ids and their ends; the last ends are equal."""
-        links, text, i, j, groups = self.links, [str(a[0])], 0, 0, 1
-        side = [str(b[0])]
-        links.append(a[0] * SIDE + b[0])
-        while ends_a[i] != ends_a[-1] or ends_b[j] != ends_b[-1]:
-            gap = ends_a[i] - ends_b[j]
-            if gap <= 0:
-                i += 1
-            if gap >= 0:
-                j += 1
-            if gap == 0:
-                text.append("|" + ",".join(side) + f";{a[i]}")
-                side = [str(b[j])]
-                groups += 1
-            elif gap < 0:
-                text.append(f",{a[i]}")
-            else:
-                side.append(str(b[j]))
-            links.append(a[i] * SIDE + b[j])
-        text.append("|" + ",".join(side))
-        self.texts.append("".join(text))
-        self.groups.append(groups)
-        self.first.append(len(links))
-        return len(self.texts) - 1
+    def align(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray,
+              stop_a: np.ndarray, stop_b: np.ndarray) -> None:
+        """Adds windows that lie one behind the other: their ids, the ends of these, and behind which
+        id of either side each window stops."""
+        ends = np.union1d(ends_a, ends_b)  # every stretch between two ends is one link
+        links = a[np.searchsorted(ends_a, ends)] * SIDE + b[np.searchsorted(ends_b, ends)]
+        common, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        group_a = np.searchsorted(at_a, np.arange(len(a)))
+        group_b = np.searchsorted(at_b, np.arange(len(b)))
+        begin_a, begin_b = np.r_[0, at_a + 1], np.r_[0, at_b + 1]  # first ids of the groups
+        mark_a, mark_b = np.full(len(a), 2), np.ones(len(b), np.int64)
+        mark_a[begin_a[:-1]] = 1
+        mark_a[np.r_[0, stop_a[:-1]]] = 0
+        mark_b[begin_b[:-1]] = 0
+        shown = np.empty(len(a) + len(b), object)
+        shown[np.arange(len(a)) + begin_b[group_a]] = self.shown_a[mark_a, a]
+        shown[np.arange(len(b)) + begin_a[group_b + 1]] = self.shown_b[mark_b, b]
+        shown, stop = shown.tolist(), (stop_a + stop_b).tolist()
+        self.texts += ["".join(shown[i:j]) for i, j in zip([0, *stop], stop)]
+        last = ends_a[stop_a - 1]
+        self.groups.extend(np.diff(np.searchsorted(common, last) + 1, prepend=0).tolist())
+        self.first.extend((len(self.links) + np.searchsorted(ends, last) + 1).tolist())
+        self.links.frombytes(links.astype(np.uint32).tobytes())
 
 
 def _window_hash(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
@@ -168,11 +169,18 @@ def _window_hash(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: in
     return mix(np.add.reduceat(value, starts))
 
 
+def _picked(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the stretches start:stop one behind the other, and where each ends among them."""
+    size = stops - starts
+    tail = np.cumsum(size)
+    return np.repeat(starts - (tail - size), size) + np.arange(tail[-1]), tail
+
+
 class Aligner:
     """Two vocabularies and the windows met so far; one per Python worker."""
 
     def __init__(self, a: Vocabulary, b: Vocabulary):
-        self.a, self.b, self.windows = a, b, Windows()
+        self.a, self.b, self.windows = a, b, Windows(a, b)
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of both sides, or None where one of them does not join to the text."""
@@ -200,18 +208,22 @@ class Aligner:
         key = _window_hash(a, start_a, stop_a, 1) ^ _window_hash(b, start_b, stop_b, 1 << 20)
         _, first, back = np.unique(key, return_index=True, return_inverse=True)
         bytes_a, bytes_b = a.astype("<u2").tobytes(), b.astype("<u2").tobytes()
-        known, align = self.windows.known, self.windows.align
-        entry = []
-        for i, j, m, n in zip(start_a[first].tolist(), stop_a[first].tolist(),
-                              start_b[first].tolist(), stop_b[first].tolist()):
+        known, entry, new = self.windows.known, [], []
+        for w, i, j, m, n in zip(first.tolist(), start_a[first].tolist(), stop_a[first].tolist(),
+                                 start_b[first].tolist(), stop_b[first].tolist()):
             ids = (bytes_a[2 * i:2 * j], bytes_b[2 * m:2 * n])
             found = known.get(ids)
             if found is None:
-                found = align(a[i:j].tolist(), b[m:n].tolist(), ends_a[i:j].tolist(),
-                              ends_b[m:n].tolist())
+                found = len(self.windows) + len(new)
+                new.append(w)
                 if j - i + n - m <= LONG_WINDOW:
                     known[ids] = found
             entry.append(found)
+        if new:
+            picked_a, tail_a = _picked(start_a[new], stop_a[new])
+            picked_b, tail_b = _picked(start_b[new], stop_b[new])
+            a, b = a[picked_a], b[picked_b]
+            self.windows.align(a, b, np.cumsum(self.a.length[a]), np.cumsum(self.b.length[b]), tail_a, tail_b)
         bounds = np.cumsum([len(p[0]) for p in pairs])
         per_text = np.diff(np.searchsorted(stop_a, np.r_[0, bounds], side="right"))
         return np.array(entry)[back], per_text
@@ -284,7 +296,7 @@ def alignments(docs: DataFrame, *keep: str, rank_path: str | None = None,
     def step(batches: Iterator[pa.RecordBatch]):
         work, next_id = aligner(rank_path, piece_path), TaskContext.get().partitionId() << 36
         for batch in batches:
-            for texts in texts_of(batch.column("_text"), 2 * CHUNK):
+            for texts in texts_of(batch.column("_text")):
                 part = batch.slice(texts.first, len(texts))
                 found = work.aligned([t or "" for t in part.column("_text").to_pylist()])
                 found = [f or (0, 0, 0, 0, "", np.zeros(0, np.uint32)) for f in found]

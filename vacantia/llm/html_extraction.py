@@ -564,8 +564,10 @@ def _without_marks(page: Page) -> Page:
 
 def trained(pages: DataFrame, sample: int = SAMPLE_PAGES, trained_on: int = TRAINED_ON) -> Model:
     """The model, from at most `sample` pages (least hash of page_id and html first)."""
-    rows = (pages.where("html IS NOT NULL").select("html", F.xxhash64("page_id", "html").alias("h"))
-            .orderBy("h").limit(sample).collect())
+    hashed = pages.where("html IS NOT NULL").select("html", F.xxhash64("page_id", "html").alias("h"))
+    least = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    rows = hashed.where(F.col("h") <= F.lit(least)).groupBy("h").agg(F.first("html").alias("html")).orderBy(
+        "h").collect() if least is not None else []
     pick, made = random.Random(7), []
     layouts = trained_on // max(1, len(rows)) - 1
     for row in rows:
