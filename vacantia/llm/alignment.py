@@ -274,6 +274,20 @@ def _delta(codes: np.ndarray) -> bytes:
     return np.diff(codes, prepend=codes[:1] * 0).tobytes()
 
 
+def _parts(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a part has about `most` links, or one document."""
+    for batch in batches:
+        size = [x.as_buffer().size // 4 if x.is_valid else 0 for x in batch.column("_links")]
+        start, held = 0, 0
+        for k, n in enumerate(size):
+            if held and held + n > most:
+                yield batch.slice(start, k - start)
+                start, held = k, 0
+            held += n
+        if start < len(size):
+            yield batch.slice(start)
+
+
 def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all rows, and the row of each."""
     raw = [np.frombuffer(x.as_buffer(), np.uint32) if x.is_valid else np.zeros(0, np.uint32)
@@ -328,7 +342,7 @@ def link_counts(aligned: DataFrame) -> DataFrame:
             unique, back = np.unique(np.concatenate(codes), return_inverse=True)
             return unique, np.bincount(back, np.concatenate(counts)).astype(np.int64)
 
-        for batch in batches:
+        for batch in _parts(batches):
             unique, n = np.unique(_codes(batch.column("_links"))[0], return_counts=True)
             codes.append(unique)
             counts.append(n)
@@ -383,7 +397,7 @@ def scored(aligned: DataFrame, counts: DataFrame, top: int = TOP) -> DataFrame:
     schema = T.StructType([*kept, *T.StructType.fromDDL("n_best long, count_sum long").fields])
 
     def sums(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             _, row, _, count, top_one = found(batch.column("_links"))
             size = batch.num_rows
             # Exact as long as a document's counts sum to less than 2^53.
@@ -393,7 +407,7 @@ def scored(aligned: DataFrame, counts: DataFrame, top: int = TOP) -> DataFrame:
                 [*[batch.column(f.name) for f in kept], *added], names=schema.names)
 
     def rest(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             codes, row, hit, _, _ = found(batch.column("_links"))
             ids = np.asarray(batch.column("_id"))[row[~hit]]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(codes[~hit])], ["_id", "code"])
