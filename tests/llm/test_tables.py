@@ -83,6 +83,20 @@ def test_jaccard_join_odd(spark, odd, none):
     assert kept.count(5) == 1 and kept.count(None) == 1 and 14 not in kept
 
 
+def test_several_texts_under_one_id_stay(spark):
+    """Each text counts; only copies of what is kept go, whichever id they have."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a, "s"), (1, b, "s"), (1, b, "s"), (0, c, "s"), (2, a, "s"), (3, b, "s"), (2, c, "s"), (4, "", "s"),
+            (None, a, "s"), (5, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hash string")
+    for parts in (1, 7):
+        kept = jaccard_join.kept_documents(spark, docs.repartition(parts), SF)
+        assert kept.columns == docs.columns
+        assert sorted(map(str, kept.collect())) == sorted(map(str, [docs.where(t).first() for t in (
+            "doc_id = 1 AND text LIKE 'a%'", "doc_id = 1 AND text LIKE 'b%'", "doc_id = 0", "doc_id = 4",
+            "doc_id IS NULL", "doc_id = 5")]))
+
+
 def test_grids_and_widths_change_nothing(spark, monkeypatch):
     """Small limits cut groups and families into many tasks, and give sets wider bitmaps."""
     monkeypatch.setattr(jaccard_join, "CELL", 4)

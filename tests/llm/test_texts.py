@@ -1,6 +1,7 @@
 """Operators on single documents: rules, classifier, language, personal data, tokens, packing."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vacantia.llm import (language_id, packing, personal_data, pieces, quality_classifier,
                           quality_rules)
+from vacantia.llm.words import packed
 
 from .conftest import ODD, SF, words
 
@@ -121,6 +123,43 @@ def test_language(docs, odd, none):
     assert {r[0] for r in language_id.predicted(odd, empty, "doc_id").select("lang_pred").collect()} == {"und"}
 
 
+def test_languages_by_blocks(spark, docs, odd, monkeypatch):
+    """Blocks of one language give what one block of all gives, and many languages need no limit."""
+    whole = language_id.predicted(docs, language_id.fit(docs), "doc_id").collect()
+    monkeypatch.setattr(language_id, "BLOCK", 1)
+    monkeypatch.setattr(language_id, "HELD", 2)
+    blocks = language_id.predicted(docs, language_id.fit(docs), "doc_id").collect()
+    assert [(r["_row"], r.lang_pred) for r in blocks] == [(r["_row"], r.lang_pred) for r in whole]
+    assert all(abs(a.score - b.score) < 1e-9 for a, b in zip(blocks, whole))
+    monkeypatch.setattr(language_id, "BLOCK", 300)
+    many = spark.range(600).selectExpr("id AS doc_id", "concat('l', id) AS lang",
+                                       "repeat(concat(translate(cast(id AS string), '0123456789', 'abcdefghij'), ' '), 9) AS text")
+    model = language_id.fit(many)
+    got = language_id.predicted(many, model, "doc_id", "lang").selectExpr("_row.lang", "lang_pred").collect()
+    assert model.size == 600 and sum(r.lang == r.lang_pred for r in got) > 550
+
+
+def test_scores_equal_naive_bayes(spark):
+    """Posterior probabilities worked out with plain dictionaries."""
+    rows = [(1, "ab ab", "x"), (2, "ba", "y"), (3, "ab c", "x"), (4, "ccc", "y"), (5, "abc", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def counted(text):
+        return Counter(language_id.grams([text])[0].tolist())
+
+    share, total = {"x": 0.5, "y": 0.5}, {"x": Counter(), "y": Counter()}
+    for _, text, lang in rows:
+        if lang:
+            total[lang] += counted(text)
+    size = {k: sum(v.values()) + language_id.SMOOTHING * language_id.BUCKETS for k, v in total.items()}
+    for r in language_id.predicted(table, language_id.fit(table), "text").collect():
+        logs = {k: math.log(share[k]) + sum(n * math.log((total[k][b] + language_id.SMOOTHING) / size[k])
+                                            for b, n in counted(r["_row"].text).items()) for k in share}
+        best = max(sorted(logs), key=logs.get)
+        whole = sum(math.exp(v - logs[best]) for v in logs.values())
+        assert r.lang_pred == best and abs(r.score - 1 / whole) < 1e-4
+
+
 def test_language_counts_equal_brute_force():
     bucket, owner = language_id.grams(["Ab, c!", "", "é"])
     lines = [" ab c ", "  ", " é "]
@@ -183,6 +222,25 @@ def test_personal_data(spark, docs, texts, odd, none):
             assert not plain_spans(r.redacted or "") or len(plain_spans(r.redacted)) < len(base)
 
 
+def test_rare_personal_data_is_learned_from(spark):
+    """One document in 3,000 holds any; its disguised twin is found all the same."""
+    rows = [(i, f"plain words without numbers {'a' * (i % 7)}") for i in range(9000)]
+    rows += [(20_000 + i, f"write to some.one{i}@mail.example.com or call +44 20 7946 0{i}00") for i in range(3)]
+    field = personal_data.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    twin = spark.createDataFrame([(1, "write to other.name [at] mail.example.com today")], "doc_id long, text string")
+    found = personal_data.found(twin, field, "doc_id").first()
+    assert found.spans.startswith("email:")
+
+
+def test_no_stretch_is_left_out_of_the_draw(spark):
+    """A document with hundreds of spans gives as many examples as are asked for, in any partitioning."""
+    text = " ".join(f"m{i}@x{i}.example.org" for i in range(500))
+    table = spark.createDataFrame([(i, text[i:]) for i in range(4)], "doc_id long, text string")
+    drawn = [sorted(map(tuple, packed(table.repartition(n)).select("_text").mapInArrow(
+        personal_data._examples(100), "piece string, a int, b int, kind int, hash long").collect())) for n in (1, 1)]
+    assert drawn[0] == drawn[1] and len([r for r in drawn[0] if r[3] == 0]) == 100
+
+
 def test_field_sums_equal_enumeration():
     """The sum over all segmentations, and the best one, against listing them."""
     rng = np.random.default_rng(0)

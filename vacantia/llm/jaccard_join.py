@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.shuffle import with_position
 from ..session import cut_lineage
 from .graph import components, forest
 from .words import Texts, hashes, mix, packed, texts_of, windows, with_added, without_text, words_of
@@ -446,12 +447,26 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies (five-word shingles, similarity 0.8) the
-    document with the least id stays, once; rows without an id stay."""
-    groups = linked(docs, Bound(size=5, percent=80)).select("doc_id", "component_id").distinct()
-    leaders = groups.where("doc_id = component_id").select("doc_id")
-    named = docs.where("doc_id IS NOT NULL").join(leaders, "doc_id", "left_semi")
-    once = named.dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    document with the least id stays, once; rows without an id stay. Where an id has several rows,
+    each text counts as a document of its own, the least hash of a text first."""
+    bound = Bound(size=5, percent=80)
+    named, rest = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL")
+    if named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        kept = named.join(_leaders(named, bound), "doc_id", "left_semi").select(*docs.columns)
+    else:
+        texts = F.xxhash64("text").alias("hash")
+        rows = named.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", texts)
+        once = rows.groupBy("doc_id", "hash", "text").agg(F.first("_row").alias("_row"))
+        placed = with_position(once, [F.col("doc_id"), F.col("hash"), F.col("text")], "_place")
+        apart = placed.select(F.col("_place").alias("doc_id"), "text")
+        kept = placed.join(_leaders(apart, bound).withColumnRenamed("doc_id", "_place"), "_place",
+                           "left_semi").select("_row.*")
+    return kept.unionByName(rest).select(*docs.columns)
+
+
+def _leaders(docs: DataFrame, bound: Bound) -> DataFrame:
+    """The least id of each group of documents, whose ids are distinct."""
+    return linked(docs, bound).where("doc_id = component_id").select("doc_id").distinct()
 
 
 # All links by counting common shingles, then the closure: for the small tables of the check only.

@@ -2,8 +2,9 @@
 
 Counts of hashed 1- to 3-grams per language come from all learnable documents: every task adds up
 its own rows first, so a hot language costs nothing extra. The log-probability matrix (BUCKETS rows,
-one column per language, at most MAX_LANGS) is broadcast; a task scores a whole chunk of texts with
-one gather and one sum per text.
+one column per language) is broadcast; a task scores a whole chunk of texts with one gather and one
+sum per text. More than BLOCK languages are scored block after block: the matrix of a block is
+broadcast, and every row carries the best score and the sum of all so far.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; rows without a language
 or id are never learned from; repeated rows count and are scored once each; an empty table, or none
@@ -18,14 +19,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..operators.shuffle import with_position
+from ..session import cut_lineage
 from .words import CHUNK, mix, packed, with_added
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
-MAX_LANGS = 512  # bounds the broadcast: 512 x 32768 floats of 4 bytes are 64 MB
+BLOCK = 512      # languages; bounds the broadcast: 512 x 32768 floats of 4 bytes are 64 MB
+HELD = 64        # languages whose counts a task holds before it hands them on
 
 _LETTER = regex.compile(r"\p{L}")
 _letters: list[np.ndarray] = []
@@ -82,25 +86,49 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, bucket, n) of a task's texts; bucket -1 counts the texts."""
     totals: dict[str, np.ndarray] = {}
+
+    def handed_on() -> Iterator[pa.RecordBatch]:
+        for lang, total in totals.items():
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(at)), pa.array((at - 1).astype(np.int32)), pa.array(total[at])],
+                names=["lang", "bucket", "n"])
+        totals.clear()
+
     for batch in batches:
         langs = np.array(batch.column("lang").to_pylist(), object)
         for start, texts in _chunks(batch.column("_text").to_pylist()):
             bucket, owner = grams(texts)
             of = langs[start:start + len(texts)]
             for lang in sorted(set(of)):
-                total = totals.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                total += np.bincount(bucket[(of == lang)[owner]], minlength=BUCKETS)
-    for lang, total in totals.items():
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(total[at])],
-            names=["lang", "bucket", "n"])
+                total = totals.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
+                total[0] += (of == lang).sum()
+                total[1:] += np.bincount(bucket[(of == lang)[owner]], minlength=BUCKETS)
+                if len(totals) >= HELD:
+                    yield from handed_on()
+    yield from handed_on()
 
 
 class Model:
-    def __init__(self, langs: list[str], logp: np.ndarray, prior: np.ndarray):
-        self.langs, self.logp, self.prior = langs, logp, prior
+    """Counts (lang, bucket, n) of `size` languages and their places (lang, place), in alphabetical
+    order."""
+
+    def __init__(self, counts: DataFrame, places: DataFrame, size: int, texts: int):
+        self.counts, self.places, self.size, self.texts = counts, places, size, texts
+
+    def block(self, k: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Names, log probabilities of buckets and log shares of texts of the k-th BLOCK languages."""
+        own = self.places.where(F.col("place").between(k * BLOCK + 1, (k + 1) * BLOCK))
+        table = self.counts.join(F.broadcast(own.select("lang")), "lang").toArrow()  # BLOCK names at most
+        langs = sorted(set(table["lang"].to_pylist()))
+        column = np.searchsorted(langs, table["lang"].to_pylist()) if langs else np.zeros(0, int)
+        total = np.zeros((BUCKETS + 1, len(langs)))
+        total[table["bucket"].to_numpy() + 1, column] = table["n"].to_numpy()
+        seen = total[1:] + SMOOTHING
+        return (langs, np.log(seen / seen.sum(axis=0)).astype(np.float32),
+                np.log(total[0] / max(self.texts, 1)))
 
 
 def fit(docs: DataFrame, learnable: Column | None = None) -> Model:
@@ -108,52 +136,66 @@ def fit(docs: DataFrame, learnable: Column | None = None) -> Model:
     usable = F.col("lang").isNotNull() & F.col("text").isNotNull()
     rows = docs.where(usable if learnable is None else usable & learnable).select(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("_text"))
-    counts = rows.mapInArrow(_count, "lang string, bucket int, n long")
-    found = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").limit(MAX_LANGS + 1)
-    table = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    langs = sorted(set(table["lang"].to_pylist()))
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages, e.g. {found.first()}")
-    column = np.searchsorted(langs, table["lang"].to_pylist()) if langs else np.zeros(0, int)
-    total = np.zeros((BUCKETS, len(langs)))
-    total[table["bucket"].to_numpy(), column] = table["n"].to_numpy()
-    seen = total + SMOOTHING
-    # Shares of n-grams stand for shares of documents: both say how common a language is.
-    return Model(langs, np.log(seen / seen.sum(axis=0)).astype(np.float32),
-                 np.log(total.sum(axis=0) / max(total.sum(), 1)))
+    counts = cut_lineage(rows.mapInArrow(_count, "lang string, bucket int, n long")
+                         .groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    texts = counts.where("bucket = -1")
+    size, total = texts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    names = texts.select("lang")
+    places = names.withColumn("place", F.lit(1)) if size <= BLOCK else cut_lineage(
+        with_position(names, [F.col("lang")], "place"))
+    return Model(counts, places, size, total)
 
 
 def predicted(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """_row (a struct of the `keep` columns), lang_pred and score (posterior probability)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.langs, model.logp, model.prior))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, logp, prior = shared.value
-        names = np.array(langs + ["und"], object)
-        for batch in batches:
-            kept = [n for n in batch.schema.names if n != "_text"]
-            for start, texts in _chunks(batch.column("_text").to_pylist()):
-                part = batch.slice(start, len(texts))
-                best, sure = np.full(len(texts), len(langs)), np.zeros(len(texts))
-                if langs:
-                    bucket, owner = grams(texts)
-                    total = np.stack([np.bincount(owner, weights=logp[bucket, k],
-                                                  minlength=len(texts)) for k in range(len(langs))],
-                                     axis=1) + prior
-                    total -= total.max(axis=1, keepdims=True)
-                    share = np.exp(total)
-                    share /= share.sum(axis=1, keepdims=True)
-                    letters = np.array([_LETTER.search(t) is not None for t in texts], bool)
-                    best = np.where(letters, share.argmax(axis=1), len(langs))
-                    sure = np.where(letters, share.max(axis=1), 0.0)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(n) for n in kept]
-                    + [pa.array(names[best], pa.string()), pa.array(sure)],
-                    names=kept + ["lang_pred", "score"])
-
-    rows = packed(docs, *keep)
-    return rows.mapInArrow(score, with_added(rows, "lang_pred string, score double"))
+    rows, spark = packed(docs, *keep), docs.sparkSession
+    blocks = max(1, -(-model.size // BLOCK))
+    names = [f.name for f in rows.schema.fields if f.name != "_text"]
+
+    def step(k: int):
+        shared = spark.sparkContext.broadcast(model.block(k))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            langs, logp, prior = shared.value
+            known = np.array([*langs, None], object)
+            for batch in batches:
+                for start, texts in _chunks(batch.column("_text").to_pylist()):
+                    part, n = batch.slice(start, len(texts)), len(texts)
+                    if k:
+                        top, whole = (part.column(c).to_numpy(zero_copy_only=False).copy() for c in ("_top", "_whole"))
+                        named = np.array(part.column("lang_pred").to_pylist(), object)
+                    else:
+                        top, whole, named = np.full(n, -np.inf), np.full(n, -np.inf), np.full(n, None, object)
+                    if langs:
+                        bucket, owner = grams(texts)
+                        total = np.stack([np.bincount(owner, weights=logp[bucket, i], minlength=n)
+                                          for i in range(len(langs))], axis=1) + prior
+                        best = total.argmax(axis=1)
+                        most = total[np.arange(n), best]
+                        named = np.where(most > top, known[best], named)
+                        here = most + np.log(np.exp(total - most[:, None]).sum(axis=1))
+                        top, whole = np.maximum(top, most), np.logaddexp(whole, here)
+                    columns = [part.column(c) for c in names]
+                    if k < blocks - 1:
+                        yield pa.RecordBatch.from_arrays(
+                            [*columns, part.column("_text"), pa.array(named, pa.string()), pa.array(top), pa.array(whole)],
+                            names=[*names, "_text", "lang_pred", "_top", "_whole"])
+                        continue
+                    sure = np.array([_LETTER.search(t) is not None for t in texts], bool) & np.isfinite(top)
+                    with np.errstate(invalid="ignore"):
+                        score = np.where(sure, np.exp(top - whole), 0.0)
+                    yield pa.RecordBatch.from_arrays(
+                        [*columns, pa.array(np.where(sure, named, "und"), pa.string()), pa.array(score)],
+                        names=[*names, "lang_pred", "score"])
+
+        return score
+
+    final = with_added(rows, "lang_pred string, score double")
+    carried = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(
+        "lang_pred string, _top double, _whole double").fields])
+    for k in range(blocks - 1):
+        rows = cut_lineage(rows.mapInArrow(step(k), carried))
+    return rows.mapInArrow(step(blocks - 1), final)
 
 
 def held_out(parts: int) -> Column:

@@ -3,9 +3,9 @@
 Base patterns (email, ip, card, phone) are found exactly. Around what they leave, stretches of
 tokens with digits or at-signs are decoded by the field: a segment of up to LONGEST tokens is scored
 by features of the whole span (shape, digits, checksum, borders), and dynamic programming chooses
-boundaries and kinds together, with base spans fixed. The field learns from base spans of a bounded
-sample of documents and from the same spans as people disguise them (`0044`, `[at]`, dots in card
-numbers), so it adds spans of known kinds that the patterns do not reach.
+boundaries and kinds together, with base spans fixed. The field learns from a bounded number of base
+spans of each kind, drawn by hash from all documents, and from the same spans as people disguise them
+(`0044`, `[at]`, dots in card numbers), so it adds spans of known kinds that the patterns do not reach.
 
 Defined cases: a null or empty text has no spans; repeated rows are handled each by itself; a text
 of any length is read whole; without base spans to learn from the field adds none; an empty table
@@ -18,18 +18,19 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .words import packed, with_added
 
 KINDS = ["email", "ip", "card", "phone"]
 LONGEST = 24         # tokens of a segment
 REACH = 80           # characters from a trigger to the border of its stretch
-SAMPLE_DOCS = 3000   # documents that the field may learn from
+LONG_REGION = 400    # characters; longer stretches are no examples
 SAMPLE_REGIONS = 1500
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -286,32 +287,49 @@ def disguises(text: str, kind: int) -> list[str]:
     return []
 
 
-def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches around base spans and without any: text, borders, kind (-1: none)."""
-    for batch in batches:
-        rows: list[tuple] = []
-        for text in batch.column("_text").to_pylist():
-            text = text or ""
-            spans = base_spans(text)
-            for start, kind, stop in spans[:50]:
-                low, high = max(0, start - 30), min(len(text), stop + 30)
-                rows.append((text[low:high], start - low, stop - low, kind))
-            for start, stop in regions(text, spans)[:20]:
-                low, high = max(0, start - 5), min(len(text), stop + 5)
-                rows.append((text[low:high], start - low, stop - low, -1))
-        columns = list(zip(*rows)) if rows else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.string())] + [pa.array(c, pa.int32()) for c in columns[1:]],
-            names=["piece", "a", "b", "kind"])
+def _examples(most: int):
+    """Stretches around base spans and without any: text, borders, kind (-1: none) and a hash. A task
+    hands on its `most` least hashes of each kind."""
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, dict[tuple, int]] = {}
 
+        def add(piece: str, a: int, b: int, kind: int) -> None:
+            own = held.setdefault(kind, {})
+            own[piece, a, b] = zlib.crc32(f"{kind}:{a}:{b}:{piece}".encode("utf-8", "surrogatepass"))
+            if len(own) > 4 * most:
+                held[kind] = dict(sorted(own.items(), key=lambda x: (x[1], x[0]))[:most])
 
-def fit(docs: DataFrame, most_docs: int = SAMPLE_DOCS, most_regions: int = SAMPLE_REGIONS) -> Field:
-    """Learns from at most `most_regions` stretches of at most `most_docs` documents."""
-    sample = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(
-        F.xxhash64("doc_id"), "doc_id").limit(most_docs)
-    rows = packed(docs.join(F.broadcast(sample), "doc_id", "left_semi")).select("_text")
-    found = rows.mapInArrow(_examples, "piece string, a int, b int, kind int").distinct().orderBy(
-        F.xxhash64("piece", "a"), "piece", "a", "b", "kind").limit(most_regions).collect()
+        for batch in batches:
+            for text in batch.column("_text").to_pylist():
+                text = text or ""
+                spans = base_spans(text)
+                for start, kind, stop in spans:
+                    low, high = max(0, start - 30), min(len(text), stop + 30)
+                    add(text[low:high], start - low, stop - low, kind)
+                for start, stop in regions(text, spans):
+                    if stop - start <= LONG_REGION:
+                        low, high = max(0, start - 5), min(len(text), stop + 5)
+                        add(text[low:high], start - low, stop - low, -1)
+        rows = [(*key, kind, value) for kind, own in held.items()
+                for key, value in sorted(own.items(), key=lambda x: (x[1], x[0]))[:most]]
+        columns = list(zip(*rows)) if rows else [[], [], [], [], []]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(columns[0], pa.string())] + [pa.array(c, pa.int32()) for c in columns[1:4]]
+            + [pa.array(columns[4], pa.int64())], names=["piece", "a", "b", "kind", "hash"])
+
+    return step
+
+
+def fit(docs: DataFrame, most_regions: int = SAMPLE_REGIONS) -> Field:
+    """Learns from at most `most_regions` stretches, as many of each kind and of none, that have the
+    least hashes among those of all documents; so kinds that are rare in the corpus are learned,
+    too."""
+    each = most_regions // 5
+    rows = packed(docs).select("_text")
+    drawn = rows.mapInArrow(_examples(each), "piece string, a int, b int, kind int, hash long").distinct()
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("hash", "piece", "a", "b"))
+    found = drawn.withColumn("n", place).where(F.col("n") <= each).orderBy("kind", "n").select(
+        "piece", "a", "b", "kind").collect()
     examples = []
     for piece, a, b, kind in found:
         for text in [piece[a:b], *disguises(piece[a:b], kind)] if kind >= 0 else [None]:
