@@ -4,10 +4,11 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from vacantia.operators import dedup, upsert
-from vacantia.operators.shuffle import with_position
+from vacantia.operators import dedup, similar as similar_titles, upsert
+from vacantia.operators.shuffle import last_before, with_position
 from vacantia.schema import POSTING
 
 
@@ -20,8 +21,9 @@ def random_titles(rnd, n):
     return ["".join(rnd.choice(words) for _ in range(rnd.randint(1, 4))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("head, chunk", [(3, 4), (2048, 16384)])
-def test_leaders(spark, head, chunk):
+@pytest.mark.parametrize("head, block", [(3, 4), (2, 1000), (2048, 4096)])
+def test_leaders(spark, head, block):
+    """Settled by heads alone, or by heads and then rounds, compared whole or by letter pairs."""
     rnd = random.Random(head)
     keys = {(rnd.choice("aaab"), t) for t in random_titles(rnd, 160)}
     rows = [(c, t, i) for i, (c, t) in enumerate(sorted(keys, key=lambda _: rnd.random()))]
@@ -33,24 +35,54 @@ def test_leaders(spark, head, chunk):
             mine.append(title)
         want.add((company, title, hit or title))
     df = spark.createDataFrame(rows, "company string, title string, ord long")
-    got = {tuple(r) for r in dedup.assign_leaders(df, head, chunk).collect()}
+    got = {tuple(r) for r in similar_titles.assign_leaders(df, head, block).collect()}
     assert got == want
 
 
-@pytest.mark.parametrize("chunk", [5, 16384])
-def test_first_similar(spark, chunk):
-    rnd = random.Random(chunk)
-    stored = [(rnd.choice("aab"), t, i) for i, t in enumerate(random_titles(rnd, 120))]
-    probes = [(rnd.choice("aabc"), t) for t in random_titles(rnd, 120)]
+@pytest.mark.parametrize("block", [5, 4096])
+def test_first_similar(spark, block):
+    rnd = random.Random(block)
+    held = [(rnd.choice("aab"), t, rnd.randint(0, 500), since, since + rnd.randint(1, 60))
+            for t in random_titles(rnd, 160) for since in [rnd.randint(0, 90)]]
+    probes = [(rnd.choice("aabc"), t, rnd.randint(0, 120)) for t in random_titles(rnd, 160)]
     want = set()
-    for company, title in probes:
-        hits = [i for c, t, i in stored if c == company and similar(t, title)]
+    for company, title, at in probes:
+        hits = [i for c, t, i, since, until in held if c == company and since < at <= until and similar(t, title)]
         if hits:
-            want.add((company, title, min(hits)))
-    got = dedup.first_similar(spark.createDataFrame(probes, "company string, title string"),
-                              spark.createDataFrame(stored, "company string, title string, id long"),
-                              chunk)
-    assert {tuple(r) for r in got.collect()} == want
+            want.add((company, title, at, min(hits)))
+    got = similar_titles.first_similar(
+        spark.createDataFrame(probes, "company string, title string, at long"),
+        spark.createDataFrame(held, "company string, title string, ord long, since long, until long"), block)
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 10
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("abc1", min_size=1, max_size=24), st.lists(st.tuples(
+    st.integers(0, 23), st.sampled_from(["out", "in", "swap"]), st.sampled_from("abc1x")), max_size=5))
+def test_similar_titles_show_a_common_pair(title, edits):
+    """Whatever order the pairs are in."""
+    other = title
+    for at, kind, letter in edits:
+        at %= len(other) + 1
+        other = other[:at] + (letter if kind != "out" else "") + other[at + (kind != "in"):]
+    if title == other or not other or not similar(title, other):
+        return
+    for salt in range(5):
+        def shown(t):
+            ranked = sorted(similar_titles._pairs(t), key=lambda p: (hash((p, salt)), p))
+            return set(ranked[:similar_titles.prefix(len(t))])
+
+        assert shown(title) & shown(other)
+
+
+def test_one_company_of_many_titles(spark):
+    """20,000 titles of one company: a family around every one of 400 stems."""
+    rnd = random.Random(4)
+    stems = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(24)) for _ in range(400)]
+    titles = list(dict.fromkeys(stems[i % 400] + f"{i // 400:02d}" for i in range(20_000)))
+    df = spark.createDataFrame([("hot", t, i) for i, t in enumerate(titles)], "company string, title string, ord long")
+    got = {r.title: r.leader for r in similar_titles.assign_leaders(df, head=100).collect()}
+    assert got == {t: t[:24] + "00" for t in titles}
 
 
 ROW = ("id long, company string, title string, location string, is_reposted int, status string, "
@@ -169,40 +201,107 @@ def test_upsert(spark, rows, want):
     assert shown(got) == sorted(want)
 
 
-def test_upsert_does_not_depend_on_batches(spark):
+def one_by_one(stored, rows, fuzzy):
+    """Rows (seq, posting_id, key) against stored (id, posting_id, key): the owner of each row, a
+    stored id or the seq of the row that starts the posting."""
+    postings = [[("stored", i), p, k] for i, p, k in sorted(stored)]
+    out = {}
+    for seq, name, key in sorted(rows):
+        company = key.split(":")[0]
+        found = next((x for x in postings if x[1] == name), None)
+        if found is None and key:
+            found = next((x for x in postings if x[2] == key), None) or (next((
+                x for x in postings if fuzzy and x[2].split(":")[0] == company and similar(
+                    x[2].split(":")[1], key.split(":")[1])), None))
+        if found is None:
+            found = [("new", seq), name, key]
+            postings.append(found)
+        elif key:
+            found[2] = key
+        out[seq] = found[0]
+    return out
+
+
+def resolved(spark, stored, rows, fuzzy):
+    """The same from `resolve`, for keys of normalised company and title."""
+    held = spark.createDataFrame([(i, p, *(k.split(":") if k else ("", "")), k) for i, p, k in stored],
+                                 "id long, posting_id string, company string, title string, dedup_key string")
+    batch = spark.createDataFrame([(s, p, *(k.split(":") if k else ("", "x"))) for s, p, k in rows],
+                                  "seq long, posting_id string, company string, title string").withColumns(
+        {c: F.lit("") for c in ("posted_at", "description", "location")})
+    got = upsert.resolve(batch, held, fuzzy).collect()
+    start = {r.new_group: r.seq for r in got if r.is_new}
+    assert len(got) == len(rows)
+    return {r.seq: ("new", start[r.new_group]) if r.target_id is None else ("stored", r.target_id) for r in got}
+
+
+FAMILY = ["devopsengineer", "devopsengineers", "srdevopsengineer", "srdevopsengineers", "devopsengineerx",
+          "xdevopsengineersx", "cloudlead", "cloudleads", "scloudleads", "azure"]
+
+
+@pytest.mark.parametrize("seed, fuzzy", [(1, True), (2, True), (3, True), (4, True), (5, False), (6, False)])
+def test_resolve_goes_row_by_row(spark, seed, fuzzy):
+    """Random batches full of moves, similar titles, keyless rows and repeated ids."""
+    rnd = random.Random(seed)
+
+    def key():
+        return f"{rnd.choice(['acme', 'bolt', 'bolt', 'cobo'])}:{rnd.choice(FAMILY)}" if rnd.random() < 0.93 else ""
+
+    stored = [(i, f"p{i}", key()) for i in range(1, 9)]
+    rows = [(s, f"p{rnd.randint(1, 40)}", key()) for s in range(70)]
+    assert resolved(spark, stored, rows, fuzzy) == one_by_one(stored, rows, fuzzy)
+
+
+def test_similar_titles_follow_the_key_of_the_batch(spark):
+    """The case of one batch against two: a new posting is found under its key, not made twice."""
+    stored, rows = [(1, "p1", "acme:aaaaaaaa")], [(0, "p1", "acme:zzzzzzzz"), (1, "p2", "acme:zzzzzzzz")]
+    assert resolved(spark, stored, rows, True) == {0: ("stored", 1), 1: ("stored", 1)}
+    drift = [(k, f"n{k}", f"acme:{t}") for k, t in enumerate(
+        ["devopsengineer", "devopsengineers", "sdevopsengineers", "sdevopsengineersx", "devopsengineer"])]
+    assert resolved(spark, stored, drift, True) == one_by_one(stored, drift, True)
+
+
+@pytest.mark.parametrize("fuzzy", [False, True])
+def test_one_hot_key(spark, fuzzy):
+    """200,000 rows of one key that postings move from and to, and stored postings that share it."""
+    n = 200_000
+    stored = spark.range(1, 2001).selectExpr(
+        "id", "concat('p', id) AS posting_id", "'acme' AS company", "'devopsengineer' AS title",
+        "'acme:devopsengineer' AS dedup_key")
+    batch = spark.range(n).selectExpr(
+        "id AS seq", "CASE WHEN id % 50000 = 7 THEN concat('p', id DIV 50000 + 1) ELSE concat('n', id) END AS posting_id",
+        "'acme' AS company", "CASE WHEN id % 50000 = 7 THEN 'azurelead' ELSE 'devopsengineer' END AS title",
+        "'' AS posted_at", "'' AS description", "'' AS location")
+    got = upsert.resolve(batch, stored, fuzzy).groupBy("target_id").count().collect()
+    # Postings 1 to 4 leave one after the other; the lowest that stays takes the rows.
+    want = {1: 8, 2: 50_000, 3: 50_000, 4: 50_000, 5: n - 150_008}
+    assert {r.target_id: r["count"] for r in got} == want
+
+
+@pytest.mark.parametrize("width", [4, 1 << 16])
+def test_last_before(spark, width):
+    rnd = random.Random(width)
+    rows = [(rnd.choice("aab"), i, rnd.choice([None, f"v{i}"])) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, o long, v string")
+    got = {r.o: r.seen for r in last_before(df, "k", "o", "v", "seen", width).collect()}
+    for k, o, _ in rows:
+        earlier = [v for k2, o2, v in rows if k2 == k and o2 < o and v is not None]
+        assert got[o] == (earlier[-1] if earlier else None)
+
+
+@pytest.mark.parametrize("fuzzy", [False, True])
+def test_upsert_does_not_depend_on_batches(spark, fuzzy):
     rnd = random.Random(8)
-    titles = ["Aaaa", "Bbbb", "Cccc", "Dddd"]
+    titles = ["Aaaa", "Bbbb", "Cccc", "Dddd"] + ["Devops Engineer", "Devops Engineers", "Sr Devops Engineer"] * fuzzy
     rows = [(i, f"p{rnd.randint(1, 14)}", rnd.choice(["Acme", "Bolt"]), rnd.choice(titles),
              rnd.choice(["", "Rome", "Bonn"]), f"v{i}", "e" * rnd.randint(0, 12)) for i in range(32)]
-    whole = shown(upsert.upsert(crawl(spark, rows), table(spark, HELD), fuzzy=False))
-    stored = table(spark, HELD)
-    for start in (0, 10, 20):
-        part = upsert.upsert(crawl(spark, [r for r in rows if start <= r[0] < start + 10 + 2 * (start == 20)]),
-                             stored, fuzzy=False)
-        stored = table(spark, [tuple(r) for r in shown(part)])
-    assert shown(stored) == whole
-
-
-def test_fuzzy_upsert_groups_the_batch(spark):
-    rnd = random.Random(9)
-    titles = list(dict.fromkeys(random_titles(rnd, 60)))
-    stored_titles, new_titles = titles[:15], titles[15:]
-    stored = spark.createDataFrame(
-        [(i, f"p{i}", "acme", t, f"acme:{t}") for i, t in enumerate(stored_titles, 1)],
-        "id long, posting_id string, company string, title string, dedup_key string")
-    batch = [(i, f"n{i}", "acme", t) for i, t in enumerate(new_titles + new_titles[:5])]
-    want, leaders = {}, []
-    for seq, posting, _, title in batch:
-        hit = next((i for i, t in enumerate(stored_titles, 1) if similar(t, title)), None)
-        lead = None if hit else next((t for t in leaders if t == title), None) or next(
-            (t for t in leaders if similar(t, title)), None)
-        if not hit and lead is None:
-            leaders.append(title)
-        want[seq] = (hit, None if hit else f"k:acme:{lead or title}", not hit and lead is None)
-    df = spark.createDataFrame(batch, "seq long, posting_id string, company string, title string")
-    df = df.withColumns({c: F.lit("") for c in ("posted_at", "description", "location")})
-    got = {r.seq: (r.target_id, r.new_group, r.is_new) for r in upsert.resolve(df, stored).collect()}
-    assert got == want
+    whole = shown(upsert.upsert(crawl(spark, rows), table(spark, HELD), fuzzy))
+    for cuts in ([0, 10, 20, 32], [0, 16, 32]):
+        stored = table(spark, HELD)
+        for start, stop in zip(cuts, cuts[1:]):
+            part = upsert.upsert(crawl(spark, rows[start:stop]), stored, fuzzy)
+            stored = table(spark, [tuple(r) for r in shown(part)])
+        assert shown(stored) == whole
 
 
 def test_positions(spark):

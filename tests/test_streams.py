@@ -49,6 +49,48 @@ def test_upsert_stream(spark):
     assert sorted(compacted.collect()) == sorted(want.collect())
 
 
+def test_fuzzy_stream_does_not_depend_on_batches(spark):
+    """Similar titles, moves and repeats in one, two and five micro-batches."""
+    titles = ["devops engineer", "devops engineers", "sr devops engineer", "cloud lead", "cloud leads"]
+    rows = [(i, f"p{i * 5 % 11}", ["acme", "bolt"][i % 2], titles[i * 7 % 5], ["Pune", "Oslo, NO", ""][i % 3],
+             f"u{i}", "d" * (i % 5)) for i in range(30)]
+    df = spark.createDataFrame(rows, "seq long, posting_id string, company string, title string, "
+                                     "location string, url string, description string")
+    df = df.withColumns({c: F.lit("") for c in ("posted_at", "employment_type", "salary", "experience_level",
+                                                "work_mode")})
+    stored = spark.createDataFrame(
+        [(1, "p3", "Devops Engineerr", "acme", "Rome", "u", "text", 0, "saved", "acme:devopsengineerr")],
+        "id long, posting_id string, title string, company string, location string, url string, "
+        "description string, is_reposted int, status string, dedup_key string")
+    want = sorted(upsert.upsert(df, stored).select(*COLUMNS).collect())
+    for parts in (2, 5):
+        home = new_folder(spark, "test")
+        log = jobs.PostingLog(spark, f"{home}/log").start(stored)
+        cut = df.withColumn("part", F.floor(F.col("seq") * parts / 30))
+        jobs.upsert_stream(staged(spark, cut, parts), log, f"{home}/offsets").awaitTermination()
+        assert sorted(log.current().select(*COLUMNS).collect()) == want
+
+
+def test_first_seen_keeps_its_ids_as_state(spark):
+    """Repeats never come back, even with an earlier time; of a micro-batch the first row counts. What a
+    batch reads is its own rows, not what was written before."""
+    rows = [(i, i * 7 % 25, f"v{i}", i // 10) for i in range(60)]
+    df = spark.createDataFrame(rows, "event_id long, id long, status string, part long").withColumn(
+        "ts", F.timestamp_seconds(F.lit(1_700_000_000) - F.col("event_id")))
+    home = new_folder(spark, "test")
+    query = jobs.first_seen_stream(staged(spark, df, 6), f"{home}/seen", f"{home}/offsets")
+    query.awaitTermination()
+    first = {}
+    for r in sorted(df.collect(), key=lambda r: (r.part, r.ts)):
+        first.setdefault(r.id, (r.part, r.ts, r.event_id, r.status))
+    got = {r.id: (r.batch, r.ts, r.event_id, r.status) for r in spark.read.parquet(f"{home}/seen").collect()}
+    assert got == first
+    progress = [p for p in query.recentProgress if p["numInputRows"]]
+    assert [p["numInputRows"] for p in progress] == [10] * 6
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] == 25
+    assert any(name.startswith("rocksdb") for name in progress[-1]["stateOperators"][0]["customMetrics"])
+
+
 def test_status_stream_and_first_seen(spark):
     rows = [(i, i % 4, ["Saved", "APPLIED", "new"][i % 3], i // 6) for i in range(18)]
     df = spark.createDataFrame(rows, "event_id long, id long, status string, part long").withColumn(

@@ -1,9 +1,11 @@
 """Stored tables, profiles and many-candidate scoring."""
 
-from pyspark.sql import functions as F
+import pytest
+from pyspark.sql import Window, functions as F
 
 from vacantia.operators import profiles, replies, score, upsert
-from vacantia.session import new_folder
+from vacantia.operators.feed import priority_rank
+from vacantia.session import cut_lineage, new_folder
 from vacantia.sources import tables
 
 from .fixtures import POSTINGS, batch, empty_store
@@ -52,24 +54,62 @@ def test_run_log(spark):
     assert [(r.jobs_found, r.new_jobs) for r in spark.read.parquet(folder).collect()] == [(4, 4)] * 2
 
 
-def test_many_profiles_slice_by_slice(spark, monkeypatch):
-    people = spark.range(9).select(
-        F.col("id").alias("candidate_id"), (F.col("id") % 5).cast("double").alias("years_experience"),
-        F.array(F.lit("Azure"), F.lit("Kafka")).alias("skills"))
-    people = profiles.with_defaults(people)
-    rows = batch(spark, POSTINGS).withColumnRenamed("seq", "id")
+def some_profiles(spark, n):
+    """n distinct profiles over years, clouds, places and skills."""
+    i = F.col("id")
+    skills = F.array(F.lit("Azure"), F.lit("Kafka"), F.lit("Docker"), F.lit("Terraform"), F.lit("Linux"))
+    people = spark.range(n).select(
+        i.alias("candidate_id"), (i % 7).cast("double").alias("years_experience"),
+        F.when(i % 3 == 0, "Oslo").when(i % 3 == 1, "").otherwise(F.concat(F.lit("x"), i)).alias("location"),
+        F.concat(F.slice(skills, (i % 4 + 1).cast("int"), 2), F.array(F.concat(F.lit("zz"), i))).alias("skills"),
+        F.when(i % 2 == 0, F.array(F.lit("Azure"))).otherwise(F.array(F.lit("AWS"))).alias("cloud_platforms"))
+    return profiles.with_defaults(people)
+
 
-    def scores():
-        scored = score.score_for_profiles(rows, people).select("profile_key", "id", "ats_score")
-        return sorted(score.for_candidates(scored, people).select(
-            "candidate_id", "id", "ats_score").collect())
-
-    whole = scores()
-    monkeypatch.setattr(score, "SLICE", 2)
-    assert scores() == whole and len(whole) == 36
-    alone = people.where("candidate_id = 3").drop("candidate_id")
-    single = score.score_postings(rows, alone).select("id", "ats_score").collect()
-    assert sorted((3, *r) for r in single) == [tuple(r) for r in whole if r.candidate_id == 3]
+@pytest.mark.parametrize("cell", [3, 256])
+def test_many_profiles(spark, monkeypatch, cell):
+    """Every posting for every profile, as scored one profile after the other."""
+    monkeypatch.setattr(score, "CELL", cell)
+    people = some_profiles(spark, 9)
+    rows = batch(spark, POSTINGS).withColumnRenamed("seq", "id")
+    scored = score.score_for_profiles(rows, people).select("profile_key", "id", "ats_score", "fit_score", "priority",
+                                                           "hard_req_concerns", "matched_skills")
+    got = sorted(score.for_candidates(scored, people).drop("profile_key", *people.columns[1:]).collect())
+    want = []
+    for k in range(9):
+        alone = score.score_postings(rows, people.where(F.col("candidate_id") == k).drop("candidate_id"))
+        want += [(k, *r) for r in alone.select("id", "ats_score", "fit_score", "priority", "hard_req_concerns",
+                                               "matched_skills").collect()]
+    assert [(r.candidate_id, r.id, r.ats_score, r.fit_score, r.priority, r.hard_req_concerns, r.matched_skills)
+            for r in got] == sorted(want)
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_five_thousand_profiles(spark, k):
+    """The tally and the best postings against a ranking of all pairs; the plan does not grow."""
+    people = some_profiles(spark, 5000)
+    base = batch(spark, POSTINGS).drop("seq")
+    rows = base.crossJoin(spark.range(12).select(F.col("id").alias("n"))).select(
+        *[c for c in base.columns if c != "title"],
+        F.concat("title", F.when(F.col("n") % 3 == 0, " Azure Lead").when(F.col("n") % 3 == 1, " Junior").otherwise(""))
+        .alias("title")).withColumn("id", F.monotonically_increasing_id())
+    rows = cut_lineage(rows)
+    scored = cut_lineage(score.score_for_profiles(rows, people).select(
+        "profile_key", "id", "priority", "ats_score", "fit_score"))
+    assert scored.count() == 5000 * rows.count()
+    tally = score.profile_tally(rows, people)
+    want = scored.groupBy("profile_key").agg(
+        F.count_if(F.col("priority") == "HIGH"), F.count_if(F.col("priority") == "MEDIUM"),
+        F.count_if(F.col("priority") == "LOW"), F.max("ats_score"), F.max("fit_score"))
+    assert sorted(tally.collect()) == sorted(want.collect())
+    order = Window.partitionBy("profile_key").orderBy(
+        priority_rank(F.col("priority")), F.desc("ats_score"), F.desc("fit_score"), "id")
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    top = score.top_postings(rows, people, k)
+    assert sorted(top.collect()) == sorted(best.select(*top.columns).collect())
+    few = score.top_postings(rows, some_profiles(spark, 3), k)
+    sizes = [df._jdf.queryExecution().optimizedPlan().toString().count("\n") for df in (top, few)]
+    assert sizes[0] == sizes[1]
 
 
 def test_requests(spark):

@@ -9,6 +9,7 @@ from vacantia.functions import html as H
 from vacantia.functions import resume as R
 from vacantia.functions import scoring as S
 from vacantia.functions import text as X
+from vacantia.functions.markup import Markup
 from vacantia.operators import feed, folds, pages, replies
 
 
@@ -90,13 +91,50 @@ def test_html(spark):
             '<li class="description__job-criteria-item"><h3 class="description__job-criteria-subheader">'
             ' Seniority level</h3><span class="description__job-criteria-text"> Entry </span></li>')
     got = spark.createDataFrame([(page,)], "html string").select(
-        H.field(F.col("html"), H.BOARD.title), H.readable(H.inner(F.col("html"),
-                                                                  H.BOARD.description)),
+        H.field(F.col("html"), H.BOARD.title), H.description(F.col("html")),
         H.criteria(F.col("html"), "seniority"), H.criteria(F.col("html"), "employment"),
         H.field(F.col("html"), H.BOARD.company)).first()
     assert tuple(got) == ("A &amp; B", "One <b>\n\ntwothree\n\nfour€", "Entry", "", None)
 
 
+@pytest.mark.parametrize("text, decoded", [
+    ("&#38;amp;", "&amp;"), ("&#128;", "€"), ("&notit;", "¬it;"), ("&amp;lt; &lt", "&lt; <"),
+    ("&#x41;&#65&#0;", "AA\ufffd"), ("&am &unknown; &", "&am &unknown; &")])
+def test_references_are_decoded_once(text, decoded):
+    page = Markup(f"<p class='x'>{text}</p>")
+    assert page.tight(page.first(["x"])) == decoded
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<div class='a x'>1<div>2<DIV>3</DIV></div>4</div>5", "1234"), ('<b CLASS=x>1<br/>2</b>3', "12"),
+    ('<a title="a > b" class="x">t</a>u', "t"), ("<p title='open class=\"x\">t</p>u", "t"),
+    ('<p class="x">1<!-- <p class="x"> -->2<script>"</p>"</script>3</p>', "123"),
+    ('<i class="xx">no</i><i class="y x z">yes', "yes"), ('<img class="x">t', ""), ("<p>x</p>", None)])
+def test_elements(page, text):
+    read = Markup(page)
+    assert read.tight(read.first(["x"])) == text
+
+
+def test_cards_with_either_quote(spark):
+    """An id in single quotes or none is an id; the words of the next card are not this one's."""
+    page = ("<div class='base-card' data-entity-urn='u:jobPosting:1'><h3 class='base-search-card__title'>A</h3></div>"
+            "<div class=base-card><a class='base-card__full-link' href='https://x/jobs/view/2?q=1'>B</a></div> reposted"
+            "<div class=\"base-card\" data-entity-urn=u:jobPosting:3><time>1 day ago</time></div><div class='base-card'>no id</div>")
+    df = spark.createDataFrame([(1, 0, page), (1, 1, None), (1, 2, "")], "search_id long, page long, html string")
+    got = pages.cards(df).orderBy("pos").collect()
+    assert [(r.pos, r.posting_id, r.title, r.url, r.posted_at, r.is_reposted) for r in got] == [
+        (0, "1", "A", "https://jobs.example.com/jobs/view/1/", "", 0),
+        (1, "2", "Unknown Title", "https://x/jobs/view/2", "", 0),
+        (2, "3", "Unknown Title", "https://jobs.example.com/jobs/view/3/", "1 day ago", 0)]
+
+
+def test_criteria_of_nested_items(spark):
+    page = ('<li class="description__job-criteria-item"><ul><li>x</li></ul><h3 class="description__job-criteria-subheader">'
+            'Employment type</h3><b class="description__job-criteria-text">Contract</b></li>')
+    df = spark.createDataFrame([(page,), (None,)], "html string")
+    assert [r[0] for r in df.select(H.criteria(F.col("html"), "employment")).collect()] == ["Contract", None]
+
+
 def test_pages_to_postings(spark):
     def card(i, title):
         return (f'<li><div class="base-card" data-entity-urn="u:jobPosting:{i}"><div><h3 class='

@@ -1,24 +1,23 @@
-"""Fields of stored board pages by pattern.
+"""Fields of stored board pages.
 
-Patterns fit known markup only; class names are parameters of a `Template`, so another board is
-another template. `BOARD` holds the markup the engine knows.
+A page crosses to Python once, in Arrow batches, and is read there once (`markup`); what comes back is
+one struct of its fields. Class names are parameters of a `Template`, so another board is another
+template. `BOARD` holds the markup the engine knows.
 """
 
+import re
 from dataclasses import dataclass
-from html.entities import html5
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from .. import vocab
 from . import text as X
+from .markup import Markup, attributes, with_class
 
 _REPOSTED = r"(?i)(?<![\p{L}\p{N}_])repost(ed)?(?![\p{L}\p{N}_])"
 _LINE_ENDS = r"[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
-_NAMED = {name[:-1]: value for name, value in html5.items()
-          if name.endswith(";") and name != "amp;"}
-# Names that count without a semicolon, too; longer ones first.
-_BARE = sorted((name for name in html5 if not name.endswith(";") and name != "amp"),
-               key=lambda name: (-len(name), name))
+_JOB_URN = re.compile(r"jobPosting:([0-9]+)")
 
 
 @dataclass(frozen=True)
@@ -52,95 +51,109 @@ RENDERED = Template(
     description=("show-more-less-html__markup", "description__text", "jobs-description__content"))
 
 
-def _class_attr(names) -> str:
-    any_name = "(?:" + "|".join(names) + ")"
-    return (rf'class=(?:"(?:[^"]*\s)?{any_name}(?:\s[^"]*)?"'
-            rf"|'(?:[^']*\s)?{any_name}(?:\s[^']*)?')")
+def _per_page(read, kind: str, html: Column) -> Column:
+    """read(Markup) of each page, null for a null one."""
+    def step(pages: pd.Series):
+        rows = [None if page is None else read(Markup(page)) for page in pages]
+        if not kind.startswith("struct"):
+            return pd.Series(rows, dtype="object")
+        names = [field.split(" ")[0].split(":")[0] for field in kind[len("struct<"):-1].split(",")]
+        return pd.DataFrame({n: pd.Series([None if r is None else r[i] for r in rows], dtype="object")
+                             for i, n in enumerate(names)})
 
+    step.__annotations__ = {"pages": pd.Series, "return": pd.DataFrame if kind.startswith("struct") else pd.Series}
+    return F.pandas_udf(step, kind)(html)
 
-def _element(names) -> str:
-    """Pattern of the first element with one of the classes; group 2 is what it holds."""
-    return rf"(?s)<(\w+)[^>]*\b{_class_attr(names)}[^>]*>(.*?)</\1>"
 
+def field(html: Column, names) -> Column:
+    """Text of the first element with one of the classes; null when there is none."""
+    return _per_page(lambda m: m.tight(m.first(names)), "string", html)
 
-def _held(rest: Column) -> Column:
-    """What the element at the start of `rest` holds: tags of its name are counted up and down, and
-    it ends where the count returns to zero (or with the text)."""
-    tag = F.concat(F.lit("(?i)</?"), F.regexp_extract(rest, r"^<(\w+)", 1), F.lit(r"(?=[\s/>])[^>]*>"))
 
-    def cut(tags: Column, texts: Column) -> Column:
-        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(0).alias("end"))
+def description(html: Column, template: Template = BOARD) -> Column:
+    """Description as paragraphs; null when there is none."""
+    return _per_page(lambda m: m.readable(m.first(template.description)), "string", html)
 
-        def step(acc, one):
-            change = F.when(one.startswith("</"), -1).when(one.endswith("/>"), 0).otherwise(1)
-            depth, n = acc["depth"] + change, acc["n"] + 1
-            return F.struct(depth.alias("depth"), n.alias("n"), F.when(
-                (acc["end"] == 0) & (depth <= 0), n).otherwise(acc["end"]).alias("end"))
 
-        end = F.aggregate(tags, start, step)["end"]
-        last = F.when(end == 0, F.size(tags) + 1).otherwise(end)
-        return X.let(last, lambda n: F.when(n > 1, F.array_join(F.transform(
-            F.sequence(F.lit(1), n - 1), lambda k: F.concat(F.get(texts, k), F.when(
-                k < n - 1, F.get(tags, k)).otherwise(""))), "")).otherwise(""))
+def _criteria(page: Markup, template: Template) -> list[tuple[str, str]]:
+    """(header in lower case, value) of the criteria items that have a value."""
+    out = []
+    for item in page.elements(with_class([template.criteria])):
+        name = page.tight(page.first([template.criteria_name], item))
+        value = page.tight(page.first([template.criteria_value], item))
+        if name is not None and value is not None:
+            out.append((name.lower(), value))
+    return out
 
-    return X.let(F.struct(F.regexp_extract_all(rest, tag, F.lit(0)).alias("tags"),
-                          F.split(rest, tag, -1).alias("texts")),
-                 lambda found: cut(found["tags"], found["texts"]))
 
+def _last(items: list[tuple[str, str]], word: str, without: str = "") -> str:
+    """Value of the last item whose header has `word`; '' when there is none."""
+    return next((value for name, value in reversed(items)
+                 if word in name and not (without and without in name)), "")
 
-def inner(html: Column, names) -> Column:
-    """Inner markup of the first element with one of the classes; null when there is none."""
-    pattern = rf"(?s)<\w+[^>]*\b{_class_attr(names)}[^>]*>.*"
-    return X.let(F.regexp_extract(html, pattern, 0), lambda rest: F.when(rest != "", _held(rest)))
 
+def criteria(html: Column, word: str, template: Template = BOARD, without: str = "") -> Column:
+    return _per_page(lambda m: _last(_criteria(m, template), word, without), "string", html)
 
-def _character(reference: Column) -> Column:
-    """`&#65`, `&#x41;` -> A; numbers that are no character -> U+FFFD."""
-    digits = F.regexp_extract(reference, "^&#[xX]?([0-9A-Fa-f]+)", 1)
-    code = F.when(reference.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits)
-    number = F.when(F.length(digits) <= 9, code.cast("bigint"))
-    valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
-    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("\ufffd")
 
+DETAIL = ("struct<title string,company string,location string,description string,experience_level string,"
+          "employment_type string,salary string,posted string>")
 
-def _decoded(c: Column) -> Column:
-    named = X.literal_map(_NAMED, "string")
 
-    def longest_first(found: Column) -> Column:
-        by_length = F.sort_array(F.transform(F.array_distinct(found), lambda n: F.struct(
-            (-F.length(n)).alias("short"), n.alias("name"))))
-        return F.transform(by_length, lambda x: x["name"])
+def detail(html: Column, template: Template = BOARD) -> Column:
+    """All fields of a posting page in one reading."""
+    def read(m: Markup):
+        items, posted = _criteria(m, template), m.first(template.posted)
+        return (m.tight(m.first(template.title)), m.tight(m.first(template.company)),
+                m.tight(m.first(template.location)), m.readable(m.first(template.description)),
+                _last(items, "seniority"), _last(items, "employment", "seniority"),
+                m.tight(m.first(template.salary)), None if posted is None else m.loose(posted))
 
-    names = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&([A-Za-z][A-Za-z0-9]*);"), 1))
-    out = F.aggregate(names, c, lambda acc, n: F.coalesce(F.replace(
-        acc, F.concat(F.lit("&"), n, F.lit(";")), F.try_element_at(named, n)), acc))
-    codes = longest_first(F.regexp_extract_all(
-        c, F.lit(r"&#(?:[xX][0-9A-Fa-f]+|[0-9]+);?"), 0))
-    out = F.aggregate(codes, out, lambda acc, n: F.replace(acc, n, _character(n)))
-    bare = longest_first(F.regexp_extract_all(
-        c, F.lit("&(" + "|".join(_BARE) + ")(?![A-Za-z0-9]*;)"), 1))
-    out = F.aggregate(bare, out, lambda acc, n: F.replace(
-        acc, F.concat(F.lit("&"), n), F.try_element_at(named, n)))
-    return F.regexp_replace(out, "&amp;?", "&")
+    return _per_page(read, DETAIL, html)
 
 
-def unescape(c: Column) -> Column:
-    """Character references -> characters, ampersands last. Texts without '&' skip the work."""
-    return X.let(c, lambda t: F.when(t.contains("&"), _decoded(t)).otherwise(t))
+CARD = ("array<struct<posting_id:string,href:string,title:string,company:string,location:string,"
+        "posted_at:string,text:string>>")
 
 
-def tight_text(markup: Column) -> Column:
-    """Text with every piece between tags stripped and joined."""
-    pieces = F.split(markup, "<[^>]*>")
-    return F.array_join(F.transform(pieces, lambda p: X.strip(unescape(p))), "")
+def cards(html: Column, template: Template = BOARD) -> Column:
+    """All cards of a list page in one reading, those without an id, too."""
+    def starts(m: Markup) -> list[int]:
+        listed = m.first([template.results]) if template.results else None
+        if listed is not None:
+            found = m.elements(lambda name, _: name == "li", listed)
+        else:
+            is_card = with_class([template.card])
+            found = m.elements(lambda name, rest: name == "div" and (
+                is_card(name, rest) or "data-entity-urn" in rest.lower()))
+        out, stop = [], -1
+        for k in found:  # what is inside a card is not another one
+            if k >= stop:
+                out.append(k)
+                stop = m.end(k)
+        return out
 
+    def read(m: Markup):
+        return [_card(m, k, template) for k in starts(m)]
 
-def loose_text(markup: Column) -> Column:
-    return unescape(F.regexp_replace(markup, "<[^>]*>", ""))
+    return _per_page(read, CARD, html)
 
 
-def field(html: Column, names) -> Column:
-    return tight_text(inner(html, names))
+def _card(m: Markup, card: int, template: Template) -> dict:
+    is_link = with_class(template.card_links)
+    link = next(m.elements(lambda name, rest: name == "a" and (
+        is_link(name, rest) or "/jobs/view/" in attributes(rest).get("href", "")), card), None)
+    href = None if link is None else attributes(m.tags[link][4]).get("href")
+    tagged = [card, *m.elements(lambda _, rest: "data-entity-urn" in rest.lower(), card)]
+    urns = (_JOB_URN.search(attributes(m.tags[k][4]).get("data-entity-urn", "")) for k in tagged)
+    urn = next((found.group(1) for found in urns if found), None)
+    view = re.search("/view/([0-9]+)", href or "")
+    time = next(m.elements(lambda name, _: name == "time", card), None)
+    return {"posting_id": urn or (view.group(1) if view else None), "href": href,
+            "title": m.tight(m.first(template.card_title, card)),
+            "company": m.tight(m.first(template.card_company, card)),
+            "location": m.tight(m.first(template.card_location, card)),
+            "posted_at": m.tight(time) or "", "text": m.loose(card)}
 
 
 def lines(c: Column) -> Column:
@@ -148,34 +161,13 @@ def lines(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, _LINE_ENDS), X.strip), lambda line: line != "")
 
 
-def readable(markup: Column) -> Column:
-    """Description markup -> paragraphs: a line ends after a break, paragraph or list item."""
-    broken = F.regexp_replace(markup, r"(?i)(<br[^>]*>|</p\s*>|</li\s*>)", "$1\n")
-    return F.array_join(lines(loose_text(broken)), "\n\n")
-
-
-def criteria(html: Column, word: str, template: Template = BOARD, without: str = "") -> Column:
-    """Value of the last criteria item whose header has `word`; '' when there is none."""
-    items = F.regexp_extract_all(html, F.lit(_element([template.criteria])), 2)
-    pairs = F.transform(items, lambda i: F.struct(
-        F.lower(field(i, [template.criteria_name])).alias("name"),
-        field(i, [template.criteria_value]).alias("value")))
-
-    def wanted(pair):
-        test = pair["name"].contains(word) & pair["value"].isNotNull()
-        return test & ~pair["name"].contains(without) if without else test
-
-    return F.coalesce(F.try_element_at(F.filter(pairs, wanted), F.lit(-1))["value"], F.lit(""))
-
-
 def says_reposted(c: Column) -> Column:
     return F.coalesce(c.rlike(_REPOSTED), F.lit(False))
 
 
-def page_reposted(html: Column, template: Template = BOARD) -> Column:
+def page_reposted(html: Column, posted: Column) -> Column:
     """Repost word in the posted line or in the first 4000 characters of the page."""
-    return (says_reposted(loose_text(inner(html, template.posted)))
-            | says_reposted(F.substring(html, 1, 4000)))
+    return says_reposted(posted) | says_reposted(F.substring(html, 1, 4000))
 
 
 def work_mode(title: Column, location: Column, description: Column) -> Column:
@@ -184,10 +176,10 @@ def work_mode(title: Column, location: Column, description: Column) -> Column:
             .otherwise("On-site"))
 
 
-def salary(html: Column, description: Column, template: Template = BOARD) -> Column:
+def salary(badge: Column, description: Column) -> Column:
     """The badge, else the first amount in the description, else ''."""
     found = X.strip(F.regexp_extract(description, vocab.SALARY, 0))
-    return F.coalesce(field(html, template.salary), found, F.lit(""))
+    return F.coalesce(badge, found, F.lit(""))
 
 
 def known_or(card_value: Column, page_value: Column, unknown: str) -> Column:
@@ -201,32 +193,7 @@ def pinned_location(card_value: Column, page_value: Column) -> Column:
     return F.when(usable, page_value).otherwise(card_value)
 
 
-def posting_id(card: Column, href: Column) -> Column:
-    """Digits of the card's URN, else of its link; null when neither has any."""
-    urn = F.regexp_extract(card, r'data-entity-urn="[^"]*?jobPosting:(\d+)', 1)
-    return F.coalesce(X.present(urn), X.present(F.regexp_extract(href, r"/view/(\d+)", 1)))
-
-
 def canonical_url(href: Column, job_id: Column, template: Template = BOARD) -> Column:
     """Link without its query, else built from the id."""
     built = F.concat(F.lit(template.site + "/jobs/view/"), job_id, F.lit("/"))
     return F.coalesce(F.substring_index(href, "?", 1), built)
-
-
-def link(card: Column, template: Template = BOARD) -> Column:
-    """href of the card's first posting link; null when it has none."""
-    pattern = (rf'(?s)<a\b(?=[^>]*(?:{_class_attr(template.card_links)}|href="[^"]*/jobs/view/))'
-               r"[^>]*>")
-    return X.let(F.regexp_extract(card, pattern, 0), lambda tag: F.when(
-        tag != "", F.regexp_extract(tag, r'href="([^"]*)"', 1)))
-
-
-def card_pieces(html: Column, template: Template = BOARD) -> Column:
-    """A list page cut before every card's opening tag."""
-    start = rf'<div\b[^>]*(?:data-entity-urn="|{_class_attr([template.card])})'
-    cards = F.filter(F.split(html, f"(?={start})"), lambda p: p.rlike(f"^{start}"))
-    if template.results is None:
-        return cards
-    return X.let(inner(html, [template.results]), lambda listed: F.when(
-        listed.isNotNull(), F.filter(F.split(listed, r"(?=<li\b)"), lambda p: p.rlike(r"^<li\b")))
-        .otherwise(cards))

@@ -42,13 +42,14 @@ class OrderedTitles:
         self._lengths[n] = len(title)
         self.titles.append(title)
 
-    def first_like(self, probe: str) -> int:
+    def first_like(self, probe: str, allowed: np.ndarray | None = None) -> int:
+        """Place of the first title (of those `allowed`) that is similar to the probe, or -1."""
         n = len(self.titles)
         if not n or not probe:
             return -1
         total = self._lengths[:n] + len(probe)
-        fitting = np.flatnonzero(
-            2.0 * np.minimum(self._lengths[:n], len(probe)) >= (TITLE_SIMILARITY - 1e-9) * total)
+        fits = 2.0 * np.minimum(self._lengths[:n], len(probe)) >= (TITLE_SIMILARITY - 1e-9) * total
+        fitting = np.flatnonzero(fits if allowed is None else fits & allowed)
         if not len(fitting):
             return -1
         shared = np.minimum(self._counts[fitting], _letter_counts(probe)).sum(axis=1)

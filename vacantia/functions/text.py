@@ -177,6 +177,11 @@ def repost_shown(is_reposted: Column, posted_at: Column) -> Column:
             | F.lower(F.coalesce(posted_at, F.lit(""))).contains("repost"))
 
 
+def any_contains(items: Column, part: Column) -> Column:
+    """Whether one of the items holds the part."""
+    return F.exists(items, lambda item: item.contains(part))
+
+
 def csv_items(c: Column) -> Column:
     """Comma-separated form text -> trimmed, non-empty items."""
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), strip),

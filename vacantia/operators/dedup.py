@@ -4,19 +4,12 @@ A narrow pass decides which rows merge and what the survivors look like; it neve
 descriptions. Full rows then move once, by their unique id, so no hot key reaches that join.
 """
 
-import math
-from functools import reduce
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
-from ..functions.similarity import OrderedTitles
 from ..session import cut_lineage
 from . import folds
-
-# Most keys of a company that one task compares in sequence, and most keys per comparison task.
-HEAD, CHUNK = 2048, 16384
+from .similar import assign_leaders
 
 
 def row_key(rows: DataFrame) -> Column:
@@ -122,125 +115,3 @@ def report(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return total.withColumn("removed", merged.scalar()).select(
         "initial_count", (F.col("initial_count") - F.col("removed")).alias("cleaned_count"),
         F.col("removed").cast("bigint").alias("duplicates_removed"))
-
-
-def assign_leaders(keys: DataFrame, head: int = HEAD, chunk: int = CHUNK) -> DataFrame:
-    """(company, title, ord) -> (company, title, leader): each title, in `ord` order, joins the
-    first leader of its company it is similar to, or becomes a leader.
-
-    The first `head` open titles of every company are settled in one small task per company (the
-    row limit applies before the shuffle, too). Their new leaders then take what is similar to
-    them among the company's other open titles, in tasks of about `chunk` titles. Leaders of a
-    round precede all titles still open, so the first match found is the right one. Companies
-    with few titles end in the first round; each further round settles `head` more titles at
-    least of the large ones.
-    """
-    opened = cut_lineage(keys)
-    settled = []
-    while True:
-        rank = F.row_number().over(Window.partitionBy("company").orderBy("ord"))
-        first = opened.withColumn("_n", rank).where(F.col("_n") <= head).drop("_n")
-        first = cut_lineage(first.groupBy("company").applyInPandas(
-            _settle(head), "company string, title string, ord long, leader string"))
-        settled.append(first.select("company", "title", "leader"))
-        rest = opened.join(first, ["company", "title"], "left_anti")
-        sizes = rest.groupBy("company").agg(F.count("*").alias("n")).select(
-            "company", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
-        leaders = first.where(F.col("title") == F.col("leader")).select("company", "title", "ord")
-        checked = cut_lineage(_first_matches(rest, leaders, sizes))
-        taken = checked.where(F.col("leader").isNotNull())
-        settled.append(taken.select("company", "title", "leader"))
-        opened = checked.where(F.col("leader").isNull()).select("company", "title", "ord")
-        if opened.isEmpty():
-            return reduce(DataFrame.unionByName, settled)
-
-
-def _first_matches(titles: DataFrame, leaders: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Adds the first similar leader, or null. A company's titles are cut into `chunks` tasks; its
-    leaders, at most HEAD, go to each of them."""
-    cut = titles.join(sizes, "company").withColumn(
-        "_chunk", F.pmod(F.xxhash64("title"), F.col("chunks")).cast("int")).drop("chunks")
-    spread = leaders.join(sizes, "company").withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-    return cut.groupBy("company", "_chunk").cogroup(spread.groupBy("company", "_chunk")).applyInPandas(
-        _match_chunk, "company string, title string, ord long, leader string")
-
-
-def _settle(head: int):
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        index, chosen = OrderedTitles(head), []
-        for title in pdf["title"]:
-            hit = index.first_like(title)
-            if hit < 0:
-                index.add(title)
-            chosen.append(title if hit < 0 else index.titles[hit])
-        return pdf.assign(leader=chosen)[["company", "title", "ord", "leader"]]
-
-    return settle
-
-
-def _match_chunk(titles: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
-    index = OrderedTitles(max(1, len(leaders)))
-    for title in leaders.sort_values("ord")["title"]:
-        index.add(title)
-    hits = [index.first_like(t) for t in titles["title"]]
-    return pd.DataFrame({
-        "company": titles["company"], "title": titles["title"], "ord": titles["ord"],
-        "leader": pd.Series([index.titles[h] if h >= 0 else None for h in hits],
-                            index=titles.index, dtype="object"),
-    })
-
-
-# Titles whose lengths differ by more than this factor cannot reach the similarity bound
-# (0.56 / 0.44 = 1.27...), so similar titles are in the same or in neighbouring length bands.
-_BAND = 1.28
-
-
-def _band(title: Column) -> Column:
-    return F.floor(F.log(F.length(title)) / math.log(_BAND)).cast("int")
-
-
-def first_similar(probes: DataFrame, stored: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(company, title) x stored (company, title, id) -> (company, title, id): the lowest stored
-    id whose title is similar, for probes that have one.
-
-    Titles meet only inside a company and in neighbouring length bands. A large (company, band)
-    is cut on both sides into a grid of tasks of at most about `chunk` by `chunk` titles. Pairs are
-    compared inside the task; a task returns at most one row per probe.
-    """
-    stored = stored.where(F.col("title") != "").groupBy("company", "title").agg(
-        F.min("id").alias("id")).withColumn("_band", _band(F.col("title")))
-    probes = probes.where(F.col("title") != "").select("company", "title").distinct()
-    near = probes.withColumn("_band", F.explode(F.array(*[
-        _band(F.col("title")) + d for d in (-1, 0, 1)])))
-    block = ["company", "_band"]
-
-    def cells(df, name):
-        return df.groupBy(*block).agg(F.ceil(F.count("*") / chunk).cast("int").alias(name))
-
-    grid = cells(stored, "_rows").join(cells(near, "_cols"), block)
-
-    def cell(count):
-        return F.pmod(F.xxhash64("title"), F.col(count)).cast("int")
-
-    def every(count):
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-
-    left = near.join(grid, block).withColumn("_y", cell("_cols")).withColumn("_x", every("_rows"))
-    right = stored.join(grid, block).withColumn("_x", cell("_rows")).withColumn("_y", every("_cols"))
-    cell_key = [*block, "_x", "_y"]
-    hits = (left.select(*cell_key, "title").groupBy(*cell_key)
-            .cogroup(right.select(*cell_key, "title", "id").groupBy(*cell_key))
-            .applyInPandas(_lowest_id, "company string, title string, id long"))
-    return hits.groupBy("company", "title").agg(F.min("id").alias("id"))
-
-
-def _lowest_id(probes: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-    index, ids = OrderedTitles(max(1, len(stored))), []
-    for row in stored.sort_values("id").itertuples():
-        index.add(row.title)
-        ids.append(row.id)
-    found = [(p.company, p.title, ids[hit]) for p in probes.itertuples()
-             if (hit := index.first_like(p.title)) >= 0]
-    return pd.DataFrame(found, columns=["company", "title", "id"])

@@ -8,26 +8,17 @@ from ..functions import html as H
 
 def cards(list_pages: DataFrame, search_location: str = "India",
           template: H.Template = H.BOARD) -> DataFrame:
-    """One row per card with an id: (search_id, page, pos, posting_id, title, ...). The page text
-    is cut once and dropped before any field is read."""
-    cut = list_pages.select("search_id", "page",
-                            F.posexplode(H.card_pieces(F.col("html"), template)).alias("pos", "card"))
-    cut = cut.withColumn("_href", H.link(F.col("card"), template))
-    card, href = F.col("card"), F.col("_href")
-    time_text = H.tight_text(F.regexp_extract(card, r"(?s)<time\b[^>]*>.*?</time>", 0))
-    cut = cut.withColumns({
-        "posting_id": H.posting_id(card, href),
-        "posted_at": time_text,
-    }).where(F.col("posting_id").isNotNull())
-    return cut.select(
-        "search_id", "page", F.col("pos").cast("bigint").alias("pos"), "posting_id",
-        F.coalesce(H.field(card, template.card_title), F.lit(vocab.UNKNOWN_TITLE)).alias("title"),
-        F.coalesce(H.field(card, template.card_company), F.lit(vocab.UNKNOWN_COMPANY))
-        .alias("company"),
-        F.coalesce(H.field(card, template.card_location), F.lit(search_location)).alias("location"),
-        H.canonical_url(href, F.col("posting_id"), template).alias("url"),
-        "posted_at",
-        (H.says_reposted(H.loose_text(card)) | F.lower("posted_at").contains("reposted"))
+    """One row per card with an id: (search_id, page, pos, posting_id, title, ...). A page is read
+    once."""
+    cut = list_pages.select("search_id", "page", F.posexplode(H.cards(F.col("html"), template)).alias("pos", "card"))
+    card, job = F.col("card"), F.col("card.posting_id")
+    return cut.where(job.isNotNull()).select(
+        "search_id", "page", F.col("pos").cast("bigint").alias("pos"), "card.posting_id",
+        F.coalesce(card["title"], F.lit(vocab.UNKNOWN_TITLE)).alias("title"),
+        F.coalesce(card["company"], F.lit(vocab.UNKNOWN_COMPANY)).alias("company"),
+        F.coalesce(card["location"], F.lit(search_location)).alias("location"),
+        H.canonical_url(card["href"], job, template).alias("url"), "card.posted_at",
+        (H.says_reposted(card["text"]) | F.lower(card["posted_at"]).contains("reposted"))
         .cast("int").alias("is_reposted"),
     )
 
@@ -65,25 +56,22 @@ def search_cards(list_pages: DataFrame, search_location: str = "India",
 def details(pages: DataFrame, template: H.Template = H.BOARD) -> DataFrame:
     """Posting page next to its card's fields (card_title, card_company, card_location; card_reposted
     when known) -> posting fields. Narrow."""
-    html = F.col("html")
-    body = H.inner(html, template.description)
+    html, page = F.col("html"), F.col("_page")
     if "card_reposted" not in pages.columns:
         pages = pages.withColumn("card_reposted", F.lit(0))
-    staged = pages.withColumns({
-        "title": H.known_or(F.col("card_title"), H.field(html, template.title),
-                            vocab.UNKNOWN_TITLE),
-        "company": H.known_or(F.col("card_company"), H.field(html, template.company),
-                              vocab.UNKNOWN_COMPANY),
-        "location": H.pinned_location(F.col("card_location"), H.field(html, template.location)),
-        "description": F.coalesce(H.readable(body), F.lit("")),
-        "experience_level": H.criteria(html, "seniority", template),
-        "employment_type": H.criteria(html, "employment", template, without="seniority"),
-        "is_reposted": ((F.col("card_reposted") != 0) | H.page_reposted(html, template)).cast("int"),
+    staged = pages.withColumn("_page", H.detail(html, template)).withColumns({
+        "title": H.known_or(F.col("card_title"), page["title"], vocab.UNKNOWN_TITLE),
+        "company": H.known_or(F.col("card_company"), page["company"], vocab.UNKNOWN_COMPANY),
+        "location": H.pinned_location(F.col("card_location"), page["location"]),
+        "description": F.coalesce(page["description"], F.lit("")),
+        "experience_level": F.coalesce(page["experience_level"], F.lit("")),
+        "employment_type": F.coalesce(page["employment_type"], F.lit("")),
+        "is_reposted": ((F.col("card_reposted") != 0) | H.page_reposted(html, page["posted"])).cast("int"),
     })
     return staged.withColumns({
         "work_mode": H.work_mode(F.col("title"), F.col("location"), F.col("description")),
-        "salary": H.salary(html, F.col("description"), template),
-    }).drop("html", "card_title", "card_company", "card_location", "card_reposted")
+        "salary": H.salary(page["salary"], F.col("description")),
+    }).drop("html", "_page", "card_title", "card_company", "card_location", "card_reposted")
 
 
 def postings_from_pages(list_pages: DataFrame, detail_pages: DataFrame,

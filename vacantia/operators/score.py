@@ -1,26 +1,19 @@
 """Scoring postings against one active profile or many."""
 
 import json
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .. import vocab
 from ..functions import extract, scoring as S
 from ..functions import text as X
 from ..schema import SCORE_COLUMNS
 from ..session import cut_lineage
-from .shuffle import salted_join
+from .feed import priority_rank
+from .shuffle import in_cells, salted_join
 
-# Distinct profiles held as one literal; larger profile tables are scored slice by slice.
-SLICE = 256
-
-
-def _literal(rows: list, keyed: bool) -> Column:
-    """Array literal of collected prepared profiles; callers bound them to SLICE or so."""
-    fields = ("profile_key string, " if keyed else "") + S.PROFILE_FIELDS
-    typed = ",".join(f.strip().replace(" ", ":", 1) for f in fields.split(","))
-    return F.from_json(F.lit(json.dumps([r.asDict(recursive=True) for r in rows])),
-                       f"array<struct<{typed}>>")
+CELL = 256  # signatures that meet CELL profiles in one cell
+TITLE_CLOUDS = ["azure", "aws", "gcp"]  # what the title gate looks for
 
 
 def with_active_profile(postings: DataFrame, profile: DataFrame) -> DataFrame:
@@ -29,7 +22,9 @@ def with_active_profile(postings: DataFrame, profile: DataFrame) -> DataFrame:
     rows = profile.limit(1).select(S.prepared_profile().alias("p")).select("p.*").collect()
     if not rows:
         raise ValueError("an active profile is needed; see operators.profiles.active_profile")
-    return postings.withColumn("p", F.get(_literal(rows, keyed=False), F.lit(0)))
+    typed = ",".join(f.strip().replace(" ", ":", 1) for f in S.PROFILE_FIELDS.split(","))
+    literal = F.from_json(F.lit(json.dumps(rows[0].asDict(recursive=True))), f"struct<{typed}>")
+    return postings.withColumn("p", literal)
 
 
 def with_scores(df: DataFrame) -> DataFrame:
@@ -84,32 +79,165 @@ def score_postings(postings: DataFrame, profile: DataFrame) -> DataFrame:
     return with_scores(with_active_profile(analysed, profile)).drop("p")
 
 
+# Many profiles ----------------------------------------------------------------------------------
+#
+# What a score sees of a posting is its signature; postings that look alike share one, as candidates
+# that look alike share a profile. Texts are mined once, scores are worked out per signature and
+# profile, and nothing about profiles passes through the driver or the plan.
+
+
+def signature() -> Column:
+    """All that `with_scores` reads of a posting, from `req`, title, location and work_mode."""
+    title, here = F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("location", F.lit("")))
+    mode, req = F.lower(F.coalesce("work_mode", F.lit(""))), F.col("req")
+    return F.struct(
+        req.alias("req"),
+        F.array_join(F.array_compact(F.array(*[F.when(title.contains(c), F.lit(c)) for c in TITLE_CLOUDS])), " ")
+        .alias("title"),
+        F.when(here.contains("india") | here.contains("remote"), "").otherwise(here).alias("location"),
+        F.when(mode.contains("remote"), "remote").when(mode.contains("hybrid"), "hybrid").otherwise("")
+        .alias("work_mode"))
+
+
+def signed(postings: DataFrame) -> DataFrame:
+    """(id, sig_key, sig) of every posting, written: one narrow pass over the texts."""
+    mined = extract.with_requirements(postings.select(
+        "id", "title", "location", "work_mode", "description", "experience_level"))
+    return cut_lineage(mined.select("id", X.fenced(signature()).alias("sig")).select(
+        "id", F.sha2(F.to_json("sig"), 256).alias("sig_key"), "sig"))
+
+
+def _scored_pairs(pairs: DataFrame) -> DataFrame:
+    """Scores of (sig, p) rows; other columns stay."""
+    kept = [c for c in pairs.columns if c not in ("sig", "p")]
+    return with_scores(pairs.select(*kept, "sig.*", "p")).drop("req", "p", "title", "location", "work_mode")
+
+
+def scored_signatures(signatures: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Every distinct signature (sig_key, sig, ...) scored for every distinct profile (as
+    `profile_key`), in cells of CELL by CELL."""
+    prepared = _as_struct(distinct_profiles(profiles))
+    left, right = in_cells(signatures, prepared, [], "sig_key", "profile_key", CELL)
+    return _scored_pairs(left.join(right, "_cell").drop("_cell"))
+
+
+def _as_struct(prepared: DataFrame) -> DataFrame:
+    return prepared.select("profile_key", F.struct(*[c for c in prepared.columns if c != "profile_key"]).alias("p"))
+
+
 def score_for_profiles(postings: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Every posting scored for every *distinct* profile (column `profile_key`).
-
-    Candidates that look alike to the scorer share a profile, so text is mined once per posting
-    and scored once per distinct profile. A slice of profiles rides along as an array literal
-    that each row explodes; tables beyond one slice are worked off slice by slice, so the
-    literal stays bounded and every profile is scored.
-    """
-    prepared = distinct_profiles(profiles)
-    analysed = extract.with_requirements(postings)
-    rows = prepared.limit(SLICE + 1).collect()
-    if not rows:
-        raise ValueError("no profiles given")
-    if len(rows) <= SLICE:
-        return _scored_for(analysed, rows)
-    # More than one slice: texts are mined once into a table, profiles are read by hash range.
-    analysed, prepared = cut_lineage(analysed), cut_lineage(prepared)
-    slices = -(-2 * prepared.count() // SLICE)
-    parts = (prepared.where(F.pmod(F.xxhash64("profile_key"), F.lit(slices)) == i).collect()
-             for i in range(slices))
-    return reduce(DataFrame.unionByName, [_scored_for(analysed, part) for part in parts if part])
+    """Every posting with its scores for every *distinct* profile (column `profile_key`)."""
+    rows = signed(postings)
+    scored = scored_signatures(rows.groupBy("sig_key").agg(F.first("sig").alias("sig")), profiles)
+    kept = [c for c in postings.columns if c not in SCORE_COLUMNS]
+    return postings.select(*kept).join(rows.select("id", "sig_key"), "id").join(scored, "sig_key").drop("sig_key")
+
+
+def profile_tally(postings: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Per distinct profile, how many postings have each priority, and the best scores."""
+    counted = signed(postings).groupBy("sig_key").agg(F.first("sig").alias("sig"), F.count("*").alias("n"))
+    scored = scored_signatures(counted, profiles)
 
+    def of(level):
+        return F.sum(F.when(F.col("priority") == level, F.col("n")).otherwise(F.lit(0).cast("bigint")))
 
-def _scored_for(analysed: DataFrame, profiles: list) -> DataFrame:
-    scored = with_scores(analysed.withColumn("p", F.explode(_literal(profiles, keyed=True))))
-    return scored.withColumn("profile_key", F.col("p.profile_key")).drop("p")
+    return scored.groupBy("profile_key").agg(
+        of("HIGH").alias("n_high"), of("MEDIUM").alias("n_medium"), of("LOW").alias("n_low"),
+        F.max("ats_score").alias("best_ats"), F.max("fit_score").alias("best_fit"))
+
+
+# Best postings of each profile. Signatures fall into classes by all that bounds a score but skills,
+# clouds and place: the best score that any signature of a class can reach is known from the class and
+# a few facts about the profile. Classes are opened best first until they hold k postings; then all
+# classes whose bound reaches the k-th score found.
+
+
+def _signature_class() -> Column:
+    req = F.col("sig.req")
+    return F.struct(req["min_years"].alias("min_years"), req["seniority"].alias("seniority"),
+                    req["domain"].alias("domain"), req["degree_required"].alias("degree_required"),
+                    F.col("sig.title").alias("title"), F.col("sig.work_mode").alias("work_mode"))
+
+
+def _profile_class() -> Column:
+    clouds = F.filter(F.array(*[F.lit(c) for c in TITLE_CLOUDS]),
+                      lambda c: F.exists(F.col("p.clouds"), lambda owned: owned.contains(c)))
+    return F.struct(F.col("p.years").alias("years"), F.col("p.has_education").alias("has_education"),
+                    F.col("p.has_certifications").alias("has_certifications"), clouds.alias("clouds"))
+
+
+def _with_bounds(pairs: DataFrame) -> DataFrame:
+    """Adds priority rank, ATS and FIT score that no signature of class `sc` exceeds for a profile of
+    class `pc`: every skill and cloud matched, the place right."""
+    req = F.struct(F.col("sc.min_years").alias("min_years"), F.lit(None).cast("double").alias("max_years"),
+                   F.col("sc.seniority").alias("seniority"), F.col("sc.domain").alias("domain"),
+                   F.col("sc.degree_required").alias("degree_required"))
+    p = F.col("pc")
+    every_core = F.array(*[F.lit(s) for s in vocab.CORE_STACK])
+    out = pairs.withColumns({"_exp": S.experience(req, p), "_gate": S.title_gate(F.col("sc.title"), p),
+                             "_degree": S.degree_gate(req, p)})
+    most = (F.col("_exp.score") + S.responsibilities_score(req) + S.education_score(p)
+            + S.certifications_score(p) + F.lit(35.0 + 10.0 + 5.0 + 5.0))
+    penalty = F.col("_exp.penalty") + F.col("_gate.penalty") + F.col("_degree.penalty")
+    slack = 0.1  # of rounding
+    out = out.withColumns({
+        "ats_most": F.greatest(F.lit(0.0), F.least(F.lit(100.0), most - penalty + slack)),
+        "fit_most": F.least(F.lit(100.0), S.fit_score(req, p, every_core, F.col("sc.work_mode")) + slack),
+    })
+    level = S.priority(F.col("ats_most"), F.col("fit_most"),
+                       F.concat("_exp.concerns", "_gate.concerns", "_degree.concerns"), F.col("_exp.concerns"))
+    return out.withColumn("rank_least", priority_rank(level)).drop("_exp", "_gate", "_degree")
+
+
+def _best(scored: DataFrame, k: int, last: str) -> DataFrame:
+    """The first k rows of each profile; the limit applies before the shuffle, too."""
+    order = [F.col("priority_rank"), F.desc("ats_score"), F.desc("fit_score"), F.col(last)]
+    rank = F.row_number().over(Window.partitionBy("profile_key").orderBy(*order))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _opened(signatures: DataFrame, profiles: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """Signatures of the classes (profile_key, sc) scored for their profiles, the k best of each."""
+    asked = profiles.join(classes, "profile_key")
+    left, right = in_cells(signatures, asked, ["sc"], "sig_key", "profile_key", CELL)
+    scored = _scored_pairs(left.drop("sc").join(right.drop("sc"), "_cell").drop("_cell"))
+    ranked = scored.select("profile_key", "sig_key", "first_id", "ids", "priority", "ats_score", "fit_score",
+                           priority_rank(F.col("priority")).alias("priority_rank"))
+    return _best(ranked, k, "first_id").drop("rank")
+
+
+def top_postings(postings: DataFrame, profiles: DataFrame, k: int) -> DataFrame:
+    """(profile_key, rank, id, priority, ats_score, fit_score): the best k postings of every distinct
+    profile by priority, ATS, FIT and id."""
+    rows = signed(postings)
+    place = F.row_number().over(Window.partitionBy("sig_key").orderBy("id"))
+    few = rows.withColumn("_n", place).where(F.col("_n") <= k)  # alike in score, so the first k will do
+    signatures = cut_lineage(few.groupBy("sig_key").agg(
+        F.first("sig").alias("sig"), F.min("id").alias("first_id"), F.sort_array(F.collect_list("id")).alias("ids"))
+        .withColumn("sc", _signature_class()))
+    people = cut_lineage(_as_struct(distinct_profiles(profiles)).withColumn("pc", _profile_class()))
+    # Classes are few: years, levels and flags. Both sides are bounded by what these can be.
+    held = signatures.groupBy("sc").agg(F.sum(F.size("ids")).alias("n"))
+    left, right = in_cells(held, people.select("pc").distinct(), [], "sc", "pc", CELL)
+    bounds = cut_lineage(_with_bounds(left.join(right, "_cell").drop("_cell")))
+    order = Window.partitionBy("pc").orderBy("rank_least", F.desc("ats_most"), F.desc("fit_most"), "sc")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bounds = cut_lineage(bounds.withColumn("first", before < k))
+    by_profile = people.select("profile_key", "pc").join(bounds, "pc").drop("pc")
+    profiles = people.drop("pc")
+    start = cut_lineage(_opened(signatures, profiles, by_profile.where("first").select("profile_key", "sc"), k))
+    score = F.struct(-F.col("priority_rank"), F.col("ats_score"), F.col("fit_score"))
+    holds = F.size("ids")
+    reached = start.withColumn("_n", F.sum(holds).over(Window.partitionBy("profile_key").orderBy(
+        "priority_rank", F.desc("ats_score"), F.desc("fit_score"), "first_id"))).where(
+        F.col("_n") >= k).groupBy("profile_key").agg(F.max(score).alias("kth"))
+    most = F.struct(-F.col("rank_least"), F.col("ats_most"), F.col("fit_most"))
+    more = by_profile.where("NOT first").join(reached, "profile_key", "left").where(
+        F.col("kth").isNull() | (most >= F.col("kth"))).select("profile_key", "sc")
+    rest = _opened(signatures, profiles, more, k)
+    best = _best(start.unionByName(rest), k, "first_id").drop("rank")
+    return _best(best.withColumn("id", F.explode("ids")), k, "id").select(
+        "profile_key", "rank", "id", "priority", "ats_score", "fit_score")
 
 
 def _scorer_view() -> Column:
@@ -132,13 +260,9 @@ def distinct_profiles(profiles: DataFrame) -> DataFrame:
             .select("profile_key", "p.*"))
 
 
-def top_per_candidate(scored: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """Best k postings of each candidate. The rank limit is applied per profile before and after
-    the shuffle, so at most k rows per profile leave a task; candidates join last, on the key."""
-    order = [F.col("priority_rank"), F.desc("ats_score"), F.desc("fit_score"), F.col("id")]
-    rank = F.row_number().over(Window.partitionBy("profile_key").orderBy(*order))
-    best = scored.withColumn("rank", rank).where(F.col("rank") <= k)
-    return for_candidates(best, candidates)
+def top_per_candidate(postings: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """Best k postings of each candidate; candidates join last, on the key of their profile."""
+    return for_candidates(top_postings(postings, candidates, k), candidates)
 
 
 def for_candidates(by_profile: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -5,15 +5,14 @@ a similar title of the same company, else it starts a new posting together with
 that share its key. `seq` is the order inside the batch.
 """
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
 from ..functions import text as X
 from ..schema import POSTING, SCORE_COLUMNS
 from ..session import cut_lineage
-from . import folds
-from .dedup import assign_leaders, first_similar, row_key
+from . import folds, replay
+from .dedup import row_key
 from .shuffle import salted_join, with_position
 
 # Columns where the last non-empty value wins.
@@ -73,168 +72,73 @@ def match_by_key(matched: DataFrame, stored: DataFrame) -> DataFrame:
         "by_key", F.when(F.col("by_id").isNull(), F.col("by_key")))
 
 
-def match_by_title(matched: DataFrame, stored: DataFrame) -> DataFrame:
-    """Adds `by_title`: the lowest stored id of the same company with a similar title. Only batch
-    keys that are not stored, and stored keys of their companies, take part."""
-    def split(df, *more):
-        return df.select(X.key_company(F.col("dedup_key")).alias("company"),
-                         X.key_title(F.col("dedup_key")).alias("title"), *more)
-
-    open_keys = split(_open_keys(matched.where(F.col("by_key").isNull())))
-    near = salted_join(split(_stored_keys(stored), "id"), open_keys.select("company").distinct(),
-                       "company", "id", "left_semi")
-    found = first_similar(open_keys, near).select(
-        F.concat_ws(":", "company", "title").alias("dedup_key"), F.col("id").alias("by_title"))
-    open_row = F.col("by_id").isNull() & F.col("by_key").isNull()
-    return salted_join(matched, found, "dedup_key", "seq").withColumn(
-        "by_title", F.when(open_row, F.col("by_title")))
-
-
 def resolve(batch: DataFrame, stored: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Batch rows with `target_id`, the stored posting they belong to, or else `new_group`, the
     new posting they belong to; `is_new` marks the row that starts it.
 
     Rows count one after the other: a row that moves a posting to another key does so for the rows
-    after it. What such moves touch is replayed in batch order; all else is matched as a set. (With
-    `fuzzy`, titles are compared with the keys as they are before the batch.)"""
+    after it. Rows that such moves, or with `fuzzy` similar titles, can concern go through `replay`, on
+    ids and keys alone; all others are matched as a set."""
     ready = prepared(batch)
     out = match_by_key(match_by_id(ready, stored), stored)
-    steps = ["by_id", "by_key"]
-    if fuzzy:
-        out = match_by_title(out, stored)
-        steps.append("by_title")
-    rows = out.withColumn("target_id", F.coalesce(*steps)).drop(*steps)
-    grouped = _with_new_group(cut_lineage(rows) if fuzzy else rows, fuzzy)
-    if not fuzzy:
-        grouped = _with_replay(grouped, ready.select("seq", "posting_id", "dedup_key"), stored)
-    starts = grouped.where(F.col("target_id").isNull()).groupBy("new_group").agg(
+    key = F.col("dedup_key")
+    group = F.when(key != "", F.concat(F.lit("k:"), key)).otherwise(F.concat(F.lit("p:"), F.col("posting_id")))
+    narrow = cut_lineage(out.select(F.col("seq").cast("bigint").alias("seq"), "posting_id", "dedup_key",
+                                    F.col("by_id").cast("bigint").alias("fixed"), "by_key"))
+    concerned = _concerned(narrow, stored, fuzzy)
+    found = narrow.select("seq", F.coalesce("fixed", "by_key").alias("target_id"), F.when(
+        F.coalesce("fixed", "by_key").isNull(), group).alias("new_group"))
+    if concerned is not None:
+        rows, owners = concerned
+        new = F.col("owner") >= replay.NEW
+        done = replay.settled(rows, owners, fuzzy).select(
+            "seq", F.when(~new, F.col("owner")).alias("_target"), F.when(new, F.concat(
+                F.lit("s:"), (F.col("owner") - replay.NEW).cast("string"))).alias("_group"),
+            F.lit(True).alias("_done"))
+        found = cut_lineage(found.join(done, "seq", "left").select(
+            "seq", F.when(F.col("_done"), F.col("_target")).otherwise(F.col("target_id")).alias("target_id"),
+            F.when(F.col("_done"), F.col("_group")).otherwise(F.col("new_group")).alias("new_group")))
+    starts = found.where(F.col("target_id").isNull()).groupBy("new_group").agg(
         F.min("seq").alias("seq")).select("seq", F.lit(True).alias("is_new"))
-    return grouped.join(starts, "seq", "left").withColumn(
-        "is_new", F.coalesce("is_new", F.lit(False)))
-
-
-def _with_replay(grouped: DataFrame, rows: DataFrame, stored: DataFrame) -> DataFrame:
-    """Puts what the replay finds in the place of what matching as a set has found."""
-    keys = moved_keys(rows, stored)
-    if keys is None:
-        return grouped
-    found = cut_lineage(replayed(rows, stored, keys)).withColumn("_replayed", F.lit(True))
-    new = F.concat(F.lit("r:"), F.col("_start").cast("string"))
-    return grouped.join(found, "seq", "left").withColumns({
-        "target_id": F.when(F.col("_replayed"), F.col("_target")).otherwise(F.col("target_id")),
-        "new_group": F.when(F.col("_replayed"), F.when(F.col("_target").isNull(), new))
-        .otherwise(F.col("new_group")),
-    }).drop("_target", "_start", "_replayed")
-
-
-def _held(rows: DataFrame, stored: DataFrame) -> DataFrame:
-    """Stored postings (id, posting_id, dedup_key) that an id of the batch names."""
-    ids = rows.select("posting_id").distinct()
-    keyed = stored.select("id", "posting_id", F.coalesce(row_key(stored), F.lit("")).alias("dedup_key"))
-    return keyed.join(ids, "posting_id", "left_semi")
-
-
-def moved_keys(rows: DataFrame, stored: DataFrame) -> DataFrame | None:
-    """(dedup_key, part) of the keys from or to which a posting moves within the batch, that is, of
-    posting ids with several keys; None when there are none. Keys that moves connect share a part."""
-    both = rows.select("posting_id", "dedup_key").unionByName(
-        _held(rows, stored).select("posting_id", "dedup_key")).where("dedup_key <> ''")
-    several = both.groupBy("posting_id").agg(
-        F.min("dedup_key").alias("low"), F.max("dedup_key").alias("high")).where("low <> high")
-    links = cut_lineage(both.join(several, "posting_id").select("low", "dedup_key").distinct())
-    if links.isEmpty():
-        return None
-    parts = cut_lineage(links.select("dedup_key").distinct().withColumn("part", F.col("dedup_key")))
-    while True:  # the least key spreads along the links; chains of moves are short
-        near = links.join(parts.withColumnsRenamed({"dedup_key": "low", "part": "_a"}), "low").join(
-            parts.withColumnRenamed("part", "_b"), "dedup_key")
-        least = F.least("_a", "_b").alias("part")
-        better = near.select("low", least).withColumnRenamed("low", "dedup_key").unionByName(
-            near.select("dedup_key", least)).groupBy("dedup_key").agg(F.min("part").alias("part"))
-        better = cut_lineage(better)
-        changed = better.join(parts.withColumnRenamed("part", "_old"), "dedup_key").where(
-            "part <> _old")
-        if changed.isEmpty():
-            return parts
-        parts = better
-
-
-def replayed(rows: DataFrame, stored: DataFrame, keys: DataFrame) -> DataFrame:
-    """(seq, _target, _start) of the rows that moves touch, in batch order within each part: the
-    stored posting a row belongs to, or the row that starts its new posting. Only ids and keys take
-    part, row by row from a sort; the state holds the ids and keys of one part."""
-    touched = rows.join(keys, "dedup_key")
-    by_id = touched.select("posting_id", "part").unionByName(
-        _held(rows, stored).join(keys, "dedup_key").select("posting_id", "part")).groupBy(
-        "posting_id").agg(F.min("part").alias("part"))
-    keyless = rows.where("dedup_key = ''").join(by_id, "posting_id")
-    names = ["part", "id", "seq", "posting_id", "dedup_key"]
-    events = touched.unionByName(keyless).withColumn("id", F.lit(None).cast("bigint"))
-    owners = stored.select("id", "posting_id",
-                           F.coalesce(row_key(stored), F.lit("")).alias("dedup_key"))
-    by_key = owners.join(keys, "dedup_key")
-    bare = owners.where("dedup_key = ''").join(by_id, "posting_id")
-    held = by_key.unionByName(bare.select(*by_key.columns)).withColumn("seq", F.lit(None).cast("bigint"))
-    line = events.withColumn("seq", F.col("seq").cast("bigint")).select(*names).unionByName(
-        held.select(*names))
-    return (line.repartition("part").sortWithinPartitions("part", F.asc_nulls_first("seq"), "id")
-            .mapInPandas(_replay, "seq long, _target long, _start long"))
-
-
-def _replay(frames):
-    part, by_id, by_key, key_of = None, {}, {}, {}
-    for frame in frames:
-        out = []
-        for row in frame.itertuples(index=False):
-            if row.part != part:
-                part, by_id, by_key, key_of = row.part, {}, {}, {}
-            name, key = row.posting_id, row.dedup_key
-            if pd.notna(row.id):  # a stored posting; these come first
-                owner = (0, int(row.id))
-                by_id.setdefault(name, owner)
-            else:
-                seq = int(row.seq)
-                owner = by_id.get(name)
-                if owner is None and by_key.get(key):
-                    owner = min(by_key[key])
-                if owner is None:
-                    owner = (1, seq)
-                    by_id[name] = owner
-                out.append((seq, owner[1] if owner[0] == 0 else None,
-                            owner[1] if owner[0] == 1 else None))
-            if key and key_of.get(owner) != key:
-                by_key.get(key_of.get(owner), set()).discard(owner)
-                by_key.setdefault(key, set()).add(owner)
-                key_of[owner] = key
-        yield pd.DataFrame(out, columns=["seq", "_target", "_start"]).astype("Int64")
-
-
-def _with_new_group(rows: DataFrame, fuzzy: bool) -> DataFrame:
-    """Adds `new_group` to rows that no stored posting takes: their key, else their posting id.
-    Rows that repeat a posting id under another key stay with the first key of that id. With
-    `fuzzy`, a key joins the first one before it in the batch with a similar title."""
-    seq, fresh = F.col("seq"), rows.where(F.col("target_id").isNull())
-    moved = (fresh.where(F.col("dedup_key") != "").groupBy("posting_id").agg(
-        F.min(F.struct(seq, F.col("dedup_key").alias("key"))).alias("_first"),
-        F.min("dedup_key").alias("_low"), F.max("dedup_key").alias("_high"))
-        .where(F.col("_low") != F.col("_high"))
-        .select("posting_id", F.col("_first.key").alias("_moved")))
-    keyed = salted_join(rows, moved, "posting_id", "seq").withColumn(
-        "_key", F.coalesce("_moved", "dedup_key")).drop("_moved")
-    leader = F.col("_key")
+    found = found.join(starts, "seq", "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))
+    return ready.join(found, "seq")
+
+
+def _concerned(rows: DataFrame, stored: DataFrame, fuzzy: bool) -> tuple[DataFrame, DataFrame] | None:
+    """The rows whose posting may depend on the order of the batch, and the stored postings they can
+    meet; None if there are none. Those are rows of posting ids that come with several keys (a
+    stored one included), and rows that share with them a key or, with `fuzzy`, a company; with
+    `fuzzy` also all rows of companies that have several keys."""
+    named = rows.where("fixed IS NOT NULL").select(F.col("fixed").alias("id")).distinct()
+    owners = stored.select("id", "posting_id", F.coalesce(X.fenced(row_key(stored)), F.lit("")).alias("dedup_key"))
+    ids = rows.select("posting_id", "dedup_key").unionByName(
+        owners.join(named, "id", "left_semi").select("posting_id", "dedup_key"))
+    several = cut_lineage(ids.groupBy("posting_id").agg(F.min("dedup_key").alias("a"), F.max("dedup_key").alias("b"))
+                          .where("a <> b").select("posting_id"))
+
+    def scope():
+        return X.key_company(F.col("dedup_key")) if fuzzy else F.col("dedup_key")
+
+    moving = ids.join(several, "posting_id", "left_semi").where("dedup_key <> ''").select(scope().alias("scope"))
     if fuzzy:
-        keys = keyed.where(F.col("target_id").isNull() & (F.col("_key") != "")).groupBy("_key").agg(
-            F.min("seq").cast("bigint").alias("ord"))
-        leaders = assign_leaders(keys.select(
-            X.key_company(F.col("_key")).alias("company"), X.key_title(F.col("_key")).alias("title"),
-            "ord")).select(F.concat_ws(":", "company", "title").alias("_key"),
-                           F.concat_ws(":", "company", "leader").alias("_leader"))
-        keyed = salted_join(keyed, leaders, "_key", "seq")
-        leader = F.coalesce("_leader", "_key")
-    group = F.when(leader != "", F.concat(F.lit("k:"), leader)).otherwise(
-        F.concat(F.lit("p:"), F.col("posting_id")))
-    return keyed.withColumn("new_group", F.when(F.col("target_id").isNull(), group)).drop(
-        "_key", "_leader")
+        asked = rows.where("dedup_key <> ''").select(scope().alias("scope"), "dedup_key")
+        there = owners.where("dedup_key <> ''").select(scope().alias("scope"), "dedup_key").join(
+            asked.select("scope").distinct(), "scope", "left_semi")
+        mixed = asked.unionByName(there).groupBy("scope").agg(
+            F.min("dedup_key").alias("a"), F.max("dedup_key").alias("b")).where("a <> b")
+        moving = moving.unionByName(mixed.select("scope"))
+    scopes = cut_lineage(moving.distinct())
+    if scopes.isEmpty() and several.isEmpty():
+        return None
+    scoped = rows.withColumn("scope", scope())
+    marked = scopes.withColumn("_in", F.lit(True))
+    concerned = (salted_join(scoped, marked, "scope", "seq")
+                 .join(several.withColumn("_several", F.lit(True)), "posting_id", "left")
+                 .where("_in OR _several").select("seq", "posting_id", "dedup_key", "fixed"))
+    near = salted_join(owners.withColumn("scope", scope()), scopes, "scope", "id", "left_semi")
+    by_id = owners.join(named, "id", "left_semi").join(several, "posting_id", "left_semi")
+    met = near.select("id", "dedup_key").unionByName(by_id.select("id", "dedup_key")).distinct()
+    return cut_lineage(concerned), cut_lineage(met)
 
 
 def _folded(rows: DataFrame, by: str) -> DataFrame:

@@ -94,6 +94,33 @@ def fold(locations):
     return f"list_reduce({locations}, lambda a, b: {merge('a', 'b')})"
 
 
+def longest_match(a, b):
+    """(k letters, -i) of the longest text that stands in both, the first of a."""
+    return (f"list_max(flatten(list_transform(range(1, length({a}) + 1), lambda i: list_transform("
+            f"range(1, length({a}) - i + 2), lambda k: CASE WHEN contains({b}, substr({a}, i, k)) "
+            "THEN struct_pack(k := k, i := -i) END))))")
+
+
+def matching_letters(by, pairs):
+    """n per `by`: letters of the longest common text, and of what is left and right of it, and so on."""
+    prefixed = ", ".join(f"r.{c}" for c in by.split(", "))
+    return f"""WITH RECURSIVE parts AS (
+        SELECT {by}, a, b, {longest_match('a', 'b')} AS m FROM {pairs}
+        UNION ALL
+        SELECT {prefixed}, r.x.a, r.x.b, {longest_match('r.x.a', 'r.x.b')} FROM (
+          SELECT {by}, unnest([
+            struct_pack(a := substr(a, 1, -m.i - 1), b := substr(b, 1, instr(b, substr(a, -m.i, m.k)) - 1)),
+            struct_pack(a := substr(a, -m.i + m.k), b := substr(b, instr(b, substr(a, -m.i, m.k)) + m.k))]) AS x
+          FROM parts WHERE m IS NOT NULL) r
+        WHERE r.x.a <> '' AND r.x.b <> '')
+      SELECT {by}, coalesce(sum(m.k), 0) AS n FROM parts GROUP BY {by}"""
+
+
+def letter_counts(c):
+    return (f"list_transform(string_split('abcdefghijklmnopqrstuvwxyz0123456789', ''), "
+            f"lambda x: length({c}) - length(replace({c}, x, '')))")
+
+
 def rank(status):
     arms = " ".join(f"WHEN {lit(s)} THEN {r}" for s, r in vocab.STATUS_RANK.items())
     return f"CASE {status} {arms} ELSE 1 END"
@@ -402,6 +429,75 @@ CTES = {
       json_extract_string(body, '$.interview_tips') AS tips FROM answers""",
 }
 
+# Similar titles and what goes row by row. Letters that match are summed over the longest common text, then what
+# is left of it and right of it; only pairs that share enough letters are looked at.
+CTES |= {
+    "all_keys": """SELECT DISTINCT dedup_key AS k FROM keyed WHERE dedup_key <> ''
+      UNION SELECT DISTINCT dedup_key FROM batch WHERE dedup_key <> ''""",
+    "key_parts": f"""SELECT k, split_part(k, ':', 1) AS company, split_part(k, ':', 2) AS title,
+      {letter_counts("split_part(k, ':', 2)")} AS letters FROM all_keys""",
+    "title_pairs": """SELECT h.k AS held, p.k AS probe, h.title AS a, p.title AS b
+      FROM key_parts h JOIN key_parts p ON h.company = p.company AND h.k <> p.k
+      WHERE 2 * least(length(h.title), length(p.title)) >= 0.87 * (length(h.title) + length(p.title))
+        AND 2 * list_sum(list_transform(list_zip(h.letters, p.letters), lambda z: least(z[1], z[2])))
+          >= 0.87 * (length(h.title) + length(p.title))""",
+    "title_matches": matching_letters("held, probe", "title_pairs"),
+    "same_postings": f"""SELECT p.id, {title_norm('p.title')} AS a, {title_norm('i.title')} AS b
+      FROM postings p JOIN incoming i USING (posting_id)""",
+    "same_matches": matching_letters("id", "same_postings"),
+    "similar_keys": f"""SELECT probe AS k, list(held) AS near FROM title_matches
+      JOIN title_pairs USING (held, probe)
+      WHERE 2.0 * n / (length(a) + length(b)) >= {vocab.TITLE_SIMILARITY} GROUP BY probe""",
+    "key_order": """SELECT g.dedup_key AS k, split_part(g.dedup_key, ':', 1) AS company, coalesce(n.near, []) AS near,
+      row_number() OVER (PARTITION BY split_part(g.dedup_key, ':', 1) ORDER BY g.leader_id) AS step
+      FROM groups g LEFT JOIN similar_keys n ON g.dedup_key = n.k""",
+    "key_leaders": """WITH RECURSIVE steps AS (
+        SELECT company, step, k, k AS leader, [k] AS leaders FROM key_order WHERE step = 1
+        UNION ALL
+        SELECT company, step, k, coalesce(first, k),
+          CASE WHEN first IS NULL THEN list_append(leaders, k) ELSE leaders END
+        FROM (SELECT o.company, o.step, o.k, s.leaders,
+            list_filter(s.leaders, lambda x: list_contains(o.near, x))[1] AS first
+          FROM steps s JOIN key_order o ON o.company = s.company AND o.step = s.step + 1))
+      SELECT k, leader FROM steps""",
+    "led": "SELECT p.*, l.leader FROM keyed p JOIN key_leaders l ON p.dedup_key = l.k",
+    "family_rows": f"""SELECT leader, min(id) AS leader_id, count(*) AS copies,
+      {fold("list(location ORDER BY id)")} AS merged_location,
+      max(CAST(coalesce(is_reposted, 0) <> 0 AS INT)) AS reposted,
+      first(coalesce(nullif(status, ''), 'new') ORDER BY {rank("coalesce(nullif(status, ''), 'new')")} DESC, id) AS merged_status,
+      max(length(coalesce(description, ''))) AS n_chars FROM led GROUP BY leader""",
+    "posting_numbers": """SELECT posting_id, row_number() OVER (ORDER BY posting_id) AS pid FROM (
+      SELECT posting_id FROM stored UNION SELECT posting_id FROM batch)""",
+    "key_numbers": """SELECT a.k, row_number() OVER (ORDER BY a.k) AS kid FROM all_keys a""",
+    "near_numbers": """SELECT kid, list(held) AS near FROM (
+        SELECT p.kid, h.kid AS held FROM similar_keys s JOIN key_numbers p ON p.k = s.k,
+          unnest(s.near) AS u(name) JOIN key_numbers h ON h.k = u.name) GROUP BY kid""",
+    "batch_steps": """SELECT b.seq, row_number() OVER (ORDER BY b.seq) AS step, p.pid, k.kid, coalesce(n.near, []) AS near
+      FROM batch b JOIN posting_numbers p ON p.posting_id = b.posting_id
+      LEFT JOIN key_numbers k ON k.k = b.dedup_key LEFT JOIN near_numbers n ON n.kid = k.kid""",
+    # Owners are stored ids; a posting that the batch starts is -1 - seq.
+    "row_by_row": """WITH RECURSIVE walk AS (
+        SELECT CAST(0 AS BIGINT) AS step, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS owner,
+          (SELECT list(struct_pack(o := CAST(s.id AS BIGINT), p := p.pid, k := k.kid) ORDER BY s.id) FROM stored s
+            JOIN posting_numbers p ON p.posting_id = s.posting_id
+            LEFT JOIN key_numbers k ON k.k = s.dedup_key) AS held
+        UNION ALL
+        SELECT step, seq, coalesce(hit, -1 - seq),
+          CASE WHEN hit IS NULL THEN list_append(held, struct_pack(o := -1 - seq, p := pid, k := kid))
+            ELSE list_transform(held, lambda x: CASE WHEN x.o = hit AND kid IS NOT NULL
+              THEN struct_pack(o := x.o, p := x.p, k := kid) ELSE x END) END
+        FROM (SELECT r.step, r.seq, r.pid, r.kid, w.held, coalesce(
+              list_filter(w.held, lambda x: x.p = r.pid)[1].o, list_filter(w.held, lambda x: x.k = r.kid)[1].o,
+              list_filter(w.held, lambda x: list_contains(r.near, x.k))[1].o) AS hit
+          FROM walk w JOIN batch_steps r ON r.step = w.step + 1))
+      SELECT seq, owner FROM walk WHERE seq IS NOT NULL""",
+    "resolved_fuzzy": """SELECT b.*, CASE WHEN w.owner >= 0 THEN w.owner END AS target_id,
+        CASE WHEN w.owner < 0 THEN 's:' || (-1 - w.owner) END AS g, CAST(w.owner = -1 - b.seq AS INT) AS is_new
+      FROM batch b JOIN row_by_row w ON w.seq = b.seq""",
+}
+for _name in ("updates", "fresh_groups", "inserts", "merged"):
+    CTES[f"{_name}_fuzzy"] = re.sub(r"\b(resolved|updates|fresh_groups)\b", r"\1_fuzzy", CTES[_name])
+
 
 def resume_years(c):
     lo, hi = vocab.RESUME_YEARS_RANGE
@@ -485,6 +581,7 @@ LATEST_STATUS = """SELECT id, lower(status) AS status, event_id FROM status_even
 LATEST_PROFILE = """SELECT * FROM profile_saves
   QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY updated_at DESC, event_id DESC) = 1"""
 MERGE_SQL = f"SELECT {MERGED} FROM merged UNION ALL SELECT {MERGED} FROM inserts"
+FUZZY_MERGE_SQL = f"SELECT {MERGED} FROM merged_fuzzy UNION ALL SELECT {MERGED} FROM inserts_fuzzy"
 PD = vocab.PROFILE_DEFAULTS
 
 ORACLES = {
@@ -629,6 +726,19 @@ ORACLES = {
     "dedup_exact_key": "SELECT id, posting_id, title, company, location, is_reposted, status, description, dedup_key FROM stored",
     "dedup_report": """SELECT count(*) AS initial_count, count(*) - (SELECT sum(copies - 1) FROM groups) AS cleaned_count,
       CAST((SELECT sum(copies - 1) FROM groups) AS BIGINT) AS duplicates_removed FROM postings""",
+    "dedup_fuzzy": """SELECT k.id, k.posting_id, coalesce(CASE WHEN f.copies > 1 THEN f.merged_location END, k.location) AS location,
+      CASE WHEN f.copies > 1 THEN f.reposted ELSE k.is_reposted END AS is_reposted,
+      CASE WHEN f.copies > 1 THEN f.merged_status ELSE k.status END AS status,
+      CASE WHEN f.copies > 1 THEN f.n_chars ELSE length(k.description) END AS n_chars, k.dedup_key
+      FROM keyed k LEFT JOIN family_rows f ON k.id = f.leader_id
+      WHERE f.leader_id IS NOT NULL OR k.dedup_key = ''""",
+    "dedup_fuzzy_report": """SELECT count(*) AS initial_count,
+      CAST(count(*) - (SELECT sum(copies - 1) FROM family_rows) AS BIGINT) AS cleaned_count,
+      CAST((SELECT sum(copies - 1) FROM family_rows) AS BIGINT) AS duplicates_removed FROM keyed""",
+    "upsert_match_fuzzy": "SELECT seq, dedup_key, target_id, is_new = 1 AS is_new FROM resolved_fuzzy",
+    "title_similarity": """SELECT p.id, p.a, p.b, CASE WHEN length(a) + length(b) = 0 THEN 1.0
+      ELSE CAST(2.0 * n AS DOUBLE) / (length(a) + length(b)) END AS ratio FROM same_postings p JOIN same_matches USING (id)""",
+    "upsert_merge_fuzzy": FUZZY_MERGE_SQL,
     "upsert_match_id": "SELECT seq, by_id FROM resolved",
     "upsert_match_key": "SELECT seq, by_id, by_key FROM resolved",
     "upsert_resolve_exact": f"SELECT {RESOLVED_COLUMNS} FROM resolved",
@@ -636,6 +746,14 @@ ORACLES = {
     "apply_status": f"""SELECT p.id, coalesce(s.status, p.status) AS status FROM postings p
       LEFT JOIN ({LATEST_STATUS}) s ON p.id = s.id""",
     "status_latest": LATEST_STATUS,
+    "feed_page_stored": f"""SELECT * FROM (SELECT row_number() OVER (ORDER BY {ORDERS['ats_desc']}) AS rank, id, ats_score,
+      fit_score, title FROM scored) WHERE rank BETWEEN 701 AND 725""",
+    "feed_tab_stored": f"""SELECT * FROM (SELECT row_number() OVER (ORDER BY {ORDERS['priority_desc']}) AS rank, id, priority,
+      ats_score, fit_score FROM scored WHERE status = 'saved') WHERE rank BETWEEN 21 AND 60""",
+    "lookup_stored": """SELECT s.id, s.posting_id, s.title, s.priority, s.ats_score, s.fit_score FROM scored s
+      WHERE s.posting_id IN (SELECT posting_id FROM incoming WHERE seq % 50 = 0)""",
+    "any_contains": f"""SELECT candidate_id, len(list_filter({csv('skills_csv')}, lambda s: contains(lower(s), 'python'))) > 0
+      AS has_python FROM candidate_forms""",
     "stats_dashboard": f"""SELECT count(*) AS total, count(DISTINCT posting_id) AS unique_postings,
       count(*) FILTER (WHERE ats_score > 0) AS scored, count(*) FILTER (WHERE priority = 'HIGH') AS high_priority,
       {mean('ats_score')} AS avg_ats, {mean('fit_score')} AS avg_fit,
@@ -711,12 +829,18 @@ ORACLES = {
     "feed_unknown_sort": f"""SELECT row_number() OVER (ORDER BY {ORDERS['priority_desc']}) AS rank, id, priority
       FROM scored ORDER BY rank LIMIT 25""",
     "stream_upsert": MERGE_SQL,
+    "stream_upsert_fuzzy": FUZZY_MERGE_SQL,
     "stream_status_latest": LATEST_STATUS,
     "stream_first_seen": "SELECT DISTINCT id FROM status_events",
     "stream_run_log": """SELECT keywords, count(*) AS jobs_found,
       count(*) FILTER (WHERE is_new = 1) AS new_jobs FROM resolved GROUP BY keywords""",
 }
 
+ORACLES["profile_json_sink"] = ORACLES["profile_defaults"]
+ORACLES["stream_figures"] = ORACLES["stats_dashboard"].replace("FROM scored", """FROM (
+  SELECT sc.posting_id, sc.ats_score, sc.fit_score, sc.priority, sc.status FROM scored sc JOIN stored st USING (id)
+  UNION ALL SELECT posting_id, 0.0, 0.0, 'MEDIUM', status FROM inserts_fuzzy)""")
+
 
 def _needed(sql: str, have: list[str]) -> list[str]:
     for name, body in CTES.items():

@@ -16,9 +16,10 @@ from ..functions import text as X
 from ..functions.similarity import title_similarity as similarity
 from ..operators import dedup, feed, pages, profiles, replies, score, stats, upsert
 from ..schema import COMPONENTS, PROFILE
-from ..session import cut_lineage
+from ..session import cut_lineage, new_folder
 from ..sources import tables
 from ..sources.adapter import Tables
+from ..sources.store import stored_scores
 from ..streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -268,6 +269,28 @@ def feed_page(t):
         "id", "priority", "ats_score", "fit_score")
 
 
+@query
+def feed_page_stored(t):
+    """A page far down, from a store of scored postings."""
+    store = stored_scores(_scored(t), new_folder(t.spark, "store"))
+    return store.page("ats_desc", limit=25, offset=700).select("rank", "id", "ats_score", "fit_score", "title")
+
+
+@query
+def feed_tab_stored(t):
+    store = stored_scores(_scored(t), new_folder(t.spark, "store"))
+    return store.page("priority_desc", limit=40, offset=20, tab="Saved").select(
+        "rank", "id", "priority", "ats_score", "fit_score")
+
+
+@query
+def lookup_stored(t):
+    """Stored postings that every fiftieth row of a later crawl names, scores included."""
+    store = stored_scores(_scored(t), new_folder(t.spark, "store"))
+    return store.by_posting_ids(t.incoming().where("seq % 50 = 0")).select(
+        "id", "posting_id", "title", "priority", "ats_score", "fit_score")
+
+
 @query
 def feed_unknown_sort(t):
     rows = feed.feed(_scored(t), max_exp=None, sort_by="no such order", limit=25)
@@ -435,23 +458,14 @@ def score_priority(t):
 @query
 def score_many_candidates(t):
     people = _candidates(t)
-    scored = score.score_for_profiles(t.postings(), people)
-    tally = scored.groupBy("profile_key").agg(
-        F.count_if(F.col("priority") == "HIGH").alias("n_high"),
-        F.count_if(F.col("priority") == "MEDIUM").alias("n_medium"),
-        F.count_if(F.col("priority") == "LOW").alias("n_low"),
-        F.max("ats_score").alias("best_ats"), F.max("fit_score").alias("best_fit"))
-    return score.for_candidates(tally, people).select(
+    return score.for_candidates(score.profile_tally(t.postings(), people), people).select(
         "candidate_id", "n_high", "n_medium", "n_low", "best_ats", "best_fit")
 
 
 @query
 def topk_per_candidate(t):
-    people = _candidates(t)
-    scored = score.score_for_profiles(t.postings(), people).withColumn(
-        "priority_rank", feed.priority_rank(F.col("priority"))).select(
-        "profile_key", "id", "priority_rank", "priority", "ats_score", "fit_score")
-    return score.top_per_candidate(scored, people.select("candidate_id", *PROFILE.names), 5).select(
+    people = _candidates(t).select("candidate_id", *PROFILE.names)
+    return score.top_per_candidate(t.postings(), people, 5).select(
         "candidate_id", F.col("rank").cast("bigint").alias("rank"), "id", "ats_score", "fit_score")
 
 
@@ -600,6 +614,12 @@ def dedup_fuzzy(t):
         F.length("description").alias("n_chars"), "dedup_key")
 
 
+@query
+def dedup_fuzzy_report(t):
+    rows = t.postings()
+    return dedup.report(rows, dedup.fuzzy_groups(rows))
+
+
 @query
 def title_similarity(t):
     ours = t.postings().select("posting_id", "id", X.normalize_title(F.col("title")).alias("a"))
@@ -641,6 +661,11 @@ def upsert_merge_exact(t):
     return upsert.upsert(t.incoming(), _stored(t), fuzzy=False).select(*MERGED)
 
 
+@query
+def upsert_merge_fuzzy(t):
+    return upsert.upsert(t.incoming(), _stored(t)).select(*MERGED)
+
+
 @query
 def upsert_merge_drift(t):
     stored = cut_lineage(t.drift_stored())
@@ -668,6 +693,14 @@ def stats_dashboard(t):
     return stats.dashboard(_scored(t))
 
 
+@query
+def stream_figures(t):
+    """The dashboard after a crawl was merged, from sums kept by the stream."""
+    ids = _stored(t).select("id")
+    scored = _scored(t).join(ids, "id", "left_semi")
+    return jobs.run_figures_once(t, cut_lineage(scored))
+
+
 @query
 def priority_counts(t):
     return stats.by_priority(_scored(t))
@@ -715,20 +748,17 @@ def url_canonical(t):
 
 @query
 def html_repost(t):
-    return t.detail_pages().select("page_id", H.page_reposted(F.col("html")).cast("int")
-                                   .alias("is_reposted"))
+    return pages.details(t.detail_pages()).select("page_id", "is_reposted")
 
 
 @query
 def html_to_text(t):
-    return t.detail_pages().select("page_id", H.readable(H.inner(
-        F.col("html"), H.BOARD.description)).alias("description"))
+    return t.detail_pages().select("page_id", H.description(F.col("html")).alias("description"))
 
 
 @query
 def html_nested(t):
-    return t.nested_pages().select("page_id", H.readable(H.inner(
-        F.col("html"), H.BOARD.description)).alias("description"))
+    return t.nested_pages().select("page_id", H.description(F.col("html")).alias("description"))
 
 
 @query
@@ -804,6 +834,21 @@ def profile_defaults(t):
     return _flat_profile(profiles.with_defaults(given))
 
 
+@query
+def profile_json_sink(t):
+    """Profiles written as JSON and read back."""
+    given = t.profile_replies().select("resume_id", F.from_json("reply", PROFILE).alias("r")).select("resume_id", "r.*")
+    folder = new_folder(t.spark, "profiles")
+    tables.write_profiles(profiles.with_defaults(given), folder)
+    return _flat_profile(tables.read_profiles(t.spark, folder, "resume_id long"))
+
+
+@query
+def any_contains(t):
+    return t.candidate_forms().select("candidate_id", X.any_contains(
+        X.csv_items(F.lower("skills_csv")), F.lit("python")).alias("has_python"))
+
+
 @query
 def model_reply_parse(t):
     return replies.parse(t.fit_replies()).select(
@@ -827,6 +872,11 @@ def prompt_build(t):
 
 @query
 def stream_upsert(t):
+    return jobs.run_upsert_once(t, fuzzy=False).select(*MERGED)
+
+
+@query
+def stream_upsert_fuzzy(t):
     return jobs.run_upsert_once(t).select(*MERGED)
 
 

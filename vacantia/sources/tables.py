@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions import resume as R
 from ..functions import text as X
-from ..schema import BREAKDOWN, POSTING, SCORING_COLUMNS, STRINGS
+from ..schema import BREAKDOWN, POSTING, PROFILE, SCORING_COLUMNS, STRINGS
 
 # Text columns that hold JSON, and what null or '' stands for.
 JSON_COLUMNS = {
@@ -72,5 +72,12 @@ def write_profiles(profiles: DataFrame, path: str) -> None:
     profiles.write.mode("errorifexists").json(path)
 
 
+def read_profiles(spark: SparkSession, path: str, keys: str = "") -> DataFrame:
+    """Profiles as written, with further columns (as DDL) in front; fields that the JSON leaves out are
+    null."""
+    own = T.StructType.fromDDL(keys).fields if keys else []
+    return spark.read.schema(T.StructType([*own, *PROFILE.fields])).json(path)
+
+
 def append_run_log(log: DataFrame, path: str) -> None:
     log.withColumn("day", F.to_date("ts")).write.partitionBy("day").mode("append").parquet(path)

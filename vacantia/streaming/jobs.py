@@ -4,10 +4,12 @@ Sinks are folders of the shared file system, one sub-folder per micro-batch, wri
 batch that runs again after a failure replaces its own output.
 """
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import dedup, upsert
+from ..operators import dedup, stats, upsert
 from ..session import cut_lineage, new_folder
 from ..sources.adapter import STATUS_EVENTS, Tables
 
@@ -30,8 +32,15 @@ class PostingLog:
     def start(self, base: DataFrame) -> "PostingLog":
         base.write.mode("errorifexists").parquet(f"{self.folder}/bases/upto=-1")
         self.spark.createDataFrame([], base.schema).write.parquet(f"{self.folder}/changes/batch=-1")
+        if self.has_scores(base):
+            base = self.spark.read.parquet(f"{self.folder}/bases/upto=-1")
+            stats.partial(base).write.parquet(f"{self.folder}/figures/batch=-1")
         return self
 
+    @staticmethod
+    def has_scores(rows: DataFrame) -> bool:
+        return {"ats_score", "fit_score", "priority", "status"} <= set(rows.columns)
+
     def current(self, before: int | None = None) -> DataFrame:
         bases = self.spark.read.parquet(f"{self.folder}/bases")
         usable = bases if before is None else bases.where(F.col("upto") < before)
@@ -46,16 +55,43 @@ class PostingLog:
         kept = base.join(newest, "id", "left_anti")
         return kept.unionByName(changes.join(newest, ["id", "batch"], "left_semi").drop("batch"))
 
-    def write(self, batch_id: int, changed: DataFrame) -> None:
-        changed.write.mode("overwrite").parquet(f"{self.folder}/changes/batch={batch_id}")
+    def write(self, batch_id: int, changed: DataFrame, before: DataFrame | None = None) -> None:
+        """The rows as they are now, and `before` as those that were there already have been: the
+        figures of a batch are the difference."""
+        folder = f"{self.folder}/changes/batch={batch_id}"
+        changed.write.mode("overwrite").parquet(folder)
+        if before is not None and self.has_scores(changed):
+            now = self.spark.read.schema(changed.schema).parquet(folder)
+            both = stats.partial(now).unionByName(stats.partial(before, -1))
+            both.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/figures/batch={batch_id}")
         if (batch_id + 1) % self.fold_every == 0:
             self.current(batch_id + 1).write.mode("overwrite").parquet(
                 f"{self.folder}/bases/upto={batch_id}")
 
+    def figures(self) -> DataFrame:
+        """Partial sums of all changes, for `stats.dashboard_of` and `stats.by_priority_of`; no
+        posting is read."""
+        return self.spark.read.parquet(f"{self.folder}/figures").drop("batch")
+
     def compact(self, folder: str) -> "PostingLog":
         return PostingLog(self.spark, folder).start(self.current())
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB, on the executors' disks and in the
+    checkpoint, so it may outgrow their memory."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
+
+
 def upsert_stream(postings: DataFrame, log: PostingLog, checkpoint: str, fuzzy: bool = True,
                   transform=None, run_log: str | None = None) -> StreamingQuery:
     """Runs the batch merge on every micro-batch of arriving postings and logs each run. `transform`
@@ -70,7 +106,7 @@ def upsert_stream(postings: DataFrame, log: PostingLog, checkpoint: str, fuzzy:
         updated = upsert.apply_updates(touched, upsert.updates(resolved))
         fresh = upsert.inserts(resolved, stored)
         log.write(batch_id, updated.unionByName(fresh, allowMissingColumns=True)
-                  .select(*stored.columns))
+                  .select(*stored.columns), touched)
         if run_log:
             (upsert.run_log(resolved, F.current_timestamp(), "keywords")
              .write.mode("overwrite").parquet(f"{run_log}/batch={batch_id}"))
@@ -89,8 +125,9 @@ def status_stream(events: DataFrame, folder: str, checkpoint: str) -> StreamingQ
     def step(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
-    return (latest.writeStream.outputMode("update").foreachBatch(step)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    with state_on_disk(events.sparkSession):
+        return (latest.writeStream.outputMode("update").foreachBatch(step)
+                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def current_status(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,23 +137,25 @@ def current_status(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def first_seen_stream(sightings: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """First sighting of each posting id, however late a repeat comes: a micro-batch keeps the ids
-    that no earlier batch has written (folder `batch=<n>`, so a batch that runs again replaces its
-    own rows)."""
+    """First sighting of each posting id, however late a repeat comes, as keyed state: an id's state is
+    the first row of the micro-batch it came in with first, and the times of its first and its last
+    micro-batch; it is new as long as these are the same. A batch reads and writes only its own ids;
+    what it adds goes to `batch=<n>`, so a batch that runs again, at its old time, replaces its rows.
+    (Column names must not begin with `_`.)"""
+    spark = sightings.sparkSession
+    rest = [c for c in sightings.columns if c not in ("id", "ts")]
+    now = F.current_timestamp()  # one time for a whole micro-batch
+    state = sightings.withColumn("_batch", now).groupBy("id").agg(
+        F.min(F.struct("_batch", "ts", *rest)).alias("_first"), F.max("_batch").alias("_last"))
+    fresh = state.where(F.col("_first._batch") == F.col("_last")).select(
+        "id", "_first.ts", *[f"_first.{c}" for c in rest])
+
     def step(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        rest = [c for c in batch.columns if c not in ("id", "ts")]
-        first = batch.groupBy("id").agg(F.min(F.struct("ts", *rest)).alias("row")).select("id", "row.*")
-        seen = batch.sparkSession.read.schema("id long, batch int").parquet(folder).where(
-            F.col("batch") < batch_id).select("id")
-        (first.join(seen, "id", "left_anti").write.mode("overwrite")
-         .parquet(f"{folder}/batch={batch_id}"))
-
-    ids = sightings.sparkSession.createDataFrame([], sightings.schema)
-    ids.write.mode("ignore").parquet(f"{folder}/batch=-1")
-    return (sightings.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    with state_on_disk(spark):
+        return (fresh.writeStream.outputMode("update").foreachBatch(step)
+                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 # The jobs over the given tables, run until the available input is used up -----------------------
@@ -138,18 +177,19 @@ def _stream(t: Tables, name: str) -> DataFrame:
     return reader.parquet(path)
 
 
-LANDINGS = 3  # files that the incoming crawl arrives in, one per micro-batch
+LANDINGS = 3  # folders that the incoming crawl arrives in, one per micro-batch
 
 
 def _incoming_stream(t: Tables, folder: str) -> DataFrame:
-    """The incoming crawl as it lands: a file after the other, in order of `seq`."""
+    """The incoming crawl as it lands, a third of `seq` after the other: many tasks write each third,
+    and a micro-batch takes up the files of one."""
     rows = t.incoming()
     last = rows.agg(F.max("seq")).first()[0] or 0
     part = F.floor(F.col("seq") * LANDINGS / (last + 1))
+    files = max(1, min(int(t.spark.conf.get("spark.sql.shuffle.partitions")), last // LANDINGS))
     for i in range(LANDINGS):
-        rows.where(part == i).coalesce(1).write.mode("append").parquet(folder)
-    return (t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
-            .parquet(folder))
+        rows.where(part == i).repartition(files).write.mode("append").parquet(folder)
+    return (t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder))
 
 
 def _event_stream(t: Tables) -> DataFrame:
@@ -157,21 +197,29 @@ def _event_stream(t: Tables) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _upsert_once(t: Tables) -> tuple[PostingLog, str]:
+def _upsert_once(t: Tables, fuzzy: bool) -> tuple[PostingLog, str]:
     home = new_folder(t.spark, "upsert")
     log = PostingLog(t.spark, f"{home}/postings").start(dedup.dedup_exact(t.postings()))
-    upsert_stream(_incoming_stream(t, f"{home}/landed"), log, f"{home}/offsets", fuzzy=False,
+    upsert_stream(_incoming_stream(t, f"{home}/landed"), log, f"{home}/offsets", fuzzy,
                   run_log=f"{home}/runs").awaitTermination()
     return log, f"{home}/runs"
 
 
-def run_upsert_once(t: Tables) -> DataFrame:
-    return _upsert_once(t)[0].current()
+def run_upsert_once(t: Tables, fuzzy: bool = True) -> DataFrame:
+    return _upsert_once(t, fuzzy)[0].current()
+
+
+def run_figures_once(t: Tables, scored: DataFrame) -> DataFrame:
+    """Dashboard after the crawl has been merged, from the sums that its micro-batches left."""
+    home = new_folder(t.spark, "figures")
+    log = PostingLog(t.spark, f"{home}/postings").start(scored)
+    upsert_stream(_incoming_stream(t, f"{home}/landed"), log, f"{home}/offsets").awaitTermination()
+    return stats.dashboard_of(log.figures())
 
 
 def run_log_once(t: Tables) -> DataFrame:
     """Found and new rows per search over all micro-batches."""
-    runs = t.spark.read.parquet(_upsert_once(t)[1])
+    runs = t.spark.read.parquet(_upsert_once(t, fuzzy=False)[1])
     return runs.groupBy("keywords").agg(F.sum("jobs_found").alias("jobs_found"),
                                         F.sum("new_jobs").alias("new_jobs"))
 
