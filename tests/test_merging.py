@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from vacantia.operators import dedup, similar as similar_titles, upsert
+from vacantia.operators import dedup, replay, similar as similar_titles, upsert
 from vacantia.operators.shuffle import last_before, with_position
 from vacantia.schema import POSTING
 
@@ -239,16 +239,19 @@ FAMILY = ["devopsengineer", "devopsengineers", "srdevopsengineer", "srdevopsengi
           "xdevopsengineersx", "cloudlead", "cloudleads", "scloudleads", "azure"]
 
 
-@pytest.mark.parametrize("seed, fuzzy", [(1, True), (2, True), (3, True), (4, True), (5, False), (6, False)])
-def test_resolve_goes_row_by_row(spark, seed, fuzzy):
-    """Random batches full of moves, similar titles, keyless rows and repeated ids."""
-    rnd = random.Random(seed)
+@pytest.mark.parametrize("seed, fuzzy, small", [(1, True, 20_000), (2, True, 20_000), (3, True, 0), (4, False, 20_000),
+                                               (5, False, 0)])
+def test_resolve_goes_row_by_row(spark, monkeypatch, seed, fuzzy, small):
+    """Random batches full of moves, similar titles, keyless rows and repeated ids; in tasks, or by
+    guesses as for large companies."""
+    monkeypatch.setattr(replay.resolved, "__defaults__", (small,))
+    rnd, size = random.Random(seed), 70 if small else 36
 
     def key():
         return f"{rnd.choice(['acme', 'bolt', 'bolt', 'cobo'])}:{rnd.choice(FAMILY)}" if rnd.random() < 0.93 else ""
 
     stored = [(i, f"p{i}", key()) for i in range(1, 9)]
-    rows = [(s, f"p{rnd.randint(1, 40)}", key()) for s in range(70)]
+    rows = [(s, f"p{rnd.randint(1, size // 2)}", key()) for s in range(size)]
     assert resolved(spark, stored, rows, fuzzy) == one_by_one(stored, rows, fuzzy)
 
 
@@ -261,6 +264,16 @@ def test_similar_titles_follow_the_key_of_the_batch(spark):
     assert resolved(spark, stored, drift, True) == one_by_one(stored, drift, True)
 
 
+def test_many_small_companies_and_a_large_one(spark, monkeypatch):
+    """Small ones in tasks, the large one by guesses, in one batch."""
+    monkeypatch.setattr(replay.resolved, "__defaults__", (12,))
+    rnd = random.Random(3)
+    rows = [(s, f"{c}p{rnd.randint(1, 9)}", f"{c}:{rnd.choice(FAMILY)}") for s, c in enumerate(
+        rnd.choice(["hot", "hot", "a", "b", "c", "d"]) for _ in range(44))]
+    stored = [(i, f"{c}p{i}", f"{c}:{rnd.choice(FAMILY)}") for i, c in enumerate(["hot", "a", "b", "c"], 1)]
+    assert resolved(spark, stored, rows, True) == one_by_one(stored, rows, True)
+
+
 @pytest.mark.parametrize("fuzzy", [False, True])
 def test_one_hot_key(spark, fuzzy):
     """200,000 rows of one key that postings move from and to, and stored postings that share it."""

@@ -42,8 +42,9 @@ class OrderedTitles:
         self._lengths[n] = len(title)
         self.titles.append(title)
 
-    def first_like(self, probe: str, allowed: np.ndarray | None = None) -> int:
-        """Place of the first title (of those `allowed`) that is similar to the probe, or -1."""
+    def first_like(self, probe: str, allowed: np.ndarray | None = None, order: np.ndarray | None = None) -> int:
+        """Place of the first title (of those `allowed`, by `order`) that is similar to the probe, or
+        -1."""
         n = len(self.titles)
         if not n or not probe:
             return -1
@@ -54,6 +55,8 @@ class OrderedTitles:
             return -1
         shared = np.minimum(self._counts[fitting], _letter_counts(probe)).sum(axis=1)
         fitting = fitting[2.0 * shared >= (TITLE_SIMILARITY - 1e-9) * total[fitting]]
+        if order is not None:
+            fitting = fitting[np.argsort(order[fitting], kind="stable")]
         matcher = SequenceMatcher(None)
         matcher.set_seq2(probe)
         for i in fitting:
@@ -63,6 +66,33 @@ class OrderedTitles:
         return -1
 
 
+class MovingTitles(OrderedTitles):
+    """Titles that come and go, each with an owner; `lowest` finds the least owner whose title is similar
+    to a probe."""
+
+    def __init__(self):
+        super().__init__(16)
+        self._owner = np.zeros(16, dtype=np.int64)
+        self._held = np.zeros(16, dtype=bool)
+
+    def hold(self, title: str, owner: int) -> int:
+        """Place of the title, for `leave`."""
+        n = len(self.titles)
+        if n == len(self._held):
+            self._counts, self._lengths, self._owner, self._held = (
+                np.concatenate([x, np.zeros_like(x)]) for x in (self._counts, self._lengths, self._owner, self._held))
+        self.add(title)
+        self._owner[n], self._held[n] = owner, True
+        return n
+
+    def leave(self, place: int) -> None:
+        self._held[place] = False
+
+    def lowest(self, probe: str) -> int | None:
+        place = self.first_like(probe, self._held[:len(self.titles)], self._owner)
+        return None if place < 0 else int(self._owner[place])
+
+
 @F.pandas_udf(T.DoubleType())
 def title_similarity(stored: pd.Series, other: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a or "", b or "").ratio()

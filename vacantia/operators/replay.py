@@ -6,11 +6,13 @@ several do; else, with `fuzzy`, to the lowest whose key at its time is of the sa
 similar title; else it starts a posting. A row that is not there by its key moves its posting to the
 key it brings.
 
-Who belongs where is guessed, the keys that postings hold from when to when follow from the guess, and
-looking every row up in them gives the next guess, until nothing changes. What a row finds depends on
-earlier rows only, so the end result is the one of going row by row; and since a guess is wrong only
-behind a wrong one, a few rounds do. No row meets all rows of its key: keys are looked up as of a
-time, in blocks of time.
+Companies do not meet but in posting ids, so those with at most SMALL rows are gone through row by row,
+many of them in one task. Larger ones are settled as a whole: who belongs where is guessed, the keys
+that postings hold from when to when follow from the guess, and looking every row up in them gives the
+next guess, until nothing changes. What a row finds depends on earlier rows only, so the end result is
+the same; and since a guess is wrong only behind a wrong one, it takes as many rounds as the longest
+chain of wrong ones. No row meets all rows of its key: keys are looked up as of a time, in blocks of
+time.
 
 Owners are numbers: the id of a stored posting, or NEW + seq for the posting that row seq starts, so
 the lowest owner is the one that came first.
@@ -24,17 +26,129 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as X
+from ..functions.similarity import MovingTitles
 from ..session import cut_lineage
 from .shuffle import last_before
 from .similar import ALWAYS, first_similar
 
 NEW = 1 << 62
+NOBODY = -1 << 62  # stands for no stored posting, so that ids are never read by way of floats
 BEFORE = -1  # the time from which stored postings hold their keys; batches start at 0
 
 
-def settled(rows: DataFrame, owners: DataFrame, fuzzy: bool, block: int | None = None) -> DataFrame:
+SMALL = 20_000  # rows and stored postings of a company that one task goes through
+
+
+def resolved(rows: DataFrame, owners: DataFrame, fuzzy: bool, small: int = SMALL) -> DataFrame:
     """rows (seq, posting_id, dedup_key, fixed: the stored posting of that id or null) and the stored
     postings (id, dedup_key) that they can meet -> (seq, owner)."""
+    def company(c):
+        return X.key_company(F.col(c))
+
+    # Where an id occurs: its rows, and the stored posting it names. Companies that share one, and rows
+    # without a key, go with the least company of the id or, if there are several, all together.
+    held = owners.select(F.col("id").alias("fixed"), F.col("dedup_key").alias("_held"))
+    named = rows.join(held, "fixed", "left")
+    met = F.array_compact(F.array(F.when(F.col("dedup_key") != "", company("dedup_key")),
+                                  F.when(F.col("_held") != "", company("_held"))))
+    ids = named.groupBy("posting_id").agg(F.min(F.array_min(met)).alias("_low"), F.max(F.array_max(met)).alias("_high"))
+    linked = ids.where("_low <> _high").select("posting_id")
+    together = named.join(linked, "posting_id", "left_semi").select(F.explode(met).alias("company")).distinct().withColumn(
+        "_linked", F.lit("*"))
+    placed = rows.join(ids.select("posting_id", "_low"), "posting_id", "left").withColumn(
+        "company", F.when(F.col("dedup_key") != "", company("dedup_key")).otherwise(F.coalesce("_low", F.lit("*"))))
+    of_id = rows.where("fixed IS NOT NULL").join(ids, "posting_id").groupBy(F.col("fixed").alias("id")).agg(
+        F.min("_low").alias("_low"))
+    kept = owners.join(of_id, "id", "left").withColumn("company", F.when(
+        F.col("dedup_key") != "", company("dedup_key")).otherwise(F.coalesce("_low", F.lit("*"))))
+    placed, kept = (df.join(together, "company", "left").withColumn("part", F.coalesce("_linked", "company"))
+                    .drop("_linked", "company", "_low") for df in (placed, kept))
+    placed, kept = cut_lineage(placed), cut_lineage(kept)
+    sizes = placed.select("part").unionByName(kept.select("part")).groupBy("part").count()
+    large = cut_lineage(sizes.where(F.col("count") > small).select("part"))
+    tasks = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    line = placed.select("part", "seq", "posting_id", "dedup_key", F.coalesce("fixed", F.lit(NOBODY)).alias(
+        "fixed")).unionByName(kept.select(
+        "part", F.lit(BEFORE).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("posting_id"), "dedup_key",
+        F.col("id").alias("fixed")))
+    if large.isEmpty():
+        out = line
+    else:
+        out = line.join(large, "part", "left_anti")
+    done = (out.repartition(tasks, "part").sortWithinPartitions("part", "seq", "fixed")
+            .mapInPandas(_row_by_row(fuzzy), "seq long, owner long"))
+    if large.isEmpty():
+        return done
+    many = settled(placed.join(large, "part", "left_semi").drop("part"),
+                   kept.join(large, "part", "left_semi").drop("part"), fuzzy)
+    return done.unionByName(many)
+
+
+def _row_by_row(fuzzy: bool):
+    """Rows of one part after the other, its stored postings first (before all rows, seq BEFORE)."""
+    def go(frames):
+        part, state = None, None
+        for frame in frames:
+            out = []
+            for name, seq, posting_id, key, own in zip(frame["part"], frame["seq"].tolist(), frame["posting_id"],
+                                                       frame["dedup_key"], frame["fixed"].tolist()):
+                if name != part:
+                    part, state = name, _State(fuzzy)
+                if seq == BEFORE:
+                    state.move(own, key)
+                else:
+                    out.append((seq, state.row(seq, posting_id, key, None if own == NOBODY else own)))
+            yield pd.DataFrame(out, columns=["seq", "owner"]).astype("int64")
+
+    return go
+
+
+class _State:
+    """Keys that postings hold, and which postings hold a key or a title of a company."""
+
+    def __init__(self, fuzzy: bool):
+        self.fuzzy = fuzzy
+        self.key_of: dict[int, str] = {}
+        self.holders: dict[str, list[int]] = {}  # heaps; who has left is dropped when it comes up
+        self.started: dict[str, int] = {}
+        self.titles: dict[str, MovingTitles] = {}
+        self.place: dict[int, tuple[MovingTitles, int]] = {}
+
+    def move(self, owner: int, key: str) -> None:
+        if not key or self.key_of.get(owner) == key:
+            return
+        self.key_of[owner] = key
+        heapq.heappush(self.holders.setdefault(key, []), owner)
+        if self.fuzzy:
+            if owner in self.place:
+                titles, at = self.place[owner]
+                titles.leave(at)
+            company, _, title = key.partition(":")
+            titles = self.titles.setdefault(company, MovingTitles())
+            self.place[owner] = titles, titles.hold(title, owner)
+
+    def holder(self, key: str) -> int | None:
+        heap = self.holders.get(key, [])
+        while heap and self.key_of[heap[0]] != key:
+            heapq.heappop(heap)
+        return heap[0] if heap else None
+
+    def row(self, seq: int, posting_id: str, key: str, fixed: int | None) -> int:
+        owner = fixed if fixed is not None else self.started.get(posting_id)
+        if owner is None and key:
+            owner = self.holder(key)
+            if owner is None and self.fuzzy:
+                company, _, title = key.partition(":")
+                if company in self.titles:
+                    owner = self.titles[company].lowest(title)
+        if owner is None:
+            owner = self.started[posting_id] = NEW + seq
+        self.move(owner, key)
+        return owner
+
+
+def settled(rows: DataFrame, owners: DataFrame, fuzzy: bool, block: int | None = None) -> DataFrame:
+    """As `resolved`, by guesses."""
     guess = cut_lineage(_first_guess(rows, owners))
     while True:
         guess = cut_lineage(_next_guess(guess, owners, fuzzy, block))

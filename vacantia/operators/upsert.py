@@ -91,7 +91,7 @@ def resolve(batch: DataFrame, stored: DataFrame, fuzzy: bool = True) -> DataFram
     if concerned is not None:
         rows, owners = concerned
         new = F.col("owner") >= replay.NEW
-        done = replay.settled(rows, owners, fuzzy).select(
+        done = replay.resolved(rows, owners, fuzzy).select(
             "seq", F.when(~new, F.col("owner")).alias("_target"), F.when(new, F.concat(
                 F.lit("s:"), (F.col("owner") - replay.NEW).cast("string"))).alias("_group"),
             F.lit(True).alias("_done"))
@@ -138,7 +138,7 @@ def _concerned(rows: DataFrame, stored: DataFrame, fuzzy: bool) -> tuple[DataFra
     near = salted_join(owners.withColumn("scope", scope()), scopes, "scope", "id", "left_semi")
     by_id = owners.join(named, "id", "left_semi").join(several, "posting_id", "left_semi")
     met = near.select("id", "dedup_key").unionByName(by_id.select("id", "dedup_key")).distinct()
-    return cut_lineage(concerned), cut_lineage(met)
+    return cut_lineage(concerned), met
 
 
 def _folded(rows: DataFrame, by: str) -> DataFrame:
