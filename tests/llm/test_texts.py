@@ -223,13 +223,16 @@ def test_personal_data(spark, docs, texts, odd, none):
 
 
 def test_rare_personal_data_is_learned_from(spark):
-    """One document in 3,000 holds any; its disguised twin is found all the same."""
-    rows = [(i, f"plain words without numbers {'a' * (i % 7)}") for i in range(9000)]
-    rows += [(20_000 + i, f"write to some.one{i}@mail.example.com or call +44 20 7946 0{i}00") for i in range(3)]
-    field = personal_data.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    """One document in 200 holds any: the field sees all of them, and finds a disguised twin."""
+    rows = [(i, f"plain words, item {i} of 9000 {'a' * (i % 7)}") for i in range(9000)]
+    rows += [(20_000 + i, f"write to some.one{i}@mail.example.com or call +44 20 7946 0{i}00") for i in range(45)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    drawn = packed(table).select("_text").mapInArrow(
+        personal_data._examples(300), "piece string, a int, b int, kind int, hash long").collect()
+    assert Counter(r.kind for r in drawn)[0] >= 45 and Counter(r.kind for r in drawn)[3] >= 45
+    field = personal_data.fit(table)
     twin = spark.createDataFrame([(1, "write to other.name [at] mail.example.com today")], "doc_id long, text string")
-    found = personal_data.found(twin, field, "doc_id").first()
-    assert found.spans.startswith("email:")
+    assert personal_data.found(twin, field, "doc_id").first().spans.startswith("email:")
 
 
 def test_no_stretch_is_left_out_of_the_draw(spark):
