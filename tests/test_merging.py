@@ -76,10 +76,11 @@ def test_similar_titles_show_a_common_pair(title, edits):
 
 
 def test_one_company_of_many_titles(spark):
-    """20,000 titles of one company: a family around every one of 400 stems."""
+    """8,000 titles of one company: a family around every one of 400 stems. The first 100 titles and
+    their kin are settled at once, what is left by rounds and letter pairs."""
     rnd = random.Random(4)
     stems = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(24)) for _ in range(400)]
-    titles = list(dict.fromkeys(stems[i % 400] + f"{i // 400:02d}" for i in range(20_000)))
+    titles = list(dict.fromkeys(stems[i % 400] + f"{i // 400:02d}" for i in range(8_000)))
     df = spark.createDataFrame([("hot", t, i) for i, t in enumerate(titles)], "company string, title string, ord long")
     got = {r.title: r.leader for r in similar_titles.assign_leaders(df, head=100).collect()}
     assert got == {t: t[:24] + "00" for t in titles}
@@ -239,13 +240,12 @@ FAMILY = ["devopsengineer", "devopsengineers", "srdevopsengineer", "srdevopsengi
           "xdevopsengineersx", "cloudlead", "cloudleads", "scloudleads", "azure"]
 
 
-@pytest.mark.parametrize("seed, fuzzy, small", [(1, True, 20_000), (2, True, 20_000), (3, True, 0), (4, False, 20_000),
-                                               (5, False, 0)])
+@pytest.mark.parametrize("seed, fuzzy, small", [(1, True, 20_000), (2, False, 20_000), (3, True, 0), (5, False, 0)])
 def test_resolve_goes_row_by_row(spark, monkeypatch, seed, fuzzy, small):
     """Random batches full of moves, similar titles, keyless rows and repeated ids; in tasks, or by
     guesses as for large companies."""
     monkeypatch.setattr(replay.resolved, "__defaults__", (small,))
-    rnd, size = random.Random(seed), 70 if small else 36
+    rnd, size = random.Random(seed), 70 if small else 30
 
     def key():
         return f"{rnd.choice(['acme', 'bolt', 'bolt', 'cobo'])}:{rnd.choice(FAMILY)}" if rnd.random() < 0.93 else ""
@@ -309,12 +309,11 @@ def test_upsert_does_not_depend_on_batches(spark, fuzzy):
     rows = [(i, f"p{rnd.randint(1, 14)}", rnd.choice(["Acme", "Bolt"]), rnd.choice(titles),
              rnd.choice(["", "Rome", "Bonn"]), f"v{i}", "e" * rnd.randint(0, 12)) for i in range(32)]
     whole = shown(upsert.upsert(crawl(spark, rows), table(spark, HELD), fuzzy))
-    for cuts in ([0, 10, 20, 32], [0, 16, 32]):
-        stored = table(spark, HELD)
-        for start, stop in zip(cuts, cuts[1:]):
-            part = upsert.upsert(crawl(spark, rows[start:stop]), stored, fuzzy)
-            stored = table(spark, [tuple(r) for r in shown(part)])
-        assert shown(stored) == whole
+    stored = table(spark, HELD)
+    for start, stop in ((0, 13), (13, 32)):
+        part = upsert.upsert(crawl(spark, rows[start:stop]), stored, fuzzy)
+        stored = table(spark, [tuple(r) for r in shown(part)])
+    assert shown(stored) == whole
 
 
 def test_positions(spark):

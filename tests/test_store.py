@@ -83,7 +83,8 @@ def test_kept_figures(spark):
 
     home = new_folder(spark, "test")
     log = jobs.PostingLog(spark, f"{home}/log", fold_every=2).start(stored)
-    jobs.upsert_stream(staged(spark, df, 3), log, f"{home}/offsets", transform=scores).awaitTermination()
+    cut = df.withColumn("part", F.floor(F.col("seq") / 15))
+    jobs.upsert_stream(staged(spark, cut, 2), log, f"{home}/offsets", transform=scores).awaitTermination()
     now = log.current()
     assert now.count() > 4
     assert stats.dashboard_of(log.figures()).collect() == stats.dashboard(now).collect()

@@ -77,8 +77,10 @@ def first_similar(probes: DataFrame, held: DataFrame, block: int = BLOCK) -> Dat
     probe that has one, the least `ord` of a similar title of its company that is held at its time
     (since < at <= until), as (company, title, at, ord)."""
     probes = probes.where("title <> ''").select("company", "title", "at").distinct()
-    held = held.where("title <> ''").select("company", "title", "ord", "since", "until").join(
-        probes.select("company").distinct(), "company", "left_semi")
+    # Named anew, so that both sides may come from one table.
+    names = ["company", "title", "ord", "since", "until"]
+    held = held.where("title <> ''").select(*[F.col(c).alias(c) for c in names]).join(
+        probes.select("company").distinct(), "company", "left_semi").select(*names)
     large = probes.groupBy("company").count().unionByName(held.groupBy("company").count()).where(
         F.col("count") > block).select("company").distinct()
     spark = probes.sparkSession
