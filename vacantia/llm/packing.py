@@ -16,6 +16,7 @@ whatever their names. Piece, sequence and offset do not depend on which executor
 from __future__ import annotations
 
 import base64
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -51,14 +52,20 @@ class Encoder:
     def __init__(self, json_path: str | None = None, rank_path: str | None = None):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.full = Tokenizer.from_file(json_path or vocabulary("byte_bpe_50k.json"))
+        self.json_path = json_path
         with open(rank_path or vocabulary("byte_bpe_50k.tiktoken"), "rb") as file:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
         self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN,
                                       mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def full(self):
+        """Read when the first text needs it: it takes some 60 MB of a worker."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.json_path or vocabulary("byte_bpe_50k.json"))
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit values."""
         if "<|" in text:
