@@ -264,6 +264,19 @@ def test_similar_titles_follow_the_key_of_the_batch(spark):
     assert resolved(spark, stored, drift, True) == one_by_one(stored, drift, True)
 
 
+def test_a_chain_of_moves_by_similar_titles_takes_no_rounds(spark, monkeypatch):
+    """Every row moves the posting to its own title, so no row is settled before the one ahead of it."""
+    monkeypatch.setattr(replay, "settled", lambda *_: pytest.fail("guessed"))
+    n, titles = 21_000, ["devopsengineer", "devopsengineers"]
+    stored = spark.createDataFrame([(1, "p1", "acme", titles[0], "acme:" + titles[0])],
+                                   "id long, posting_id string, company string, title string, dedup_key string")
+    batch = spark.range(n).selectExpr(
+        "id AS seq", "concat('n', id) AS posting_id", "'acme' AS company",
+        f"if(id % 2 = 0, '{titles[1]}', '{titles[0]}') AS title", "'' AS posted_at", "'' AS description", "'' AS location")
+    got = upsert.resolve(batch, stored).groupBy("target_id").count().collect()
+    assert [(r.target_id, r["count"]) for r in got] == [(1, n)]
+
+
 def test_many_small_companies_and_a_large_one(spark, monkeypatch):
     """Small ones in tasks, the large one by guesses, in one batch."""
     monkeypatch.setattr(replay.resolved, "__defaults__", (12,))

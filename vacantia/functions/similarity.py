@@ -24,37 +24,50 @@ def _letter_counts(title: str) -> np.ndarray:
     return np.bincount(slots, minlength=_OTHER + 1).astype(np.int32)
 
 
+_SHORT = 255  # letters of a title up to which its counts are kept as bytes
+
+
 class OrderedTitles:
     """Titles in match order. `first_like` finds the first that is similar to a probe.
 
-    Matching characters are at most the letters two titles share, so a vectorised count over
-    letters rules out nearly all titles; the exact ratio runs on the rest, first hit wins.
+    Matching characters are at most the letters two titles share, so a vectorised count over the
+    probe's letters rules out nearly all titles; the exact ratio runs on the rest, first hit wins.
     """
 
     def __init__(self, capacity: int):
         self.titles: list[str] = []
-        self._counts = np.zeros((capacity, _OTHER + 1), dtype=np.int32)
+        self._counts = np.zeros((_OTHER + 1, capacity), dtype=np.uint8)  # a line for each letter
         self._lengths = np.zeros(capacity, dtype=np.int32)
+        self._longest = 0
 
     def add(self, title: str) -> None:
         n = len(self.titles)
-        self._counts[n] = _letter_counts(title)
+        if len(title) > _SHORT and self._counts.dtype == np.uint8:
+            self._counts = self._counts.astype(np.int32)
+        self._counts[:, n] = _letter_counts(title)
         self._lengths[n] = len(title)
+        self._longest = max(self._longest, len(title))
         self.titles.append(title)
 
+    def _shared(self, probe: str) -> np.ndarray:
+        """Letters that each title shares with the probe. A sum stays within a title's length."""
+        lines = self._counts[:, :len(self.titles)]
+        shared = np.zeros(len(self.titles), dtype=lines.dtype)
+        most = _SHORT if lines.dtype == np.uint8 else len(probe)
+        counts = _letter_counts(probe)
+        for letter in np.flatnonzero(counts):
+            shared += np.minimum(lines[letter], lines.dtype.type(min(counts[letter], most)))
+        return shared
+
     def first_like(self, probe: str, allowed: np.ndarray | None = None, order: np.ndarray | None = None) -> int:
         """Place of the first title (of those `allowed`, by `order`) that is similar to the probe, or
         -1."""
         n = len(self.titles)
         if not n or not probe:
             return -1
-        total = self._lengths[:n] + len(probe)
-        fits = 2.0 * np.minimum(self._lengths[:n], len(probe)) >= (TITLE_SIMILARITY - 1e-9) * total
+        needed = np.ceil((TITLE_SIMILARITY - 1e-9) / 2 * (np.arange(self._longest + 1) + len(probe)) - 1e-9)
+        fits = self._shared(probe) >= needed.astype(np.int32)[self._lengths[:n]]
         fitting = np.flatnonzero(fits if allowed is None else fits & allowed)
-        if not len(fitting):
-            return -1
-        shared = np.minimum(self._counts[fitting], _letter_counts(probe)).sum(axis=1)
-        fitting = fitting[2.0 * shared >= (TITLE_SIMILARITY - 1e-9) * total[fitting]]
         if order is not None:
             fitting = fitting[np.argsort(order[fitting], kind="stable")]
         matcher = SequenceMatcher(None)
@@ -67,30 +80,32 @@ class OrderedTitles:
 
 
 class MovingTitles(OrderedTitles):
-    """Titles that come and go, each with an owner; `lowest` finds the least owner whose title is similar
-    to a probe."""
+    """Different titles, each with the least owner that holds it at present, if any; `lowest` finds the
+    least owner whose title is similar to a probe."""
+
+    _FREE = np.iinfo(np.int64).max
 
     def __init__(self):
         super().__init__(16)
-        self._owner = np.zeros(16, dtype=np.int64)
-        self._held = np.zeros(16, dtype=bool)
-
-    def hold(self, title: str, owner: int) -> int:
-        """Place of the title, for `leave`."""
-        n = len(self.titles)
-        if n == len(self._held):
-            self._counts, self._lengths, self._owner, self._held = (
-                np.concatenate([x, np.zeros_like(x)]) for x in (self._counts, self._lengths, self._owner, self._held))
-        self.add(title)
-        self._owner[n], self._held[n] = owner, True
-        return n
-
-    def leave(self, place: int) -> None:
-        self._held[place] = False
+        self._place: dict[str, int] = {}
+        self._low = np.full(16, self._FREE)
+
+    def hold(self, title: str, owner: int | None) -> None:
+        """From now on `owner` is the least that holds the title; None if nobody does."""
+        place = self._place.get(title)
+        if place is None:
+            place = self._place[title] = len(self.titles)
+            if place == len(self._low):
+                self._counts, self._lengths = (np.concatenate([x, np.zeros_like(x)], axis=-1)
+                                               for x in (self._counts, self._lengths))
+                self._low = np.concatenate([self._low, np.full_like(self._low, self._FREE)])
+            self.add(title)
+        self._low[place] = self._FREE if owner is None else owner
 
     def lowest(self, probe: str) -> int | None:
-        place = self.first_like(probe, self._held[:len(self.titles)], self._owner)
-        return None if place < 0 else int(self._owner[place])
+        low = self._low[:len(self.titles)]
+        place = self.first_like(probe, low < self._FREE, low)
+        return None if place < 0 else int(low[place])
 
 
 @F.pandas_udf(T.DoubleType())

@@ -36,7 +36,9 @@ NOBODY = -1 << 62  # stands for no stored posting, so that ids are never read by
 BEFORE = -1  # the time from which stored postings hold their keys; batches start at 0
 
 
-SMALL = 20_000  # rows and stored postings of a company that one task goes through
+# Rows and stored postings of a company that one task goes through. They stream by in order, and the state
+# is a few hundred bytes for each posting, so time sets the bound, not memory.
+SMALL = 2_000_000
 
 
 def resolved(rows: DataFrame, owners: DataFrame, fuzzy: bool, small: int = SMALL) -> DataFrame:
@@ -112,20 +114,19 @@ class _State:
         self.holders: dict[str, list[int]] = {}  # heaps; who has left is dropped when it comes up
         self.started: dict[str, int] = {}
         self.titles: dict[str, MovingTitles] = {}
-        self.place: dict[int, tuple[MovingTitles, int]] = {}
 
     def move(self, owner: int, key: str) -> None:
-        if not key or self.key_of.get(owner) == key:
+        left = self.key_of.get(owner)
+        if not key or left == key:
             return
         self.key_of[owner] = key
         heapq.heappush(self.holders.setdefault(key, []), owner)
         if self.fuzzy:
-            if owner in self.place:
-                titles, at = self.place[owner]
-                titles.leave(at)
-            company, _, title = key.partition(":")
-            titles = self.titles.setdefault(company, MovingTitles())
-            self.place[owner] = titles, titles.hold(title, owner)
+            for each in (left, key) if left else (key,):
+                company, _, title = each.partition(":")
+                if company not in self.titles:
+                    self.titles[company] = MovingTitles()
+                self.titles[company].hold(title, self.holder(each))
 
     def holder(self, key: str) -> int | None:
         heap = self.holders.get(key, [])
