@@ -8,7 +8,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from vacantia.operators import dedup, replay, similar as similar_titles, upsert
-from vacantia.operators.shuffle import last_before, with_position
+from vacantia.operators.shuffle import last_before, salted_join, with_position
 from vacantia.schema import POSTING
 
 
@@ -329,6 +329,16 @@ def test_upsert_does_not_depend_on_batches(spark, fuzzy):
     assert shown(stored) == whole
 
 
+@pytest.mark.parametrize("how", ["left", "left_semi"])
+def test_salted_lookups_do_not_pass_through_the_driver(spark, tmp_path, how):
+    """Few bytes on disk, sixteen times as many rows in the join."""
+    spark.range(5000).selectExpr("concat('k', id DIV 2) AS k").distinct().write.parquet(f"{tmp_path}/lookup")
+    lookup = spark.read.parquet(f"{tmp_path}/lookup").withColumn("found", F.lit(True))
+    got = salted_join(spark.range(6000).selectExpr("id", "concat('k', id) AS k"), lookup, "k", "id", how)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == (6000 if how == "left" else 2500)
+
+
 def test_positions(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"))
     rows = with_position(df, [F.desc("v")]).collect()

@@ -10,11 +10,12 @@ SALTS = 16
 def salted_join(rows: DataFrame, lookup: DataFrame, key: str, spread: str, how: str = "left",
                 salts: int = SALTS) -> DataFrame:
     """rows JOIN lookup ON key, for a narrow lookup with few rows per key. Rows of one key are
-    spread over `salts` tasks by a hash of `spread`; the lookup is repeated per salt."""
+    spread over `salts` tasks by a hash of `spread`; the lookup is repeated per salt. It is not
+    broadcast: Spark guesses its size from compressed files and before it is repeated."""
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"),
                                                                F.lit(salts - 1).cast("bigint"))))
-    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+    return salted.join(repeated.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def with_position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
