@@ -54,6 +54,15 @@ def test_a_page_opens_few_files(spark, store):
     assert len(spanned) <= 2
 
 
+def test_long_texts_are_cut_into_files_by_their_bytes(spark, scored, monkeypatch):
+    monkeypatch.setattr("vacantia.sources.store.BYTES_PER_FILE", 256 << 10)
+    store = ScoredStore(spark, new_folder(spark, "store")).write(scored, orders=("ats_desc",))
+    sizes = [r["count"] for r in store.rows().groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == N and max(sizes) < N / 4  # 1.7 MB of texts
+    assert [r.id for r in store.page("ats_desc", 25, 690).collect()] == [
+        r.id for r in scored.orderBy(*feed.sort_order("ats_desc")).offset(690).limit(25).collect()]
+
+
 def test_lookups_read_few_row_groups(spark, scored, store):
     assert store.by_id(1234).count() == 1 and store.by_id(N).count() == 0
     assert rows_read(store.rows().where("id = 1234")) < N / 4

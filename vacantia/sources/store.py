@@ -6,7 +6,7 @@ sort keys alone, cut and sorted in the feed's order for each status tab; `files/
 rows lie before each of its files, so a page, however deep, opens the one or two files it lies in.
 """
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.feed import sort_order
 from ..session import cut_lineage
@@ -15,18 +15,27 @@ from .tables import decoded_json
 ORDERS = ("priority_desc", "ats_desc", "fit_desc", "date_desc")
 EVERY_TAB = "all"
 ROWS_PER_FILE = 1_000_000
+BYTES_PER_FILE = 128 << 20  # of the texts of `rows`; a task sorts and writes one file
 GROUP_BYTES = 8 << 20   # of a row group
 KEYS_IN_FILTER = 1024   # ids of a lookup that are put to the files one by one
 
 
+def _text_bytes(rows: DataFrame) -> Column:
+    """Bytes in a row's text columns, arrays of texts included."""
+    kinds = {"string": F.octet_length, "array<string>": lambda c: F.octet_length(F.array_join(c, ""))}
+    sizes = [F.coalesce(kinds[kind](F.col(f"`{name}`")), F.lit(0)) for name, kind in rows.dtypes if kind in kinds]
+    return sum((size.cast("bigint") for size in sizes), F.lit(0))
+
+
 class ScoredStore:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
     def write(self, scored: DataFrame, orders=ORDERS, rows_per_file: int = ROWS_PER_FILE,
               group_bytes: int = GROUP_BYTES) -> "ScoredStore":
-        total = scored.count()
-        files = max(1, -(-total // rows_per_file))
+        total, size = scored.agg(F.count("*"), F.coalesce(F.sum(_text_bytes(scored)), F.lit(0))).first()
+        key_files = max(1, -(-total // rows_per_file))
+        files = max(key_files, -(-size // BYTES_PER_FILE))
         (scored.repartitionByRange(files, "id").sortWithinPartitions("id").write
          .option("parquet.bloom.filter.enabled#posting_id", "true")
          .option("parquet.bloom.filter.expected.ndv#posting_id", str(max(1, total // files)))
@@ -38,7 +47,7 @@ class ScoredStore:
                              F.explode(F.array(F.lit(EVERY_TAB), F.coalesce("status", F.lit("new")))).alias("tab"))
         for order in orders:
             place = f"{self.folder}/feed/{order}"
-            (keys.repartitionByRange(2 * files, "tab", *sort_order(order)).sortWithinPartitions("tab", *sort_order(order))
+            (keys.repartitionByRange(2 * key_files, "tab", *sort_order(order)).sortWithinPartitions("tab", *sort_order(order))
              .write.partitionBy("tab").mode("errorifexists").parquet(place))
             # Files of a tab follow each other as the tasks that wrote them.
             read = self.spark.read.parquet(place)
