@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from vacantia.functions.similarity import OrderedTitles
 from vacantia.operators import dedup, replay, similar as similar_titles, upsert
 from vacantia.operators.shuffle import last_before, salted_join, with_position
 from vacantia.schema import POSTING
@@ -264,6 +265,16 @@ def test_similar_titles_follow_the_key_of_the_batch(spark):
     assert resolved(spark, stored, drift, True) == one_by_one(stored, drift, True)
 
 
+def test_titles_of_any_length_are_found():
+    """Letters are counted in bytes until a title is too long for them."""
+    index, held = OrderedTitles(5), ["engineer", "engineers", "a" * 300 + "b", "abc" * 90, "a" * 256]
+    for title in held:
+        index.add(title)
+        for probe in ("engineer", "a" * 300, "abc" * 88, "a" * 400, "x", "a" * 255):
+            first = next((i for i, t in enumerate(index.titles) if similar(t, probe)), -1)
+            assert index.first_like(probe) == first
+
+
 def test_a_chain_of_moves_by_similar_titles_takes_no_rounds(spark, monkeypatch):
     """Every row moves the posting to its own title, so no row is settled before the one ahead of it."""
     monkeypatch.setattr(replay, "settled", lambda *_: pytest.fail("guessed"))

@@ -4,6 +4,7 @@ Spark has no built-in for it. The ratio is not symmetric: the stored title comes
 """
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,12 @@ def _letter_counts(title: str) -> np.ndarray:
     return np.bincount(slots, minlength=_OTHER + 1).astype(np.int32)
 
 
+@lru_cache(1024)
+def _needed(longest: int, probe: int) -> np.ndarray:
+    """Letters that titles of 0 to `longest` letters must share with a probe of that length."""
+    return np.ceil((TITLE_SIMILARITY - 1e-9) / 2 * (np.arange(longest + 1) + probe) - 1e-9).astype(np.int32)
+
+
 _SHORT = 255  # letters of a title up to which its counts are kept as bytes
 
 
@@ -51,13 +58,12 @@ class OrderedTitles:
 
     def _shared(self, probe: str) -> np.ndarray:
         """Letters that each title shares with the probe. A sum stays within a title's length."""
-        lines = self._counts[:, :len(self.titles)]
-        shared = np.zeros(len(self.titles), dtype=lines.dtype)
-        most = _SHORT if lines.dtype == np.uint8 else len(probe)
         counts = _letter_counts(probe)
-        for letter in np.flatnonzero(counts):
-            shared += np.minimum(lines[letter], lines.dtype.type(min(counts[letter], most)))
-        return shared
+        letters = np.flatnonzero(counts)
+        lines = self._counts[letters, :len(self.titles)]
+        most = _SHORT if lines.dtype == np.uint8 else len(probe)
+        asked = np.minimum(counts[letters], most).astype(lines.dtype)
+        return np.minimum(lines, asked[:, None]).sum(axis=0, dtype=lines.dtype)
 
     def first_like(self, probe: str, allowed: np.ndarray | None = None, order: np.ndarray | None = None) -> int:
         """Place of the first title (of those `allowed`, by `order`) that is similar to the probe, or
@@ -65,8 +71,7 @@ class OrderedTitles:
         n = len(self.titles)
         if not n or not probe:
             return -1
-        needed = np.ceil((TITLE_SIMILARITY - 1e-9) / 2 * (np.arange(self._longest + 1) + len(probe)) - 1e-9)
-        fits = self._shared(probe) >= needed.astype(np.int32)[self._lengths[:n]]
+        fits = self._shared(probe) >= _needed(self._longest, len(probe))[self._lengths[:n]]
         fitting = np.flatnonzero(fits if allowed is None else fits & allowed)
         if order is not None:
             fitting = fitting[np.argsort(order[fitting], kind="stable")]
