@@ -372,6 +372,38 @@ def test_table_counts_of_large_cells(d, mean):
     assert abs(got.mean() / want - 1) < 0.02
 
 
+def test_lm_words_have_contexts(spark):
+    """The order of words counts, and neither partitions nor batches do."""
+    text = ["the cat sat on the mat", "the dog sat on the rug", "a cat ran on a rug"] * 4
+    rows = [(i, t) for i, t in enumerate(text)] + [(100, "the cat sat on the mat"), (101, "mat the on sat cat the")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def scores(parts):
+        learned = docs.repartition(parts).where("doc_id < 100")
+        out = lm_scoring.scored(docs.repartition(parts), lm_scoring.Model(learned), "doc_id").collect()
+        return {r._row.doc_id: r.score for r in out}
+
+    one = scores(1)
+    assert one[100] > one[101] + 1 and one[100] == pytest.approx(one[0])
+    assert scores(5) == pytest.approx(one, abs=1e-9)
+
+
+def test_lm_own_documents_score_as_others_do(spark, docs, monkeypatch):
+    """Documents held with the model and the same ones scored later; frequent words by several buckets."""
+    monkeypatch.setattr(lm_scoring, "BUCKET_TOKENS", 2000)
+    own = lm_scoring.Model(docs, lm_scoring.learnable(), "doc_id")
+    first = {r._row.doc_id: r.score for r in own.scores().collect()}
+    again = {r._row.doc_id: r.score for r in lm_scoring.scored(docs, own, "doc_id").collect()}
+    assert len(first) > 100 and again == pytest.approx(first, abs=1e-6)
+
+
+def test_spelling_contexts_are_whole_bytes():
+    data = np.frombuffer(b"aXyzbXyz", np.uint8)
+    context, byte, _ = lm_scoring.spelled(data, np.array([0, 4, 8]))
+    last = context[(byte == ord("z"))]
+    assert last.tolist() == [int.from_bytes(b"aXy", "big"), int.from_bytes(b"bXy", "big")]
+
+
 def test_lm_odd(spark, odd, none):
     rows = lm_scoring.scored(odd, lm_scoring.Model(odd.where(lm_scoring.learnable())), "doc_id").collect()
     assert len(rows) == len(ODD) + 2 and all(math.isfinite(r.score) for r in rows)

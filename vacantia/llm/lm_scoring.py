@@ -1,21 +1,25 @@
 """Language-model scoring (operator 10): a hierarchical Pitman-Yor model.
 
-Words come from a Pitman-Yor restaurant over the vocabulary of the corpus. Its base measure is half
-uniform over the vocabulary and one unknown type (as the base score has it), and half spells words
-byte by byte: a restaurant for each context of three preceding bytes, whose parent has the context
-of two, then one, then none; contexts with the same last bytes share parents. At how
-many tables the customers of a dish sit (Chinese restaurant process) is sampled by Gibbs sweeps that
-draw every count anew; each table sends a customer to the parent. Predictive
-probabilities are averaged over the samples and used for scores and perplexity.
-
-What is counted is counted over all learnable documents. The vocabulary is a table that grows with
-the corpus and is never collected; its TOP most frequent words are broadcast (bounded), the rest of a
-document's words meet the table in a join. Contexts are at most 2^17 (byte classes), so the spelling
-model is bounded too.
+A word is drawn in the restaurant of the word before it (the end token before a text's first word),
+whose parent is one restaurant of all words. Its base measure is half uniform over the vocabulary and
+one unknown type (as the base score has it), and half spells words byte by byte: a restaurant for each
+context of three preceding bytes, whose parent has the context of two, then one, then none. At how many
+tables the customers of a dish sit (Chinese restaurant process) is sampled by Gibbs sweeps that draw
+every count anew; each table sends a customer to the parent. Predictive probabilities are averaged over
+the samples and used for scores and perplexity. Levels are sampled one after the other, once: contexts
+given the frequencies of words, then words given the tables of contexts.
+
+Everything is counted over all learnable documents. Word pairs are dealt out by their first word into
+buckets of bounded size (a frequent first word has several), together with where they occur, so that a
+pair is counted, seated and looked up in one place. A bucket holds the TOP most frequent words by rank
+(broadcast, bounded) and others by hash; these meet the vocabulary, which grows with the corpus and is
+never collected, in a join. Between sweeps over the vocabulary one number is exchanged. What is drawn
+depends on hashes and on the number of tokens, not on partitions or batches.
 
 Defined cases: a null or empty text is the end token alone; rows without an id are scored and not
 learned from; repeated rows count and are scored once each; without learnable documents spelling is
-uniform; an empty table gives an empty result; extra columns are ignored, whatever their names.
+uniform; an empty table gives an empty result; extra columns are ignored, whatever their names. In pairs
+words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,19 +29,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from ..session import cut_lineage
-from .words import LOWER, Texts, hashes, packed, texts_of, with_added, without_text, words_of
+from .words import LOWER, hashes, mix, packed, texts_of, words_of
 
-TOP = 1 << 19       # words that are broadcast, 24 bytes each
+TOP = 1 << 19       # words that are broadcast, 32 bytes each
 SWEEPS, BURN_IN = 8, 3
 EXACT = 64          # customers of a cell up to which its table count has its exact distribution
 DISCOUNTS = (0.5, 0.65, 0.75)  # of contexts with one, two and three bytes
+CONTEXT = 0.75      # discount of contexts of one word
+CONTEXT_SWEEPS, CONTEXT_BURN_IN = 4, 2
 STRENGTH = 1.0
 UNIFORM = 0.5       # share of the base measure that is uniform over the vocabulary
 BLANK = 32          # stands before and after a word; no word holds it
 EVERY_CHUNKS = 16   # chunks whose words a task adds up before it hands them on
+BLOCK_CHUNKS, BLOCK_DOCS = 6, 1 << 15  # chunks and documents of a block at most
+BUCKETS, BUCKET_TOKENS = 64, 1 << 21  # buckets of all but small tables, at least; tokens of a bucket, about
+HOT = 1 << 18       # tokens after a word from which on its pairs go to several buckets
 
 
 def learnable() -> Column:
@@ -148,10 +158,32 @@ def _log_sum(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
         + np.interp(np.log(c) - np.log(t) / d, x, above))
 
 
+class Given:
+    """Random numbers that are there already, a row for each draw."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows = iter(rows)
+
+    def random(self, n: int) -> np.ndarray:
+        return next(self.rows)
+
+
+class Keyed:
+    """Random numbers of cells by their keys, whatever cells stand beside them."""
+
+    def __init__(self, key: np.ndarray, seed: int):
+        self.key = mix(key.view(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
+
+    def random(self, shape: tuple[int, int]) -> np.ndarray:
+        return np.stack([(mix(self.key + np.uint64(k + 1)) >> np.uint64(11)) * 2.0 ** -53
+                         for k in range(shape[0])])
+
+
 def draw_tables(c: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of cells with c customers, in proportion to S(c, t) weight^t: exact up to EXACT
     customers, from the asymptotic law of the table sizes above."""
     t = np.minimum(c, 1)
+    uniform = rng.random((2, len(c)))
     log_weight = np.log(np.maximum(weight, 1e-300))
     order = np.argsort(c, kind="stable")
     order = order[np.searchsorted(c[order], 2):]
@@ -161,12 +193,12 @@ def draw_tables(c: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Gene
         steps, base = np.arange(1, most + 1), _stirling(d)[:, 1:most + 1]
         for s in range(a, b, 20_000):
             own = order[s:min(b, s + 20_000)]
-            t[own] = 1 + _drawn(base[c[own]] + log_weight[own, None] * steps, rng)
+            t[own] = 1 + _drawn(base[c[own]] + log_weight[own, None] * steps, Given(uniform[:, own]))
         most *= 2
     large = order[np.searchsorted(c[order], EXACT, side="right"):]
     for s in range(0, len(large), 1000):
         own = large[s:s + 1000]
-        t[own] = _draw_large(c[own], log_weight[own] - np.log(d), d, rng)
+        t[own] = _draw_large(c[own], log_weight[own] - np.log(d), d, Given(uniform[:, own]))
     return t
 
 
@@ -257,8 +289,8 @@ class Seating:
 
 
 def spelled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, byte, word) of each byte of the words, closing blank included. A context is the
-    last byte, 64 classes of the one before and 8 of the one before that."""
+    """(context, byte, word) of each byte of the words, closing blank included. A context is the three
+    bytes before, the last one lowest."""
     n = len(offsets) - 1
     size = np.diff(offsets)
     start = np.concatenate([[0], np.cumsum(size + 4)])  # three blanks before, one after
@@ -267,7 +299,7 @@ def spelled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     line[np.arange(len(data)) + 4 * word + 3] = data
     at = np.arange(len(line)) - np.repeat(start[:-1], size + 4) >= 3
     at = np.flatnonzero(at)
-    context = (line[at - 3] >> 5 << 14) | (line[at - 2] >> 2 << 8) | line[at - 1]
+    context = (line[at - 3] << 16) | (line[at - 2] << 8) | line[at - 1]
     return context, line[at], np.repeat(np.arange(n), size + 1)
 
 
@@ -295,7 +327,7 @@ def _subtree(cell: np.ndarray, n: np.ndarray, root: np.ndarray, seed: int) -> li
     cells and averaged backoff weights, for three, two and one byte of context."""
     rng = np.random.default_rng(seed)
     context, byte = cell >> 8, cell & 255
-    cell2, up3 = np.unique((context & 0x3FFF) << 8 | byte, return_inverse=True)
+    cell2, up3 = np.unique((context & 0xFFFF) << 8 | byte, return_inverse=True)
     cell1, up2 = np.unique(cell2 & 0xFFFF, return_inverse=True)
     known, rest = [], []
     for own in (cell, cell2, cell1):
@@ -342,7 +374,7 @@ class Spelling:
         context, byte, word = spelled(data, offsets)
         p, factor = self.root[byte].copy(), np.ones(len(byte))
         open_ = np.ones(len(byte), bool)
-        for level, mask in ((3, 0x1FFFF), (2, 0x3FFF), (1, 0xFF)):
+        for level, mask in ((3, 0xFFFFFF), (2, 0xFFFF), (1, 0xFF)):
             hit, value = self._look(level, (context & mask) << 8 | byte)
             hit &= open_
             p[hit] = value[hit]
@@ -353,8 +385,9 @@ class Spelling:
 
 
 def fit_spelling(words: DataFrame) -> Spelling:
-    """Every word of the vocabulary is spelled once. Subtrees (one per last byte, so at most 256,
-    each of bounded size) are sampled in parallel."""
+    """Every word of the vocabulary is spelled once. Subtrees (one per last byte, so at most 256)
+    are sampled in parallel. The model holds the byte sequences of length four that words have, which
+    alphabets bound, not the size of the corpus."""
     cells = cut_lineage(words.select("word").where(F.length("word") > 0)
                         .mapInArrow(_cells, "cell long, n long")
                         .groupBy("cell").agg(F.sum("n").alias("n")))
@@ -396,146 +429,577 @@ def base_measure(spelled, types: int):
     return spelled * (1 - UNIFORM) + UNIFORM / (types + 1)
 
 
-class Model:
-    """The vocabulary with seatings and spellings, its totals, and the spelling model."""
+def most_frequent(words: DataFrame) -> DataFrame:
+    """The words from a frequency on that at most TOP words reach. The frequency comes from counts of
+    words by eighths of a doubling (some hundred rows), so that no task has to sort them all."""
+    step = F.floor(F.log2("n") * 8)
+    least, total = None, 0
+    for row in sorted(words.groupBy(step.alias("step")).count().collect(), reverse=True):
+        total += row["count"]
+        if total > TOP:
+            break
+        least = row["step"]
+    return words.where(step >= least if least is not None else F.lit(False))
+
+
+def _by_hash(words: DataFrame, *columns: str) -> tuple[np.ndarray, ...]:
+    """h and the columns of the most frequent words, in order of h. Words with equal hashes (none are
+    expected) are left to the join."""
+    top = most_frequent(words).select("h", *columns).toArrow()
+    h = top["h"].to_numpy().view(np.uint64)
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    same = h[1:] == h[:-1]
+    alone = ~(np.append(same, False) | np.append(False, same))[:len(h)]
+    return h[alone], *[top[c].to_numpy()[order][alone] for c in columns]
+
+
+def _listed(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """A list column with one row per part."""
+    ends = np.cumsum([0] + [len(p) for p in parts]).astype(np.int32)
+    values = np.concatenate(parts) if parts else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(kind.to_pandas_dtype())))
+
+
+LISTS = {"tail": pa.int64(), "spell": pa.float64(), "chunks": pa.int64()}
+CELLS = ("u", "w", "c", "k", "t", "docs")
+HEAD = {"rows": None, "tokens": pa.int64(), "known": pa.int64(), "base": pa.float64()}
+NAMES = ["bucket", "block", *HEAD]
+
+
+def _bytes(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of 32-bit numbers, compressed: pairs are most of what is shuffled and stored."""
+    planes = [np.ascontiguousarray(x.astype("<i4")).view(np.uint8).reshape(-1, 4).T.ravel() for x in arrays]
+    raw = np.concatenate([np.array([len(arrays), *map(len, arrays)], "<i8").view(np.uint8), *planes])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw.tobytes(), codec="zstd", asbytes=True)
+
+
+def _arrays(data: bytes) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd"), np.uint8)
+    sizes = raw[8:8 + 8 * int(raw[:8].view("<i8")[0])].view("<i8")
+    ends = 8 + 8 * len(sizes) + 4 * np.cumsum(np.append(0, sizes))
+    return [np.ascontiguousarray(raw[a:b].reshape(4, -1).T).view("<i4").ravel()
+            for a, b in zip(ends[:-1], ends[1:])]
+
+
+def _read(batch: pa.RecordBatch, i: int) -> dict[str, np.ndarray]:
+    """What row i holds of a bucket."""
+    out = {name: batch.column(name)[i].values.to_numpy(zero_copy_only=False) for name in LISTS}
+    return out | dict(zip(CELLS, _arrays(batch.column("cells")[i].as_py())))
+
+
+def _lists(batch: pa.RecordBatch, names) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Values and borders of list columns."""
+    return [(batch.column(n).values.to_numpy(zero_copy_only=False), batch.column(n).offsets.to_numpy())
+            for n in names]
+
+
+def _rank(h: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place in `top`, and whether it is there."""
+    at = np.minimum(np.searchsorted(top, h), max(len(top) - 1, 0))
+    return at, top[at] == h if len(top) else np.zeros(len(h), bool)
+
+
+class Block:
+    """The tokens of some documents in order, as rows for the buckets of their pairs."""
+
+    def __init__(self, model: Fixed):
+        self.model, self.hash, self.size, self.learn, self.rows = model, [], [], [], []
+        self.tail, self.spell = [], []
+        self.chunks = self.docs = 0
+
+    def add(self, batch: pa.RecordBatch, texts) -> None:
+        n, m = len(texts), self.model
+        words = words_of(texts, lower=True)
+        size = np.bincount(words.owner, minlength=n) + 1
+        line = np.full(int(size.sum()), _END[0])
+        line[np.arange(len(words.hash)) + words.owner] = words.hash
+        part = batch.slice(texts.first, n)
+        learn = part.column("_learn").to_numpy(zero_copy_only=False)
+        # Words of documents that are learned from are in the vocabulary with their spelling.
+        new = np.flatnonzero(~learn[words.owner])
+        new = new[~_rank(words.hash[new], m.top)[1]]
+        own, first = np.unique(words.hash[new], return_index=True)
+        at = new[first]
+        if len(at):
+            self.tail.append(own)
+            self.spell.append(m.spelling.logp(*gathered(LOWER[texts.data], words.starts[at], words.ends[at])))
+        self.hash.append(line)
+        self.size.append(size)
+        self.learn.append(learn)
+        self.rows.append(part.column("_row"))
+        self.chunks += 1
+        self.docs += n
+
+    def head(self, block: int) -> pa.RecordBatch:
+        """The rows of the documents with what is known of them already."""
+        m, size = self.model, np.concatenate(self.size)
+        owner = np.repeat(np.arange(self.docs), size)
+        at, hit = _rank(np.concatenate(self.hash), m.top)
+        known = np.bincount(owner[hit], minlength=self.docs)
+        base = np.bincount(owner[hit], weights=m.base[at[hit]], minlength=self.docs)
+        rows = pa.concat_arrays(self.rows)
+        ends = pa.array([0, len(rows)], pa.int32())
+        bucket = -1 - int(mix(np.array([block], np.uint64))[0] >> np.uint64(34))  # so heads are spread
+        columns = [pa.array([bucket], pa.int32()), pa.array([block], pa.int64()),
+                   pa.ListArray.from_arrays(ends, rows), _listed([size], pa.int64()), _listed([known], pa.int64()),
+                   _listed([base], pa.float64())]
+        empty = [pa.nulls(1, pa.list_(kind)) for kind in LISTS.values()] + [pa.nulls(1, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns + empty, names=NAMES + [*LISTS, "cells"])
+
+    def pieces(self, block: int, rows: pa.DataType) -> pa.RecordBatch:
+        """One row per bucket that a pair falls into: its cells by first and second word, and the
+        documents that these are in."""
+        m = self.model
+        h, size = np.concatenate(self.hash), np.concatenate(self.size)
+        owner = np.repeat(np.arange(self.docs), size)
+        learn = np.concatenate(self.learn)[owner]
+        w, hit = _rank(h, m.top)
+        tail, other = np.unique(h[~hit], return_inverse=True)
+        w[~hit] = len(m.top) + other
+        spell = np.full(len(tail), np.nan)
+        for own, value in zip(self.tail, self.spell):
+            spell[np.searchsorted(tail, own)] = value
+        end, frequent = _rank(_END, m.top)
+        if not frequent[0]:
+            end = np.searchsorted(tail, _END)
+            spell[end] = m.spelling.logp(np.zeros(0, np.uint8), np.zeros(2, np.int64))
+            end = len(m.top) + end
+        before = np.concatenate([_END, h[:-1]])  # each document ends with the end token
+        u = np.concatenate([end, w[:-1]])
+        salts = np.ones(len(m.top) + len(tail), np.uint64)
+        salts[:len(m.top)] = -(-m.n // HOT)
+        salt = mix(h) % salts[u]
+        bucket = (mix(before + salt * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(m.buckets)).astype(np.int64)
+        types = len(m.top) + len(tail)
+        key = (bucket * types + u) * types + w
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        k = np.diff(np.append(first, len(key)))
+        c = np.add.reduceat(learn[order].astype(np.int64), first)
+        key, w = np.divmod(key[first], types)
+        bucket, u = np.divmod(key, types)
+        docs = owner[order]
+        out: dict[str, list] = {name: [] for name in (*LISTS, "cells")}
+        borders = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+        firsts = np.append(first, len(docs))
+        for a, b in zip(borders[:-1], borders[1:]):
+            pu, pw = u[a:b], w[a:b]
+            own = np.unique(np.concatenate([pu[pu >= len(m.top)], pw[pw >= len(m.top)]]))
+            cells = [np.where(part >= len(m.top), len(m.top) + np.searchsorted(own, part), part) for part in (pu, pw)]
+            out["cells"].append(_bytes([*cells, c[a:b], k[a:b], np.zeros(0), docs[firsts[a]:firsts[b]]]))
+            out["tail"].append(tail[own - len(m.top)].view(np.int64))
+            out["spell"].append(spell[own - len(m.top)])
+            out["chunks"].append(np.array([block]))
+        n = len(borders) - 1
+        columns = [pa.array(bucket[borders[:-1]], pa.int32()), pa.array(np.full(n, block)), pa.nulls(n, rows),
+                   *[pa.nulls(n, pa.list_(kind)) for kind in list(HEAD.values())[1:]]]
+        columns += [_listed(out[name], kind) for name, kind in LISTS.items()]
+        return pa.RecordBatch.from_arrays(
+            columns + [pa.array(out["cells"], pa.binary())], names=NAMES + [*LISTS, "cells"])
+
+
+class Fixed:
+    """What all tasks know: the most frequent words (hashes, counts, base scores), how many buckets
+    there are, the spelling model."""
+
+    def __init__(self, top, n, base, rest, buckets, spelling):
+        self.top, self.n, self.base, self.rest = top, n, base, rest
+        self.buckets, self.spelling = buckets, spelling
+
+
+def _blocks(shared):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block = None, None
+        for batch in batches:
+            kind = pa.list_(batch.column("_row").type)
+            ids = batch.column("_id").to_numpy()
+            for texts in texts_of(batch.column("_text")):
+                for part in _cut(texts):
+                    if held is not None and (held.chunks >= BLOCK_CHUNKS or held.docs + len(part) >= BLOCK_DOCS):
+                        yield held.head(block)
+                        yield held.pieces(block, kind)
+                        held = None
+                    if held is None:
+                        held, block = Block(shared.value), int(ids[part.first])
+                    held.add(batch, part)
+        if held is not None:
+            yield held.head(block)
+            yield held.pieces(block, kind)
+
+    return go
+
+
+def _cut(texts):
+    """Parts of fewer than BLOCK_DOCS documents."""
+    step = BLOCK_DOCS // 2
+    for s in range(0, len(texts), step):
+        at = texts.offsets[s:s + step + 1]
+        yield type(texts)(texts.data[at[0]:at[-1]], at - at[0], texts.first + s)
+
+
+def _gathered(shared):
+    """Rows of one bucket become one row, its cells counted and seated; heads stay as they are."""
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bucket = [], None
+        for batch in batches:
+            kind = batch.column("rows").type
+            for i, own in enumerate(batch.column("bucket").to_pylist()):
+                if own < 0:
+                    yield batch.slice(i, 1)
+                    continue
+                if own != bucket and held:
+                    yield _bucket(shared.value, bucket, held, kind)
+                    held = []
+                bucket = own
+                held.append({k: v.copy() for k, v in _read(batch, i).items()})  # no view keeps a batch
+        if held:
+            yield _bucket(shared.value, bucket, held, kind)
+
+    return go
+
+
+def _bucket(m: Fixed, bucket: int, held: list[dict], rows: pa.DataType) -> pa.RecordBatch:
+    n = len(m.top)
+    tail = np.unique(np.concatenate([x["tail"].view(np.uint64) for x in held]))
+    chunks = np.unique(np.concatenate([x["chunks"] for x in held]))
+    spell = np.full(len(tail), np.nan)
+    keys, docs, types = [], [], n + len(tail)
+    for x in held:
+        place = np.concatenate([np.arange(n), n + np.searchsorted(tail, x["tail"].view(np.uint64))])
+        given = ~np.isnan(x["spell"])
+        spell[place[n:][given] - n] = x["spell"][given]
+        keys.append(place[x["u"]] * types + place[x["w"]])
+        slot = np.searchsorted(chunks, x["chunks"][0]) if len(x["chunks"]) else 0
+        docs.append(slot * BLOCK_DOCS + x["docs"].astype(np.int64))
+    every, counts = np.concatenate(keys), np.concatenate([x["k"] for x in held])
+    keys.clear()
+    key, back = np.unique(every, return_inverse=True)
+    c, k = (np.bincount(back, weights=np.concatenate([x[name] for x in held])).astype(np.int64) for name in "ck")
+    order = np.argsort(np.repeat(back, counts))
+    u, w = np.divmod(key, types)
+    out = {"tail": tail.view(np.int64), "spell": spell, "chunks": chunks}
+    cells = _bytes([u, w, c, k, _seated(m, bucket, u, w, c), np.concatenate(docs)[order]])
+    return pa.RecordBatch.from_arrays(
+        [pa.array([bucket], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, rows),
+         *[pa.nulls(1, pa.list_(kind)) for kind in list(HEAD.values())[1:]],
+         *[_listed([out[name]], kind) for name, kind in LISTS.items()], pa.array([cells], pa.binary())],
+        names=NAMES + [*LISTS, "cells"])
+
+
+def _seated(m: Fixed, bucket: int, u: np.ndarray, w: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Tables of the cells, summed over the samples. Of a word whose pairs are in several buckets, tables
+    elsewhere are taken to be as many for each customer as here."""
+    some = np.flatnonzero(c > 0)
+    t = np.zeros(len(c), np.int64)
+    if not len(some):
+        return t
+    _, first, r = np.unique(u[some], return_index=True, return_inverse=True)
+    own = u[some][first]
+    here = np.bincount(r, weights=c[some])
+    more = np.zeros(len(own))
+    hot = np.flatnonzero(own < len(m.top))
+    hot = hot[m.n[own[hot]] > HOT]
+    more[hot] = m.n[own[hot]] / here[hot] - 1
+    total = max(int(m.n.sum()) + m.rest[0], 1)
+    parent = np.full(len(some), m.rest[0] / max(m.rest[1], 1) / total)
+    top = w[some] < len(m.top)
+    parent[top] = m.n[w[some][top]] / total
+    seats, rng = Seating(r, c[some], CONTEXT), np.random.default_rng(bucket)
+    for sweep in range(CONTEXT_SWEEPS):
+        seats.elsewhere = more * np.bincount(r, weights=seats.t)
+        seats._count()
+        seats.gibbs(parent, rng)
+        if sweep >= CONTEXT_BURN_IN:
+            t[some] += seats.t
+    return t
+
+
+KEPT = CONTEXT_SWEEPS - CONTEXT_BURN_IN
+
+
+def _sent(shared):
+    """(h, context, tables): customers that contexts send to a word, and tables of words whose pairs
+    are in several buckets."""
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x = _read(batch, i)
+                tail, u, w, t = x["tail"], x["u"], x["w"], x["t"]
+                h = np.concatenate([m.top, tail.view(np.uint64)]).view(np.int64)
+                hot = u < len(m.top)
+                hot[hot] = m.n[u[hot]] > HOT
+                for own, tables, context in ((w, t, False), (u[hot], t[hot], True)):
+                    ids, back = np.unique(own, return_inverse=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h[ids]), pa.array(np.full(len(ids), context)),
+                         pa.array(np.bincount(back, weights=tables, minlength=len(ids)).astype(np.int64))],
+                        names=["h", "context", "tables"])
+
+    return go
 
-    def __init__(self, docs: DataFrame):
-        """Learns from all rows of docs."""
-        words = cut_lineage(vocabulary(docs))
+
+def base_measure(spelled, types: int):
+    """Probability of a word before it is met, from that of its spelling (a number or a column)."""
+    return spelled * (1 - UNIFORM) + UNIFORM / (types + 1)
+
+
+class Model:
+    """The vocabulary with seatings and spellings, its totals, the spelling model, and the pairs of
+    the documents with their seatings."""
+
+    def __init__(self, docs: DataFrame, learn: Column | None = None, *keep: str):
+        """Learns from the rows of docs where `learn` (all rows without it); the others are held ready
+        for `scores`."""
+        self.spark = spark = docs.sparkSession
+        learn = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
+        words = cut_lineage(vocabulary(docs.where(learn)))
         self.spelling = fit_spelling(words)
-        figures = words.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1),
-                            F.count_if(F.col("n") == 2)).first()
+        figures = words.agg(F.sum("n"), F.count("*")).first()
         self.total, self.types = int(figures[0] or 0), int(figures[1])
-        self.discount = min(0.95, max(0.1, figures[2] / max(figures[2] + 2 * figures[3], 1)))
-        spelling = docs.sparkSession.sparkContext.broadcast(self.spelling)
+        h, n = _by_hash(words, "n")
+        self.fixed = Fixed(h, n, self.base(n), (self.total - int(n.sum()), self.types - len(n)),
+                           max(1, min(BUCKETS, self.total >> 16), -(-self.total // BUCKET_TOKENS)), self.spelling)
+        self.shared = spark.sparkContext.broadcast(self.fixed)
         self.prior = functools.partial(base_measure, types=self.types)
-        discount, types, prior = self.discount, self.types, self.prior
-
-        def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for k, batch in enumerate(batches):
-                spell = spelling.value.logp(*_words(batch))
-                n = batch.column("n").to_numpy()
-                seating = Seating(np.zeros(len(n), np.int64), n, discount, types - len(n))
-                rng, mean = np.random.default_rng(k), np.zeros(len(n))
-                for sweep in range(SWEEPS):
-                    seating.gibbs(prior(10 ** spell), rng)
-                    if sweep >= BURN_IN:
-                        mean += seating.t / (SWEEPS - BURN_IN)
-                yield batch.append_column("tables", pa.array(mean)).append_column(
-                    "spell", pa.array(spell))
-
-        # Ordered by hash, so that every run and every retry seats the same words together.
-        ordered = words.repartition("h").sortWithinPartitions("h", "word")
-        self.words = cut_lineage(ordered.mapInArrow(
-            seat, "h long, word binary, n long, tables double, spell double"))
-        self.tables = float(self.words.agg(F.sum("tables")).first()[0] or 0.0)
+        self.store = self._gather(self._pieces(docs, learn, *keep))
+        sent = cut_lineage(self.store.where("bucket >= 0").select(*LISTS, "cells").mapInArrow(
+            _sent(self.shared), "h long, context boolean, tables long").groupBy("h", "context").agg(
+            F.sum("tables").alias("tables")))
+        # Bounded: the words with more than HOT tokens.
+        hot = sent.where("context").select("h", "tables").toArrow()
+        self.hot = dict(zip(hot["h"].to_numpy().view(np.uint64).tolist(), (hot["tables"].to_numpy() / KEPT).tolist()))
+        self._seat(words, sent.where("NOT context").select("h", "tables"))
+
+    def _pieces(self, docs: DataFrame, learn: Column, *keep: str) -> DataFrame:
+        marked = docs.select(learn.alias("_learn"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row") if keep
+                             else F.struct(F.lit(0).alias("_")).alias("_row"),
+                             F.col("text").cast("string").alias("_text"), F.monotonically_increasing_id().alias("_id"))
+        return marked.mapInArrow(_blocks(self.shared), self._schema(T.ArrayType(marked.schema["_row"].dataType)))
+
+    @staticmethod
+    def _schema(rows: T.DataType) -> T.StructType:
+        fields = T.StructType.fromDDL("bucket int, block long").add("rows", rows)
+        for name, kind in (HEAD | LISTS).items():
+            if kind is not None:
+                fields = fields.add(name, T.ArrayType(from_arrow_type(kind)))
+        return fields.add("cells", T.BinaryType())
+
+    def _gather(self, pieces: DataFrame) -> DataFrame:
+        rows = pieces.schema["rows"].dataType
+        # So many partitions that few hold several buckets.
+        return cut_lineage(pieces.repartition(4 * self.fixed.buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(
+            _gathered(self.shared), self._schema(rows)))
+
+    def _seat(self, words: DataFrame, sent: DataFrame) -> None:
+        """The restaurant of all words: its customers are the tables of contexts. Between sweeps the
+        tasks exchange the number of tables."""
+        spelling = self.spark.sparkContext.broadcast(self.spelling)
+
+        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c) for c in ("h", "n", "c")] + [pa.array(spelling.value.logp(*_words(batch)))],
+                    names=["h", "n", "c", "spell"])
+
+        tables = F.greatest(F.lit(1), F.coalesce(F.round(F.col("tables") / KEPT), F.lit(1))).cast("long")
+        seen = cut_lineage(words.join(sent, "h", "left").select("h", "word", "n", tables.alias("c")).mapInArrow(
+            spell, "h long, n long, c long, spell double"))
+        figures = seen.agg(F.sum("c"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+        self.customers = int(figures[0] or 0)
+        self.discount = d = min(0.95, max(0.1, figures[1] / max(figures[1] + 2 * figures[2], 1)))
+        prior = self.prior
+
+        def drawn(batch, x, sweep):
+            spell = batch.column("spell").to_numpy()
+            return draw_tables(batch.column("c").to_numpy(), d * x * prior(10 ** spell), d,
+                               Keyed(batch.column("h").to_numpy(), sweep))
+
+        def counted(x, sweep):
+            def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                n = sum(int(drawn(batch, x, sweep).sum()) for batch in batches)
+                yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+            return go
+
+        # A word with one customer has one table.
+        several, alone = seen.where("c > 1"), int(figures[1])
+        count, rng, xs = self.types, np.random.default_rng(0), []
+        for sweep in range(SWEEPS):
+            xs.append(float(rng.gamma(STRENGTH / d + count)))
+            if sweep + 1 < SWEEPS:
+                count = alone + int(several.mapInArrow(counted(xs[-1], sweep), "n long").agg(F.sum("n")).first()[0] or 0)
+
+        def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                mean = sum(drawn(batch, xs[s], s) for s in range(BURN_IN, SWEEPS)) / (SWEEPS - BURN_IN)
+                yield batch.append_column("tables", pa.array(np.asarray(mean, float)))
+
+        self.words = cut_lineage(seen.mapInArrow(
+            averaged, "h long, n long, c long, spell double, tables double"))
+        # Averages of whole numbers by a number known: added up as whole numbers, whatever the order.
+        self.tables = int(self.words.agg(F.sum(F.round(F.col("tables") * (SWEEPS - BURN_IN)).cast("long"))).first()[0]
+                          or 0) / (SWEEPS - BURN_IN)
 
     def fresh(self) -> float:
         """Weight of the base measure in the word restaurant."""
-        return (STRENGTH + self.discount * self.tables) / (STRENGTH + self.total)
+        return (STRENGTH + self.discount * self.tables) / (STRENGTH + self.customers)
 
     def scored_words(self) -> DataFrame:
-        """(h, word, n, score): log10 of the averaged predictive probability of each word."""
-        own = (F.col("n") - self.discount * F.col("tables")) / (STRENGTH + self.total)
-        return self.words.select("h", "word", "n", F.log10(
+        """(h, n, score): log10 of the averaged predictive probability of each word without context."""
+        own = (F.col("c") - self.discount * F.col("tables")) / (STRENGTH + self.customers)
+        return self.words.select("h", "n", F.log10(
             own + self.fresh() * self.prior(F.pow(F.lit(10.0), "spell"))).alias("score"))
 
     def base(self, n):
         return np.log10((n + 0.1) / (self.total + 0.1 * (self.types + 1)))
 
+    def scores(self, store: DataFrame | None = None) -> DataFrame:
+        """_row (a struct of the `keep` columns), n_tokens, n_known, base_score and score of the
+        documents of the store (the model's own without one)."""
+        store = self.store if store is None else store
+        table = self.scored_words()
+        h, score = _by_hash(table, "score")
+        known = self.spark.sparkContext.broadcast((10 ** score, self.hot))
+        cells = store.where("bucket >= 0").select("bucket", *LISTS, "cells")
+        added = "bucket int, block long, at array<smallint>, add_known array<bigint>, add_base array<double>, " \
+                "add_score array<double>"
+        frequent = cells.mapInArrow(_sums(self.shared, known), added)
+        tail = cells.mapInArrow(_tail(self.shared, known), "block long, doc int, times long, h long, own double, "
+                                                           "back double, spell double")
+        by_hash = table.groupBy("h").agg(F.sum("n").alias("n"), F.max("score").alias("word"))
+        p = F.coalesce(F.pow(F.lit(10.0), "word"), self.fresh() * self.prior(F.pow(F.lit(10.0), "spell")))
+        seen = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / (self.total + 0.1 * (self.types + 1)))
+        times = F.col("times")
+        rare = tail.join(by_hash, "h", "left").groupBy("block", "doc").agg(
+            F.sum(F.when(F.col("n").isNotNull(), times).otherwise(0)).alias("known"), F.sum(times * seen).alias("base"),
+            F.sum(times * F.log10(F.col("own") + F.col("back") * p)).alias("score")).select(
+            F.lit(-1).alias("bucket"), "block", F.array(F.col("doc").cast("short")).alias("at"),
+            F.array("known").alias("add_known"), F.array("base").alias("add_base"),
+            F.array("score").alias("add_score"))
+        heads = store.where("bucket < 0").select("block", "rows", "tokens", "known", "base")
+        line = frequent.unionByName(rare).unionByName(
+            heads.withColumn("bucket", F.lit(-2)), allowMissingColumns=True)
+        out = T.StructType().add("_row", store.schema["rows"].dataType.elementType)
+        for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double")):
+            out = out.add(name, kind)
+        return line.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(_added, out)
+
+
+def _rated(m: Fixed, batch: pa.RecordBatch, known, hot: dict):
+    """Of each bucket: its cells' own share of the probability, the share left to the word without
+    context, and the lists."""
+    for i in range(batch.num_rows):
+        x = _read(batch, i)
+        ids, r = np.unique(x["u"], return_inverse=True)
+        t = x["t"] / KEPT
+        total, tables = (np.bincount(r, weights=v, minlength=len(ids)) for v in (x["c"], t))
+        for k in np.flatnonzero(ids < len(m.top)).tolist():
+            if m.n[ids[k]] > HOT:
+                total[k], tables[k] = m.n[ids[k]], hot.get(int(m.top[ids[k]]), 0.0)
+        own = (x["c"] - CONTEXT * t) / (STRENGTH + total)[r]
+        back = np.where(total > 0, (STRENGTH + CONTEXT * tables) / (STRENGTH + total), 1.0)[r]
+        yield i, x, own, back
+
+
+def _sums(shared, known):
+    """Scores of tokens with frequent words, added up by document."""
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, (p, hot) = shared.value, known.value
+        for batch in batches:
+            for i, x, own, back in _rated(m, batch, p, hot):
+                top = x["w"] < len(m.top)
+                log = np.zeros(len(own))
+                log[top] = np.log10(own[top] + back[top] * p[x["w"][top]])
+                every = np.repeat(top, x["k"])
+                docs, at = np.unique(x["docs"][every], return_inverse=True)
+                score = np.bincount(at, weights=np.repeat(log, x["k"])[every], minlength=len(docs))
+                borders = np.searchsorted(docs, np.arange(len(x["chunks"]) + 1) * BLOCK_DOCS)
+                parts = list(zip(borders[:-1], borders[1:]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(parts), batch.column("bucket")[i].as_py()), pa.int32()),
+                     pa.array(x["chunks"]), _listed([docs[a:b] % BLOCK_DOCS for a, b in parts], pa.int16()),
+                     pa.nulls(len(parts), pa.list_(pa.int64())), pa.nulls(len(parts), pa.list_(pa.float64())),
+                     _listed([score[a:b] for a, b in parts], pa.float64())],
+                    names=["bucket", "block", "at", "add_known", "add_base", "add_score"])
 
-def most_frequent(words: DataFrame) -> DataFrame:
-    """The words from a frequency on that at most TOP words reach. The frequency comes from counts of
-    words by eighths of a doubling (some hundred rows), so that no task has to sort them all."""
-    step = F.floor(F.log2("n") * 8)
-    least, total = None, 0
-    for row in sorted(words.groupBy(step.alias("step")).count().collect(), reverse=True):
-        total += row["count"]
-        if total > TOP:
-            break
-        least = row["step"]
-    return words.where(step >= least if least is not None else F.lit(False))
+    return go
+
+
+def _tail(shared, known):
+    """Tokens with other words, one row for each pair of a document."""
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, (p, hot) = shared.value, known.value
+        for batch in batches:
+            for _, x, own, back in _rated(m, batch, p, hot):
+                cell = np.repeat(np.arange(len(own)), x["k"])
+                some = x["w"][cell] >= len(m.top)
+                width = max(len(x["chunks"]), 1) * BLOCK_DOCS
+                key, times = np.unique(cell[some] * width + x["docs"][some], return_counts=True)
+                cell, docs = np.divmod(key, width)
+                word = x["w"][cell] - len(m.top)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x["chunks"][docs // BLOCK_DOCS]), pa.array(docs % BLOCK_DOCS, pa.int32()),
+                     pa.array(times, pa.int64()), pa.array(x["tail"][word]), pa.array(own[cell]), pa.array(back[cell]),
+                     pa.array(x["spell"][word])],
+                    names=["block", "doc", "times", "h", "own", "back", "spell"])
+
+    return go
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of a block with all that was added up for them: first its head, then tokens with other
+    words, which are yet to be counted as known, then scores of frequent words."""
+    head, sums = None, None
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [head[0], pa.array(head[1]), pa.array(sums[0].astype(np.int64)), *[pa.array(s) for s in sums[1:]]],
+            names=["_row", "n_tokens", "n_known", "base_score", "score"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        blocks, buckets = batch.column("block").to_numpy(), batch.column("bucket").to_numpy()
+        lists = _lists(batch, ("at", "add_known", "add_base", "add_score"))
+        borders = np.flatnonzero(np.append(True, (blocks[1:] != blocks[:-1]) | (buckets[:-1] == -2)))
+        for a, b in zip(borders, np.append(borders[1:], len(blocks))):
+            if buckets[a] == -2:
+                if head is not None:
+                    yield done()
+                row = batch.slice(a, 1)
+                rows, tokens, known, base = (row.column(c).flatten() for c in ("rows", "tokens", "known", "base"))
+                head = (pa.concat_arrays([rows]), tokens.to_numpy().copy())
+                sums = [known.to_numpy().astype(float), base.to_numpy().copy(), np.zeros(len(rows))]
+                continue
+            at = lists[0][0][lists[0][1][a]:lists[0][1][b]]
+            for into, (values, ends) in zip(sums, lists[1:]):
+                some = values[ends[a]:ends[b]]
+                if len(some):
+                    into += np.bincount(at[:len(some)], weights=some, minlength=len(into))
+    if head is not None:
+        yield done()
 
 
 def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """_row (a struct of the `keep` columns), n_tokens, n_known, base_score and score."""
-    table = model.scored_words()
-    top = most_frequent(table).select("h", "n", "score").toArrow()
-    order = np.argsort(top["h"].to_numpy().view(np.uint64), kind="stable")
-    h = top["h"].to_numpy().view(np.uint64)[order]
-    same = np.concatenate([h[1:] == h[:-1], [False]]) if len(h) else np.zeros(0, bool)
-    # Words with equal hashes (none are expected) are left to the exact join.
-    unique = ~(same | np.concatenate([[False], same[:-1]])) if len(h) else same
-    n, score = (top[c].to_numpy()[order][unique] for c in ("n", "score"))
-    shared = docs.sparkSession.sparkContext.broadcast((h[unique], model.base(n), score))
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, base, score = shared.value
-        for batch in batches:
-            for texts in texts_of(batch.column("_text")):
-                yield _looked(batch, texts, known, base, score)
+    pieces = model._pieces(docs, F.lit(False), *keep)
+    rows = pieces.schema["rows"].dataType
+    learned = model.store.where("bucket >= 0").withColumns({
+        "rows": F.lit(None).cast(rows), "chunks": F.array().cast("array<bigint>")}).mapInArrow(_without_docs, pieces.schema)
+    return model.scores(model._gather(pieces.unionByName(learned)))
 
-    rows = packed(docs, *keep).withColumn("_id", F.monotonically_increasing_id())
-    looked = cut_lineage(rows.mapInArrow(look, with_added(
-        rows, "n_tokens long, n_known long, base_score double, score double, "
-              "tail array<struct<h: long, word: binary, times: long>>")))
-    tail = looked.select("_id", F.inline("tail")).join(table, ["h", "word"], "left")
-    spelling = docs.sparkSession.sparkContext.broadcast(model.spelling)
-    unseen, fresh, prior = float(model.base(0)), model.fresh(), model.prior
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = batch.column("score").to_numpy(zero_copy_only=False).copy()
-            miss = np.isnan(score)
-            if miss.any():
-                spell = 10 ** spelling.value.logp(*_words(batch.filter(pa.array(miss))))
-                score[miss] = np.log10(fresh * prior(spell))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("_id", "times", "n")] + [pa.array(score)],
-                names=["_id", "times", "n", "score"])
-
-    tail = tail.select("_id", "times", "n", "score", "word").mapInArrow(
-        spell, "_id long, times long, n long, score double")
-    seen = F.log10((F.col("n") + 0.1) / (model.total + 0.1 * (model.types + 1)))
-    sums = tail.groupBy("_id").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("_known"),
-        F.sum(F.col("times") * F.coalesce(seen, F.lit(unseen))).alias("_base"),
-        F.sum(F.col("times") * F.col("score")).alias("_score"))
-    out = looked.drop("tail").join(sums, "_id", "left")
-    return out.select("_row", "n_tokens", *[
-        (F.col(c) + F.coalesce(more, F.lit(0))).alias(c)
-        for c, more in (("n_known", "_known"), ("base_score", "_base"), ("score", "_score"))])
-
-
-def _looked(batch: pa.RecordBatch, texts: Texts, known, base, score) -> pa.RecordBatch:
-    """Sums over the broadcast words of each text, and its other words with their counts."""
-    n = len(texts)
-    words = words_of(texts, lower=True)
-    h, owner = np.concatenate([words.hash, np.repeat(_END, n)]), np.concatenate(
-        [words.owner, np.arange(n)])
-    starts, ends = (np.concatenate([x, np.zeros(n, np.int64)]) for x in (words.starts, words.ends))
-    at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-    hit = known[at] == h if len(known) else np.zeros(len(h), bool)
-    sums = [np.bincount(owner[hit], weights=v, minlength=n) for v in (
-        np.ones(int(hit.sum())), base[at[hit]], score[at[hit]])]
-    miss = np.flatnonzero(~hit)
-    order = miss[np.lexsort((h[miss], owner[miss]))]
-    new = np.ones(len(order), bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])
-    first = order[new]
-    times = np.diff(np.concatenate([np.flatnonzero(new), [len(order)]]))
-    tail = pa.StructArray.from_arrays(
-        [pa.array(h[first].view(np.int64)),
-         _binaries(*gathered(LOWER[texts.data], starts[first], ends[first])),
-         pa.array(times, pa.int64())], names=["h", "word", "times"])
-    borders = np.searchsorted(owner[first], np.arange(n + 1)).astype(np.int32)
-    columns, names = without_text(batch, texts)
-    return pa.RecordBatch.from_arrays(
-        columns + [pa.array(np.bincount(owner, minlength=n), pa.int64()),
-                   pa.array(sums[0].astype(np.int64)),
-                   *[pa.array(s.astype(np.float64)) for s in sums[1:]],
-                   pa.ListArray.from_arrays(pa.array(borders), tail)],
-        names=names + ["n_tokens", "n_known", "base_score", "score", "tail"])
+def _without_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The learned counts of buckets, without what occurs where."""
+    for batch in batches:
+        cells = []
+        for data in batch.column("cells").to_pylist():
+            u, w, c, k, t, _ = _arrays(data)
+            cells.append(_bytes([u, w, c, np.zeros(len(k)), np.zeros(0), np.zeros(0)]))
+        yield batch.set_column(batch.schema.get_field_index("cells"), "cells", pa.array(cells, pa.binary()))
 
 
 def perplexity(scores: DataFrame, column: str = "score") -> DataFrame:
@@ -546,7 +1010,7 @@ def perplexity(scores: DataFrame, column: str = "score") -> DataFrame:
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = Model(docs.where(learnable()))
-    return scored(docs, model, "doc_id").select(
+    model = Model(docs, learnable(), "doc_id")
+    return model.scores().select(
         "_row.doc_id", F.coalesce(~learnable(), F.lit(False)).alias("held_out"), "n_tokens",
         "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
