@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from vacantia.operators import upsert
 from vacantia.session import new_folder
+from vacantia.sources.adapter import Tables
 from vacantia.streaming import jobs
 
 
@@ -104,3 +105,26 @@ def test_status_stream_and_first_seen(spark):
     assert got == want
     jobs.first_seen_stream(staged(spark, df, 3), f"{home}/seen", f"{home}/o2").awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(f"{home}/seen").collect()) == [0, 1, 2, 3]
+
+
+def test_run_log_moves_no_texts(spark):
+    """The log of a merge without texts is that of the merge with them."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    runs = []
+    for texts in (True, False):
+        log, folder = jobs._upsert_once(t, False, texts)
+        runs.append(sorted((r.batch, r.keywords, r.jobs_found, r.new_jobs) for r in spark.read.parquet(folder).collect()))
+        assert (log.current().where("description <> ''").count() > 0) == texts
+    assert runs[0] == runs[1] and len({r[0] for r in runs[0]}) == jobs.LANDINGS
+
+
+def test_landings_are_thirds_of_the_batch(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    folder = new_folder(spark, "landed")
+    jobs._incoming_stream(t, folder)
+    landed = spark.read.parquet(folder).select("seq", F.input_file_name().alias("file"))
+    last = t.incoming().agg(F.max("seq")).first()[0]
+    spans = sorted((r.low, r.high, r.thirds) for r in landed.groupBy("file").agg(
+        F.min("seq").alias("low"), F.max("seq").alias("high"), F.count_distinct(
+            F.floor(F.col("seq") * jobs.LANDINGS / (last + 1))).alias("thirds")).collect())
+    assert {s[2] for s in spans} == {1} and landed.count() == t.incoming().count()

@@ -180,15 +180,22 @@ def _stream(t: Tables, name: str) -> DataFrame:
 LANDINGS = 3  # folders that the incoming crawl arrives in, one per micro-batch
 
 
-def _incoming_stream(t: Tables, folder: str) -> DataFrame:
+def without_texts(rows: DataFrame) -> DataFrame:
+    """The rows with an empty description: ids, keys and what is new do not depend on it."""
+    return rows.withColumn("description", F.lit(""))
+
+
+def _incoming_stream(t: Tables, folder: str, texts: bool = True) -> DataFrame:
     """The incoming crawl as it lands, a third of `seq` after the other: many tasks write each third,
-    and a micro-batch takes up the files of one."""
-    rows = t.incoming()
+    and a micro-batch takes up the files of one. A third is picked by bounds of `seq`, so that its scan
+    can leave out the rest of the table."""
+    rows = t.incoming() if texts else without_texts(t.incoming())
     last = rows.agg(F.max("seq")).first()[0] or 0
-    part = F.floor(F.col("seq") * LANDINGS / (last + 1))
+    starts = [-(-i * (last + 1) // LANDINGS) for i in range(LANDINGS + 1)]
     files = max(1, min(int(t.spark.conf.get("spark.sql.shuffle.partitions")), last // LANDINGS))
-    for i in range(LANDINGS):
-        rows.where(part == i).repartition(files).write.mode("append").parquet(folder)
+    for low, high in zip(starts[:-1], starts[1:]):
+        third = rows.where((F.col("seq") >= low) & (F.col("seq") < high))
+        third.repartition(files).write.mode("append").parquet(folder)
     return (t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder))
 
 
@@ -197,10 +204,11 @@ def _event_stream(t: Tables) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _upsert_once(t: Tables, fuzzy: bool) -> tuple[PostingLog, str]:
+def _upsert_once(t: Tables, fuzzy: bool, texts: bool = True) -> tuple[PostingLog, str]:
     home = new_folder(t.spark, "upsert")
-    log = PostingLog(t.spark, f"{home}/postings").start(dedup.dedup_exact(t.postings()))
-    upsert_stream(_incoming_stream(t, f"{home}/landed"), log, f"{home}/offsets", fuzzy,
+    postings = t.postings() if texts else without_texts(t.postings())
+    log = PostingLog(t.spark, f"{home}/postings").start(dedup.dedup_exact(postings))
+    upsert_stream(_incoming_stream(t, f"{home}/landed", texts), log, f"{home}/offsets", fuzzy,
                   run_log=f"{home}/runs").awaitTermination()
     return log, f"{home}/runs"
 
@@ -218,8 +226,8 @@ def run_figures_once(t: Tables, scored: DataFrame) -> DataFrame:
 
 
 def run_log_once(t: Tables) -> DataFrame:
-    """Found and new rows per search over all micro-batches."""
-    runs = t.spark.read.parquet(_upsert_once(t, fuzzy=False)[1])
+    """Found and new rows per search over all micro-batches. No text counts for them, so none is moved."""
+    runs = t.spark.read.parquet(_upsert_once(t, fuzzy=False, texts=False)[1])
     return runs.groupBy("keywords").agg(F.sum("jobs_found").alias("jobs_found"),
                                         F.sum("new_jobs").alias("new_jobs"))
 
