@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -397,6 +398,31 @@ def test_lm_own_documents_score_as_others_do(spark, docs, monkeypatch):
     assert len(first) > 100 and again == pytest.approx(first, abs=1e-6)
 
 
+def test_lm_buckets_are_worked_on_by_ranges(docs, monkeypatch):
+    """A row holds a range of a bucket's first words, no pair is in two rows, and no token is lost."""
+    monkeypatch.setattr(lm_scoring, "RANGE_TOKENS", 5000, raising=False)
+    monkeypatch.setattr(lm_scoring, "TOP", 500)
+    model = lm_scoring.Model(docs)
+    assert model.fixed.buckets == 1
+    pieces = model._pieces(docs, F.lit(True)).where("bucket >= 0").toArrow().to_batches()
+    rows = [lm_scoring._read(b, i) for b in lm_scoring._gathered(SimpleNamespace(value=model.fixed))(iter(pieces))
+            for i in range(b.num_rows)]
+    assert len(rows) >= model.total // 5000 > 5
+    assert max(len(x["docs"]) for x in rows) < model.total / 3
+    seen = Counter()
+    for x in rows:
+        h = np.concatenate([model.fixed.top, x["tail"].view(np.uint64)])
+        seen.update(zip(h[x["u"]].tolist(), h[x["w"]].tolist()))
+        assert (x["c"] == x["k"]).all() and x["k"].sum() == len(x["docs"])
+    end, want = int(lm_scoring._END[0]), Counter()
+    for r in docs.collect():
+        data = [np.frombuffer(word.encode(), np.uint8) for word in words(r.text, lower=True)]
+        line = [int(lm_scoring.hashes(d, np.zeros(1, np.int64), np.array([len(d)]))[0]) for d in data] + [end]
+        want.update(zip([end, *line], line))
+    assert max(seen.values()) == 1 and set(seen) == set(want)
+    assert sum(int(x["k"].sum()) for x in rows) == sum(want.values()) == model.total
+
+
 def test_spelling_contexts_are_whole_bytes():
     data = np.frombuffer(b"aXyzbXyz", np.uint8)
     context, byte, _ = lm_scoring.spelled(data, np.array([0, 4, 8]))

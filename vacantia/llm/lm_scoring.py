@@ -11,7 +11,7 @@ given the frequencies of words, then words given the tables of contexts.
 
 Everything is counted over all learnable documents. Word pairs are dealt out by their first word into
 buckets of bounded size (a frequent first word has several), together with where they occur, so that a
-pair is counted, seated and looked up in one place. A bucket holds the TOP most frequent words by rank
+pair is counted, seated and looked up in one place, a range of first words at a time. A bucket holds the TOP most frequent words by rank
 (broadcast, bounded) and others by hash; these meet the vocabulary, which grows with the corpus and is
 never collected, in a join. Between sweeps over the vocabulary one number is exchanged. What is drawn
 depends on hashes and on the number of tokens, not on partitions or batches.
@@ -48,6 +48,7 @@ EVERY_CHUNKS = 16   # chunks whose words a task adds up before it hands them on
 BLOCK_CHUNKS, BLOCK_DOCS = 6, 1 << 15  # chunks and documents of a block at most
 BUCKETS, BUCKET_TOKENS = 64, 1 << 21  # buckets of all but small tables, at least; tokens of a bucket, about
 HOT = 1 << 18       # tokens after a word from which on its pairs go to several buckets
+RANGE_TOKENS = 1 << 17  # tokens of a row of a bucket, about: the first words of a bucket are worked on by ranges
 
 
 def learnable() -> Column:
@@ -494,6 +495,12 @@ def _lists(batch: pa.RecordBatch, names) -> list[tuple[np.ndarray, np.ndarray]]:
             for n in names]
 
 
+def _runs(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values begins, and the run of every place."""
+    start = np.append(True, u[1:] != u[:-1])[:len(u)]
+    return np.flatnonzero(start), np.cumsum(start) - 1
+
+
 def _rank(h: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place in `top`, and whether it is there."""
     at = np.minimum(np.searchsorted(top, h), max(len(top) - 1, 0))
@@ -640,7 +647,7 @@ def _cut(texts):
 
 
 def _gathered(shared):
-    """Rows of one bucket become one row, its cells counted and seated; heads stay as they are."""
+    """Rows of one bucket become its ranges, their cells counted and seated; heads stay as they are."""
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, bucket = [], None
         for batch in batches:
@@ -650,37 +657,68 @@ def _gathered(shared):
                     yield batch.slice(i, 1)
                     continue
                 if own != bucket and held:
-                    yield _bucket(shared.value, bucket, held, kind)
+                    yield from _ranges(shared.value, bucket, held, kind)
                     held = []
                 bucket = own
-                held.append({k: v.copy() for k, v in _read(batch, i).items()})  # no view keeps a batch
+                x = _read(batch, i)
+                held.append(x | {k: x[k].copy() for k in LISTS})  # no view keeps a batch
         if held:
-            yield _bucket(shared.value, bucket, held, kind)
+            yield from _ranges(shared.value, bucket, held, kind)
 
     return go
 
 
-def _bucket(m: Fixed, bucket: int, held: list[dict], rows: pa.DataType) -> pa.RecordBatch:
+def _ranges(m: Fixed, bucket: int, held: list[dict], rows: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """A row for each range of a bucket's first words. Borders follow the words and the number of tokens,
+    not the blocks that the tokens came in."""
     n = len(m.top)
     tail = np.unique(np.concatenate([x["tail"].view(np.uint64) for x in held]))
     chunks = np.unique(np.concatenate([x["chunks"] for x in held]))
-    spell = np.full(len(tail), np.nan)
-    keys, docs, types = [], [], n + len(tail)
+    spell, tokens = np.full(len(tail), np.nan), np.zeros(2, np.int64)
     for x in held:
-        place = np.concatenate([np.arange(n), n + np.searchsorted(tail, x["tail"].view(np.uint64))])
+        place = np.searchsorted(tail, x.pop("tail").view(np.uint64))
         given = ~np.isnan(x["spell"])
-        spell[place[n:][given] - n] = x["spell"][given]
-        keys.append(place[x["u"]] * types + place[x["w"]])
-        slot = np.searchsorted(chunks, x["chunks"][0]) if len(x["chunks"]) else 0
-        docs.append(slot * BLOCK_DOCS + x["docs"].astype(np.int64))
-    every, counts = np.concatenate(keys), np.concatenate([x["k"] for x in held])
-    keys.clear()
-    key, back = np.unique(every, return_inverse=True)
-    c, k = (np.bincount(back, weights=np.concatenate([x[name] for x in held])).astype(np.int64) for name in "ck")
+        spell[place[given]] = x["spell"][given]
+        for name in "uw":
+            x[name] = x[name].copy()  # which may be read-only
+            late = np.flatnonzero(x[name] >= n)
+            x[name][late] = n + place[x[name][late] - n]
+        x["ends"] = np.append(0, np.cumsum(x["k"], dtype=np.int64)).astype(np.int32)
+        frequent = x["ends"][np.searchsorted(x["u"], np.int32(n))]
+        tokens += frequent, x["ends"][-1] - frequent
+        x["slot"] = np.searchsorted(chunks, x["chunks"][0]) if len(x["chunks"]) else 0
+    borders = [np.zeros(1, np.int64)]
+    for first, size, own in zip((0, n), (n, len(tail)), tokens):
+        parts = int(max(1, -(-own // RANGE_TOKENS)))
+        borders.append(first + size * np.arange(1, parts + 1) // parts)
+    borders = np.unique(np.concatenate(borders)).astype(np.int32)
+    rng = np.random.default_rng(bucket)
+    places = [np.searchsorted(x["u"], borders) for x in held]
+    for i in range(len(borders) - 1):
+        some = [(x, at[i], at[i + 1]) for x, at in zip(held, places) if at[i] < at[i + 1]]
+        if some:
+            yield _range(m, bucket, rng, some, tail, spell, chunks, rows)
+
+
+def _range(m: Fixed, bucket: int, rng: np.random.Generator, held: list[tuple[dict, int, int]], tail: np.ndarray,
+           spell: np.ndarray, chunks: np.ndarray, rows: pa.DataType) -> pa.RecordBatch:
+    """The cells a to b of each of the parts held, as one row."""
+    def joined(name: str) -> np.ndarray:
+        return np.concatenate([x[name][a:b] for x, a, b in held])
+
+    n, types = len(m.top), len(m.top) + len(tail)
+    counts = joined("k")
+    key, back = np.unique(joined("u").astype(np.int64) * types + joined("w"), return_inverse=True)
+    c, k = (np.bincount(back, weights=v).astype(np.int64) for v in (joined("c"), counts))
+    docs = np.concatenate([x["slot"] * BLOCK_DOCS + x["docs"][x["ends"][a]:x["ends"][b]].astype(np.int64)
+                           if len(x["docs"]) else np.zeros(0, np.int64) for x, a, b in held])
     order = np.argsort(np.repeat(back, counts))
     u, w = np.divmod(key, types)
-    out = {"tail": tail.view(np.int64), "spell": spell, "chunks": chunks}
-    cells = _bytes([u, w, c, k, _seated(m, bucket, u, w, c), np.concatenate(docs)[order]])
+    t = _seated(m, rng, u, w, c)
+    own = np.unique(np.concatenate([u[u >= n], w[w >= n]]))
+    u, w = (np.where(part >= n, n + np.searchsorted(own, part), part) for part in (u, w))
+    out = {"tail": tail[own - n].view(np.int64), "spell": spell[own - n], "chunks": chunks}
+    cells = _bytes([u, w, c, k, t, docs[order]])
     return pa.RecordBatch.from_arrays(
         [pa.array([bucket], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, rows),
          *[pa.nulls(1, pa.list_(kind)) for kind in list(HEAD.values())[1:]],
@@ -688,14 +726,14 @@ def _bucket(m: Fixed, bucket: int, held: list[dict], rows: pa.DataType) -> pa.Re
         names=NAMES + [*LISTS, "cells"])
 
 
-def _seated(m: Fixed, bucket: int, u: np.ndarray, w: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Tables of the cells, summed over the samples. Of a word whose pairs are in several buckets, tables
+def _seated(m: Fixed, rng: np.random.Generator, u: np.ndarray, w: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Tables of the cells, which stand in order of u, summed over the samples. Of a word whose pairs are in several buckets, tables
     elsewhere are taken to be as many for each customer as here."""
     some = np.flatnonzero(c > 0)
     t = np.zeros(len(c), np.int64)
     if not len(some):
         return t
-    _, first, r = np.unique(u[some], return_index=True, return_inverse=True)
+    first, r = _runs(u[some])
     own = u[some][first]
     here = np.bincount(r, weights=c[some])
     more = np.zeros(len(own))
@@ -706,7 +744,7 @@ def _seated(m: Fixed, bucket: int, u: np.ndarray, w: np.ndarray, c: np.ndarray)
     parent = np.full(len(some), m.rest[0] / max(m.rest[1], 1) / total)
     top = w[some] < len(m.top)
     parent[top] = m.n[w[some][top]] / total
-    seats, rng = Seating(r, c[some], CONTEXT), np.random.default_rng(bucket)
+    seats = Seating(r, c[some], CONTEXT)
     for sweep in range(CONTEXT_SWEEPS):
         seats.elsewhere = more * np.bincount(r, weights=seats.t)
         seats._count()
@@ -721,31 +759,34 @@ KEPT = CONTEXT_SWEEPS - CONTEXT_BURN_IN
 
 def _sent(shared):
     """(h, context, tables): customers that contexts send to a word, and tables of words whose pairs
-    are in several buckets."""
+    are in several buckets. Of the most frequent words, a task's sums."""
+    def row(h: np.ndarray, context: bool, tables: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(h.view(np.int64)), pa.array(np.full(len(h), context)), pa.array(tables.astype(np.int64))],
+            names=["h", "context", "tables"])
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        n = len(m.top)
+        several = m.n > HOT
+        sums = np.zeros((2, n))
         for batch in batches:
             for i in range(batch.num_rows):
                 x = _read(batch, i)
                 tail, u, w, t = x["tail"], x["u"], x["w"], x["t"]
-                h = np.concatenate([m.top, tail.view(np.uint64)]).view(np.int64)
-                hot = u < len(m.top)
-                hot[hot] = m.n[u[hot]] > HOT
-                for own, tables, context in ((w, t, False), (u[hot], t[hot], True)):
-                    ids, back = np.unique(own, return_inverse=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h[ids]), pa.array(np.full(len(ids), context)),
-                         pa.array(np.bincount(back, weights=tables, minlength=len(ids)).astype(np.int64))],
-                        names=["h", "context", "tables"])
+                top = w < n
+                sums[0] += np.bincount(w[top], weights=t[top], minlength=n)
+                hot = u < n
+                hot[hot] = several[u[hot]]
+                sums[1] += np.bincount(u[hot], weights=t[hot], minlength=n)
+                yield row(tail, False, np.bincount(w[~top] - n, weights=t[~top], minlength=len(tail)))
+        for tables, context in zip(sums, (False, True)):
+            own = np.flatnonzero(tables)
+            yield row(m.top[own], context, tables[own])
 
     return go
 
 
-def base_measure(spelled, types: int):
-    """Probability of a word before it is met, from that of its spelling (a number or a column)."""
-    return spelled * (1 - UNIFORM) + UNIFORM / (types + 1)
-
-
 class Model:
     """The vocabulary with seatings and spellings, its totals, the spelling model, and the pairs of
     the documents with their seatings."""
@@ -889,12 +930,12 @@ class Model:
 
 
 def _rated(m: Fixed, batch: pa.RecordBatch, known, hot: dict):
-    """Of each bucket: its cells' own share of the probability, the share left to the word without
+    """Of each row: its cells' own share of the probability, the share left to the word without
     context, and the lists."""
     for i in range(batch.num_rows):
         x = _read(batch, i)
-        ids, r = np.unique(x["u"], return_inverse=True)
-        t = x["t"] / KEPT
+        first, r = _runs(x["u"])
+        ids, t = x["u"][first], x["t"] / KEPT
         total, tables = (np.bincount(r, weights=v, minlength=len(ids)) for v in (x["c"], t))
         for k in np.flatnonzero(ids < len(m.top)).tolist():
             if m.n[ids[k]] > HOT:
@@ -904,11 +945,31 @@ def _rated(m: Fixed, batch: pa.RecordBatch, known, hot: dict):
         yield i, x, own, back
 
 
+def _plus(docs: np.ndarray, sums: np.ndarray, more: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by document, both sides in order of documents, added up."""
+    at, hit = _rank(more, docs)
+    sums[at[hit]] += extra[hit]
+    at = np.searchsorted(docs, more[~hit])
+    return np.insert(docs, at, more[~hit]), np.insert(sums, at, extra[~hit])
+
+
 def _sums(shared, known):
-    """Scores of tokens with frequent words, added up by document."""
+    """Scores of tokens with frequent words, added up by document over the ranges of a bucket."""
+    def row(bucket: int, chunks: np.ndarray, docs: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+        borders = np.searchsorted(docs, np.arange(len(chunks) + 1) * BLOCK_DOCS)
+        parts = list(zip(borders[:-1], borders[1:]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(parts), bucket), pa.int32()),
+             pa.array(chunks), _listed([docs[a:b] % BLOCK_DOCS for a, b in parts], pa.int16()),
+             pa.nulls(len(parts), pa.list_(pa.int64())), pa.nulls(len(parts), pa.list_(pa.float64())),
+             _listed([score[a:b] for a, b in parts], pa.float64())],
+            names=["bucket", "block", "at", "add_known", "add_base", "add_score"])
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, (p, hot) = shared.value, known.value
+        bucket, held = None, None
         for batch in batches:
+            buckets = batch.column("bucket").to_pylist()
             for i, x, own, back in _rated(m, batch, p, hot):
                 top = x["w"] < len(m.top)
                 log = np.zeros(len(own))
@@ -916,14 +977,14 @@ def _sums(shared, known):
                 every = np.repeat(top, x["k"])
                 docs, at = np.unique(x["docs"][every], return_inverse=True)
                 score = np.bincount(at, weights=np.repeat(log, x["k"])[every], minlength=len(docs))
-                borders = np.searchsorted(docs, np.arange(len(x["chunks"]) + 1) * BLOCK_DOCS)
-                parts = list(zip(borders[:-1], borders[1:]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(parts), batch.column("bucket")[i].as_py()), pa.int32()),
-                     pa.array(x["chunks"]), _listed([docs[a:b] % BLOCK_DOCS for a, b in parts], pa.int16()),
-                     pa.nulls(len(parts), pa.list_(pa.int64())), pa.nulls(len(parts), pa.list_(pa.float64())),
-                     _listed([score[a:b] for a, b in parts], pa.float64())],
-                    names=["bucket", "block", "at", "add_known", "add_base", "add_score"])
+                if buckets[i] == bucket:
+                    held = held[0], *_plus(*held[1:], docs, score)
+                    continue
+                if held is not None:
+                    yield row(bucket, *held)
+                bucket, held = buckets[i], (x["chunks"].copy(), docs, score)
+        if held is not None:
+            yield row(bucket, *held)
 
     return go
 
