@@ -111,6 +111,18 @@ def test_five_thousand_profiles(spark, k=5):
     assert sizes[0] == sizes[1]
 
 
+def test_keys_of_candidates_are_worked_out_once(spark):
+    """The last join reads the keys that were written, neither hashing candidates again nor to filter them."""
+    people, rows = some_profiles(spark, 12), batch(spark, POSTINGS).withColumnRenamed("seq", "id")
+    top, tally = score.top_per_candidate(rows, people, 2), score.tally_per_candidate(rows, people)
+    for df in (top, tally):
+        assert "sha2" not in df._jdf.queryExecution().optimizedPlan().toString()
+    plain = score.for_candidates(score.top_postings(rows, people, 2), people)
+    assert plain._jdf.queryExecution().optimizedPlan().toString().count("sha2") == 1
+    assert sorted(top.select("candidate_id", "rank", "id").collect()) == sorted(
+        plain.select("candidate_id", "rank", "id").collect())
+
+
 def test_requests(spark):
     rows = batch(spark, POSTINGS).withColumnRenamed("seq", "id")
     asked = replies.fit_requests(rows, {**profiles.vocab.DEFAULT_PROFILE}).collect()

@@ -116,8 +116,11 @@ def _scored_pairs(pairs: DataFrame) -> DataFrame:
 def scored_signatures(signatures: DataFrame, profiles: DataFrame) -> DataFrame:
     """Every distinct signature (sig_key, sig, ...) scored for every distinct profile (as
     `profile_key`), in cells of CELL by CELL."""
-    prepared = _as_struct(distinct_profiles(profiles))
-    left, right = in_cells(signatures, prepared, [], "sig_key", "profile_key", CELL)
+    return _in_cells(signatures, distinct_profiles(profiles))
+
+
+def _in_cells(signatures: DataFrame, prepared: DataFrame) -> DataFrame:
+    left, right = in_cells(signatures, _as_struct(prepared), [], "sig_key", "profile_key", CELL)
     return _scored_pairs(left.join(right, "_cell").drop("_cell"))
 
 
@@ -135,8 +138,12 @@ def score_for_profiles(postings: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def profile_tally(postings: DataFrame, profiles: DataFrame) -> DataFrame:
     """Per distinct profile, how many postings have each priority, and the best scores."""
+    return _tally(postings, distinct_profiles(profiles))
+
+
+def _tally(postings: DataFrame, prepared: DataFrame) -> DataFrame:
     counted = signed(postings).groupBy("sig_key").agg(F.first("sig").alias("sig"), F.count("*").alias("n"))
-    scored = scored_signatures(counted, profiles)
+    scored = _in_cells(counted, prepared)
 
     def of(level):
         return F.sum(F.when(F.col("priority") == level, F.col("n")).otherwise(F.lit(0).cast("bigint")))
@@ -209,13 +216,17 @@ def _opened(signatures: DataFrame, profiles: DataFrame, classes: DataFrame, k: i
 def top_postings(postings: DataFrame, profiles: DataFrame, k: int) -> DataFrame:
     """(profile_key, rank, id, priority, ats_score, fit_score): the best k postings of every distinct
     profile by priority, ATS, FIT and id."""
+    return _top(postings, distinct_profiles(profiles), k)
+
+
+def _top(postings: DataFrame, prepared: DataFrame, k: int) -> DataFrame:
     rows = signed(postings)
     place = F.row_number().over(Window.partitionBy("sig_key").orderBy("id"))
     few = rows.withColumn("_n", place).where(F.col("_n") <= k)  # alike in score, so the first k will do
     signatures = cut_lineage(few.groupBy("sig_key").agg(
         F.first("sig").alias("sig"), F.min("id").alias("first_id"), F.sort_array(F.collect_list("id")).alias("ids"))
         .withColumn("sc", _signature_class()))
-    people = cut_lineage(_as_struct(distinct_profiles(profiles)).withColumn("pc", _profile_class()))
+    people = cut_lineage(_as_struct(prepared).withColumn("pc", _profile_class()))
     # Classes are few: years, levels and flags. Both sides are bounded by what these can be.
     held = signatures.groupBy("sc").agg(F.sum(F.size("ids")).alias("n"))
     left, right = in_cells(held, people.select("pc").distinct(), [], "sc", "pc", CELL)
@@ -240,6 +251,9 @@ def top_postings(postings: DataFrame, profiles: DataFrame, k: int) -> DataFrame:
         "profile_key", "rank", "id", "priority", "ats_score", "fit_score")
 
 
+SCORER_FIELDS = ("years_experience", "location", "skills", "cloud_platforms", "education", "certifications")
+
+
 def _scorer_view() -> Column:
     """What the scorer sees of a profile, as it was entered."""
     return F.struct("years_experience", F.lower("location").alias("location"), "skills",
@@ -248,24 +262,45 @@ def _scorer_view() -> Column:
 
 
 def profile_key() -> Column:
-    return F.sha2(F.to_json(_scorer_view()), 256)
+    # Never null, and said so: else a join on it works it out once more to filter.
+    return F.coalesce(F.sha2(F.to_json(_scorer_view()), 256), F.lit(""))
 
 
 def distinct_profiles(profiles: DataFrame) -> DataFrame:
     """Prepared profiles by key. Equal profiles meet before they are prepared."""
-    return (profiles.select(profile_key().alias("profile_key"), _scorer_view().alias("v"))
+    return _distinct(profiles.withColumn("profile_key", profile_key()))
+
+
+def _distinct(keyed: DataFrame) -> DataFrame:
+    return (keyed.select("profile_key", _scorer_view().alias("v"))
             .groupBy("profile_key").agg(F.first("v").alias("v")).select("profile_key", "v.*")
             .select("profile_key", S.prepared_profile(
                 F.col("has_education"), F.col("has_certifications")).alias("p"))
             .select("profile_key", "p.*"))
 
 
+def _keyed(candidates: DataFrame) -> DataFrame:
+    """Candidates with the key of their profile, worked out once and written."""
+    return cut_lineage(candidates.withColumn("profile_key", profile_key()))
+
+
 def top_per_candidate(postings: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """Best k postings of each candidate; candidates join last, on the key of their profile."""
-    return for_candidates(top_postings(postings, candidates, k), candidates)
+    keyed = _keyed(candidates)
+    return _of_candidates(_top(postings, _distinct(keyed), k), keyed)
+
+
+def tally_per_candidate(postings: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Each candidate with the `profile_tally` of their profile."""
+    keyed = _keyed(candidates)
+    return _of_candidates(_tally(postings, _distinct(keyed)), keyed)
 
 
 def for_candidates(by_profile: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidates with the rows of their profile. Many may share one profile, so they are spread."""
-    keyed = candidates.withColumn("profile_key", profile_key())
+    """Candidates with the rows of their profile."""
+    return _of_candidates(by_profile, candidates.withColumn("profile_key", profile_key()))
+
+
+def _of_candidates(by_profile: DataFrame, keyed: DataFrame) -> DataFrame:
+    # Many may share one profile, so they are spread.
     return salted_join(keyed, by_profile, "profile_key", "candidate_id", "inner")

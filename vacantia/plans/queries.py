@@ -71,7 +71,10 @@ def _stored(t: Tables) -> DataFrame:
 
 
 def _candidates(t: Tables) -> DataFrame:
-    return profiles.from_forms(t.candidate_forms())
+    """What the scorer sees of candidates. They are spread while they are narrow: a file of a few MB, which
+    one task reads, holds very many."""
+    return profiles.from_forms(t.candidate_forms().repartition("candidate_id")).select(
+        "candidate_id", *score.SCORER_FIELDS)
 
 
 def _cards(t: Tables) -> DataFrame:
@@ -457,15 +460,13 @@ def score_priority(t):
 
 @query
 def score_many_candidates(t):
-    people = _candidates(t)
-    return score.for_candidates(score.profile_tally(t.postings(), people), people).select(
+    return score.tally_per_candidate(t.postings(), _candidates(t)).select(
         "candidate_id", "n_high", "n_medium", "n_low", "best_ats", "best_fit")
 
 
 @query
 def topk_per_candidate(t):
-    people = _candidates(t).select("candidate_id", *PROFILE.names)
-    return score.top_per_candidate(t.postings(), people, 5).select(
+    return score.top_per_candidate(t.postings(), _candidates(t), 5).select(
         "candidate_id", F.col("rank").cast("bigint").alias("rank"), "id", "ats_score", "fit_score")
 
 
