@@ -133,3 +133,29 @@ def test_empty_table(none):
 def test_extra_columns_may_clash(spark):
     clash = spark.createDataFrame([(1, "one two", 5, "x", 7)], "doc_id long, text string, n_a int, _id string, code int")
     assert result(clash)[0][1][:2] == (2, 2)
+
+
+def test_known_windows_are_not_encoded_again(libraries):
+    work, given = A.Aligner(A.byte_level(), A.piece_level()), []
+    for side in (work.a, work.b):
+        side.encode = lambda text, encode=side.encode: given.append(text) or encode(text)
+    work.aligned(["one, two three's 55\nfour (five)  six"])
+    given.clear()
+    texts = ["two three's one, 55\nfour two", "(five)  six one,"]
+    found = work.aligned(texts)
+    assert given == []
+    for text, got in zip(texts, found):
+        a, b, groups, links = _walk(text, libraries)
+        assert got[:4] == (len(a), len(b), len(groups), len(links))
+        assert got[4] == hashlib.sha256(";".join(groups).encode()).hexdigest()
+
+
+def test_windows_of_one_batch_leave_each_other_alone(libraries):
+    """White space at the ends of texts, and windows that do not join, beside plain ones."""
+    texts = [" x", "x ", "  x  ", " ", "x y", "y  x", "y  x", "x▁ z", "z ▁", "v\0 w", "w x", "", "\x1c x\x1f y"]
+    found = A.Aligner(A.byte_level(), A.piece_level()).aligned(texts)
+    for text, got in zip(texts, found):
+        walked = _walk(text, libraries)
+        assert (got is None) == (walked is None)
+        if got is not None:
+            assert got[4] == hashlib.sha256(";".join(walked[2]).encode()).hexdigest()

@@ -1,11 +1,12 @@
 """Cross-tokenizer alignment (operator 13): which tokens of two vocabularies cover the same bytes.
 
-Both vocabularies encode a whole text. Where both have a token end and both go on with a
-space-marked token lies an anchor; anchors cut a document into windows, small pairs of id tuples
-that repeat all over a corpus. A window is aligned once and remembered under its ids: its groups
-(cut where both end) and its links (pairs of overlapping tokens). Texts beyond a chunk are encoded in
-stretches cut between a letter and a space before a letter, where neither vocabulary has a token
-across the cut; that gives the ids of the whole text in bounded memory.
+Before a single space between two characters that are no white space both vocabularies have a
+token end and go on with a space-marked token, and what stands on one side does not change the
+tokens of the other. These anchors cut a document into windows, short stretches of text that repeat
+all over a corpus. A window is encoded and aligned once and remembered: its groups (cut where both
+end) and its links (pairs of overlapping tokens). The ids of a document's windows, one behind the
+other, are those of the whole text. New windows are encoded many at a time, put together again to
+one text; a window with white space at an end (the first or last of a text) is encoded by itself.
 
 A link's count is how many links of the corpus join the same two ids. Links are kept per document as
 sorted codes; the TOP most frequent id pairs are broadcast (a fixed bound), rarer ones meet their
@@ -23,7 +24,7 @@ import base64
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,23 +33,24 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..session import new_folder, removed_at_exit
 from .packing import vocabulary
-from .words import CHUNK, mix, packed, texts_of
+from .words import CHUNK, packed, texts_of
 
 TOP = 1 << 20         # id pairs that are broadcast, 13 bytes each
 REMEMBERED = 1 << 17  # windows a task remembers (some 300 bytes each); beyond, it starts anew
+HELD_LINKS = 1 << 22  # links that remembered windows may have together
 LONG_WINDOW = 128     # tokens; longer windows are aligned without being remembered
+TOGETHER = 1 << 12    # characters of new windows that are encoded as one text
 SIDE = 1 << 16        # ids of the second vocabulary are below this, so a pair is one 32-bit code
 
 FIGURES = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
 
 class Vocabulary:
-    """Ids of whole texts, and per id its bytes and whether it is marked by a space."""
+    """Ids of whole texts, and per id its bytes."""
 
     def __init__(self, tokens: list[bytes], encode):
         self.encode = encode  # text -> ids of space + text
         self.length = np.array([len(t) for t in tokens], np.int64)
-        self.spaced = np.array([t[:1] == b" " for t in tokens])
         self.tokens = np.array(tokens, dtype=object)
 
     def joined(self, ids: np.ndarray) -> bytes:
@@ -101,6 +103,7 @@ def piece_level(path: str | None = None) -> Vocabulary:
 
 
 _CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
+_ANCHOR = re.compile(r" (?<=\S )(?=\S)")
 
 
 def stretches(text: str, size: int = CHUNK) -> Iterator[str]:
@@ -117,8 +120,8 @@ def stretches(text: str, size: int = CHUNK) -> Iterator[str]:
 
 
 class Windows:
-    """Aligned windows by their ids. Entry k has the text of its groups, their number, and its links
-    at links[first[k]:first[k + 1]]."""
+    """Aligned windows by their texts. Entry k has the text of its groups, their number, how many ids
+    it has on either side, and its links at links[first[k]:first[k + 1]]."""
 
     def __init__(self, a: Vocabulary, b: Vocabulary):
         # Ids as they stand in a text: first of a window, first of a group, any other.
@@ -127,9 +130,9 @@ class Windows:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[tuple[bytes, bytes], int] = {}
+        self.known: dict[str, int] = {}  # -1: one side does not join to the window
         self.texts: list[str] = []
-        self.groups = array("q")
+        self.groups, self.n_a, self.n_b = array("q"), array("q"), array("q")
         self.links = array("I")
         self.first = array("q", [0])
 
@@ -157,25 +160,12 @@ class Windows:
         self.texts += ["".join(shown[i:j]) for i, j in zip([0, *stop], stop)]
         last = ends_a[stop_a - 1]
         self.groups.extend(np.diff(np.searchsorted(common, last) + 1, prepend=0).tolist())
+        self.n_a.extend(np.diff(stop_a, prepend=0).tolist())
+        self.n_b.extend(np.diff(stop_b, prepend=0).tolist())
         self.first.extend((len(self.links) + np.searchsorted(ends, last) + 1).tolist())
         self.links.frombytes(links.astype(np.uint32).tobytes())
 
 
-def _window_hash(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
-    """Order-dependent 64-bit hash of each ids[start:end] (all non-empty)."""
-    place = (np.arange(len(ids)) - np.repeat(starts, ends - starts)).astype(np.uint64)
-    value = mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                + (place + np.uint64(salt)) * np.uint64(0xD1342543DE82EF95))
-    return mix(np.add.reduceat(value, starts))
-
-
-def _picked(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the stretches start:stop one behind the other, and where each ends among them."""
-    size = stops - starts
-    tail = np.cumsum(size)
-    return np.repeat(starts - (tail - size), size) + np.arange(tail[-1]), tail
-
-
 class Aligner:
     """Two vocabularies and the windows met so far; one per Python worker."""
 
@@ -190,74 +180,68 @@ class Aligner:
             return None
         return a, b
 
-    def spread(self, pairs: list[tuple[np.ndarray, np.ndarray]]):
-        """Entries of the windows of all texts in order, and how many each text has."""
-        if len(self.windows) > REMEMBERED:
-            self.windows.clear()
-        a = np.concatenate([p[0] for p in pairs])
-        b = np.concatenate([p[1] for p in pairs])
+    def learn(self, inner: Iterable[str], alone: Iterable[str]) -> list[str]:
+        """Encodes and aligns windows that are not known, those of `inner` put together to texts.
+        Returns those not to be remembered: long ones, and those that do not join to the text."""
+        known, good, parts, bad = self.windows.known, [], [], []
+        for text in (*stretches(" ".join(inner), TOGETHER), *alone):
+            group = _ANCHOR.split(text) if text else []
+            found = self.tokens(text) if group else None
+            if found is not None:
+                good += group
+                parts.append(found)
+                continue
+            for window in group:
+                found = self.tokens(window) if len(group) > 1 else None
+                if found is None:
+                    bad.append(window)
+                else:
+                    good.append(window)
+                    parts.append(found)
+        known.update(dict.fromkeys(bad, -1))
+        if not good:
+            return bad
+        a, b = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
         ends_a, ends_b = np.cumsum(self.a.length[a]), np.cumsum(self.b.length[b])
-        # Verified shared ends before a space-marked token on both sides; every text starts with one.
-        common, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        last = np.zeros(len(common), bool)
-        last[-1] = True
-        follows = np.minimum(at_a + 1, len(a) - 1), np.minimum(at_b + 1, len(b) - 1)
-        last |= self.a.spaced[a[follows[0]]] & self.b.spaced[b[follows[1]]]
-        stop_a, stop_b = at_a[last] + 1, at_b[last] + 1
-        start_a, start_b = np.r_[0, stop_a[:-1]], np.r_[0, stop_b[:-1]]
-        key = _window_hash(a, start_a, stop_a, 1) ^ _window_hash(b, start_b, stop_b, 1 << 20)
-        _, first, back = np.unique(key, return_index=True, return_inverse=True)
-        bytes_a, bytes_b = a.astype("<u2").tobytes(), b.astype("<u2").tobytes()
-        known, entry, new = self.windows.known, [], []
-        for w, i, j, m, n in zip(first.tolist(), start_a[first].tolist(), stop_a[first].tolist(),
-                                 start_b[first].tolist(), stop_b[first].tolist()):
-            ids = (bytes_a[2 * i:2 * j], bytes_b[2 * m:2 * n])
-            found = known.get(ids)
-            if found is None:
-                found = len(self.windows) + len(new)
-                new.append(w)
-                if j - i + n - m <= LONG_WINDOW:
-                    known[ids] = found
-            entry.append(found)
-        if new:
-            picked_a, tail_a = _picked(start_a[new], stop_a[new])
-            picked_b, tail_b = _picked(start_b[new], stop_b[new])
-            a, b = a[picked_a], b[picked_b]
-            self.windows.align(a, b, np.cumsum(self.a.length[a]), np.cumsum(self.b.length[b]), tail_a, tail_b)
-        bounds = np.cumsum([len(p[0]) for p in pairs])
-        per_text = np.diff(np.searchsorted(stop_a, np.r_[0, bounds], side="right"))
-        return np.array(entry)[back], per_text
+        # Every window ends where tokens of both sides do: at an anchor, or with its text.
+        ends = np.cumsum([len(w.encode()) + 1 for w in good])
+        stop_a, stop_b = np.searchsorted(ends_a, ends) + 1, np.searchsorted(ends_b, ends) + 1
+        if (ends_a[stop_a - 1] != ends).any() or (ends_b[stop_b - 1] != ends).any():
+            raise ValueError("a token goes across an anchor")
+        size = np.diff(stop_a, prepend=0) + np.diff(stop_b, prepend=0)
+        known.update(zip(good, range(len(self.windows), len(self.windows) + len(good))))
+        self.windows.align(a, b, ends_a, ends_b, stop_a, stop_b)
+        return bad + [good[k] for k in np.flatnonzero(size > LONG_WINDOW).tolist()]
 
     def aligned(self, texts: list[str]):
         """For each text its figures and the codes of its links in order."""
         out: list[tuple | None] = [None] * len(texts)
-        parts, owner = [], []
-        for i, text in enumerate(texts):
-            found = [self.tokens(s) for s in stretches(text)] if text else [None]
-            if all(f is not None for f in found):
-                parts += found
-                owner += [i] * len(found)
-        if not parts:
-            return out
-        entry, per_part = self.spread(parts)
-        known = self.windows
-        flat, groups, begin = (np.array(x) for x in (known.links, known.groups, known.first))
+        windows = self.windows
+        if len(windows) > REMEMBERED or len(windows.links) > HELD_LINKS:
+            windows.clear()
+        split = [_ANCHOR.split(text) if text else [] for text in texts]
+        known = windows.known
+        new = set().union(*split).difference(known)
+        alone = {w for own in split for w in own[:1] + own[-1:] if w[0].isspace() or w[-1].isspace()} & new
+        passing = self.learn(new - alone, alone)
+        flat, groups, begin, n_a, n_b = (np.array(x) for x in (
+            windows.links, windows.groups, windows.first, windows.n_a, windows.n_b))
         count = np.diff(begin)
-        stop = np.cumsum(per_part)
-        owner = np.array(owner)
-        heads = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        for h, tail in zip(heads, [*heads[1:], len(owner)]):
-            mine = entry[stop[h] - per_part[h]:stop[tail - 1]]
+        for i, own in enumerate(split):
+            mine = np.fromiter(map(known.__getitem__, own), np.int64, len(own))
+            if not len(mine) or mine.min() < 0:
+                continue
             digest = hashlib.sha256()
             for at in range(0, len(mine), 1 << 16):
-                text = ";".join([known.texts[k] for k in mine[at:at + (1 << 16)].tolist()])
+                text = ";".join(map(windows.texts.__getitem__, mine[at:at + (1 << 16)].tolist()))
                 digest.update((";" if at else "").encode() + text.encode())
             size = count[mine]
             shift = np.repeat(begin[mine] - (np.cumsum(size) - size), size)
             codes = np.sort(flat[shift + np.arange(len(shift))])
-            out[owner[h]] = (sum(len(p[0]) for p in parts[h:tail]),
-                             sum(len(p[1]) for p in parts[h:tail]), int(groups[mine].sum()),
-                             len(codes), digest.hexdigest(), codes)
+            out[i] = (int(n_a[mine].sum()), int(n_b[mine].sum()), int(groups[mine].sum()),
+                      len(codes), digest.hexdigest(), codes)
+        for window in passing:
+            del known[window]
         return out
 
 
