@@ -296,6 +296,34 @@ def test_suffix_array():
     assert keys == sorted(keys)
 
 
+def test_suffix_array_sorts_seldom(monkeypatch):
+    """Codes share a sort key as far as they fit, so that few sorts are needed."""
+    sort, calls = np.argsort, []
+    monkeypatch.setattr(pieces.np, "argsort", lambda *a, **k: calls.append(a) or sort(*a, **k))
+    for letters, most in ((100, 2), (0x110000, 4)):
+        codes = np.random.default_rng(3).integers(0, letters, 3000)
+        codes[1500:] = codes[:1500]
+        calls.clear()
+        order = pieces.suffix_array(codes, 16)
+        assert len(calls) <= most
+        line = codes.tolist()
+        keys = [line[i:i + 16] for i in order]
+        assert keys == sorted(keys) and sorted(order.tolist()) == list(range(3000))
+    assert len(pieces.suffix_array(np.zeros(0, np.int64), 16)) == 0
+
+
+def test_pieces_remember_a_bounded_number_of_words(monkeypatch):
+    sp = pytest.importorskip("sentencepiece")
+    library = sp.SentencePieceProcessor(model_file=pieces.vocabulary())
+    monkeypatch.setattr(pieces, "CACHE", 4)
+    monkeypatch.setattr(pieces, "KEPT_WORD", 6)
+    model = pieces.Pieces()
+    for k in range(6):
+        texts = ["one two, averylongword one", f"w{k} x{k} two averylongword", "", "averylongword"]
+        assert [np.frombuffer(x, "<u4").tolist() for x in model.encode(texts)] == [*map(library.encode, texts)]
+        assert len(model.known) <= 10 and max(map(len, model.known)) <= 6
+
+
 def packed_rows(table):
     return packing.pack(table, "doc_id").select("_row.doc_id", "start", "length", "ids_crc32",
                                                 "doc_tokens", "sequence_id", "offset").collect()

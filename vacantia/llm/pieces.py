@@ -42,20 +42,37 @@ def vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _alphabet(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different codes in order, and for each code its place among them."""
+    met = np.zeros(int(codes.max()) + 1, bool)
+    met[codes] = True
+    return np.flatnonzero(met), (np.cumsum(met) - 1)[codes]
+
+
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Positions in order of the `depth` codes (0 and up) from there on, by doubling."""
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    reach = 1
-    while reach < depth:
-        ahead = np.zeros(len(rank), np.int64)
-        ahead[:-reach] = rank[reach:] + 1
-        key = rank * (len(rank) + 2) + ahead
-        order = np.argsort(key, kind="stable")
-        rank = np.empty_like(rank)
-        rank[order] = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
+    """Positions in order of the `depth` codes (code points) from there on, by doubling; the first
+    sort takes as many codes as one key holds."""
+    if not len(codes):
+        return np.zeros(0, np.int64)
+    letters, key = _alphabet(codes)
+    key = key + 1  # 0 is behind the end
+    bits, reach = len(letters).bit_length(), 1
+    while reach < depth and 2 * reach * bits < 63:
+        ahead = np.zeros_like(key)
+        ahead[:-reach] = key[reach:]
+        key = (key << (reach * bits)) | ahead
+        reach *= 2
+    while True:
+        order = np.argsort(key)
+        if reach >= depth:
+            return order
+        inorder = key[order]
+        rank = np.empty_like(order)
+        rank[order] = np.concatenate([[1], 1 + np.cumsum(inorder[1:] != inorder[:-1])])
+        ahead = np.zeros_like(rank)
+        ahead[:-reach] = rank[reach:]
+        key = rank * (len(rank) + 1) + ahead
         reach *= 2
-    return order
 
 
 class Pieces:
@@ -141,7 +158,7 @@ class Pieces:
                 token[edge] = self.merged[k]
                 moved = True
         # Tokens are where start holds; single characters are looked up, others become bytes.
-        letters, back = np.unique(codes, return_inverse=True)
+        letters, back = _alphabet(codes)
         alone = np.array([self.single.get(chr(c), -1) for c in letters.tolist()])
         token = np.where(token < 0, alone[back], token)
         border = np.flatnonzero(codes == 0)
@@ -165,13 +182,17 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [_WORD.findall(BLANK + t.replace(" ", BLANK).replace("\0", "�")) if t else []
                  for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
+        held, known = len(self.known), self.known
+        new = list(set().union(*split).difference(known))
         found = dict(zip(new, self._match(new))) if new else {}
-        out = [b"".join([self.known[w] if w in self.known else found[w] for w in words])
-               for words in split]
-        if len(self.known) > CACHE:
-            self.known = {}
-        self.known.update((w, i) for w, i in found.items() if len(w) <= KEPT_WORD)
+        known.update(found)
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        if held > CACHE:
+            self.known = {w: i for w, i in found.items() if len(w) <= KEPT_WORD}
+        else:
+            for word in new:
+                if len(word) > KEPT_WORD:
+                    del known[word]
         return out
 
     def decode(self, ids: np.ndarray) -> str:
