@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from vacantia.functions.similarity import OrderedTitles
+from vacantia.functions.similarity import MovingTitles, OrderedTitles
 from vacantia.operators import dedup, replay, similar as similar_titles, upsert
 from vacantia.operators.shuffle import last_before, salted_join, with_position
 from vacantia.schema import POSTING
@@ -275,6 +275,38 @@ def test_titles_of_any_length_are_found():
             assert index.first_like(probe) == first
 
 
+def test_moving_titles():
+    """Holders come, move and go in any order; runs fill up, are parted and fall empty."""
+    for seed in range(60):
+        rnd, held = random.Random(seed), {}
+        index = MovingTitles()
+        index._size = rnd.choice([2, 3, 8, 2048])
+        for title, probe in zip(random_titles(rnd, 150), random_titles(rnd, 150)):
+            owner = rnd.choice([None, rnd.randint(0, 40), rnd.randint(0, 40)])
+            for left in [t for t, o in held.items() if o == owner and t != title]:
+                index.hold(left, None)
+                del held[left]
+            index.hold(title, owner)
+            held[title] = owner
+            want = min((o for t, o in held.items() if o is not None and similar(t, probe)), default=None)
+            assert index.lowest(probe) == want
+
+
+def test_a_similar_title_is_found_before_all_titles_are_compared(monkeypatch):
+    """60,000 titles are held; what is asked for is similar to one of the first thousand, whoever moves."""
+    rnd, compared, count = random.Random(5), [], OrderedTitles._shared
+    monkeypatch.setattr(OrderedTitles, "_shared", lambda self, probe: compared.append(len(self.titles)) or count(self, probe))
+    titles = list(dict.fromkeys("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20)) for _ in range(60_000)))
+    index = MovingTitles()
+    for owner, title in enumerate(titles):
+        index.hold(title, owner)
+    for owner in range(0, 1000, 10):
+        assert index.lowest(titles[owner] + "s") == owner
+        index.hold(titles[owner], None)
+        index.hold(titles[owner] + "s", owner)
+    assert sum(compared) <= 100 * 2 * 2048
+
+
 def test_a_chain_of_moves_by_similar_titles_takes_no_rounds(spark, monkeypatch):
     """Every row moves the posting to its own title, so no row is settled before the one ahead of it."""
     monkeypatch.setattr(replay, "settled", lambda *_: pytest.fail("guessed"))
