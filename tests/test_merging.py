@@ -320,6 +320,26 @@ def test_a_chain_of_moves_by_similar_titles_takes_no_rounds(spark, monkeypatch):
     assert [(r.target_id, r["count"]) for r in got] == [(1, n)]
 
 
+@pytest.mark.parametrize("fuzzy", [False, True])
+def test_keys_are_made_once(spark, fuzzy):
+    """Stored postings without a key, as scored ones are, and batch rows: each is read once to be resolved, and a
+    batch row once more for the result."""
+    seen = [spark.sparkContext.accumulator(0) for _ in range(2)]
+
+    def counted(rows, count):
+        def read(company):
+            count.add(1)
+            return company
+
+        return rows.withColumn("company", F.udf(read)("company"))
+
+    stored = table(spark, [(i, f"p{i}", "Acme", f"Engineer {i}", "", "", "", "") for i in range(1, 21)]).drop("dedup_key")
+    batch = crawl(spark, [(s, f"p{s % 30}", "Acme", f"Engineers {s % 7}", "", "", "") for s in range(40)])
+    got = upsert.resolve(counted(batch, seen[1]), counted(stored, seen[0]), fuzzy)
+    assert [count.value for count in seen] == [20, 40]
+    assert got.count() == 40
+
+
 def test_many_small_companies_and_a_large_one(spark, monkeypatch):
     """Small ones in tasks, the large one by guesses, in one batch."""
     monkeypatch.setattr(replay.resolved, "__defaults__", (12,))

@@ -67,7 +67,11 @@ def _open_keys(matched: DataFrame) -> DataFrame:
 def match_by_key(matched: DataFrame, stored: DataFrame) -> DataFrame:
     """Adds `by_key`: the lowest stored id with the same key. The batch's distinct keys pick the
     stored rows first, so the stored table is not shuffled when they are few."""
-    hits = salted_join(_stored_keys(stored), _open_keys(matched), "dedup_key", "id", "left_semi")
+    return _match_by_key(matched, _stored_keys(stored))
+
+
+def _match_by_key(matched: DataFrame, keys: DataFrame) -> DataFrame:
+    hits = salted_join(keys, _open_keys(matched), "dedup_key", "id", "left_semi")
     return salted_join(matched, _lowest_by_key(hits), "dedup_key", "seq").withColumn(
         "by_key", F.when(F.col("by_id").isNull(), F.col("by_key")))
 
@@ -78,14 +82,17 @@ def resolve(batch: DataFrame, stored: DataFrame, fuzzy: bool = True) -> DataFram
 
     Rows count one after the other: a row that moves a posting to another key does so for the rows
     after it. Rows that such moves, or with `fuzzy` similar titles, can concern go through `replay`, on
-    ids and keys alone; all others are matched as a set."""
+    ids and keys alone; all others are matched as a set. Keys are made once, on either side."""
     ready = prepared(batch)
-    out = match_by_key(match_by_id(ready, stored), stored)
+    keyed = cut_lineage(ready.select("seq", "posting_id", "dedup_key"))
+    held = cut_lineage(stored.select("id", "posting_id", F.coalesce(
+        X.fenced(row_key(stored)), F.lit("")).alias("dedup_key")))
+    out = _match_by_key(match_by_id(keyed, held), held.select("dedup_key", "id").where("dedup_key <> ''"))
     key = F.col("dedup_key")
     group = F.when(key != "", F.concat(F.lit("k:"), key)).otherwise(F.concat(F.lit("p:"), F.col("posting_id")))
     narrow = cut_lineage(out.select(F.col("seq").cast("bigint").alias("seq"), "posting_id", "dedup_key",
                                     F.col("by_id").cast("bigint").alias("fixed"), "by_key"))
-    concerned = _concerned(narrow, stored, fuzzy)
+    concerned = _concerned(narrow, held, fuzzy)
     found = narrow.select("seq", F.coalesce("fixed", "by_key").alias("target_id"), F.when(
         F.coalesce("fixed", "by_key").isNull(), group).alias("new_group"))
     if concerned is not None:
@@ -104,13 +111,12 @@ def resolve(batch: DataFrame, stored: DataFrame, fuzzy: bool = True) -> DataFram
     return ready.join(found, "seq")
 
 
-def _concerned(rows: DataFrame, stored: DataFrame, fuzzy: bool) -> tuple[DataFrame, DataFrame] | None:
-    """The rows whose posting may depend on the order of the batch, and the stored postings they can
-    meet; None if there are none. Those are rows of posting ids that come with several keys (a
-    stored one included), and rows that share with them a key or, with `fuzzy`, a company; with
-    `fuzzy` also all rows of companies that have several keys."""
+def _concerned(rows: DataFrame, owners: DataFrame, fuzzy: bool) -> tuple[DataFrame, DataFrame] | None:
+    """The rows whose posting may depend on the order of the batch, and the stored postings (id,
+    posting_id, dedup_key) they can meet; None if there are none. Those are rows of posting ids that come
+    with several keys (a stored one included), and rows that share with them a key or, with `fuzzy`, a
+    company; with `fuzzy` also all rows of companies that have several keys."""
     named = rows.where("fixed IS NOT NULL").select(F.col("fixed").alias("id")).distinct()
-    owners = stored.select("id", "posting_id", F.coalesce(X.fenced(row_key(stored)), F.lit("")).alias("dedup_key"))
     ids = rows.select("posting_id", "dedup_key").unionByName(
         owners.join(named, "id", "left_semi").select("posting_id", "dedup_key"))
     several = cut_lineage(ids.groupBy("posting_id").agg(F.min("dedup_key").alias("a"), F.max("dedup_key").alias("b"))
